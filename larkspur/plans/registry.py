@@ -1,0 +1,6 @@
+"""Named queries over the driver's tables."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
