@@ -59,13 +59,18 @@ def byte_bpe(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         plain = pc.if_else(pa.array(np.isin(np.arange(len(texts)), whole)), "", texts)
         cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x01 "), "\n", "\x01\n\x01"), "\x01")
         number, bounds, pieces = pieces_of(cut)
-        # A line feed between pieces is always a token of its own, and no other piece holds one.
-        lone = np.asarray(pc.equal(pieces, "\n"))
-        together = ids("\n".join(pc.if_else(pa.array(lone), "", pieces).to_pylist()))
-        ends = np.append(np.flatnonzero(together == line_feed), len(together))
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        together = np.append(together, np.uint32(line_feed))
-        begins[lone], ends[lone] = len(together) - 1, len(together)
+        # Between pieces that begin at a blank or a letter and end in neither white space,
+        # a line feed is always a token of its own; pieces of white space alone stand apart.
+        blank = {p: np.flatnonzero(np.asarray(pc.equal(pieces, p))) for p in ("", " ", "\n")}
+        solid = np.setdiff1d(np.arange(len(pieces)), np.concatenate(list(blank.values())))
+        together = ids("\n".join(pieces.take(pa.array(solid)).to_pylist()))
+        begins, ends = np.zeros((2, len(pieces)), dtype=np.int64)
+        ends[solid] = np.append(np.flatnonzero(together == line_feed), len(together))[: len(solid)]
+        begins[solid] = np.concatenate([[0], ends[solid] + 1])[: len(solid)]
+        for piece, at in blank.items():
+            begins[at] = len(together)
+            together = np.append(together, ids(piece))
+            ends[at] = len(together)
         sizes = (ends - begins)[number]
         after = np.cumsum(sizes)
         out = together[np.repeat(begins[number] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)]
