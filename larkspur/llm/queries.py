@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import mixing
 from larkspur.sources.tables import table
@@ -29,15 +30,36 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.toxicity import score_toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.simhash import edited_neighbours
+
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_token_counts, op8_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_token_counts, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
