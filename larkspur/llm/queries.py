@@ -24,12 +24,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches the index for every row whose vec_id is divisible by 100."""
+    from larkspur.llm.nearest import build, search
+
+    indexed, index = build(table(spark, sf_dir, "embeddings"))
+    return search(indexed, index, F.col("vec_id") % 100 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.toxicity import score_toxicity, train
 
@@ -61,5 +75,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_token_counts, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
