@@ -30,6 +30,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.token_counts import token_counts
 
@@ -75,5 +81,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
 ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
