@@ -1,6 +1,518 @@
-"""Named queries over the driver's tables."""
+"""Named queries: each operator over the support messages or the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from larkspur.functions import rules as R
+from larkspur.functions import text as T
+from larkspur.operators import annotate, classify, evaluate, retrieval, sampling
+from larkspur.operators import conversations as C
+from larkspur.operators.graph import connected_components
+from larkspur.plans.fixture import support_messages
+from larkspur.plans.oracles import ORACLE_SQL
+from larkspur.sources import files
+from larkspur.sources.tables import materialise, shared_dir, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+#: Share of a bucket that a pool takes here, and sizes that fit the small tables.
+POOL_QUOTAS = {"primary_intent": 40, "unclassified": 20, "multi_intent": 15, "ambiguous": 15}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def n(name: str = "n") -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
+def classified(spark: SparkSession, sf: str) -> DataFrame:
+    messages = C.ordered_messages(support_messages(spark, sf)).where("role = 'customer_message'")
+    return classify.classify_messages(messages)
+
+
+def corpus_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The retrieval corpus: customer messages, the brand's next message, heuristic intents."""
+    return classify.classify_messages(C.immediate_responses(support_messages(spark, sf)))
+
+
+def asked(corpus: DataFrame) -> DataFrame:
+    """Every seventh message as a query; its intent counts as gold where it is the only one."""
+    return corpus.where(F.col("message_id").cast("long") % 7 == 1).withColumn("gold_intent", F.when(F.col("bucket") == "primary_intent", F.col("primary")))
+
+
+def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    corpus = corpus_of(spark, sf)
+    queries = asked(corpus)
+    slim = ("message_id", "conversation_id", "text")
+    return queries, retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus)
+
+
+def decided(spark: SparkSession, sf: str) -> DataFrame:
+    queries, rows = retrieved(spark, sf)
+    return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows)))
+
+
+def joined(column: str, key: str | None = None) -> Column:
+    return F.array_join(F.transform(column, lambda m: m[key]) if key else F.col(column), ",")
+
+
+@query
+def scan_filter(spark, sf):
+    return support_messages(spark, sf).where("role = 'brand_response' and author_id = 'brand1' and message_id <> ''").select("message_id", "created_at")
+
+
+@query
+def brand_messages(spark, sf):
+    return C.outbound(support_messages(spark, sf)).where("author_id = 'brand2'").select("message_id", "conversation_id")
+
+
+@query
+def unnest_messages(spark, sf):
+    return C.unnest(C.nested(support_messages(spark, sf))).select("conversation_id", "conversation_length", "place", "message_id", "role")
+
+
+@query
+def audit_counts(spark, sf):
+    return C.audit(support_messages(spark, sf))
+
+
+@query
+def outbound_by_author(spark, sf):
+    return C.author_volumes(support_messages(spark, sf))
+
+
+@query
+def top_brands(spark, sf):
+    return C.top_brands(support_messages(spark, sf), 3).select("author_id", "n")
+
+
+@query
+def semi_join_top_brands(spark, sf):
+    messages = support_messages(spark, sf)
+    return C.outbound(messages).join(C.top_brands(messages, 3), "author_id", "left_semi").select("message_id", "author_id")
+
+
+@query
+def answered_issues(spark, sf):
+    return C.answered_issues(support_messages(spark, sf))
+
+
+@query
+def linked_replies(spark, sf):
+    return C.linked_replies(support_messages(spark, sf))
+
+
+@query
+def response_links(spark, sf):
+    return C.response_links(support_messages(spark, sf))
+
+
+@query
+def related_inbound(spark, sf):
+    return C.related_inbound(support_messages(spark, sf), "brand1").select("message_id")
+
+
+@query
+def link_flags(spark, sf):
+    return C.link_flags(support_messages(spark, sf), "brand1")
+
+
+@query
+def token_freq(spark, sf):
+    return C.token_frequencies(support_messages(spark, sf))
+
+
+@query
+def topical_tokens(spark, sf):
+    return C.token_frequencies(support_messages(spark, sf)).where("n >= 3").groupBy("brand").agg(n("topics"))
+
+
+@query
+def distinct_customers(spark, sf):
+    return C.inbound(support_messages(spark, sf)).agg(F.count_distinct("author_id").alias("customers"))
+
+
+@query
+def connected_components_of_replies(spark, sf):
+    return connected_components(C.reply_edges(support_messages(spark, sf)))
+
+
+@query
+def component_sizes(spark, sf):
+    sizes = connected_components(C.reply_edges(support_messages(spark, sf))).groupBy("component").agg(n("size"))
+    return sizes.groupBy("size").agg(n("components"))
+
+
+@query
+def conversation_order(spark, sf):
+    return C.ordered_messages(support_messages(spark, sf)).select("conversation_id", "pos", "message_id", "conversation_length")
+
+
+@query
+def conversation_stats(spark, sf):
+    return C.conversation_stats(support_messages(spark, sf))
+
+
+@query
+def immediate_response(spark, sf):
+    return C.immediate_responses(support_messages(spark, sf)).select("message_id", "response_id")
+
+
+@query
+def brand_score(spark, sf):
+    return C.brand_scores(support_messages(spark, sf), eligible_from=20)
+
+
+@query
+def intent_match(spark, sf):
+    rows = classified(spark, sf).select("message_id", F.explode("matches").alias("m"))
+    return rows.select("message_id", "m.intent_id", F.size("m.evidence").alias("n_patterns"), F.array_join("m.evidence", " ").alias("patterns"))
+
+
+@query
+def intent_primary(spark, sf):
+    return classified(spark, sf).select("message_id", F.col("primary").alias("primary_intent"), "bucket", "evidence_strength", "words")
+
+
+@query
+def non_support(spark, sf):
+    return classified(spark, sf).where("non_support").select("message_id", "normal")
+
+
+@query
+def short_messages(spark, sf):
+    return classified(spark, sf).where("words <= 3").select("message_id", "words")
+
+
+@query
+def taxonomy_diagnostics(spark, sf):
+    rows = classified(spark, sf)
+    total = rows.agg(n("all_rows"), F.count_if(F.size("matches") > 0).alias("matched_rows"))
+    primary = rows.where("primary is not null").groupBy(F.col("primary").alias("intent_id")).agg(n("n_primary"))
+    matched = rows.select(F.explode("matches").alias("m")).groupBy("m.intent_id").agg(n("n_matched"), F.sum(F.size("m.evidence")).alias("n_patterns"))
+    out = matched.join(primary, "intent_id", "left").join(total).na.fill(0, ["n_primary"])  # total: one row
+    return out.select("intent_id", "n_matched", "n_patterns", "n_primary", F.round(100 * F.col("n_primary") / F.col("all_rows"), 2).alias("pct_all"), F.round(100 * F.col("n_primary") / F.col("matched_rows"), 2).alias("pct_matched"))
+
+
+@query
+def pattern_freq(spark, sf):
+    rows = classified(spark, sf).select(F.explode("matches").alias("m"))
+    return rows.select("m.intent_id", F.explode("m.evidence").alias("pattern")).groupBy("intent_id", "pattern").agg(n())
+
+
+@query
+def examples_per_intent(spark, sf):
+    order = Window.partitionBy("primary").orderBy(F.col("message_id").cast("long"))
+    rows = classified(spark, sf).where("primary is not null").withColumn("example", F.row_number().over(order)).where("example <= 3")
+    return rows.select(F.col("primary").alias("intent_id"), "example", "message_id", T.concise(F.col("text")).alias("shown"))
+
+
+@query
+def quality_reasons(spark, sf):
+    rows = table(spark, sf, "documents")
+    tokens = T.quality_tokens(F.col("text"))
+    return rows.select("doc_id", F.size(tokens).alias("n_tokens"), classify.low_diversity(tokens).alias("low_diversity"), classify.repeated_token(tokens).alias("repeated"))
+
+
+@query
+def mojibake(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", classify.row_quality(F.col("text")).alias("reason")).where("reason is not null")
+
+
+@query
+def exact_dup_groups(spark, sf):
+    groups = sampling.exact_duplicate_groups(table(spark, sf, "documents"))
+    return groups.select(F.md5(F.col("canonical").cast("binary")).alias("canonical_md5"), "n")
+
+
+@query
+def near_dup_pairs(spark, sf):
+    return sampling.near_duplicate_pairs(classified(spark, sf), "message_id", "text")
+
+
+@query
+def overlap_score(spark, sf):
+    rows = C.immediate_responses(support_messages(spark, sf)).where("response is not null")
+    sets = [F.array_distinct(T.retrieval_tokens(F.col(c), R.STOP_WORDS)) for c in ("text", "response")]
+    return rows.select("message_id", F.round(T.overlap_score(*sets), 9).alias("overlap"))
+
+
+@query
+def bucket_rank(spark, sf):
+    return sampling.bucket_ranks(classified(spark, sf)).select("message_id", "bucket", "bucket_rank")
+
+
+@query
+def quota_allocation(spark, sf):
+    counts = classified(spark, sf).where("bucket = 'primary_intent'").groupBy(F.col("primary").alias("group")).agg(n())
+    return sampling.quota_allocation(counts, 52).withColumnRenamed("group", "intent_id")
+
+
+@query
+def pool_select(spark, sf):
+    return sampling.pool_select(classified(spark, sf), POOL_QUOTAS)
+
+
+def tagged(spark: SparkSession, sf: str) -> DataFrame:
+    tags = classify.difficulty_tags(F.col("text"), F.col("bucket"), F.col("matches"), F.col("words"), F.col("conversation_length"))
+    return classified(spark, sf).withColumn("tags", tags)
+
+
+@query
+def difficulty_tags(spark, sf):
+    return tagged(spark, sf).select("message_id", joined("tags").alias("tags"))
+
+
+@query
+def tag_counts(spark, sf):
+    return tagged(spark, sf).select(F.explode("tags").alias("tag")).groupBy("tag").agg(n())
+
+
+@query
+def golden_rank(spark, sf):
+    return sampling.golden_ranks(tagged(spark, sf)).select("message_id", "bucket", "golden_rank")
+
+
+@query
+def golden_ids(spark, sf):
+    return sampling.golden_ids(sampling.golden_ranks(tagged(spark, sf)).where("golden_rank <= 10")).select("golden_id", "message_id")
+
+
+@query
+def human_sample(spark, sf):
+    return sampling.seeded_sample(classified(spark, sf), "message_id", 30).select("message_id")
+
+
+def annotated(spark: SparkSession, sf: str) -> DataFrame:
+    return classify.preliminary_annotation(classified(spark, sf))
+
+
+@query
+def prelim_annotation(spark, sf):
+    return annotated(spark, sf).select("message_id", "label", "confidence", "review_reasons", "review_required")
+
+
+@query
+def escalation_prelim(spark, sf):
+    return annotated(spark, sf).select("message_id", "risks", "escalate")
+
+
+@query
+def review_queue(spark, sf):
+    return annotated(spark, sf).where("review_required").select("message_id", "bucket", "review_reasons")
+
+
+@query
+def collect_context(spark, sf):
+    targets = annotated(spark, sf).where("review_required and bucket = 'ambiguous'")
+    messages = support_messages(spark, sf).select("conversation_id", "message_id", "role")
+    return annotate.conversation_contexts(targets, messages).select("target_id", "message_id", "role")
+
+
+@query
+def resolve_intent(spark, sf):
+    rows = annotated(spark, sf)
+    return annotate.resolve_intents(rows.where("review_required"), rows).select("message_id", "resolved_intent", "status", "resolved_confidence")
+
+
+@query
+def escalation_context(spark, sf):
+    rows = annotated(spark, sf)
+    targets = rows.where("review_required")
+    return annotate.context_escalation(targets.select("message_id", "conversation_id", "text"), rows, annotate.resolve_intents(targets, rows))
+
+
+@query
+def gold_response(spark, sf):
+    return annotate.gold_responses(C.immediate_responses(support_messages(spark, sf))).select("message_id", "shared_tokens", "gold_response_id")
+
+
+@query
+def annotated_golden(spark, sf):
+    rows = annotated(spark, sf)
+    resolved = annotate.resolve_intents(rows.where("review_required"), rows)
+    out = rows.join(resolved, "message_id", "left")
+    return out.select("message_id", F.when(F.col("review_required"), F.col("resolved_intent")).otherwise(F.col("label")).alias("gold_intent"), F.when(F.col("review_required"), F.col("status")).otherwise("inherited").alias("annotation_status"))
+
+
+@query
+def retrieval_corpus(spark, sf):
+    return corpus_of(spark, sf).select(F.format_string("hist_%06d", F.col("message_id").cast("long")).alias("corpus_id"), "message_id", "response_id", "conversation_length", joined("matches", "intent_id").alias("intents"), F.col("primary").alias("primary_intent"))
+
+
+@query
+def tfidf_weights(spark, sf):
+    corpus = support_messages(spark, sf).where("role = 'customer_message'")
+    terms = retrieval.term_counts(corpus, "message_id", "text")
+    weighted = retrieval.weights(terms, retrieval.inverse_frequencies(terms, corpus.count()))
+    return weighted.groupBy("id").agg(n("n_tokens"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 9).alias("norm"))
+
+
+@query
+def tfidf_topk(spark, sf):
+    return retrieved(spark, sf)[1].where("rank is not null").select("query_id", "rank", "doc_id", "score")
+
+
+@query
+def retrieval_failures(spark, sf):
+    return retrieved(spark, sf)[1].where("rank is null").select("query_id")
+
+
+@query
+def eligibility(spark, sf):
+    return asked(corpus_of(spark, sf)).agg(n("queries"), F.count("gold_intent").alias("eligible"))
+
+
+@query
+def retrieval_summary(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1])
+
+
+@query
+def hit_at_k(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("eligible", "hit_at_1", "hit_at_3", "hit_at_5")
+
+
+@query
+def mrr(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mrr")
+
+
+@query
+def similarity_avgs(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mean_top", "mean_all")
+
+
+@query
+def evidence_score(spark, sf):
+    return retrieval.evidence(retrieved(spark, sf)[1]).select("query_id", "rank", "evidence_score", "response_type", "strength", "flags")
+
+
+@query
+def evidence_hist(spark, sf):
+    return retrieval.evidence(retrieved(spark, sf)[1]).groupBy("strength", "response_type").agg(n())
+
+
+@query
+def evidence_summary(spark, sf):
+    rows = retrieval.evidence(retrieved(spark, sf)[1])
+    return rows.agg(n("candidates"), F.round(F.avg("evidence_score"), 6).alias("mean_score"), F.count_if("available").alias("available"))
+
+
+@query
+def coverage_at_k(spark, sf):
+    rows = retrieval.evidence(retrieved(spark, sf)[1]).where("gold_intent is not null")
+    per = rows.groupBy("query_id").agg(*(F.max(F.when(F.col("available") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"c{k}") for k in (1, 3, 5)))
+    return per.agg(*(F.round(F.avg(f"c{k}"), 6).alias(f"coverage_at_{k}") for k in (1, 3, 5)))
+
+
+@query
+def usable_evidence(spark, sf):
+    return retrieval.usable(retrieval.evidence(retrieved(spark, sf)[1])).select("query_id", "rank")
+
+
+@query
+def anti_join_no_response(spark, sf):
+    queries, rows = retrieved(spark, sf)
+    usable = retrieval.usable(retrieval.evidence(rows)).select(F.col("query_id").alias("message_id"))
+    return queries.join(usable, "message_id", "left_anti").select("message_id")
+
+
+@query
+def grounded_response(spark, sf):
+    queries, rows = retrieved(spark, sf)
+    return retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", "doc_id", "evidence_score", "response_type")
+
+
+@query
+def decision(spark, sf):
+    return decided(spark, sf).select("query_id", "doc_id", "decision", "escalation_reason", "generated_response")
+
+
+@query
+def decision_summary(spark, sf):
+    rows = decided(spark, sf)
+    share = F.round(100 * F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy()), 2)
+    return rows.groupBy("decision", F.coalesce("escalation_reason", F.lit("none")).alias("reason")).agg(n(), share.alias("percentage"))
+
+
+@query
+def trivial_baseline(spark, sf):
+    rows = retrieved(spark, sf)[1]
+    return evaluate.most_frequent(rows, "response", F.struct("query_id", "rank")).select(F.md5(F.col("value").cast("binary")).alias("response_md5"), "n")
+
+
+@query
+def simple_baseline(spark, sf):
+    top = retrieved(spark, sf)[1].where("rank = 1")
+    eligible = F.col("gold_intent").isNotNull()
+    return top.agg(n("queries"), F.count_if(eligible & retrieval.is_hit()).alias("agreeing"), F.round(100 * F.count_if(eligible & retrieval.is_hit()) / F.count_if(eligible), 2).alias("percentage"))
+
+
+@query
+def baseline_compare(spark, sf):
+    queries, rows = retrieved(spark, sf)
+    chosen = retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", F.col("doc_id").alias("grounded_id"))
+    top = rows.where("rank = 1").select("query_id", F.col("doc_id").alias("top_id"))
+    return queries.select(F.col("message_id").alias("query_id")).join(top, "query_id", "left").join(chosen, "query_id", "left")
+
+
+@query
+def reference_agreement(spark, sf):
+    reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
+    rows = decided(spark, sf).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
+    return evaluate.reference_agreement(rows, "reference", "decided")
+
+
+@query
+def agreement(spark, sf):
+    """Labels of documents against a rule on their length."""
+    labels = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluate.agreement(labels.withColumn("guess", (F.col("n_chars") > 500).cast("int")), "quality", "guess")
+
+
+@query
+def proof_checks(spark, sf):
+    rows = decided(spark, sf)
+    risky = F.coalesce(F.bool_and(F.col("decision") == F.when(F.col("escalation_reason").isNull(), "auto_handle").otherwise("escalate")), F.lit(True))
+    return rows.agg(risky.alias("consistent"), (n() == F.count_distinct("query_id")).alias("unique_ids"), F.bool_or(F.col("decision") == "auto_handle").alias("any_auto"))
+
+
+@query
+def except_keys(spark, sf):
+    docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id")
+    return docs.exceptAll(labels).withColumn("side", F.lit("unlabelled")).unionByName(labels.exceptAll(docs).withColumn("side", F.lit("unknown")))
+
+
+@query
+def union_strata(spark, sf):
+    ranked = sampling.bucket_ranks(classified(spark, sf)).select("message_id", "bucket", "bucket_rank")
+    parts = [ranked.where((F.col("bucket") == b) & (F.col("bucket_rank") <= k)) for b, k in POOL_QUOTAS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def judge_stub(spark, sf):
+    rows = decided(spark, sf).select("query_id", "query", F.coalesce("generated_response", F.lit("")).alias("response"))
+    return evaluate.judge(rows)
+
+
+@query
+def jsonl_roundtrip(spark, sf):
+    rows = materialise(C.nested(support_messages(spark, sf)))
+    path = f"{shared_dir(spark)}/jsonl-{abs(hash(sf)) % 10**8}"
+    files.write_jsonl(rows, path)
+    return files.read_jsonl(spark, path, rows.schema).select("conversation_id", "message_count", F.size("messages").alias("n"))
+
+
+@query
+def file_metadata(spark, sf):
+    return files.file_sizes(table(spark, sf, "documents"))
