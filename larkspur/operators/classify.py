@@ -14,6 +14,13 @@ def present(*columns: Column) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull())
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns added behind a generator, so that later filters and projections read them instead of repeating their expressions."""
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("_made")
+    return df.select(*kept, made).select(*kept, "_made.*")
+
+
 def hits(normal: Column, pattern: str) -> Column:
     return normal.rlike(T.bounded(pattern))
 
@@ -48,12 +55,12 @@ def assign_bucket(matches: Column, words: Column, non_support: Column) -> Column
 
 def classify_messages(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds normal, matches, primary, evidence_strength, words, non_support and bucket."""
-    base = messages.withColumn("normal", T.normalized(F.col(text_col)))
-    base = base.withColumn("matches", intent_matches(F.col("normal"))).withColumn("primary", primary_intent(F.col("matches")))
+    base = settled(messages, normal=T.normalized(F.col(text_col)))
+    words = F.size(T.found(F.col("normal"), r"[a-z][a-z0-9']*"))
+    base = settled(base, matches=intent_matches(F.col("normal")), words=words, non_support=is_non_support(F.col("normal")))
     strength = F.aggregate("matches", F.lit(0), lambda n, m: n + F.size(m["evidence"]))
-    base = base.withColumn("evidence_strength", strength).withColumn("words", T.content_word_count(F.col(text_col)))
-    base = base.withColumn("non_support", is_non_support(F.col("normal")))
-    return base.withColumn("bucket", assign_bucket(F.col("matches"), F.col("words"), F.col("non_support")))
+    bucket = assign_bucket(F.col("matches"), F.col("words"), F.col("non_support"))
+    return settled(base, primary=primary_intent(F.col("matches")), evidence_strength=strength, bucket=bucket)
 
 
 def response_type(response: Column) -> Column:
@@ -103,12 +110,11 @@ def low_diversity(tokens: Column) -> Column:
 def repeated_token(tokens: Column) -> Column:
     """Of eight tokens or more one is half of all or more: then it is the middle one of the sorted tokens."""
     ordered = F.array_sort(tokens)
-
-    def often(at: Column) -> Column:
-        return F.size(F.filter(tokens, lambda t: t == F.get(ordered, at))) >= 0.5 * F.size(tokens)
-
     middle = F.floor(F.size(tokens) / 2).cast("int")
-    return (F.size(tokens) >= 8) & (often(middle) | often(middle - 1))
+    # The outer transform evaluates the middle tokens once, not for every token compared.
+    candidates = F.array(F.get(ordered, middle), F.get(ordered, middle - 1))
+    counts = F.transform(candidates, lambda m: F.size(F.filter(tokens, lambda t: t == m)))
+    return (F.size(tokens) >= 8) & F.exists(counts, lambda n: n >= 0.5 * F.size(tokens))
 
 
 def row_quality(text: Column) -> Column:
@@ -127,9 +133,9 @@ def preliminary_annotation(classified: DataFrame) -> DataFrame:
     n, inherited = F.col("evidence_strength"), F.col("bucket") == "primary_intent"
     strong = F.when((F.size("matches") == 1) & (n >= 2), F.get("matches", F.lit(0))["intent_id"])
     label = F.when(inherited, F.col("primary")).when(F.col("bucket") == "multi_intent", F.lit(None)).otherwise(strong)
-    out = classified.withColumn("label", label)
+    out = settled(classified, label=label)
     confidence = F.when(inherited & (n >= 2), "high").when(inherited | F.col("label").isNotNull(), "medium").otherwise("low")
-    out = out.withColumn("confidence", confidence)
+    out = settled(out, confidence=confidence)
     unknown = F.col("label").isNotNull() & ~F.exists("matches", lambda m: m["intent_id"] == F.col("label"))
     reasons = present(
         F.when(F.col("bucket") == "ambiguous", F.lit("ambiguous bucket")),
@@ -139,7 +145,7 @@ def preliminary_annotation(classified: DataFrame) -> DataFrame:
         F.when(F.col("words") <= 3, F.lit("short message")),
         F.when(unknown, F.lit("label not among matches")),
     )
-    out = out.withColumn("review_reasons", F.array_join(reasons, "; ")).withColumn("review_required", F.size(reasons) > 0)
-    out = out.withColumn("risks", F.array_join(risk_reasons(F.col("text")), "; "))
+    out = settled(out, reasons=reasons, risks=F.array_join(risk_reasons(F.col("text")), "; "))
     clear = inherited & (F.col("confidence") == "high")
-    return out.withColumn("escalate", F.when(F.col("risks") != "", True).when(clear, False))
+    escalate = F.when(F.col("risks") != "", True).when(clear, False)
+    return settled(out, review_reasons=F.array_join("reasons", "; "), review_required=F.size("reasons") > 0, escalate=escalate)

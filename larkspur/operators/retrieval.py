@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
-from larkspur.operators.classify import decision_risk, present, response_type
+from larkspur.operators.classify import decision_risk, present, response_type, settled
 
 USABLE_TYPES = ("diagnostic_question", "direct_guidance")
 
@@ -83,16 +83,16 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
 
 def evidence(rows: DataFrame) -> DataFrame:
     """Score, strength, flags and response type of every retrieved row."""
-    q, c, r = (T.retrieval_tokens(F.col(x), R.STOP_WORDS) for x in ("query", "doc_text", "response"))
-    out = rows.withColumn("qc", T.overlap_score(F.array_distinct(q), F.array_distinct(c))).withColumn("qr", T.overlap_score(F.array_distinct(q), F.array_distinct(r)))
+    q, c, r = (F.array_distinct(T.retrieval_tokens(F.col(x), R.STOP_WORDS)) for x in ("query", "doc_text", "response"))
+    out = settled(rows, _q=q, _c=c, _r=r)
+    out = settled(out, qc=T.overlap_score(F.col("_q"), F.col("_c")), qr=T.overlap_score(F.col("_q"), F.col("_r"))).drop("_q", "_c", "_r")
     there = F.trim(F.coalesce("response", F.lit(""))) != ""
-    out = out.withColumn("available", there)
     score = F.when(there, 0.35).otherwise(0.0) + 0.25 * F.least("qc", F.lit(1.0)) + 0.25 * F.least("qr", F.lit(1.0))
-    out = out.withColumn("evidence_score", F.round(score, 6)).withColumn("response_type", response_type(F.col("response")))
+    out = settled(out, available=there, evidence_score=F.round(score, 6), response_type=response_type(F.col("response")))
     strength = F.when(F.col("evidence_score") >= 0.65, "strong").when(F.col("evidence_score") >= 0.35, "moderate").otherwise("weak")
     out = out.withColumn("strength", strength)
     flags = present(
-        F.when(there, "historical_response_available").otherwise("no_historical_response"),
+        F.when(F.col("available"), "historical_response_available").otherwise("no_historical_response"),
         F.when(F.col("qc") >= 0.35, "strong_query_customer_overlap").when(F.col("qc") >= 0.15, "some_query_customer_overlap").otherwise("weak_query_customer_overlap"),
         F.when(F.col("qr") >= 0.25, "response_lexically_related").when(F.col("qr") > 0, "limited_response_overlap").otherwise("no_response_overlap"),
         F.when(F.col("gold_intent").isNull(), "intent_metric_ineligible").when(is_hit(), "curated_intent_agreement").otherwise("curated_intent_mismatch_or_unavailable"),
@@ -117,8 +117,9 @@ def decide(responses: DataFrame, least: float = 0.35) -> DataFrame:
     """auto_handle or escalate with the first reason that holds."""
     weak = F.col("evidence_score").isNull() | (F.col("evidence_score") < least)
     unclear = F.col("gold_intent").isNull() & F.col("bucket").isin("ambiguous", "multi_intent", "unclassified")
+    responses = settled(responses, risk=decision_risk(F.col("query")))
     reason = (
-        F.when(decision_risk(F.col("query")).isNotNull(), decision_risk(F.col("query")))
+        F.when(F.col("risk").isNotNull(), F.col("risk"))
         .when(F.col("doc_id").isNull(), "insufficient_historical_evidence")
         .when(F.coalesce("generated_response", F.lit("")) == "", "no_grounded_response")
         .when(F.col("response_type") == "generic_routing", "generic_routing_only")
@@ -126,5 +127,5 @@ def decide(responses: DataFrame, least: float = 0.35) -> DataFrame:
         .when(weak, "insufficient_historical_evidence")
         .when(unclear, "ambiguous_request")
     )
-    out = responses.withColumn("escalation_reason", reason).withColumn("decision", F.when(F.col("escalation_reason").isNull(), "auto_handle").otherwise("escalate"))
+    out = settled(responses, escalation_reason=reason).withColumn("decision", F.when(F.col("escalation_reason").isNull(), "auto_handle").otherwise("escalate"))
     return out.withColumn("generated_response", F.when(F.col("decision") == "auto_handle", F.col("generated_response")))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
-from larkspur.operators.classify import row_quality
+from larkspur.operators.classify import row_quality, settled
 from larkspur.sources.tables import materialise
 
 
@@ -17,14 +17,14 @@ def exact_duplicate_groups(docs: DataFrame, text_col: str = "text") -> DataFrame
     return docs.groupBy(T.canonical(F.col(text_col)).alias("canonical")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, both_long: bool = True, rarest: int | None = None) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, both_long: bool = True) -> DataFrame:
     """(left_id, right_id, shared): pairs that pass the near-duplicate rule, left before right.
 
     A pair shares at least 70 % of its smaller set, so of the smaller set's rarest 30 % and one
     more some token is shared: only that prefix of each set (in order of frequency) is joined with
     the prefixes of the others, and the rule is then tested. Nothing is compared with all.
     """
-    sets = docs.select(F.col(id_col).alias("id"), T.content_tokens(F.col(text_col), R.STOP_WORDS).alias("tokens")).where(F.size("tokens") >= (6 if both_long else 4))
+    sets = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokens=T.content_tokens(F.col("text"), R.STOP_WORDS)).drop("text").where(F.size("tokens") >= (6 if both_long else 4))
     single = sets.select("id", F.explode("tokens").alias("token"))
     common = single.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
@@ -83,7 +83,7 @@ def pool_select(classified: DataFrame, quotas: dict[str, int]) -> DataFrame:
     Rows bad in themselves go first, then later copies of a canonical text, then near duplicates of
     accepted ones (within the bucket). The first ``quota`` of what is accepted equals an early stop.
     """
-    ranked = bucket_ranks(classified.where(row_quality(F.col("text")).isNull()))
+    ranked = bucket_ranks(settled(classified, _reason=row_quality(F.col("text"))).where("_reason is null"))
     ranked = ranked.withColumn("canonical", T.canonical(F.col("text")))
     first = Window.partitionBy("bucket", "canonical").orderBy("bucket_rank")
     ranked = ranked.withColumn("_copy", F.row_number().over(first)).where("_copy = 1")

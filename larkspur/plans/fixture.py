@@ -42,7 +42,7 @@ msg AS (SELECT CAST(message_id AS STRING) AS message_id, conversation_id, turn,
     CASE WHEN inbound THEN 'customer_message' ELSE 'brand_response' END AS role,
     CASE WHEN inbound THEN concat('u', CAST(conversation_id % 40 AS STRING)) ELSE concat('brand', CAST(conversation_id % 5 AS STRING)) END AS author_id,
     concat({day}, ' +0000 ', '2017') AS created_at,
-    CASE WHEN inbound THEN concat(c.phrase, ' ', body) ELSE concat(b.phrase, CASE WHEN b.phrase = '' THEN '' ELSE concat(' ', body) END) END AS text,
+    CASE WHEN inbound AND c.phrase IN ('thanks', 'hello', 'is it fixed?') THEN c.phrase WHEN inbound THEN concat(c.phrase, ' ', body) ELSE concat(b.phrase, CASE WHEN b.phrase = '' THEN '' ELSE concat(' ', body) END) END AS text,
     CASE WHEN conversation_id % 5 = 0 AND second_child IS NOT NULL THEN concat(CAST(child AS STRING), ',', CAST(second_child AS STRING)) ELSE CAST(child AS STRING) END AS response_ids,
     CAST(CASE WHEN parent IS NULL AND conversation_id % 11 = 0 THEN message_id + 50
               WHEN parent IS NULL AND conversation_id % 13 = 0 AND conversation_id > 0 THEN (conversation_id - 1) * 100 + 1 ELSE parent END AS STRING) AS parent_ids

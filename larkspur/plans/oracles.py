@@ -81,16 +81,16 @@ both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
 comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)"""
 CLS = MSG + f""",
-ordered AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conversation_id) AS conversation_length,
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS pos, count(*) OVER (PARTITION BY conversation_id) AS conversation_length,
     lead(role) OVER (PARTITION BY conversation_id ORDER BY turn) AS next_role, lead(message_id) OVER (PARTITION BY conversation_id ORDER BY turn) AS next_id,
     lead(text) OVER (PARTITION BY conversation_id ORDER BY turn) AS next_text FROM msg),
 cls0 AS (SELECT *, {normal("text")} AS normal, {squeeze("lower(coalesce(text, ''))")} AS low, CASE WHEN next_role = 'brand_response' THEN next_id END AS response_id,
     CASE WHEN next_role = 'brand_response' THEN next_text END AS response FROM ordered WHERE role = 'customer_message'),
-cls1 AS (SELECT *, {", ".join(f"{filled(f"CASE WHEN {hit("normal", p)} THEN {lit(p)} END" for p in ps)} AS ev{k}" for k, (_, ps) in enumerate(R.INTENTS))} FROM cls0),
+cls1 AS MATERIALIZED (SELECT *, {", ".join(f"{filled(f"CASE WHEN {hit("normal", p)} THEN {lit(p)} END" for p in ps)} AS ev{k}" for k, (_, ps) in enumerate(R.INTENTS))} FROM cls0),
 cls2 AS (SELECT *, {filled(f"CASE WHEN len({e}) > 0 THEN '{i}' END" for i, e in zip(IDS, EV, strict=True))} AS ids, {" + ".join(f"len({e})" for e in EV)} AS evidence_strength,
     greatest({", ".join(f"len({e})" for e in EV)}) AS most, len(regexp_extract_all(normal, '[a-z][a-z0-9'']*')) AS words,
     regexp_full_match(normal, {lit("(?i)" + R.NON_SUPPORT)}) AS non_support FROM cls1),
-cls AS (SELECT *, CASE WHEN most = 0 THEN NULL {" ".join(f"WHEN len({e}) = most THEN '{i}'" for i, e in zip(IDS, EV, strict=True))} END AS prim,
+cls AS MATERIALIZED (SELECT *, CASE WHEN most = 0 THEN NULL {" ".join(f"WHEN len({e}) = most THEN '{i}'" for i, e in zip(IDS, EV, strict=True))} END AS prim,
     CASE WHEN len(ids) = 0 THEN 'unclassified' WHEN len(ids) > 1 THEN 'multi_intent' WHEN words <= 3 OR non_support THEN 'ambiguous' ELSE 'primary_intent' END AS bucket FROM cls2)"""
 MATCH = CLS + ",\nmatch AS (" + " UNION ALL ".join(f"SELECT message_id, conversation_id, '{i}' AS intent_id, {e} AS evidence FROM cls WHERE len({e}) > 0" for i, e in zip(IDS, EV, strict=True)) + ")"
 PHRASE = {name: hit("normal", p) for name, p in R.DIFFICULTY_PHRASES}
@@ -106,39 +106,39 @@ note1 AS (SELECT *, CASE WHEN bucket = 'primary_intent' AND evidence_strength >=
 note2 AS (SELECT *, list_filter([CASE WHEN bucket = 'ambiguous' THEN 'ambiguous bucket' END, CASE WHEN bucket = 'multi_intent' THEN 'multi-intent bucket' END,
     CASE WHEN bucket = 'unclassified' AND label IS NULL THEN 'unclassified without label' END, CASE WHEN confidence = 'low' THEN 'low confidence' END,
     CASE WHEN words <= 3 THEN 'short message' END, CASE WHEN label IS NOT NULL AND NOT list_contains(ids, label) THEN 'label not among matches' END], lambda x: x IS NOT NULL) AS reasons FROM note1),
-note AS (SELECT *, array_to_string(reasons, '; ') AS review_reasons, len(reasons) > 0 AS review_required,
+note AS MATERIALIZED (SELECT *, array_to_string(reasons, '; ') AS review_reasons, len(reasons) > 0 AS review_required,
     CASE WHEN risks <> '' THEN true WHEN bucket = 'primary_intent' AND confidence = 'high' THEN false END AS escalate FROM note2),
-said AS (SELECT n.message_id AS target_id, m.intent_id, count(DISTINCT m.pattern) AS score FROM note n JOIN (SELECT conversation_id, intent_id, unnest(evidence) AS pattern FROM match) m USING (conversation_id)
+said AS MATERIALIZED (SELECT n.message_id AS target_id, m.intent_id, count(DISTINCT m.pattern) AS score FROM note n JOIN (SELECT conversation_id, intent_id, unnest(evidence) AS pattern FROM match) m USING (conversation_id)
     WHERE n.review_required GROUP BY ALL HAVING count(DISTINCT m.pattern) >= 2),
-tied AS (SELECT target_id, list(intent_id ORDER BY intent_id) AS tied FROM (SELECT *, max(score) OVER (PARTITION BY target_id) AS best FROM said) WHERE score = best GROUP BY target_id),
-resolved AS (SELECT n.*, CASE WHEN tied IS NULL THEN NULL WHEN len(tied) > 1 AND list_contains(tied, prim) THEN prim ELSE tied[1] END AS resolved_intent,
+tied AS MATERIALIZED (SELECT target_id, list(intent_id ORDER BY intent_id) AS tied FROM (SELECT *, max(score) OVER (PARTITION BY target_id) AS best FROM said) WHERE score = best GROUP BY target_id),
+resolved AS MATERIALIZED (SELECT n.*, CASE WHEN tied IS NULL THEN NULL WHEN len(tied) > 1 AND list_contains(tied, prim) THEN prim ELSE tied[1] END AS resolved_intent,
     CASE WHEN tied IS NULL THEN 'insufficient_evidence' WHEN len(tied) > 1 THEN 'genuinely_ambiguous' WHEN conversation_length > 1 OR len(ids) = 0 THEN 'resolved_from_context' ELSE 'resolved_from_text' END AS status,
     CASE WHEN tied IS NULL THEN 'low' WHEN len(tied) > 1 THEN 'medium' WHEN conversation_length > 1 THEN 'high' ELSE 'medium' END AS resolved_confidence
     FROM note n LEFT JOIN tied t ON t.target_id = n.message_id WHERE review_required)"""
 FIND = CLS + f""",
 asked AS (SELECT *, CASE WHEN bucket = 'primary_intent' THEN prim END AS gold_intent FROM cls WHERE CAST(message_id AS BIGINT) % 7 = 1),
-term AS (SELECT message_id, conversation_id, token, count(*) AS tf FROM (SELECT message_id, conversation_id, unnest({words("text")}) AS token FROM cls) GROUP BY ALL),
-idf AS (SELECT token, ln(((SELECT count(*) FROM cls) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM term GROUP BY token),
-weight AS (SELECT message_id, conversation_id, token, tf * idf AS w FROM term JOIN idf USING (token)),
-norm AS (SELECT message_id, sqrt(sum(w * w)) AS norm FROM weight GROUP BY message_id),
+term AS MATERIALIZED (SELECT message_id, conversation_id, token, count(*) AS tf FROM (SELECT message_id, conversation_id, unnest({words("text")}) AS token FROM cls) GROUP BY ALL),
+idf AS MATERIALIZED (SELECT token, ln(((SELECT count(*) FROM cls) + 1.0::DOUBLE) / (count(*) + 1.0::DOUBLE)) + 1.0::DOUBLE AS idf FROM term GROUP BY token),
+weight AS MATERIALIZED (SELECT message_id, conversation_id, token, tf * idf AS w FROM term JOIN idf USING (token)),
+norm AS MATERIALIZED (SELECT message_id, sqrt(sum(w * w)) AS norm FROM weight GROUP BY message_id),
 dots AS (SELECT q.message_id AS query_id, d.message_id AS doc_id, sum(q.w * d.w) AS dot FROM weight q JOIN weight d USING (token)
     WHERE CAST(q.message_id AS BIGINT) % 7 = 1 AND q.conversation_id <> d.conversation_id AND q.message_id <> d.message_id GROUP BY ALL),
 scored AS (SELECT query_id, doc_id, round(dot / (a.norm * b.norm), 9) AS score FROM dots JOIN norm a ON a.message_id = query_id JOIN norm b ON b.message_id = doc_id),
-found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 5),
-rows AS (SELECT a.message_id AS query_id, a.text AS query, a.gold_intent, a.bucket, f.doc_id, f.rank, f.score, c.text AS doc_text, c.response, coalesce(list_contains(c.ids, a.gold_intent), false) AS hit
+found AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 5),
+rows AS MATERIALIZED (SELECT a.message_id AS query_id, a.text AS query, a.gold_intent, a.bucket, f.doc_id, f.rank, f.score, c.text AS doc_text, c.response, coalesce(list_contains(c.ids, a.gold_intent), false) AS hit
     FROM asked a LEFT JOIN found f ON f.query_id = a.message_id LEFT JOIN cls c ON c.message_id = f.doc_id),
-toks AS (SELECT *, list_distinct({words("query")}) AS tq, list_distinct({words("doc_text")}) AS tc, list_distinct({words("response")}) AS tr FROM rows),
+toks AS MATERIALIZED (SELECT *, list_distinct({words("query")}) AS tq, list_distinct({words("doc_text")}) AS tc, list_distinct({words("response")}) AS tr FROM rows),
 lap AS (SELECT *, {overlap("tq", "tc")} AS qc, {overlap("tq", "tr")} AS qr, trim(coalesce(response, '')) <> '' AS available FROM toks),
 ev0 AS (SELECT *, round(CASE WHEN available THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + 0.25::DOUBLE * least(qc, 1.0::DOUBLE) + 0.25::DOUBLE * least(qr, 1.0::DOUBLE), 6) AS evidence_score, {TYPE.format("response")} AS response_type FROM lap),
-ev AS (SELECT *, CASE WHEN evidence_score >= 0.65 THEN 'strong' WHEN evidence_score >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM ev0),
-usable AS (SELECT * FROM ev WHERE available AND evidence_score >= 0.35 AND response_type IN ('diagnostic_question', 'direct_guidance')),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_score DESC, rank, doc_id) AS r FROM usable) WHERE r = 1),
+ev AS MATERIALIZED (SELECT *, CASE WHEN evidence_score >= 0.65 THEN 'strong' WHEN evidence_score >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM ev0),
+usable AS MATERIALIZED (SELECT * FROM ev WHERE available AND evidence_score >= 0.35 AND response_type IN ('diagnostic_question', 'direct_guidance')),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY evidence_score DESC, rank, doc_id) AS r FROM usable) WHERE r = 1),
 ground AS (SELECT a.message_id AS query_id, a.text AS query, a.gold_intent, a.bucket, b.doc_id, b.evidence_score, b.response_type, b.response FROM asked a LEFT JOIN best b ON b.query_id = a.message_id),
 decide AS (SELECT *, CASE {" ".join(f"WHEN {hit("lower(query)", p)} THEN '{name}'" for name, p in R.DECISION_RISKS)} WHEN doc_id IS NULL THEN 'insufficient_historical_evidence'
     WHEN gold_intent IS NULL AND bucket IN ('ambiguous', 'multi_intent', 'unclassified') THEN 'ambiguous_request' END AS reason FROM ground),
 per AS (SELECT query_id, max(CASE WHEN hit AND rank <= 1 THEN 1 ELSE 0 END) AS h1, max(CASE WHEN hit AND rank <= 3 THEN 1 ELSE 0 END) AS h3, max(CASE WHEN hit AND rank <= 5 THEN 1 ELSE 0 END) AS h5,
-    min(CASE WHEN hit THEN rank END) AS first_hit, max(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS some FROM rows WHERE gold_intent IS NOT NULL GROUP BY query_id),
-quality AS (SELECT count(*) AS eligible, round(avg(h1), 6) AS hit_at_1, round(avg(h3), 6) AS hit_at_3, round(avg(h5), 6) AS hit_at_5, round(avg(CASE WHEN some = 1 THEN coalesce(1.0::DOUBLE / first_hit, 0) END), 6) AS mrr FROM per),
+    min(CASE WHEN hit THEN rank END) AS first_hit, max(CASE WHEN rank IS NOT NULL THEN 1 ELSE 0 END) AS has_rows FROM rows WHERE gold_intent IS NOT NULL GROUP BY query_id),
+quality AS (SELECT count(*) AS eligible, round(avg(h1), 6) AS hit_at_1, round(avg(h3), 6) AS hit_at_3, round(avg(h5), 6) AS hit_at_5, round(avg(CASE WHEN has_rows = 1 THEN coalesce(1.0::DOUBLE / first_hit, 0) END), 6) AS mrr FROM per),
 means AS (SELECT count(DISTINCT query_id) AS queries, count(*) FILTER (rank IS NULL) AS failures, round(avg(score) FILTER (rank = 1), 6) AS mean_top, round(avg(score), 6) AS mean_all FROM rows)"""
 QT = rf"regexp_extract_all({normal('text')}, '[a-z0-9]+')"
 POOL = ", ".join(f"('{b}', {k})" for b, k in {"primary_intent": 40, "unclassified": 20, "multi_intent": 15, "ambiguous": 15}.items())

@@ -217,14 +217,15 @@ def examples_per_intent(spark, sf):
 
 @query
 def quality_reasons(spark, sf):
-    rows = table(spark, sf, "documents")
-    tokens = T.quality_tokens(F.col("text"))
+    rows = classify.settled(table(spark, sf, "documents").select("doc_id", "text"), tokens=T.quality_tokens(F.col("text")))
+    tokens = F.col("tokens")
     return rows.select("doc_id", F.size(tokens).alias("n_tokens"), classify.low_diversity(tokens).alias("low_diversity"), classify.repeated_token(tokens).alias("repeated"))
 
 
 @query
 def mojibake(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", classify.row_quality(F.col("text")).alias("reason")).where("reason is not null")
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return classify.settled(rows, reason=classify.row_quality(F.col("text"))).select("doc_id", "reason").where("reason is not null")
 
 
 @query
