@@ -228,7 +228,7 @@ SELECT message_id, CAST(shared AS INT) AS shared_tokens, CASE WHEN response_id I
     "grounded_response": FIND + " SELECT query_id, doc_id, evidence_score, response_type FROM ground",
     "decision": FIND + " SELECT query_id, doc_id, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, reason AS escalation_reason, CASE WHEN reason IS NULL THEN response END AS generated_response FROM decide",
     "decision_summary": FIND + " SELECT CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, coalesce(reason, 'none') AS reason, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 2) AS percentage FROM decide GROUP BY ALL",
-    "trivial_baseline": FIND + " SELECT md5(response) AS response_md5, n FROM (SELECT response, count(*) AS n, min((query_id, rank)) AS at FROM rows WHERE trim(coalesce(response, '')) <> '' GROUP BY response) ORDER BY n DESC, at LIMIT 1",
+    "trivial_baseline": FIND + " SELECT md5(response) AS response_md5, n FROM (SELECT response, count(*) AS n, min((query_id, rank)) AS first_at FROM rows WHERE trim(coalesce(response, '')) <> '' GROUP BY response) ORDER BY n DESC, first_at LIMIT 1",
     "simple_baseline": FIND + " SELECT count(*) AS queries, count(*) FILTER (gold_intent IS NOT NULL AND hit) AS agreeing, round(100 * count(*) FILTER (gold_intent IS NOT NULL AND hit) / count(*) FILTER (gold_intent IS NOT NULL), 2) AS percentage FROM rows WHERE rank = 1",
     "baseline_compare": FIND + " SELECT a.message_id AS query_id, f.doc_id AS top_id, g.doc_id AS grounded_id FROM asked a LEFT JOIN found f ON f.query_id = a.message_id AND f.rank = 1 LEFT JOIN ground g ON g.query_id = a.message_id",
     "reference_agreement": FIND + f", r AS (SELECT d.reason IS NOT NULL AS decided, CASE WHEN {RISKS} <> '' THEN true WHEN c.bucket = 'primary_intent' AND evidence_strength >= 2 THEN false END AS reference FROM decide d JOIN cls c ON c.message_id = d.query_id) SELECT count(*) AS total, count(reference) AS comparable, count(*) FILTER (reference = decided) AS agreed, round(100 * count(*) FILTER (reference = decided) / count(reference), 2) AS percentage FROM r",
