@@ -115,8 +115,10 @@ def build(vectors: DataFrame, *, sample_rows: int = 12_000, k: int = 10, id_col:
         return rows.select("*", F.lit(0).alias("list"), F.lit(b"").alias("code")), None
     share = min(1.0, sample_rows / total)
     # By id and vector together, so one vector on many rows stays a share of the sample.
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).orderBy("vec_id").collect()
-    sample = np.array([r.vector for r in drawn or rows.limit(1).collect()], dtype=np.float64)
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vector").toArrow()
+    if not drawn.num_rows:
+        drawn = rows.select("vector").limit(1).toArrow()
+    sample = np.asarray(drawn.column("vector").combine_chunks().flatten(), dtype=np.float64).reshape(drawn.num_rows, -1)
     index = fit(np.unique(sample, axis=0), total, k=k)
     shared = vectors.sparkSession.sparkContext.broadcast(index)
 
