@@ -138,9 +138,11 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: i
     probability Jaccard of the sketches is the Jaccard similarity. A linked pair shares one of
     the bands but for a chance of (1 - similarity**rows)**bands, 6e-5 at 0.8.
 
-    Equal texts go on as one. In each bucket all texts are verified against the bucket's least id;
-    in buckets that still hold several classes then, all pairs across classes are verified, but
-    for pairs whose sizes, or distances to the bucket's least id (a metric), exclude a link. So no
+    Equal texts go on as one. In each bucket all texts are verified against the bucket's least id,
+    its leader. Where a leader's texts are then in several classes, pairs across classes are
+    verified that can still be linked: two texts of which one is not linked to the leader must share
+    shingles that the leader lacks (as many as its size asks, so only a prefix of them, in hash
+    order, is joined), and their sizes and distances to the leader (a metric) must allow it. So no
     shared bucket loses a link, and a group of near copies costs one comparison per text. Only texts
     in buckets of two and more are read again. An id on many rows stands for its least text
     hash; null ids are one class by equal text and are never linked; null and empty texts
@@ -162,26 +164,44 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: i
         right = grams.select(F.col("rep").alias("y"), F.col("grams").alias("gy"))
         met = pairs.join(left, "x").join(right, "y")
         both = F.size(F.array_intersect("gx", "gy"))
-        return met.select("x", "y", F.size("gx").alias("nx"), (both / (F.size("gx") + F.size("gy") - both)).alias("likeness"))
+        return met.select("x", "y", "gx", "gy", F.size("gx").alias("nx"), both.alias("both"), (both / (F.size("gx") + F.size("gy") - both)).alias("likeness"))
 
-    star = materialise(verified(members.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct()))
+    star = verified(members.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct())
+    # A text linked to x shares at least similarity * nx of its shingles, so ``need`` of those outside the leader.
+    star = star.withColumn("need", F.ceil(similarity * F.col("nx") - 1e-9).cast("int") - F.col("both")).withColumn("rest", F.array_except("gx", "gy"))
+    first = F.greatest(F.size("rest") - F.greatest("need", F.lit(1)) + 1, F.lit(0))
+    star = materialise(star.select("x", "y", "nx", "both", "likeness", "need", F.slice("rest", F.lit(1), first).alias("rest")))
     linked = star.where(F.col("likeness") >= similarity).select("x", "y")
     classes = connected_components(linked, "x", "y")
-    # Members of buckets with several classes, with their distance to the bucket's leader.
-    labelled = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    known = star.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "nx", (1 - F.col("likeness")).alias("away"))
-    mixed_members = labelled.join(several, "bucket").join(known, ["rep", "leader"])
-    mixed_members = materialise(mixed_members.select("bucket", "rep", "component", "nx", "away"))
-    one = mixed_members.select("bucket", *(F.col(c).alias(f"{c}_1") for c in ("rep", "component", "nx", "away")))
-    two = mixed_members.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "nx", "away")))
-    may = reduce(lambda a, b: a & b, [
-        F.col("component_1") < F.col("component_2"),
-        F.col("nx_1") >= similarity * F.col("nx_2"), F.col("nx_2") >= similarity * F.col("nx_1"),
-        F.abs(F.col("away_1") - F.col("away_2")) <= 1 - similarity + 1e-9,
-    ])
-    across = one.join(two, "bucket").where(may).select(F.col("rep_1").alias("x"), F.col("rep_2").alias("y")).distinct()
-    more = verified(across).where(F.col("likeness") >= similarity).select("x", "y")
+    named = classes.select(F.col("node"), F.col("component"))
+    member = star.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "nx", "both", (1 - F.col("likeness")).alias("away"), "need", "rest")
+    member = member.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = member.select("leader").distinct().join(named.withColumnRenamed("node", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("component"))
+    several = member.select("leader", "component").unionByName(heads).groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("leader")
+    member = materialise(member.join(several, "leader"))
+
+    def across(rows: DataFrame, keys: list[str], inside_leader: bool) -> DataFrame:
+        """Pairs of different classes on the same keys that neither sizes nor distances to the leader exclude.
+
+        ``inside_leader``: only pairs that could be linked by shingles of the leader alone.
+        """
+        own = ("rep", "component", "nx", "away", "both")
+        one = rows.select(*keys, *(F.col(c).alias(f"{c}_1") for c in own))
+        two = rows.select(*keys, *(F.col(c).alias(f"{c}_2") for c in own))
+        may = reduce(lambda a, b: a & b, [
+            F.col("component_1") < F.col("component_2"),
+            F.col("nx_1") >= similarity * F.col("nx_2"), F.col("nx_2") >= similarity * F.col("nx_1"),
+            F.abs(F.col("away_1") - F.col("away_2")) <= 1 - similarity + 1e-9,
+        ])
+        if inside_leader:
+            may = may & (F.least("both_1", "both_2") >= similarity / (1 + similarity) * (F.col("nx_1") + F.col("nx_2")) - 1e-9)
+        return one.join(two, keys).where(may).select(F.col("rep_1").alias("x"), F.col("rep_2").alias("y")).distinct()
+
+    by_rest = across(member.select("leader", "rep", "component", "nx", "away", "both", F.explode("rest").alias("gram")), ["leader", "gram"], False)
+    # Where neither needs a shingle outside the leader, a shared bucket is asked instead.
+    inner = member.where("need <= 0").select("leader", "rep", "component", "nx", "away", "both").join(members, ["leader", "rep"])
+    by_bucket = across(inner, ["bucket", "leader"], True)
+    more = verified(by_rest.unionByName(by_bucket).distinct()).where(F.col("likeness") >= similarity).select("x", "y")
     more = materialise(more)
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
