@@ -9,17 +9,20 @@ whose rank is repeated, and each round drops what has become unique:
 2. rank by the pair of that rank and everything that any string selecting the place covers:
    places of equal rank are repeated wholly and are done;
 3. places that remain lie at the ends of repeats, and are compared with one place of each rank of
-   round 2: byte by byte in both directions where the prefix's group is small, else string by string.
+   round 2: byte by byte in both directions where the prefix's group is small, else by counting
+   strings, in one task up to 20,000 places and over the cluster beyond.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ from larkspur.sources.tables import materialise
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Rows of a prefix's group that are still compared pair by pair.
-SMALL_GROUP = 64
+#: Places of a prefix's group that are compared pair by pair, and that meet in one task at all.
+SMALL_GROUP, WHOLE_GROUP = 64, 20_000
 #: A longer text is ranked in pieces that overlap.
 PIECE = 1 << 20
 PLACES = "array<struct<rank:long,span:long,at:long,back:int,ahead:int>>"
@@ -126,7 +129,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
 
     ``whole``: the text is there more than once and no shorter than ``length``. ``spans``: array of
     (begin, end) bytes, which may overlap. Counts are pre-aggregated and joins split, so a string on
-    a third of all documents is not one task's; only groups of at most 64 places meet whole.
+    a third of all documents is not one task's; only groups of at most ``WHOLE_GROUP`` places meet whole.
     """
     shape = Shape(length)
     texts = _texts(docs, id_col, text_col)
@@ -160,13 +163,13 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     asked = asked.join(copies.select("a", "b", "key"), ["a", "b"])
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Small groups: the bytes around a place, from the first to the last string's end. Large ones: a row for each string."""
+        """The bytes around a place, from the first to the last string's end; for the largest groups a row for each string."""
         for batch in slices(batches, chars=2_000_000):
             out: list[tuple] = []
             for text, a, b, places in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 for p in places:
                     low, high = p["at"] - p["back"], p["at"] - p["ahead"]
-                    if p["members"] <= SMALL_GROUP:
+                    if p["members"] <= WHOLE_GROUP:
                         out.append((a, b, p["rank"], p["at"], p["back"], p["ahead"], p["alone"], text[low : high + length]))
                     else:
                         for begin in range(low, high + 1):
@@ -221,15 +224,17 @@ def _paired(rows: pa.Table, length: int) -> list[pa.Array]:
         after[k, : len(whole) - back[k]] = whole[back[k] :]
     first = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
     size = np.diff(np.append(first, n))
-    mine, theirs = [], []
+    mine, theirs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for begin, count in zip(first.tolist(), size.tolist(), strict=True):
+        if count > SMALL_GROUP:
+            out.append(_counted(range(begin, begin + count), a, b, at, back, ahead, alone, data, length))
+            continue
         own = begin + np.flatnonzero(alone[begin : begin + count])
         mine.append(np.repeat(own, count))
         theirs.append(np.tile(np.arange(begin, begin + count), len(own)))
     mine, theirs = np.concatenate(mine), np.concatenate(theirs)
     other = (a[mine] != a[theirs]) | (b[mine] != b[theirs]) | (at[mine] != at[theirs])
     mine, theirs = mine[other], theirs[other]
-    out = []
     for begin in range(0, len(mine), 20_000):
         i, j = mine[begin : begin + 20_000], theirs[begin : begin + 20_000]
         # Equal bytes to the left and from the place on; what a row does not hold equals nothing.
@@ -243,6 +248,15 @@ def _paired(rows: pa.Table, length: int) -> list[pa.Array]:
     return [pa.array(c) for c in merged]
 
 
+def _counted(rows: range, a: np.ndarray, b: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, alone: np.ndarray, data: list[bytes], length: int) -> np.ndarray:
+    """The same for a larger group, by counting its strings: linear in the group."""
+    places = {(a[k], b[k], at[k]): k for k in rows}
+    strings = [(k, begin, xxhash.xxh3_128_digest(data[k][begin : begin + length])) for k in places.values() for begin in range(int(back[k] - ahead[k]) + 1)]
+    times = Counter((int(back[k]) - begin, digest) for k, begin, digest in strings)
+    hit = [(a[k], b[k], at[k] - back[k] + begin, at[k] - back[k] + begin + length) for k, begin, digest in strings if alone[k] and times[int(back[k]) - begin, digest] > 1]
+    return np.array(hit, dtype=np.int64).reshape(-1, 4).T
+
+
 def cut(text: bytes, whole: bool, spans: list[dict] | None) -> tuple[bytes, int, int]:
     """(kept bytes, removed bytes, maximal removed runs)."""
     if whole:
