@@ -219,7 +219,7 @@ SELECT message_id, CAST(shared AS INT) AS shared_tokens, CASE WHEN response_id I
     "hit_at_k": FIND + " SELECT eligible, hit_at_1, hit_at_3, hit_at_5 FROM quality",
     "mrr": FIND + " SELECT mrr FROM quality",
     "similarity_avgs": FIND + " SELECT mean_top, mean_all FROM means",
-    "evidence_score": FIND + f" SELECT query_id, CAST(rank AS INT) AS rank, evidence_score, response_type, strength, {FLAGS} AS flags FROM ev",
+    "evidence_score": FIND + f" SELECT query_id, CAST(coalesce(rank, 0) AS INT) AS rank, evidence_score, response_type, strength, {FLAGS} AS flags FROM ev",
     "evidence_hist": FIND + " SELECT strength, response_type, count(*) AS n FROM ev GROUP BY ALL",
     "evidence_summary": FIND + " SELECT count(*) AS candidates, round(avg(evidence_score), 6) AS mean_score, count(*) FILTER (available) AS available FROM ev",
     "coverage_at_k": FIND + " SELECT round(avg(c1), 6) AS coverage_at_1, round(avg(c3), 6) AS coverage_at_3, round(avg(c5), 6) AS coverage_at_5 FROM (SELECT " + ", ".join(f"max(CASE WHEN available AND rank <= {k} THEN 1 ELSE 0 END) AS c{k}" for k in (1, 3, 5)) + " FROM ev WHERE gold_intent IS NOT NULL GROUP BY query_id)",

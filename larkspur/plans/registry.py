@@ -394,7 +394,7 @@ def similarity_avgs(spark, sf):
 
 @query
 def evidence_score(spark, sf):
-    return retrieval.evidence(retrieved(spark, sf)[1]).select("query_id", "rank", "evidence_score", "response_type", "strength", "flags")
+    return retrieval.evidence(retrieved(spark, sf)[1]).select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "evidence_score", "response_type", "strength", "flags")
 
 
 @query
