@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices, words_of
@@ -130,6 +129,38 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, "rep long, grams array<long>")
 
 
+def across_classes(member: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of texts with one leader but different classes that can be linked all the same.
+
+    ``member`` has (rep, leader, linked, component), ``grams`` the shingles of all texts. With D the
+    shingles that only one of a text and its leader has, and n a text's number of shingles, x and y
+    are linked if and only if |Dx & Dy| >= (|Dx| + |Dy| - share * (nx + ny)) / 2, share being
+    (1 - similarity) / (1 + similarity). One of the two is not linked to the leader, which makes that
+    bound positive and gives each text a least overlap with any partner; so only a prefix of D, in
+    order of rarity among the leader's texts, is joined, and a match counts only if what is left of
+    both sets from there can reach the pair's bound.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    own = grams.select(F.col("rep"), F.col("grams").alias("gx"))
+    led = grams.select(F.col("rep").alias("leader"), F.col("grams").alias("gy"))
+    apart = F.concat(F.array_except("gx", "gy"), F.array_except("gy", "gx"))
+    sets = member.join(own, "rep").join(led, "leader").select("rep", "leader", "linked", "component", F.size("gx").alias("n"), F.size("gy").alias("n_leader"), apart.alias("apart"))
+    sets = sets.withColumn("d", F.size("apart"))
+    least = F.when(F.col("linked"), F.col("d") + share * (F.col("n_leader") - F.col("n"))).otherwise(F.col("d") - share * (F.col("n_leader") + F.col("n"))) / 2
+    need = F.greatest(F.ceil(least - 1e-9).cast("int"), F.lit(1))
+    apart = materialise(sets.select("leader", "rep", "component", "n", "d", (F.col("d") - need + 1).alias("upto"), F.explode("apart").alias("gram")))
+    often = apart.groupBy("leader", "gram").agg(F.count(F.lit(1)).alias("often"))
+    order = Window.partitionBy("leader", "rep").orderBy("often", "gram")
+    ranked = apart.join(often, ["leader", "gram"]).withColumn("at", F.row_number().over(order) - 1)
+    rows = materialise(ranked.where("at < upto and often > 1").select("leader", "gram", "rep", "component", "n", "d", "at"))
+    fields = ("rep", "component", "n", "d", "at")
+    one = rows.select("leader", "gram", *(F.col(c).alias(f"{c}_1") for c in fields))
+    two = rows.select("leader", "gram", *(F.col(c).alias(f"{c}_2") for c in fields))
+    reach = F.least(F.col("d_1") - F.col("at_1"), F.col("d_2") - F.col("at_2"))
+    may = (F.col("component_1") < F.col("component_2")) & (2 * reach + 1e-9 >= F.col("d_1") + F.col("d_2") - share * (F.col("n_1") + F.col("n_2")))
+    return one.join(two, ["leader", "gram"]).where(may).select(F.col("rep_1").alias("x"), F.col("rep_2").alias("y")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, copy_of (least id with an equal text), class_id (least id of its class).
 
@@ -140,11 +171,9 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: i
 
     Equal texts go on as one. In each bucket all texts are verified against the bucket's least id,
     its leader. Where a leader's texts are then in several classes, pairs across classes are
-    verified that can still be linked: two texts of which one is not linked to the leader must share
-    shingles that the leader lacks (as many as its size asks, so only a prefix of them, in hash
-    order, is joined), and their sizes and distances to the leader (a metric) must allow it. So no
-    shared bucket loses a link, and a group of near copies costs one comparison per text. Only texts
-    in buckets of two and more are read again. An id on many rows stands for its least text
+    verified that can still be linked (see :func:`across_classes`). So no shared bucket loses a
+    link, and a group of near copies costs one comparison per text. Only texts in buckets of two
+    and more are read again. An id on many rows stands for its least text
     hash; null ids are one class by equal text and are never linked; null and empty texts
     are equal copies of each other. An empty table gives no rows; other columns are ignored.
     """
@@ -164,45 +193,16 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: i
         right = grams.select(F.col("rep").alias("y"), F.col("grams").alias("gy"))
         met = pairs.join(left, "x").join(right, "y")
         both = F.size(F.array_intersect("gx", "gy"))
-        return met.select("x", "y", "gx", "gy", F.size("gx").alias("nx"), both.alias("both"), (both / (F.size("gx") + F.size("gy") - both)).alias("likeness"))
+        return met.select("x", "y", (both / (F.size("gx") + F.size("gy") - both)).alias("likeness"))
 
-    star = verified(members.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct())
-    # A text linked to x shares at least similarity * nx of its shingles, so ``need`` of those outside the leader.
-    star = star.withColumn("need", F.ceil(similarity * F.col("nx") - 1e-9).cast("int") - F.col("both")).withColumn("rest", F.array_except("gx", "gy"))
-    first = F.greatest(F.size("rest") - F.greatest("need", F.lit(1)) + 1, F.lit(0))
-    star = materialise(star.select("x", "y", "nx", "both", "likeness", "need", F.slice("rest", F.lit(1), first).alias("rest")))
+    star = materialise(verified(members.where("rep <> leader").select(F.col("rep").alias("x"), F.col("leader").alias("y")).distinct()))
     linked = star.where(F.col("likeness") >= similarity).select("x", "y")
     classes = connected_components(linked, "x", "y")
-    named = classes.select(F.col("node"), F.col("component"))
-    member = star.select(F.col("x").alias("rep"), F.col("y").alias("leader"), "nx", "both", (1 - F.col("likeness")).alias("away"), "need", "rest")
-    member = member.join(named.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    heads = member.select("leader").distinct().join(named.withColumnRenamed("node", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("component"))
+    member = star.select(F.col("x").alias("rep"), F.col("y").alias("leader"), (F.col("likeness") >= similarity).alias("linked"))
+    member = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = member.select("leader").distinct().join(classes.withColumnRenamed("node", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("component"))
     several = member.select("leader", "component").unionByName(heads).groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("leader")
-    member = materialise(member.join(several, "leader"))
-
-    def across(rows: DataFrame, keys: list[str], inside_leader: bool) -> DataFrame:
-        """Pairs of different classes on the same keys that neither sizes nor distances to the leader exclude.
-
-        ``inside_leader``: only pairs that could be linked by shingles of the leader alone.
-        """
-        own = ("rep", "component", "nx", "away", "both")
-        one = rows.select(*keys, *(F.col(c).alias(f"{c}_1") for c in own))
-        two = rows.select(*keys, *(F.col(c).alias(f"{c}_2") for c in own))
-        may = reduce(lambda a, b: a & b, [
-            F.col("component_1") < F.col("component_2"),
-            F.col("nx_1") >= similarity * F.col("nx_2"), F.col("nx_2") >= similarity * F.col("nx_1"),
-            F.abs(F.col("away_1") - F.col("away_2")) <= 1 - similarity + 1e-9,
-        ])
-        if inside_leader:
-            may = may & (F.least("both_1", "both_2") >= similarity / (1 + similarity) * (F.col("nx_1") + F.col("nx_2")) - 1e-9)
-        return one.join(two, keys).where(may).select(F.col("rep_1").alias("x"), F.col("rep_2").alias("y")).distinct()
-
-    by_rest = across(member.select("leader", "rep", "component", "nx", "away", "both", F.explode("rest").alias("gram")), ["leader", "gram"], False)
-    # Where neither needs a shingle outside the leader, a shared bucket is asked instead.
-    inner = member.where("need <= 0").select("leader", "rep", "component", "nx", "away", "both").join(members, ["leader", "rep"])
-    by_bucket = across(inner, ["bucket", "leader"], True)
-    more = verified(by_rest.unionByName(by_bucket).distinct()).where(F.col("likeness") >= similarity).select("x", "y")
-    more = materialise(more)
+    more = materialise(verified(across_classes(member.join(several, "leader"), grams, similarity)).where(F.col("likeness") >= similarity).select("x", "y"))
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
     named = ids.select("doc_id", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
