@@ -142,6 +142,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 1.0])
+def test_across_classes_loses_no_link(spark, similarity):
+    rng, base = random.Random(11), list(range(60))
+
+    def edited(gram_set, edits, pool):
+        kept = rng.sample(sorted(gram_set), len(gram_set) - edits)
+        return frozenset(kept) | {rng.randrange(100, 100 + pool) for _ in range(edits)}
+
+    centres = [edited(base, rng.randint(4, 20), 30) for _ in range(6)]
+    sets = [frozenset(base)] + [edited(rng.choice(centres), rng.randint(0, 5), 30) for _ in range(90)]
+    sets.append(sets[5])
+
+    def likeness(a, b):
+        return len(a & b) / len(a | b)
+
+    near = [likeness(s, sets[0]) >= similarity for s in sets]
+    component = [0 if n else k for k, n in enumerate(near)]
+    member = spark.createDataFrame([(k, 0, near[k], component[k]) for k in range(1, len(sets))], "rep long, leader long, linked boolean, component long")
+    grams = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "rep long, grams array<long>")
+    got = {tuple(sorted(r)) for r in near_duplicates.across_classes(member, grams, similarity).collect()}
+    pairs = [(a, b) for b in range(1, len(sets)) for a in range(1, b) if component[a] != component[b]]
+    linked = {(a, b) for a, b in pairs if likeness(sets[a], sets[b]) >= similarity}
+    assert linked and linked <= got <= set(pairs)
+
+
 def test_probminhash_estimates_weighted_likeness():
     rng = np.random.default_rng(0)
     pool = near_duplicates.mixed(np.arange(1, 301, dtype=np.uint64))
