@@ -68,8 +68,11 @@ class TextCNN:
         return np.concatenate(tops, axis=1), responses
 
     def logits(self, texts: pa.Array) -> np.ndarray:
-        if not len(texts):
-            return np.zeros(0)
+        """One value per text; the positions of only a part of the texts are held at a time."""
+        parts = slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), chars=2_000_000)
+        return np.concatenate([np.zeros(0), *(self._logits(part.column("text")) for part in parts)])
+
+    def _logits(self, texts: pa.Array) -> np.ndarray:
         number, bounds, words = words_of(texts)
         table = self.weights["E"][np.array([word_features(w, self.buckets) for w in words.to_pylist()]).reshape(-1, 2)].sum(axis=1)
         table = np.concatenate([table, np.zeros((1, self.size), np.float32)])
@@ -184,14 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 1_200, longest
     aside = np.arange(len(texts)) % 5 == 0 if len(texts) >= 50 else np.zeros(len(texts), bool)
     network.fit([t for t, a in zip(texts, aside, strict=True) if not a], marks[~aside])
     if aside.any() and len(set(marks[aside].tolist())) == 2:
-        network.calibrate(network.logits(pa.array([t for t, a in zip(texts, aside, strict=True) if a])), marks[aside])
+        network.calibrate(network.logits(pa.array([t for t, a in zip(texts, aside, strict=True) if a], pa.string())), marks[aside])
     thresholds = {}
-    scores = network.scores(pa.array(texts, pa.string()))
-    langs = np.array([r.lang for r in sample], dtype=object)
+    scores = network.scores(pa.array([t for t, a in zip(texts, aside, strict=True) if a], pa.string()))
+    langs, known = np.array([r.lang for r, a in zip(sample, aside, strict=True) if a], dtype=object), marks[aside]
     for lang in {x for x in langs.tolist() if x is not None}:
-        own = (langs == lang) & aside
-        if own.sum() >= 20 and 0 < marks[own].sum() < own.sum():
-            thresholds[lang] = best_threshold(scores[own], marks[own], precision)
+        own = langs == lang
+        if own.sum() >= 20 and 0 < known[own].sum() < own.sum():
+            thresholds[lang] = best_threshold(scores[own], known[own], precision)
     return Toxicity(network, thresholds)
 
 
