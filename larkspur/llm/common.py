@@ -31,7 +31,7 @@ class Memo(dict):
         return value
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``chars`` bytes of ``column`` (one row at least).
 
     Whole rows only: a longer text makes a batch of its own.
