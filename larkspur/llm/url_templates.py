@@ -42,16 +42,45 @@ def segment_shapes(path: Column, deepest: int = 8) -> Column:
     return F.when(F.size(shapes) <= deepest, shapes).otherwise(F.concat(F.slice(shapes, 1, deepest - 1), F.array(tail)))
 
 
+def alike_siblings(children: DataFrame, node: list[str], alike: float, z: float = 1.96) -> DataFrame:
+    """(node, child, branch, lone): siblings that their labels do not tell apart share a branch; ``lone`` is the child's own bad labels.
+
+    ``children`` has few rows a node: child, bad, good, purity. In order of purity a labelled child
+    joins the branch before it while the Wilson intervals of all members' shares (``z`` deviations)
+    have a point in common and purities differ by ``alike`` at most. Children without a label stay
+    among themselves. No segment's shape is a branch's name: it has no digit but 0, and no ``?``.
+    """
+    labels = F.col("bad") + F.col("good")
+    centre = (F.col("bad") + z * z / 2) / (labels + z * z)
+    reach = F.sqrt(F.when(labels > 0, F.col("bad") * F.col("good") / labels).otherwise(0.0) + z * z / 4) * z / (labels + z * z)
+    row = F.struct((labels > 0).alias("labelled"), "purity", "child", "bad", (centre - reach).alias("low"), (centre + reach).alias("high"))
+    told = "array<struct<child:string,lone:bigint,step:int>>"
+    start = F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("first"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.array().cast(told).alias("told"))
+
+    def join(so_far: Column, c: Column) -> Column:
+        low, high = F.greatest(so_far["low"], c["low"]), F.least(so_far["high"], c["high"])
+        stays = ~c["labelled"] | (so_far["step"] > 0) & (low <= high) & (c["purity"] - so_far["first"] <= alike)
+        step = F.when(stays, so_far["step"]).otherwise(so_far["step"] + 1)
+        first, low, high = (F.when(~c["labelled"], so_far[k]).when(stays, same).otherwise(c[new]) for k, same, new in (("first", so_far["first"], "purity"), ("low", low, "low"), ("high", high, "high")))
+        now = F.array(F.struct(c["child"].alias("child"), c["bad"].alias("lone"), step.alias("step"))).cast(told)
+        return F.struct(step.alias("step"), first.alias("first"), low.alias("low"), high.alias("high"), F.concat(so_far["told"], now).alias("told"))
+
+    steps = children.groupBy(*node).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, join)["told"].alias("told"))
+    name = F.when(F.col("c.step") == 0, F.lit("~?")).otherwise(F.concat(F.lit("~"), F.col("c.step").cast("string")))
+    alone = F.size(F.filter("told", lambda t: t["step"] == F.col("c.step"))) == 1
+    return steps.select(*node, "told", F.explode("told").alias("c")).select(*node, "c.child", F.when(alone, F.col("c.child")).otherwise(name).alias("branch"), "c.lone")
+
+
 def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.15, prior: float = 4.0, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
     """The tree over (host, shape, n, bad, good): (host, shape, template, purity, rejected).
 
     ``shape`` is an array of segments; ``n`` counts pages, ``bad`` and ``good`` those labelled
     so. Level by level, a node's children become one wildcard if they are more than
-    ``max_children``; else those whose smoothed purities fall in the same step of ``alike``
-    merge into one branch. A template's purity is its share of bad labels, smoothed by ``prior``
+    ``max_children``; else those that their labels do not tell apart merge into one branch (see
+    :func:`alike_siblings`). A template's purity is its share of bad labels, smoothed by ``prior``
     pseudo-labels of its parent's purity, and so up to the host, whose own parent is the share
     over all hosts. A template is rejected from purity ``reject_at`` on if it has ``min_bad``
-    bad labels of its own. Counts are summed per node before any join, and only nodes with few
+    bad labels of its own, for those shapes whose branches had as many before they merged. Counts are summed per node before any join, and only nodes with few
     children join by child, so a host or node with most shapes is split like any skewed join.
     """
     depth, bad, good = paths.agg(F.max(F.size("shape")), F.sum("bad"), F.sum("good")).first()
@@ -62,25 +91,22 @@ def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float
         return rows.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), share.alias("purity"))
 
     hosts = pooled(paths, ["host"], F.lit(everywhere)).select("host", "purity", F.col("bad").alias("own"))
-    known = paths.join(hosts, "host").withColumn("template", F.lit(""))
+    known = paths.join(hosts, "host").withColumn("template", F.lit("")).withColumn("lone", F.lit(None).cast("long"))
     node = ["host", "template"]
     for level in range(1, (depth or 0) + 1):
         known = known.withColumn("child", F.coalesce(F.get("shape", F.lit(level - 1)), F.lit("")))
         children = pooled(known, [*node, "child"], F.first("purity"))
         width = children.groupBy(*node).agg((F.count(F.when(F.col("child") != "", 1)) > max_children).alias("wide"))
         narrow = children.join(width.where("not wide").drop("wide"), node).where("child <> ''")
-        step = F.concat(F.lit("~"), F.floor(F.col("purity") / alike).cast("string"))
-        merged = narrow.withColumn("step", step)
-        single = merged.groupBy(*node, "step").agg(F.when(F.count(F.lit(1)) == 1, F.min("child")).alias("only"))
-        named = merged.join(single, [*node, "step"]).select(*node, "child", F.coalesce("only", "step").alias("branch"))
+        named = alike_siblings(narrow, node, alike).withColumnRenamed("lone", "child_bad")
         known = known.join(width, node).join(named, [*node, "child"], "left")
         branch = F.when(F.col("child") == "", F.lit("")).when(F.col("wide"), F.lit(WILDCARD)).otherwise(F.col("branch"))
         known = known.withColumn("branch", branch)
         own = pooled(known, [*node, "branch"], F.first("purity")).select(*node, "branch", F.col("purity").alias("next"), F.col("bad").alias("next_own"))
         known = known.join(own, [*node, "branch"])
         moved = F.when(F.col("branch") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))
-        known = materialise(known.select("host", "shape", "n", "bad", "good", F.col("next").alias("purity"), F.col("next_own").alias("own"), moved.alias("template")))
-    return known.select("host", "shape", "template", "purity", ((F.col("purity") >= reject_at) & (F.col("own") >= min_bad)).alias("rejected"))
+        known = materialise(known.select("host", "shape", "n", "bad", "good", F.col("next").alias("purity"), F.col("next_own").alias("own"), F.least("lone", "child_bad").alias("lone"), moved.alias("template")))
+    return known.select("host", "shape", "template", "purity", ((F.col("purity") >= reject_at) & (F.least("own", "lone") >= min_bad)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, **tree) -> DataFrame:

@@ -324,6 +324,17 @@ def test_url_templates_reject_bad_branches(spark):
     assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("spam", "block"), ("news", "allow")}
 
 
+@pytest.mark.parametrize("n", [2, 10, 40])
+def test_unlabelled_url_branches_do_not_join_a_labelled_one(spark, n):
+    urls = [f"https://blog.example.com/de/{k}" for k in range(n)] + [f"https://blog.example.com/{part}/{k}" for part in ("en", "es", "fr") for k in range(20)]
+    judged = url_templates.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
+    assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("de", "block"), ("en", "allow"), ("es", "allow"), ("fr", "allow")}
+    # A few labels are no reason to block a sibling either: c has one good label, d one bad one.
+    rows = [(k, f"http://h.io/{part}/{k}", label) for k, (part, label) in enumerate([("a", 1)] * 6 + [("b", 1)] * 5 + [("c", 0), ("c", None), ("d", 1), ("d", None), ("b", None)])]
+    judged = url_templates.filter_urls(spark.createDataFrame(rows, "page_id long, url string, l int"), (), label=F.col("l")).collect()
+    assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("a", "block"), ("b", "block"), ("c", "allow"), ("d", "allow")}
+
+
 def test_empty_tables(spark):
     none = documents(spark, ["x"]).where("false")
     assert packing.pack_documents(none, tokenizer_file("byte_bpe_50k.json")).count() == 0
