@@ -250,7 +250,8 @@ def _paired(rows: pa.Table, length: int) -> list[pa.Array]:
 
 def _counted(rows: range, a: np.ndarray, b: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, alone: np.ndarray, data: list[bytes], length: int) -> np.ndarray:
     """The same for a larger group, by counting its strings: linear in the group."""
-    places = {(a[k], b[k], at[k]): k for k in rows}
+    # A place at the edge of two pieces has a row for each, with strings of its own.
+    places = {(a[k], b[k], at[k], back[k], ahead[k]): k for k in rows}
     strings = [(k, begin, xxhash.xxh3_128_digest(data[k][begin : begin + length])) for k in places.values() for begin in range(int(back[k] - ahead[k]) + 1)]
     times = Counter((int(back[k]) - begin, digest) for k, begin, digest in strings)
     hit = [(a[k], b[k], at[k] - back[k] + begin, at[k] - back[k] + begin + length) for k, begin, digest in strings if alone[k] and times[int(back[k]) - begin, digest] > 1]

@@ -110,6 +110,29 @@ def test_repeats_against_brute_force(spark, monkeypatch, small, whole):
         assert (got[k].text is None) == (texts[k] is None) and got[k].row == "x"
 
 
+def test_repeats_count_both_rows_of_a_place_between_pieces(monkeypatch):
+    """In a large group of one prefix, a text in pieces loses what it loses in one piece and by pairs."""
+    rng, shape = random.Random(4), repeats.Shape(40)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(120))
+    texts = [base, base[10:90] + b"q", *(bytes(rng.choice(b"uvwxyz") for _ in range(30)) + base[k : k + 60] + bytes(rng.choice(b"uvwxyz") for _ in range(30)) for k in range(0, 60, 3))]
+
+    def removed(piece, small):
+        monkeypatch.setattr(repeats, "PIECE", piece)
+        monkeypatch.setattr(repeats, "SMALL_GROUP", small)
+        number, rank, _, at, back, ahead = repeats.selected_places(texts, shape)
+        rows = sorted(zip(rank.tolist(), number.tolist(), at.tolist(), back.tolist(), ahead.tolist(), strict=True))
+        data = [texts[k][p - b : p - h + 40] for _, k, p, b, h in rows]
+        columns = dict(zip(("rank", "a", "at", "back", "ahead"), map(list, zip(*rows, strict=True)), strict=True))
+        table = pa.table(columns | {"b": columns["a"], "alone": [True] * len(rows), "data": pa.array(data, pa.binary())})
+        a, _, begin, end = (c.to_pylist() for c in repeats._paired(table, 40))
+        return {(k, i) for k, x, y in zip(a, begin, end, strict=True) for i in range(x, y - 39)}
+
+    seen = collections.Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
+    exact = {(k, i) for k, t in enumerate(texts) for i in range(len(t) - 39) if seen[t[i : i + 40]] > 1}
+    for piece in (1 << 20, 7, 16, 33):
+        assert removed(piece, 64) == removed(piece, 1) == exact
+
+
 def shingle_set(text):
     own = (text or "").lower().split()
     return {tuple(own[j : j + 5]) for j in range(max(1, len(own) - 4))} if own else set()
