@@ -59,7 +59,7 @@ def running_total(df: DataFrame, group: list[str], block: str, order: list[Colum
     return summed.join(blocks, same).withColumn(name, F.col("_base") + F.col("_inside")).drop("_base", "_inside", *(f"_{k}" for k in keys))
 
 
-def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """The passes over documents that queue: row_id, doc_id, source, size, source_size, target, pass, taken.
 
     Each source's documents are shuffled by the md5 of their id and queue as often as ``most``
@@ -68,9 +68,10 @@ def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: f
     sum of all targets is reached. The last pass may be cut, so ``taken`` is at most ``size``.
     A document that never queues keeps pass 0 with taken 0. Sums run in blocks of a hash range
     or time range, so a source with most rows is dealt over many tasks. Only ids, sources and
-    sizes are shuffled; the texts are read once. ``row_id`` tells repeated rows apart.
+    sizes are shuffled; the texts are read once. ``row_id`` tells repeated rows apart; it is
+    ``row_col`` where that is given, unique by row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"))
     rows = materialise(rows.withColumn("place", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))))
     by_source = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
     counts = by_source.select(F.col("source").alias("_s"), "_rows")

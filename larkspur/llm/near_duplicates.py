@@ -98,7 +98,7 @@ def band_hashes(registers: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, *, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash 128 bits as two longs, bands): one pass over the texts, nothing shuffled."""
+    """(row, doc_id, text_hash 128 bits as two longs, bands): one pass over the texts, nothing shuffled. ``docs`` has its row ids as _row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=4_000_000):
@@ -110,10 +110,10 @@ def sketches(docs: DataFrame, *, bands: int, rows: int, width: int, id_col: str,
             flat = pa.array(keys.ravel())
             some = np.diff(bounds) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), flat.filter(pa.array(np.repeat(some, bands))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], names=["doc_id", "hash_a", "hash_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], names=["row", "doc_id", "hash_a", "hash_b", "bands"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, hash_a long, hash_b long, bands array<long>")
+    texts = docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "row long, doc_id long, hash_a long, hash_b long, bands array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -161,31 +161,28 @@ def across_classes(member: DataFrame, grams: DataFrame, similarity: float) -> Da
     return one.join(two, ["leader", "gram"]).where(may).select(F.col("rep_1").alias("x"), F.col("rep_2").alias("y")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, copy_of (least id with an equal text), class_id (least id of its class).
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written, with a row id _row that stays the same at every reading."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
 
-    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of
-    ``similarity`` or more, and classes are what links connect. Shingles weigh 1 here, for which the
-    probability Jaccard of the sketches is the Jaccard similarity. A linked pair shares one of
-    the bands but for a chance of (1 - similarity**rows)**bands, 6e-5 at 0.8.
 
-    Equal texts go on as one. In each bucket all texts are verified against the bucket's least id,
-    its leader. Where a leader's texts are then in several classes, pairs across classes are
-    verified that can still be linked (see :func:`across_classes`). So no shared bucket loses a
-    link, and a group of near copies costs one comparison per text. Only texts in buckets of two
-    and more are read again. An id on many rows stands for its least text
-    hash; null ids are one class by equal text and are never linked; null and empty texts
-    are equal copies of each other. An empty table gives no rows; other columns are ignored.
+def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, hash_a, rep, copy_of, component) of each row of :func:`numbered` documents.
+
+    ``rep`` is the row that stands for an equal text: of the least id, nulls last, then the least row;
+    ``copy_of`` is its id. ``component`` is a row that names the class. See :func:`near_duplicate_classes`.
     """
     marks = materialise(sketches(docs, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col))
-    copies = marks.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("rep"))
-    ids = materialise(marks.select("doc_id", "hash_a", "hash_b").join(copies, ["hash_a", "hash_b"]).select("doc_id", "rep", "hash_a", "hash_b"))
-    reps = marks.join(ids.where("doc_id = rep").groupBy(F.col("rep").alias("doc_id")).agg(F.min("hash_a").alias("hash_a")), ["doc_id", "hash_a"], "left_semi")
-    members = materialise(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("bucket")))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(members.join(buckets, "bucket"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    copies = marks.groupBy("hash_a", "hash_b").agg(first.alias("first")).select("hash_a", "hash_b", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_of"))
+    ids = materialise(marks.select("row", "doc_id", "hash_a", "hash_b").join(copies, ["hash_a", "hash_b"]).select("row", "doc_id", "hash_a", "rep", "copy_of"))
+    reps = marks.select("row", "doc_id", "bands").join(ids.where("row = rep").select("row"), "row", "left_semi")
+    members = materialise(reps.select(F.col("row").alias("rep"), "doc_id", F.explode("bands").alias("bucket")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))["rep"]
+    buckets = members.groupBy("bucket").agg(least.alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = materialise(members.drop("doc_id").join(buckets, "bucket"))
     wanted = members.select("rep").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("_row").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     grams = materialise(shingle_sets(texts.join(wanted, "rep"), width))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -205,12 +202,37 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, width: i
     more = materialise(verified(across_classes(member.join(several, "leader"), grams, similarity)).where(F.col("likeness") >= similarity).select("x", "y"))
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
-    named = ids.select("doc_id", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
+    return ids.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per document: doc_id, copy_of (least id with an equal text), class_id (least id of its class).
+
+    Two texts are linked if their sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more, and classes are what links connect. Shingles weigh 1 here, for which the
+    probability Jaccard of the sketches is the Jaccard similarity. A linked pair shares one of
+    the bands but for a chance of (1 - similarity**rows)**bands, 6e-5 at 0.8.
+
+    Equal texts go on as one. In each bucket all texts are verified against the bucket's least id,
+    its leader. Where a leader's texts are then in several classes, pairs across classes are
+    verified that can still be linked (see :func:`across_classes`). So no shared bucket loses a
+    link, and a group of near copies costs one comparison per text. Only texts in buckets of two
+    and more are read again. Texts are told apart by row, so ids may be null or on many rows with
+    different texts; ``copy_of`` and ``class_id`` are null only where no row of theirs has an id.
+    Null and empty texts are equal copies of each other. An empty table gives no rows; other
+    columns are ignored.
+    """
+    found = row_classes(numbered(docs.select(id_col, text_col)), id_col=id_col, text_col=text_col, **how)
+    found = materialise(found.select("doc_id", "rep", "copy_of", "component"))
+    # A class of one text has that text's least id.
+    linked = found.where("component <> rep").select("component").distinct()
+    least = found.join(linked, "component", "left_semi").groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    return found.join(least, "component", "left").select("doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is its class's least id, each id once; all columns stay. Null ids go as copies do, one per text."""
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **how)
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """One row of ``docs`` of each class: of the least id, nulls last, then of the least text hash and row; all columns stay."""
+    rows = numbered(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash_a", "row"))["row"]
+    kept = row_classes(rows, id_col=id_col, text_col=text_col, **how).groupBy("component").agg(first.alias("_row")).select("_row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")

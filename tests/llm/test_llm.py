@@ -165,6 +165,27 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_null_and_repeated_ids_keep_a_row_of_each_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    alone, repeated, one, two, three = (words(rng, 80, 4000) for _ in range(5))
+    near = " ".join([*three.split()[:-2], "other", "end"])
+    rows = [(None, alone), (1, repeated), (1, repeated), (2, one), (2, two), (3, near), (2, three), (None, two), (None, three + " more")]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.STAGES[1][1](spark, df, "").cache()
+    got = sorted((r.doc_id or 0, r.text) for r in left.collect())
+    assert got == sorted([(0, alone), (1, repeated), (2, one), (2, two), (2, three)])
+    cut = corpus_pipeline.STAGES[2][1](spark, left, "")
+    assert sorted((r.doc_id or 0, r.text) for r in cut.collect()) == got
+    mixed = corpus_pipeline.STAGES[3][1](spark, cut, "")
+    taken = mixing.mix(cut).agg(F.sum("taken")).first()[0]
+    assert taken > 0 and mixed.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
+    # In op2, every text of an id has its bands: near is linked to three, whose id has other texts too.
+    classes = sorted((r.doc_id or 0, r.copy_of or 0, r.class_id or 0) for r in near_duplicates.near_duplicate_classes(df).collect())
+    assert classes == [(0, 0, 0), (0, 0, 2), (0, 2, 2), (1, 1, 1), (1, 1, 1), (2, 2, 2), (2, 2, 2), (2, 2, 2), (3, 3, 2)]
+
+
 @pytest.mark.parametrize("similarity", [0.6, 0.8, 1.0])
 def test_across_classes_loses_no_link(spark, similarity):
     rng, base = random.Random(11), list(range(60))
