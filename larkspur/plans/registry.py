@@ -43,20 +43,31 @@ def corpus_of(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify_messages(C.immediate_responses(support_messages(spark, sf)))
 
 
-def asked(corpus: DataFrame) -> DataFrame:
-    """Every seventh message as a query; its intent counts as gold where it is the only one."""
-    return corpus.where(F.col("message_id").cast("long") % 7 == 1).withColumn("gold_intent", F.when(F.col("bucket") == "primary_intent", F.col("primary")))
+def asking(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Registers ``f`` for the queries of its SQL oracle, and as NAME_all for all customer messages."""
 
+    def every(spark: SparkSession, sf: str) -> DataFrame:
+        return f(spark, sf, every=True)
 
-def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    QUERIES[f.__name__], QUERIES[f"{f.__name__}_all"] = f, every
+    return f
+
+
+def asked(corpus: DataFrame, every: bool = False) -> DataFrame:
+    """The messages with id % 7 = 1, as in the oracles, or ``every`` message as a query; its intent counts as gold where it is the only one."""
+    queries = corpus if every else corpus.where(F.col("message_id").cast("long") % 7 == 1)
+    return queries.withColumn("gold_intent", F.when(F.col("bucket") == "primary_intent", F.col("primary")))
+
+
+def retrieved(spark: SparkSession, sf: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
     corpus = corpus_of(spark, sf)
-    queries = asked(corpus)
+    queries = asked(corpus, every)
     slim = ("message_id", "conversation_id", "text")
     return queries, retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus)
 
 
-def decided(spark: SparkSession, sf: str) -> DataFrame:
-    queries, rows = retrieved(spark, sf)
+def decided(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    queries, rows = retrieved(spark, sf, every)
     return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows)))
 
 
@@ -357,119 +368,119 @@ def tfidf_weights(spark, sf):
     return weighted.groupBy("id").agg(n("n_tokens"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 9).alias("norm"))
 
 
-@query
-def tfidf_topk(spark, sf):
-    return retrieved(spark, sf)[1].where("rank is not null").select("query_id", "rank", "doc_id", "score")
+@asking
+def tfidf_topk(spark, sf, every=False):
+    return retrieved(spark, sf, every)[1].where("rank is not null").select("query_id", "rank", "doc_id", "score")
 
 
-@query
-def retrieval_failures(spark, sf):
-    return retrieved(spark, sf)[1].where("rank is null").select("query_id")
+@asking
+def retrieval_failures(spark, sf, every=False):
+    return retrieved(spark, sf, every)[1].where("rank is null").select("query_id")
 
 
-@query
-def eligibility(spark, sf):
-    return asked(corpus_of(spark, sf)).agg(n("queries"), F.count("gold_intent").alias("eligible"))
+@asking
+def eligibility(spark, sf, every=False):
+    return asked(corpus_of(spark, sf), every).agg(n("queries"), F.count("gold_intent").alias("eligible"))
 
 
-@query
-def retrieval_summary(spark, sf):
-    return retrieval.retrieval_summary(retrieved(spark, sf)[1])
+@asking
+def retrieval_summary(spark, sf, every=False):
+    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1])
 
 
-@query
-def hit_at_k(spark, sf):
-    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("eligible", "hit_at_1", "hit_at_3", "hit_at_5")
+@asking
+def hit_at_k(spark, sf, every=False):
+    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("eligible", "hit_at_1", "hit_at_3", "hit_at_5")
 
 
-@query
-def mrr(spark, sf):
-    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mrr")
+@asking
+def mrr(spark, sf, every=False):
+    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("mrr")
 
 
-@query
-def similarity_avgs(spark, sf):
-    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mean_top", "mean_all")
+@asking
+def similarity_avgs(spark, sf, every=False):
+    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("mean_top", "mean_all")
 
 
-@query
-def evidence_score(spark, sf):
-    return retrieval.evidence(retrieved(spark, sf)[1]).select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "evidence_score", "response_type", "strength", "flags")
+@asking
+def evidence_score(spark, sf, every=False):
+    return retrieval.evidence(retrieved(spark, sf, every)[1]).select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "evidence_score", "response_type", "strength", "flags")
 
 
-@query
-def evidence_hist(spark, sf):
-    return retrieval.evidence(retrieved(spark, sf)[1]).groupBy("strength", "response_type").agg(n())
+@asking
+def evidence_hist(spark, sf, every=False):
+    return retrieval.evidence(retrieved(spark, sf, every)[1]).groupBy("strength", "response_type").agg(n())
 
 
-@query
-def evidence_summary(spark, sf):
-    rows = retrieval.evidence(retrieved(spark, sf)[1])
+@asking
+def evidence_summary(spark, sf, every=False):
+    rows = retrieval.evidence(retrieved(spark, sf, every)[1])
     return rows.agg(n("candidates"), F.round(F.avg("evidence_score"), 6).alias("mean_score"), F.count_if("available").alias("available"))
 
 
-@query
-def coverage_at_k(spark, sf):
-    rows = retrieval.evidence(retrieved(spark, sf)[1]).where("gold_intent is not null")
+@asking
+def coverage_at_k(spark, sf, every=False):
+    rows = retrieval.evidence(retrieved(spark, sf, every)[1]).where("gold_intent is not null")
     per = rows.groupBy("query_id").agg(*(F.max(F.when(F.col("available") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"c{k}") for k in (1, 3, 5)))
     return per.agg(*(F.round(F.avg(f"c{k}"), 6).alias(f"coverage_at_{k}") for k in (1, 3, 5)))
 
 
-@query
-def usable_evidence(spark, sf):
-    return retrieval.usable(retrieval.evidence(retrieved(spark, sf)[1])).select("query_id", "rank")
+@asking
+def usable_evidence(spark, sf, every=False):
+    return retrieval.usable(retrieval.evidence(retrieved(spark, sf, every)[1])).select("query_id", "rank")
 
 
-@query
-def anti_join_no_response(spark, sf):
-    queries, rows = retrieved(spark, sf)
+@asking
+def anti_join_no_response(spark, sf, every=False):
+    queries, rows = retrieved(spark, sf, every)
     usable = retrieval.usable(retrieval.evidence(rows)).select(F.col("query_id").alias("message_id"))
     return queries.join(usable, "message_id", "left_anti").select("message_id")
 
 
-@query
-def grounded_response(spark, sf):
-    queries, rows = retrieved(spark, sf)
+@asking
+def grounded_response(spark, sf, every=False):
+    queries, rows = retrieved(spark, sf, every)
     return retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", "doc_id", "evidence_score", "response_type")
 
 
-@query
-def decision(spark, sf):
-    return decided(spark, sf).select("query_id", "doc_id", "decision", "escalation_reason", "generated_response")
+@asking
+def decision(spark, sf, every=False):
+    return decided(spark, sf, every).select("query_id", "doc_id", "decision", "escalation_reason", "generated_response")
 
 
-@query
-def decision_summary(spark, sf):
-    rows = decided(spark, sf)
+@asking
+def decision_summary(spark, sf, every=False):
+    rows = decided(spark, sf, every)
     share = F.round(100 * F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy()), 2)
     return rows.groupBy("decision", F.coalesce("escalation_reason", F.lit("none")).alias("reason")).agg(n(), share.alias("percentage"))
 
 
-@query
-def trivial_baseline(spark, sf):
-    rows = retrieved(spark, sf)[1]
+@asking
+def trivial_baseline(spark, sf, every=False):
+    rows = retrieved(spark, sf, every)[1]
     return evaluate.most_frequent(rows, "response", F.struct("query_id", "rank")).select(F.md5(F.col("value").cast("binary")).alias("response_md5"), "n")
 
 
-@query
-def simple_baseline(spark, sf):
-    top = retrieved(spark, sf)[1].where("rank = 1")
+@asking
+def simple_baseline(spark, sf, every=False):
+    top = retrieved(spark, sf, every)[1].where("rank = 1")
     eligible = F.col("gold_intent").isNotNull()
     return top.agg(n("queries"), F.count_if(eligible & retrieval.is_hit()).alias("agreeing"), F.round(100 * F.count_if(eligible & retrieval.is_hit()) / F.count_if(eligible), 2).alias("percentage"))
 
 
-@query
-def baseline_compare(spark, sf):
-    queries, rows = retrieved(spark, sf)
+@asking
+def baseline_compare(spark, sf, every=False):
+    queries, rows = retrieved(spark, sf, every)
     chosen = retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", F.col("doc_id").alias("grounded_id"))
     top = rows.where("rank = 1").select("query_id", F.col("doc_id").alias("top_id"))
     return queries.select(F.col("message_id").alias("query_id")).join(top, "query_id", "left").join(chosen, "query_id", "left")
 
 
-@query
-def reference_agreement(spark, sf):
+@asking
+def reference_agreement(spark, sf, every=False):
     reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
-    rows = decided(spark, sf).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
+    rows = decided(spark, sf, every).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
     return evaluate.reference_agreement(rows, "reference", "decided")
 
 
@@ -480,9 +491,9 @@ def agreement(spark, sf):
     return evaluate.agreement(labels.withColumn("guess", (F.col("n_chars") > 500).cast("int")), "quality", "guess")
 
 
-@query
-def proof_checks(spark, sf):
-    rows = decided(spark, sf)
+@asking
+def proof_checks(spark, sf, every=False):
+    rows = decided(spark, sf, every)
     risky = F.coalesce(F.bool_and(F.col("decision") == F.when(F.col("escalation_reason").isNull(), "auto_handle").otherwise("escalate")), F.lit(True))
     return rows.agg(risky.alias("consistent"), (n() == F.count_distinct("query_id")).alias("unique_ids"), F.bool_or(F.col("decision") == "auto_handle").alias("any_auto"))
 
@@ -500,9 +511,9 @@ def union_strata(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query
-def judge_stub(spark, sf):
-    rows = decided(spark, sf).select("query_id", "query", F.coalesce("generated_response", F.lit("")).alias("response"))
+@asking
+def judge_stub(spark, sf, every=False):
+    rows = decided(spark, sf, every).select("query_id", "query", F.coalesce("generated_response", F.lit("")).alias("response"))
     return evaluate.judge(rows)
 
 

@@ -34,3 +34,11 @@ def test_entry_module_lists_all(spark):
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_all_customer_messages_are_decided(spark, sf_dir):
+    every = {r.message_id for r in QUERIES["retrieval_corpus"](spark, sf_dir).select("message_id").collect()}
+    whole = {r.query_id: r for r in QUERIES["decision_all"](spark, sf_dir).collect()}
+    assert set(whole) == every
+    part = QUERIES["decision"](spark, sf_dir).collect()
+    assert 0 < len(part) < len(every) and all(whole[r.query_id] == r for r in part)
