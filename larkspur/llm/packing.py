@@ -88,12 +88,18 @@ class LevelPacker:
 
     ``counts[h]`` is the number of open windows filled up to ``h``. A remainder of ``s``
     tokens goes to the level for which the sum of squared counts grows least, ties to the
-    fullest window. Whole windows of a long document are closed at once. :meth:`finish` cuts
-    what is still open into whole windows and windows of a power of two, which need no padding.
+    fullest window. Whole windows of a long document are closed at once. The rule needs as many
+    open windows as there are levels before most of them fill exactly, so at most ``spare`` and one
+    for every ``per_open`` remainders placed so far may be open: beyond that a remainder that would
+    open a window goes to the level that is best by the same sum without one. Where it does not fit
+    whole there, what fills that window is cut off and the rest is placed in turn. :meth:`finish`
+    cuts what is still open into whole windows and windows of a power of two, which need no padding;
+    ``placed`` and ``recut`` count the tokens of remainders that the rule and :meth:`finish` settled.
     """
 
-    def __init__(self, width: int, first_id: int = 0) -> None:
-        self.width, self.next_id = width, first_id
+    def __init__(self, width: int, first_id: int = 0, *, spare: int = 5, per_open: int = 32) -> None:
+        self.width, self.next_id, self.spare, self.per_open = width, first_id, spare, per_open
+        self.held = self.remainders = self.placed = self.recut = 0
         self.counts = np.zeros(width + 1, dtype=np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(width + 1)]
         self.rows: list[tuple] = []
@@ -104,10 +110,12 @@ class LevelPacker:
         for start in range(0, whole, self.width):
             self._close([(doc_id, start, ids[4 * start : 4 * (start + self.width)], total)])
         if rest := total - whole:
+            self.remainders += 1
+            self.placed += rest
             self._place(rest, (doc_id, whole, ids[4 * whole :], total))
 
     def best_level(self, size: int) -> int:
-        """The level of the open windows to use, 0 for a new one."""
+        """The level of the open windows to use, 0 for a new one; ``size`` tokens fit whole."""
         counts, width = self.counts, self.width
         below = counts[1 : width - size + 1]
         change = 1 - 2 * below
@@ -116,18 +124,40 @@ class LevelPacker:
         level = len(change) - int(np.argmin(change[::-1])) if len(change) else 0
         return level if level and change[level - 1] <= 2 * counts[size] + 1 else 0
 
+    def best_full_level(self, size: int) -> int:
+        """The level to use while no window may be opened: a whole fit, or else the best one to cut at."""
+        counts, width = self.counts, self.width
+        change = -2 * counts[1:width]
+        change[: width - size - 1] += 2 * counts[size + 1 : width] + 1
+        change[width - size :] += 2 * counts[1:size] + 1
+        change[counts[1:width] == 0] = np.iinfo(np.int64).max
+        whole = change[: width - size]
+        if len(whole) and whole.min() < np.iinfo(np.int64).max:
+            change = whole
+        return len(change) - int(np.argmin(change[::-1]))
+
     def _place(self, size: int, piece: tuple) -> None:
         level = self.best_level(size)
-        window = []
+        if not level and self.held >= self.spare + self.remainders // self.per_open:
+            level = self.best_full_level(size)
+        window, rest = [], level + size - self.width
         if level:
             window = self.open[level].pop()
             self.counts[level] -= 1
+            self.held -= 1
+        if rest > 0:
+            doc_id, start, ids, total = piece
+            room = size - rest
+            self._close([*window, (doc_id, start, ids[: 4 * room], total)])
+            self._place(rest, (doc_id, start + room, ids[4 * room :], total))
+            return
         window.append(piece)
-        if level + size == self.width:
+        if rest == 0:
             self._close(window)
         else:
             self.open[level + size].append(window)
             self.counts[level + size] += 1
+            self.held += 1
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -140,8 +170,9 @@ class LevelPacker:
     def finish(self) -> None:
         pieces = [p for level in reversed(self.open) for window in level for p in window]
         self.open = [[] for _ in range(self.width + 1)]
-        self.counts[:] = 0
+        self.counts[:] = self.held = 0
         left = sum(len(p[2]) // 4 for p in pieces)
+        self.placed, self.recut = self.placed - left, self.recut + left
         pieces.reverse()
         while left:
             room = self.width if left >= self.width else 1 << (left.bit_length() - 1)
@@ -166,7 +197,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id
 
     No shuffle: each input partition packs its own stream with its own level array, so the
     work is one pass and a lost task is done again from its input with the same result.
-    A partition leaves no padding (see :class:`LevelPacker`). A null text is empty: its only
+    A partition leaves no padding (see :class:`LevelPacker`); what its last open windows hold, a share
+    of the remainders that falls with the partition's rows, is cut again. A null text is empty: its only
     id is ``end_id``. Null and repeated ids are kept row by row; other columns are ignored;
     an empty table gives no rows. A text of any length is cut into whole windows.
     Memory is bounded by the open windows, the remembered pieces and the largest text.

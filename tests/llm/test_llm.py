@@ -70,6 +70,39 @@ def test_packing_places_by_least_squares():
         packer.add(k, bytes(4 * size))
 
 
+def test_packing_cuts_where_no_window_may_open():
+    packer, rng, width = packing.LevelPacker(16, spare=3, per_open=10**9), random.Random(5), 16
+    for k in range(400):
+        size, counts = rng.randint(1, 15), packer.counts.copy()
+        squares = {}
+        for level in [h for h in range(1, width) if counts[h]]:
+            after = counts.copy()
+            after[level] -= 1
+            if level + size != width:
+                after[(level + size) % width] += 1
+            squares[level] = (after**2).sum()
+        if squares:
+            level, whole = packer.best_full_level(size), {h: v for h, v in squares.items() if h + size <= width}
+            assert squares[level] == min((whole or squares).values()) and (level in whole or not whole)
+        packer.add(k, bytes(4 * size))
+        assert packer.held == packer.counts.sum() <= 3
+    packer.finish()
+    got = {}
+    for doc_id, start, length, _, total, sequence, offset in packer.rows:
+        got.setdefault(doc_id, []).append((start, length, total))
+    for parts in got.values():
+        assert sum(n for _, n, _ in parts) == parts[0][2] and [s for s, _, _ in sorted(parts)] == [0, *np.cumsum([n for _, n, _ in sorted(parts)])[:-1]]
+
+
+def test_packing_places_most_of_a_small_partition_by_the_rule():
+    rng = random.Random(8)
+    packer = packing.LevelPacker(1024)
+    for k in range(243):
+        packer.add(k, bytes(4 * rng.randint(1, 3000)))
+    packer.finish()
+    assert packer.placed >= 0.88 * (packer.placed + packer.recut)
+
+
 def test_token_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
