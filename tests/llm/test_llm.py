@@ -259,10 +259,10 @@ def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16))
     x[100:140] = x[0]
-    rows = [(k, [float(v) for v in x[k]], 1) for k in range(900)] + [(900, None, 1), (901, [0.0] * 16, 1), (1000, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1)]
+    rows = [(k, [float(v) for v in x[k]], 1) for k in range(900)] + [(900, None, 1), (901, [0.0] * 16, 1), (1000, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, [1.0] * 7, 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    indexed, index = nearest.build(df, sample_rows=400)
-    got = nearest.search(indexed, index, F.col("vec_id") % 100 == 0).toPandas()
+    indexed, index = nearest.build(df, most_lists=20)
+    got = nearest.search(indexed, index, F.col("vec_id") % 100 == 0, shard_rows=70, shard_queries=3).toPandas()
     exact = np.array(x, dtype=np.float32).astype(np.float64)
     hits = 0
     for q in range(0, 900, 100):
@@ -275,6 +275,31 @@ def test_nearest_recall_and_ties(spark):
     assert list(got[got.query_id == 100].sort_values("rank").vec_id) == [0, *range(101, 110)]
 
 
+def test_nearest_probes_further_until_it_has_enough_and_joins_vectors_of_one_id(spark):
+    rows = [(k, [float(k // 3 * 100), float(k % 3)]) for k in range(240)] + [(5, [100.0, 1.5])]
+    indexed, index = nearest.build(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert len(index.centroids) == 6
+    index.probes = 1
+    got = nearest.search(indexed, index, F.col("vec_id").isin(3, 120), k=100).toPandas()
+    # The vector of zeros takes no part; id 5 stands once, by its nearer vector.
+    assert got.groupby("query_id").vec_id.nunique().to_dict() == {3: 100, 120: 100} and len(got) == 200 and 0 not in set(got.vec_id)
+    assert got[(got.query_id == 3) & (got.vec_id == 5)].score.tolist() == [1.5]
+
+
+def test_nearest_recall_on_a_table_larger_than_its_sample(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9_000, 24))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    indexed, index = nearest.build(df, most_lists=40)
+    got = nearest.search(indexed, index, F.col("vec_id") % 100 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("found")).collect()
+    hits = 0
+    for r in got:
+        d = ((x - x[r.query_id]) ** 2).sum(axis=1)
+        d[r.query_id] = np.inf
+        hits += len(set(np.argsort(d)[:10]) & set(r.found))
+    assert len(got) == 90 and hits / 900 >= 0.9 and index.probes < 40
+
+
 def test_nearest_of_nothing(spark):
     indexed, index = nearest.build(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert nearest.search(indexed, index, F.col("vec_id") % 100 == 0).count() == 0
