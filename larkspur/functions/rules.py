@@ -91,3 +91,12 @@ MOJIBAKE_CLUSTERS = r"(?i)(?:ï¿|ï¸|Ã¢|Ã©|Ã±|Ã¼|â€™|ðŸ)"
 GOLDEN_SEED = 20260912
 SAMPLE_SEED = 20260913
 BUCKET_QUOTAS = (("primary_intent", 150), ("unclassified", 20), ("multi_intent", 15), ("ambiguous", 15))
+
+#: Fixed values. Sizes of the golden set's intents, in the order in which they are filled.
+INTENT_QUOTAS = (
+    ("app_store_media_services", 10), ("apple_id_icloud_account", 9), ("apple_watch", 6), ("battery_power_charging", 10), ("billing_purchases_subscriptions", 8),
+    ("connectivity_network", 9), ("device_setup_activation_migration", 9), ("hardware_accessories", 10), ("keyboard_text_rendering", 10), ("mac_computer", 8),
+    ("messaging_calls_facetime", 10), ("performance_stability", 10), ("software_update_os", 26), ("store_orders_repairs", 8), ("support_contact_experience", 7),
+)
+#: Fixed values. Sizes of the candidate pool.
+POOL_SIZES = (("primary_intent", 520), ("unclassified", 60), ("multi_intent", 80), ("ambiguous", 40))

@@ -105,9 +105,21 @@ def message_time(value: Column) -> Column:
     return F.try_to_timestamp(F.substring(F.trim(value), 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy"))
 
 
+def utc_iso(value: Column) -> Column:
+    """A message time as ISO 8601 text in UTC, ``2017-10-31T22:10:47+00:00``; null if it is no time."""
+    # The wall clock is compared in UTC whatever the session's zone is.
+    utc = F.to_utc_timestamp(message_time(value), F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def id_suffix(value: Column) -> Column:
+    """The number behind the first dash of ``GS-007``, for numeric order; null if there is none."""
+    return F.regexp_extract(value, r"^[^-]*-0*([0-9]+)$", 1).try_cast("int")
+
+
 def visible(text: Column) -> Column:
     """Non-breaking blanks as blanks; zero-width characters and byte-order marks out."""
-    return F.translate(F.coalesce(text, F.lit("")), " ​﻿", " ")
+    return F.translate(F.coalesce(text, F.lit("")), "\u00a0\u200b\ufeff", " ")
 
 
 def overlap_score(a: Column, b: Column) -> Column:

@@ -105,6 +105,36 @@ def conversations_of(messages: DataFrame) -> DataFrame:
     return messages.join(labels.select("message_id", F.col("component").alias("conversation")), "message_id")
 
 
+def brand_conversations(messages: DataFrame, brand: str) -> DataFrame:
+    """A brand's own messages and the customers' ones linked to them, each with the least id of its component as conversation.
+
+    A brand's message stands with every parent it names, kept or not, so that answers to one message
+    meet; a customer's stands with those of the brand's that it names.
+    """
+    own = outbound(messages).where(F.col("author_id") == brand)
+    kept = own.unionByName(messages.join(related_inbound(messages, brand).select("message_id"), "message_id", "left_semi"))
+    ids = own.select(F.col("message_id").alias("other"))
+    customers = inbound(messages)
+    named = links(customers, "response_ids").unionByName(links(customers, "parent_ids")).join(ids, "other", "left_semi")
+    pairs = links(own, "parent_ids").unionByName(named).unionByName(kept.select("message_id", F.col("message_id").alias("other")))
+    labels = connected_components(pairs.select(F.col("message_id").cast("long").alias("src"), F.col("other").cast("long").alias("dst")))
+    labels = labels.select(F.col("node").cast("string").alias("message_id"), F.col("component").alias("conversation"))
+    return kept.join(labels, "message_id")
+
+
+def conversation_list(messages: DataFrame, key: str = "conversation_id") -> DataFrame:
+    """Conversations by the id of their first message as text, with that id and their counts."""
+    whole = nested(messages, key).withColumn("first_id", F.col("messages")[0]["message_id"])
+    usable = (F.col("customer_message_count") > 0) & (F.col("brand_response_count") > 0)
+    return whole.select("first_id", key, "message_count", "customer_message_count", "brand_response_count", usable.alias("usable")).orderBy("first_id", key)
+
+
+def brand_ranking(scores: DataFrame) -> DataFrame:
+    """Brands (few): the eligible first, then by score, issues and name, numbered."""
+    order = Window.orderBy(F.desc("eligible"), F.desc("score"), F.desc("issues"), "brand")
+    return scores.withColumn("rank", F.row_number().over(order))
+
+
 def ordered_messages(messages: DataFrame, key: str = "conversation_id") -> DataFrame:
     """pos in the conversation: by time (unknown last), brand before customer, then id; and its size."""
     order = [T.message_time(F.col("created_at")).asc_nulls_last(), F.col("role"), F.col("message_id").cast("long")]

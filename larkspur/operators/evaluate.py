@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.sources.files import report
+
 
 def most_frequent(rows: DataFrame, value: str, position: Column) -> DataFrame:
     """(value, n): the commonest non-empty value; of several the one with the least position."""
@@ -35,6 +40,25 @@ def agreement(rows: DataFrame, human: str, judge: str) -> DataFrame:
     )
 
 
+#: Fixed values. What people fill in.
+SHEET_COLUMNS = ("human_retrieval_relevance_1_5", "human_response_grounding_1_5", "human_response_quality_1_5", "human_escalation_correctness_0_1", "human_overall_acceptable_0_1", "human_notes")
+
+
+def decision_totals(decisions: DataFrame) -> DataFrame:
+    auto = F.count_if(F.col("decision") == "auto_handle")
+    return decisions.agg(F.count(F.lit(1)).alias("queries"), auto.alias("auto_handle"), F.count_if(F.col("decision") == "escalate").alias("escalate"), F.round(100 * auto / F.count(F.lit(1)), 2).alias("auto_handle_percentage"))
+
+
+def final_report(tables: dict[str, DataFrame], grades: DataFrame | None) -> str:
+    """The closing report from frames of aggregates: retrieval, decisions, baseline, reference; ``grades`` of people where there are any."""
+    return report("Evaluation", [
+        ("Retrieval", tables["retrieval"]), ("Decisions", tables["decisions"]), ("Baseline: the nearest message's response as it is", tables["baseline"]),
+        ("Agreement with the rule-based reference", tables["reference"]),
+        ("What this does not say", "The reference is made by rules, so agreement with it is no accuracy, and agreement of intents is no quality of responses."),
+        ("Grades by people and by the judge", grades if grades is not None else "Pending: nobody has filled in the sheet."),
+    ])
+
+
 def stub_judge(payload: dict) -> dict:
     """A deterministic judge without a network: grades by shared words."""
     said, reply = set(str(payload.get("query") or "").lower().split()), set(str(payload.get("response") or "").lower().split())
@@ -42,8 +66,56 @@ def stub_judge(payload: dict) -> dict:
     return {"retrieval_relevance_1_5": grade, "response_grounding_1_5": grade, "response_quality_1_5": grade, "escalation_correct": True, "overall_acceptable": grade >= 3, "reason": "shared words"}
 
 
+#: Fixed values. What a judge grades, and how.
+RUBRIC = {
+    "retrieval_relevance_1_5": "Does the historical evidence address the customer's actual issue? 1=irrelevant, 5=directly relevant.",
+    "response_grounding_1_5": "Is the generated reply supported by the supplied historical evidence, without invented facts? 1=unsupported, 5=fully grounded.",
+    "response_quality_1_5": "Would this be a useful, clear, brand-appropriate support reply? 1=poor, 5=excellent.",
+    "escalation_correct": "Should the agent's auto-handle/escalate decision be trusted for this case? true/false.",
+    "overall_acceptable": "Is the complete agent output acceptable for deployment as-is? true/false.",
+}
+
+
+def verdict_of(reply: str) -> dict:
+    """The JSON object of a reply, which may stand in a fenced block; anything else is an error."""
+    bare = reply.strip()
+    if bare.startswith("```"):
+        bare = bare.strip("`").strip().removeprefix("json").strip()
+    found = json.loads(bare)
+    if not isinstance(found, dict):
+        raise ValueError("the reply is no JSON object")
+    return found
+
+
+def http_judge(url: str, key: str, model: str, *, timeout: float = 90, pause: float = 0.1, attempts: int = 3) -> Callable[[dict], dict]:
+    """A judge behind a chat-completions endpoint: one request a row, ``pause`` seconds apart.
+
+    Refusals by load (429 and 5xx), lost connections and replies without a verdict are tried again
+    after growing waits; the last failure is raised, so that its task is tried again or fails.
+    """
+
+    def ask(payload: dict) -> dict:
+        question = {"rubric": RUBRIC, "case": payload, "answer": "One JSON object alone: integers for the three _1_5 fields, booleans for the two others, and a short reason."}
+        talk = [{"role": "system", "content": "Grade strictly, by the supplied evidence alone."}, {"role": "user", "content": json.dumps(question, ensure_ascii=False)}]
+        request = urllib.request.Request(url, json.dumps({"model": model, "temperature": 0, "messages": talk}).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        for attempt in range(attempts):
+            time.sleep(pause * 4**attempt)
+            try:
+                with urllib.request.urlopen(request, timeout=timeout) as reply:
+                    return verdict_of(json.loads(reply.read())["choices"][0]["message"]["content"])
+            except urllib.error.HTTPError as e:
+                if attempt + 1 == attempts or e.code != 429 and e.code < 500:
+                    raise
+            except (OSError, ValueError, LookupError):
+                if attempt + 1 == attempts:
+                    raise
+        raise ValueError("attempts must be 1 or more")
+
+    return ask
+
+
 def judge(rows: DataFrame, ask: Callable[[dict], dict] = stub_judge) -> DataFrame:
-    """Grade (query_id, query, response) rows by any function from payload to verdict; strings such as "false" are read strictly."""
+    """Grade (query_id, query, response, ...) rows by any function from payload to verdict, all columns being its payload; strings such as "false" are read strictly."""
 
     def truth(value: object) -> bool | None:
         return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(value).strip().lower())
@@ -56,4 +128,4 @@ def judge(rows: DataFrame, ask: Callable[[dict], dict] = stub_judge) -> DataFram
                 "quality": [v.get("response_quality_1_5") for v in verdicts], "escalation_correct": [truth(v.get("escalation_correct")) for v in verdicts], "acceptable": [truth(v.get("overall_acceptable")) for v in verdicts],
             })
 
-    return rows.select("query_id", "query", "response").mapInPandas(run, "query_id string, relevance int, grounding int, quality int, escalation_correct boolean, acceptable boolean")
+    return rows.mapInPandas(run, "query_id string, relevance int, grounding int, quality int, escalation_correct boolean, acceptable boolean")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators.classify import row_quality, settled
-from larkspur.sources.tables import materialise
+from larkspur.sources.tables import discard, materialise
 
 
 def exact_duplicate_groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -17,14 +17,14 @@ def exact_duplicate_groups(docs: DataFrame, text_col: str = "text") -> DataFrame
     return docs.groupBy(T.canonical(F.col(text_col)).alias("canonical")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, both_long: bool = True) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, both_long: bool = True, keep_hashtags: bool = False) -> DataFrame:
     """(left_id, right_id, shared): pairs that pass the near-duplicate rule, left before right.
 
     A pair shares at least 70 % of its smaller set, so of the smaller set's rarest 30 % and one
     more some token is shared: only that prefix of each set (in order of frequency) is joined with
     the prefixes of the others, and the rule is then tested. Nothing is compared with all.
     """
-    sets = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokens=T.content_tokens(F.col("text"), R.STOP_WORDS)).drop("text").where(F.size("tokens") >= (6 if both_long else 4))
+    sets = settled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokens=T.content_tokens(F.col("text"), R.STOP_WORDS, keep_hashtags=keep_hashtags)).drop("text").where(F.size("tokens") >= (6 if both_long else 4))
     single = sets.select("id", F.explode("tokens").alias("token"))
     common = single.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
@@ -64,36 +64,110 @@ def greedy_accept(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Items in order, each accepted if it conflicts with no accepted earlier one: (item, accepted).
 
     ``conflicts`` has (earlier, later). An item is decided once all earlier ones in conflict with it
-    are: rejected if one of them is accepted. Rounds end after the longest chain of conflicts.
+    are: rejected if one of them is accepted. Every round decides the first open item of each chain
+    at least, so there are at most as many rounds as the longest chain of conflicts has items.
     """
     state = materialise(items.select("item", F.lit(None).cast("boolean").alias("accepted")))
     conflicts = materialise(conflicts.select("earlier", "later"))
-    while True:
+    left = items.count()
+    while left:
         seen = conflicts.join(state.select(F.col("item").alias("earlier"), F.col("accepted").alias("was")), "earlier")
         told = seen.groupBy(F.col("later").alias("item")).agg(F.max(F.coalesce("was", F.lit(False))).alias("beaten"), F.count_if(F.col("was").isNull()).alias("open"))
         decided = F.when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = materialise(state.join(told, "item", "left").select("item", F.coalesce("accepted", decided).alias("accepted")))
-        if not state.where("accepted is null").limit(1).count():
-            return state
+        before, state = state, materialise(state.join(told, "item", "left").select("item", F.coalesce("accepted", decided).alias("accepted")))
+        discard(before)
+        still = state.where("accepted is null").count()
+        if still == left:
+            raise ValueError("conflicts go in a circle")
+        left = still
+    discard(conflicts)
+    return state
 
 
-def pool_select(classified: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """Quality-filtered members of each bucket up to its quota, in bucket order, with their rank.
+def intent_quotas(classified: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """(bucket, intent, quota): each bucket's quota, that of primary_intent dealt to its intents by :func:`quota_allocation`."""
+    counts = classified.where("bucket = 'primary_intent'").groupBy(F.col("primary").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = quota_allocation(counts, quotas["primary_intent"]).select(F.lit("primary_intent").alias("bucket"), F.col("group").alias("intent"), "quota")
+    rest = [(b, "", k) for b, k in quotas.items() if b != "primary_intent"]
+    return dealt.unionByName(classified.sparkSession.createDataFrame(rest, "bucket string, intent string, quota long"))
 
-    Rows bad in themselves go first, then later copies of a canonical text, then near duplicates of
-    accepted ones (within the bucket). The first ``quota`` of what is accepted equals an early stop.
+
+def quality_filtered(classified: DataFrame) -> DataFrame:
+    """(message_id, bucket, intent, bucket_rank, reason): every row of each group, reason null where it is accepted.
+
+    Groups are the buckets, primary_intent by intent. Rows bad in themselves have their own reason;
+    of one canonical text only the first can be accepted; near duplicates of accepted rows of the group are not.
+    """
+    intent = F.when(F.col("bucket") == "primary_intent", F.col("primary")).otherwise("")
+    ranked = settled(bucket_ranks(classified), own=row_quality(F.col("text")), intent=intent)
+    ranked = ranked.select("message_id", "bucket", "intent", "bucket_rank", "own", "text", T.canonical(F.col("text")).alias("canonical"))
+    first = Window.partitionBy("bucket", "intent", "canonical", F.col("own").isNull()).orderBy("bucket_rank")
+    ranked = materialise(ranked.withColumn("first_rank", F.min("bucket_rank").over(first)))
+    keyed = ranked.where("own is null and bucket_rank = first_rank").withColumn("item", F.struct("bucket", "intent", "bucket_rank"))
+    pairs = near_duplicate_pairs(keyed, "item", "text", both_long=False).where("left_id.bucket = right_id.bucket and left_id.intent = right_id.intent")
+    accepted = greedy_accept(keyed, pairs.select(F.col("left_id").alias("earlier"), F.col("right_id").alias("later")))
+    accepted = accepted.select("item.bucket", "item.intent", F.col("item.bucket_rank").alias("first_rank"), "accepted")
+    told = ranked.join(accepted, ["bucket", "intent", "first_rank"], "left")
+    copy = F.col("bucket_rank") > F.col("first_rank")
+    reason = F.when(F.col("own").isNotNull(), F.col("own")).when(~F.col("accepted"), "clearly_redundant_near_duplicate").when(copy, "exact_duplicate")
+    return told.select("message_id", "bucket", "intent", "bucket_rank", reason.alias("reason"))
+
+
+def pool_select(filtered: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(message_id, bucket, intent, pool_rank): the first ``quota`` accepted rows of each group, or all if there are fewer.
+
+    ``filtered`` comes from :func:`quality_filtered`, ``quotas`` from :func:`intent_quotas`. Taking the
+    first of all accepted rows equals stopping at the quota.
+    """
+    rank = F.row_number().over(Window.partitionBy("bucket", "intent").orderBy("bucket_rank"))
+    kept = filtered.where("reason is null").withColumn("pool_rank", rank)
+    return kept.join(F.broadcast(quotas), ["bucket", "intent"]).where("pool_rank <= quota").select("message_id", "bucket", "intent", "pool_rank")  # quotas: a row a group
+
+
+def replacement_pairs(filtered: DataFrame, quotas: DataFrame, most: int = 10) -> DataFrame:
+    """(bucket, intent, reason, rejected_id, replacement_id): the first ``most`` rejected rows of a group, each with the accepted row that took its place.
+
+    Every accepted row takes the place of the first rejected one before it that still waits. With c
+    accepted rows before the k-th rejected one, its replacement is accepted row k + max(c + 1 - k), the
+    maximum over it and all rejected before it; rows beyond the quota replace nothing.
+    """
+    group, order = ["bucket", "intent"], Window.partitionBy("bucket", "intent").orderBy("bucket_rank")
+    placed = filtered.withColumn("c", F.count_if(F.col("reason").isNull()).over(order))
+    waits = placed.where("reason is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    waits = waits.withColumn("turn", F.col("k") + F.max(F.col("c") + 1 - F.col("k")).over(order))
+    taken = placed.where("reason is null").select(*group, F.col("c").alias("turn"), F.col("message_id").alias("replacement_id"))
+    met = waits.join(taken, [*group, "turn"]).join(F.broadcast(quotas), group).where("turn <= quota")
+    return met.select(*group, "reason", F.col("message_id").alias("rejected_id"), "replacement_id")
+
+
+def golden_select(pool: DataFrame, groups: DataFrame) -> DataFrame:
+    """(message_id, place): rows of a bounded pool, group after group, that resemble nothing selected before, up to each group's quota.
+
+    ``pool`` has message_id, text, bucket, intent and golden_rank, at most as many rows as the pool's
+    quotas allow; ``groups`` has bucket, intent, turn and quota. Within a group rows come by
+    golden_rank. One equal in canonical text or a near duplicate (both of six words) of a selected row
+    of any group is skipped. Conflicts are found by joins; the decisions, each of which depends on
+    all before it, are one fold over the pool in order.
     """
-    ranked = bucket_ranks(settled(classified, _reason=row_quality(F.col("text"))).where("_reason is null"))
-    ranked = ranked.withColumn("canonical", T.canonical(F.col("text")))
-    first = Window.partitionBy("bucket", "canonical").orderBy("bucket_rank")
-    ranked = ranked.withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
-    ranked = materialise(ranked.select("message_id", "bucket", "bucket_rank", "text"))
-    keyed = ranked.withColumn("item", F.struct("bucket", "bucket_rank"))
-    pairs = near_duplicate_pairs(keyed, "item", "text", both_long=False).where("left_id.bucket = right_id.bucket")
-    accepted = greedy_accept(keyed, pairs.select(F.col("left_id").alias("earlier"), F.col("right_id").alias("later"))).where("accepted")
-    kept = keyed.join(accepted, "item").withColumn("pool_rank", F.row_number().over(Window.partitionBy("bucket").orderBy("bucket_rank")))
-    limit = F.create_map(*(F.lit(x) for pair in quotas.items() for x in pair))
-    return kept.where(F.col("pool_rank") <= F.coalesce(limit[F.col("bucket")], F.lit(0))).select("message_id", "bucket", "pool_rank")
+    dealt = pool.join(F.broadcast(groups), ["bucket", "intent"])
+    order = Window.orderBy("turn", "golden_rank", "message_id")
+    dealt = materialise(dealt.withColumn("place", F.row_number().over(order)).select("message_id", "text", "turn", "quota", "place", T.canonical(F.col("text"), keep_hashtags=True).alias("canonical")))
+    near = near_duplicate_pairs(dealt, "place", "text", keep_hashtags=True).select("left_id", "right_id")
+    first = Window.partitionBy("canonical").orderBy("place")
+    # Of equal texts any selected one stands for all; the pairs of a copy with each earlier copy are bounded by the pool.
+    equal = dealt.withColumn("copies", F.collect_list("place").over(first)).select(F.explode("copies").alias("left_id"), F.col("place").alias("right_id")).where("left_id < right_id")
+    before = near.unionByName(equal).groupBy(F.col("right_id").alias("place")).agg(F.collect_set("left_id").alias("before"))
+    rows = dealt.join(before, "place", "left").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "quota", F.coalesce("before", F.array().cast("array<int>")).alias("before")))).alias("rows"))
+    start = F.array().cast("array<struct<place:int,turn:int>>")
+
+    def step(taken: Column, row: Column) -> Column:
+        full = F.size(F.filter(taken, lambda t: t["turn"] == row["turn"])) >= row["quota"]
+        alike = F.exists(taken, lambda t: F.array_contains(row["before"], t["place"]))
+        one = F.array(F.struct(row["place"].alias("place"), row["turn"].cast("int").alias("turn")))
+        return F.when(full | alike, taken).otherwise(F.concat(taken, one))
+
+    chosen = rows.select(F.explode(F.aggregate("rows", start, step)).alias("t")).select("t.place")
+    return dealt.join(chosen, "place").select("message_id", "place")
 
 
 def seeded(seed: int, column: str) -> Column:
@@ -117,8 +191,16 @@ def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: int = R.SAMPLE_SEE
     return rows.orderBy(seeded(seed, id_col), id_col).limit(n)
 
 
-def check_selection(selected: DataFrame, quotas: dict[str, int]) -> None:
-    """Raise unless every bucket has exactly its quota."""
-    have = {r["bucket"]: r["count"] for r in selected.groupBy("bucket").count().collect()}
-    if wrong := {b: (have.get(b, 0), n) for b, n in quotas.items() if have.get(b, 0) != n}:
-        raise ValueError(f"selection differs from its quotas: {wrong}")
+def selection_sizes(selected: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(bucket, intent, wanted, selected, met) of every group with a quota."""
+    have = selected.groupBy("bucket", "intent").agg(F.count(F.lit(1)).alias("selected"))
+    told = quotas.join(have, ["bucket", "intent"], "left").na.fill(0, ["selected"])
+    return told.select("bucket", "intent", F.col("quota").alias("wanted"), "selected", (F.col("selected") == F.col("quota")).alias("met"))
+
+
+def check_selection(selected: DataFrame, quotas: DataFrame) -> None:
+    """Raise unless every group has exactly its quota and no message is there twice."""
+    if wrong := selection_sizes(selected, quotas).where("not met").limit(20).collect():
+        raise ValueError(f"selection differs from its quotas: {[tuple(r) for r in wrong]}")
+    if twice := selected.groupBy("message_id").count().where("count > 1").limit(20).collect():
+        raise ValueError(f"selected more than once: {[r[0] for r in twice]}")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from larkspur.functions import rules as R
@@ -16,12 +17,15 @@ from larkspur.operators.graph import connected_components
 from larkspur.plans.fixture import support_messages
 from larkspur.plans.oracles import ORACLE_SQL
 from larkspur.sources import files
-from larkspur.sources.tables import materialise, shared_dir, table
+from larkspur.sources.tables import materialise, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Share of a bucket that a pool takes here, and sizes that fit the small tables.
-POOL_QUOTAS = {"primary_intent": 40, "unclassified": 20, "multi_intent": 15, "ambiguous": 15}
+#: Sizes of a pool and a golden set that fit the small tables; ``rules`` has those of the product.
+POOL_QUOTAS = {"primary_intent": 60, "unclassified": 26, "multi_intent": 24, "ambiguous": 15}
+GOLDEN_GROUPS = [*(("primary_intent", intent, k // 3) for intent, k in R.INTENT_QUOTAS), ("unclassified", "", 10), ("multi_intent", "", 8), ("ambiguous", "", 8)]
+#: The retrieved rows of the table last asked for, written once for all queries that build on them.
+_RETRIEVED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def query(f: Query) -> Query:
@@ -43,31 +47,25 @@ def corpus_of(spark: SparkSession, sf: str) -> DataFrame:
     return classify.classify_messages(C.immediate_responses(support_messages(spark, sf)))
 
 
-def asking(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Registers ``f`` for the queries of its SQL oracle, and as NAME_all for all customer messages."""
+def asked(corpus: DataFrame) -> DataFrame:
+    """Every customer message as a query; its intent counts as gold where it is the only one."""
+    return corpus.withColumn("gold_intent", F.when(F.col("bucket") == "primary_intent", F.col("primary")))
 
-    def every(spark: SparkSession, sf: str) -> DataFrame:
-        return f(spark, sf, every=True)
 
-    QUERIES[f.__name__], QUERIES[f"{f.__name__}_all"] = f, every
-    return f
-
-
-def asked(corpus: DataFrame, every: bool = False) -> DataFrame:
-    """The messages with id % 7 = 1, as in the oracles, or ``every`` message as a query; its intent counts as gold where it is the only one."""
-    queries = corpus if every else corpus.where(F.col("message_id").cast("long") % 7 == 1)
-    return queries.withColumn("gold_intent", F.when(F.col("bucket") == "primary_intent", F.col("primary")))
+def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, their results), written in the shared folder once a session and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RETRIEVED:
+        corpus = materialise(corpus_of(spark, sf))
+        queries, slim = asked(corpus), ("message_id", "conversation_id", "text")
+        rows = materialise(retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus))
+        _RETRIEVED.clear()
+        _RETRIEVED[key] = queries, rows
+    return _RETRIEVED[key]
 
 
-def retrieved(spark: SparkSession, sf: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    corpus = corpus_of(spark, sf)
-    queries = asked(corpus, every)
-    slim = ("message_id", "conversation_id", "text")
-    return queries, retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus)
-
-
-def decided(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
-    queries, rows = retrieved(spark, sf, every)
+def decided(spark: SparkSession, sf: str) -> DataFrame:
+    queries, rows = retrieved(spark, sf)
     return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows)))
 
 
@@ -182,6 +180,33 @@ def brand_score(spark, sf):
     return C.brand_scores(support_messages(spark, sf), eligible_from=20)
 
 
+@query
+def brand_ranking(spark, sf):
+    return C.brand_ranking(C.brand_scores(support_messages(spark, sf), eligible_from=20)).select("rank", "brand")
+
+
+@query
+def component_conversations(spark, sf):
+    """The conversations of one brand, rebuilt from links alone."""
+    rows = C.ordered_messages(C.brand_conversations(support_messages(spark, sf), "brand1"), "conversation")
+    return rows.select("conversation", "pos", "message_id", "conversation_length")
+
+
+@query
+def conversation_list(spark, sf):
+    return C.conversation_list(C.brand_conversations(support_messages(spark, sf), "brand1"), "conversation")
+
+
+@query
+def component_stats(spark, sf):
+    return C.conversation_stats(C.conversations_of(support_messages(spark, sf)), "conversation")
+
+
+@query
+def utc_times(spark, sf):
+    return support_messages(spark, sf).select("message_id", T.utc_iso(F.col("created_at")).alias("created_at_utc"))
+
+
 @query
 def intent_match(spark, sf):
     rows = classified(spark, sf).select("message_id", F.explode("matches").alias("m"))
@@ -235,8 +260,24 @@ def quality_reasons(spark, sf):
 
 @query
 def mojibake(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
-    return classify.settled(rows, reason=classify.row_quality(F.col("text"))).select("doc_id", "reason").where("reason is not null")
+    """Documents, the texts of every third of which are damaged here, by what is wrong with them."""
+    damaged = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" itâ€™s caf"), F.lit("Ã© I\ufe0fI\ufe0fI\ufe0fI\ufe0f"))).otherwise(F.col("text"))
+    rows = table(spark, sf, "documents").select("doc_id", damaged.alias("text"))
+    return classify.settled(rows, bad=classify.has_mojibake(F.col("text")), reason=classify.row_quality(F.col("text"))).select("doc_id", "bad", "reason")
+
+
+@query
+def invisible_characters(spark, sf):
+    marked = F.concat(F.lit("\ufeff"), F.substring("text", 1, 20), F.lit("\u00a0\u200b"), F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", T.visible(marked).alias("shown"))
+
+
+@query
+def canonical_forms(spark, sf):
+    """Both canonical forms of messages to which a hashtag and a link were added."""
+    text = F.concat("text", F.lit(" #Late www.example.com/x"))
+    rows = support_messages(spark, sf).select("message_id", T.canonical(text, keep_hashtags=True).alias("with_hashtags"), T.canonical(text).alias("without"))
+    return rows
 
 
 @query
@@ -268,9 +309,24 @@ def quota_allocation(spark, sf):
     return sampling.quota_allocation(counts, 52).withColumnRenamed("group", "intent_id")
 
 
+def filtered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialise(classified(spark, sf))
+    return sampling.quality_filtered(rows), sampling.intent_quotas(rows, POOL_QUOTAS)
+
+
 @query
 def pool_select(spark, sf):
-    return sampling.pool_select(classified(spark, sf), POOL_QUOTAS)
+    return sampling.pool_select(*filtered(spark, sf))
+
+
+@query
+def quality_rejections(spark, sf):
+    return filtered(spark, sf)[0].groupBy("bucket", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(n())
+
+
+@query
+def replacement_pairs(spark, sf):
+    return sampling.replacement_pairs(*filtered(spark, sf))
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,9 +349,29 @@ def golden_rank(spark, sf):
     return sampling.golden_ranks(tagged(spark, sf)).select("message_id", "bucket", "golden_rank")
 
 
+def golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(the golden set chosen from the pool, its groups)."""
+    ranked = sampling.golden_ranks(tagged(spark, sf)).select("message_id", "text", "created_at", "primary", "golden_rank")
+    pool = materialise(sampling.pool_select(*filtered(spark, sf)).join(ranked, "message_id"))
+    groups = spark.createDataFrame([(b, i, k, q) for k, (b, i, q) in enumerate(GOLDEN_GROUPS)], "bucket string, intent string, turn int, quota long")
+    return sampling.golden_select(pool, groups).join(pool, "message_id"), groups
+
+
+@query
+def golden_select(spark, sf):
+    return golden(spark, sf)[0].select("message_id", "bucket", "intent", "golden_rank")
+
+
 @query
 def golden_ids(spark, sf):
-    return sampling.golden_ids(sampling.golden_ranks(tagged(spark, sf)).where("golden_rank <= 10")).select("golden_id", "message_id")
+    numbered = sampling.golden_ids(golden(spark, sf)[0])
+    return numbered.select("golden_id", "message_id", T.id_suffix(F.col("golden_id")).alias("number"))
+
+
+@query
+def selection_sizes(spark, sf):
+    selected, groups = golden(spark, sf)
+    return sampling.selection_sizes(selected, groups)
 
 
 @query
@@ -368,119 +444,119 @@ def tfidf_weights(spark, sf):
     return weighted.groupBy("id").agg(n("n_tokens"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 9).alias("norm"))
 
 
-@asking
-def tfidf_topk(spark, sf, every=False):
-    return retrieved(spark, sf, every)[1].where("rank is not null").select("query_id", "rank", "doc_id", "score")
+@query
+def tfidf_topk(spark, sf):
+    return retrieved(spark, sf)[1].where("rank is not null").select("query_id", "rank", "doc_id", "score")
 
 
-@asking
-def retrieval_failures(spark, sf, every=False):
-    return retrieved(spark, sf, every)[1].where("rank is null").select("query_id")
+@query
+def retrieval_failures(spark, sf):
+    return retrieved(spark, sf)[1].where("rank is null").select("query_id")
 
 
-@asking
-def eligibility(spark, sf, every=False):
-    return asked(corpus_of(spark, sf), every).agg(n("queries"), F.count("gold_intent").alias("eligible"))
+@query
+def eligibility(spark, sf):
+    return asked(corpus_of(spark, sf)).agg(n("queries"), F.count("gold_intent").alias("eligible"))
 
 
-@asking
-def retrieval_summary(spark, sf, every=False):
-    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1])
+@query
+def retrieval_summary(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1])
 
 
-@asking
-def hit_at_k(spark, sf, every=False):
-    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("eligible", "hit_at_1", "hit_at_3", "hit_at_5")
+@query
+def hit_at_k(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("eligible", "hit_at_1", "hit_at_3", "hit_at_5")
 
 
-@asking
-def mrr(spark, sf, every=False):
-    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("mrr")
+@query
+def mrr(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mrr")
 
 
-@asking
-def similarity_avgs(spark, sf, every=False):
-    return retrieval.retrieval_summary(retrieved(spark, sf, every)[1]).select("mean_top", "mean_all")
+@query
+def similarity_avgs(spark, sf):
+    return retrieval.retrieval_summary(retrieved(spark, sf)[1]).select("mean_top", "mean_all")
 
 
-@asking
-def evidence_score(spark, sf, every=False):
-    return retrieval.evidence(retrieved(spark, sf, every)[1]).select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "evidence_score", "response_type", "strength", "flags")
+@query
+def evidence_score(spark, sf):
+    return retrieval.evidence(retrieved(spark, sf)[1]).select("query_id", F.coalesce("rank", F.lit(0)).alias("rank"), "evidence_score", "response_type", "strength", "flags")
 
 
-@asking
-def evidence_hist(spark, sf, every=False):
-    return retrieval.evidence(retrieved(spark, sf, every)[1]).groupBy("strength", "response_type").agg(n())
+@query
+def evidence_hist(spark, sf):
+    return retrieval.evidence(retrieved(spark, sf)[1]).groupBy("strength", "response_type").agg(n())
 
 
-@asking
-def evidence_summary(spark, sf, every=False):
-    rows = retrieval.evidence(retrieved(spark, sf, every)[1])
+@query
+def evidence_summary(spark, sf):
+    rows = retrieval.evidence(retrieved(spark, sf)[1])
     return rows.agg(n("candidates"), F.round(F.avg("evidence_score"), 6).alias("mean_score"), F.count_if("available").alias("available"))
 
 
-@asking
-def coverage_at_k(spark, sf, every=False):
-    rows = retrieval.evidence(retrieved(spark, sf, every)[1]).where("gold_intent is not null")
+@query
+def coverage_at_k(spark, sf):
+    rows = retrieval.evidence(retrieved(spark, sf)[1]).where("gold_intent is not null")
     per = rows.groupBy("query_id").agg(*(F.max(F.when(F.col("available") & (F.col("rank") <= k), 1).otherwise(0)).alias(f"c{k}") for k in (1, 3, 5)))
     return per.agg(*(F.round(F.avg(f"c{k}"), 6).alias(f"coverage_at_{k}") for k in (1, 3, 5)))
 
 
-@asking
-def usable_evidence(spark, sf, every=False):
-    return retrieval.usable(retrieval.evidence(retrieved(spark, sf, every)[1])).select("query_id", "rank")
+@query
+def usable_evidence(spark, sf):
+    return retrieval.usable(retrieval.evidence(retrieved(spark, sf)[1])).select("query_id", "rank")
 
 
-@asking
-def anti_join_no_response(spark, sf, every=False):
-    queries, rows = retrieved(spark, sf, every)
+@query
+def anti_join_no_response(spark, sf):
+    queries, rows = retrieved(spark, sf)
     usable = retrieval.usable(retrieval.evidence(rows)).select(F.col("query_id").alias("message_id"))
     return queries.join(usable, "message_id", "left_anti").select("message_id")
 
 
-@asking
-def grounded_response(spark, sf, every=False):
-    queries, rows = retrieved(spark, sf, every)
+@query
+def grounded_response(spark, sf):
+    queries, rows = retrieved(spark, sf)
     return retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", "doc_id", "evidence_score", "response_type")
 
 
-@asking
-def decision(spark, sf, every=False):
-    return decided(spark, sf, every).select("query_id", "doc_id", "decision", "escalation_reason", "generated_response")
+@query
+def decision(spark, sf):
+    return decided(spark, sf).select("query_id", "doc_id", "decision", "escalation_reason", "generated_response")
 
 
-@asking
-def decision_summary(spark, sf, every=False):
-    rows = decided(spark, sf, every)
+@query
+def decision_summary(spark, sf):
+    rows = decided(spark, sf)
     share = F.round(100 * F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy()), 2)
     return rows.groupBy("decision", F.coalesce("escalation_reason", F.lit("none")).alias("reason")).agg(n(), share.alias("percentage"))
 
 
-@asking
-def trivial_baseline(spark, sf, every=False):
-    rows = retrieved(spark, sf, every)[1]
+@query
+def trivial_baseline(spark, sf):
+    rows = retrieved(spark, sf)[1]
     return evaluate.most_frequent(rows, "response", F.struct("query_id", "rank")).select(F.md5(F.col("value").cast("binary")).alias("response_md5"), "n")
 
 
-@asking
-def simple_baseline(spark, sf, every=False):
-    top = retrieved(spark, sf, every)[1].where("rank = 1")
+@query
+def simple_baseline(spark, sf):
+    top = retrieved(spark, sf)[1].where("rank = 1")
     eligible = F.col("gold_intent").isNotNull()
     return top.agg(n("queries"), F.count_if(eligible & retrieval.is_hit()).alias("agreeing"), F.round(100 * F.count_if(eligible & retrieval.is_hit()) / F.count_if(eligible), 2).alias("percentage"))
 
 
-@asking
-def baseline_compare(spark, sf, every=False):
-    queries, rows = retrieved(spark, sf, every)
+@query
+def baseline_compare(spark, sf):
+    queries, rows = retrieved(spark, sf)
     chosen = retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", F.col("doc_id").alias("grounded_id"))
     top = rows.where("rank = 1").select("query_id", F.col("doc_id").alias("top_id"))
     return queries.select(F.col("message_id").alias("query_id")).join(top, "query_id", "left").join(chosen, "query_id", "left")
 
 
-@asking
-def reference_agreement(spark, sf, every=False):
+@query
+def reference_agreement(spark, sf):
     reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
-    rows = decided(spark, sf, every).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
+    rows = decided(spark, sf).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
     return evaluate.reference_agreement(rows, "reference", "decided")
 
 
@@ -491,9 +567,9 @@ def agreement(spark, sf):
     return evaluate.agreement(labels.withColumn("guess", (F.col("n_chars") > 500).cast("int")), "quality", "guess")
 
 
-@asking
-def proof_checks(spark, sf, every=False):
-    rows = decided(spark, sf, every)
+@query
+def proof_checks(spark, sf):
+    rows = decided(spark, sf)
     risky = F.coalesce(F.bool_and(F.col("decision") == F.when(F.col("escalation_reason").isNull(), "auto_handle").otherwise("escalate")), F.lit(True))
     return rows.agg(risky.alias("consistent"), (n() == F.count_distinct("query_id")).alias("unique_ids"), F.bool_or(F.col("decision") == "auto_handle").alias("any_auto"))
 
@@ -511,20 +587,108 @@ def union_strata(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@asking
-def judge_stub(spark, sf, every=False):
-    rows = decided(spark, sf, every).select("query_id", "query", F.coalesce("generated_response", F.lit("")).alias("response"))
+@query
+def judge_stub(spark, sf):
+    rows = decided(spark, sf).select("query_id", "query", F.coalesce("generated_response", F.lit("")).alias("response"), "decision")
     return evaluate.judge(rows)
 
 
+@query
+def judge_replies(spark, sf):
+    """Grades read from replies, every other one of which stands in a fenced block."""
+    body = F.format_string('{"retrieval_relevance_1_5": %d, "overall_acceptable": %s}', F.col("turn") % 5 + 1, F.when(F.col("turn") % 2 == 0, "true").otherwise("false"))
+    reply = F.when(F.col("conversation_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    read = F.from_json(T.judge_reply(reply), "retrieval_relevance_1_5 int, overall_acceptable boolean")
+    rows = support_messages(spark, sf).select("message_id", read.alias("v"))
+    return rows.select("message_id", F.col("v.retrieval_relevance_1_5").alias("relevance"), F.col("v.overall_acceptable").alias("acceptable"))
+
+
+@query
+def csv_scan(spark, sf):
+    """Messages written as CSV, with line breaks and quotes in their texts, and read again."""
+    path = scratch(spark)
+    rows = support_messages(spark, sf).select(*C.REQUIRED)
+    rows.withColumn("text", F.concat("text", F.lit('\nsaid "so", twice'))).write.options(**files.CSV, header=True).csv(path)
+    back = files.read_messages_csv(spark, path)
+    return back.select("message_id", "author_id", F.coalesce("parent_ids", F.lit("")).alias("parent_ids"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query
 def jsonl_roundtrip(spark, sf):
-    rows = materialise(C.nested(support_messages(spark, sf)))
-    path = f"{shared_dir(spark)}/jsonl-{abs(hash(sf)) % 10**8}"
+    rows, path = materialise(C.nested(support_messages(spark, sf))), scratch(spark)
     files.write_jsonl(rows, path)
     return files.read_jsonl(spark, path, rows.schema).select("conversation_id", "message_count", F.size("messages").alias("n"))
 
 
+@query
+def sorted_jsonl(spark, sf):
+    """The lines that a writer with sorted keys leaves."""
+    path = scratch(spark)
+    files.write_jsonl(support_messages(spark, sf).select("role", "message_id", "parent_ids"), path, sorted_keys=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def corrupt_records(spark, sf):
+    """Lines that do not parse, told from those that do."""
+    path = scratch(spark)
+    line = F.concat(F.lit('{"message_id": "'), "message_id", F.lit('", "turn": '), F.col("turn").cast("string"), F.lit("}"))
+    support_messages(spark, sf).select(F.when(F.col("conversation_id") % 7 == 2, F.substring(line, 1, 15)).otherwise(line).alias("value")).write.text(path)
+    rows, bad = files.read_jsonl_with_errors(spark, path, StructType([StructField("message_id", StringType()), StructField("turn", LongType())]))
+    return rows.select(F.lit("row").alias("kind"), F.concat_ws("/", "message_id", "turn").alias("what")).unionByName(bad.select(F.lit("bad").alias("kind"), F.col("line").alias("what")))
+
+
+@query
+def digest_is_stable(spark, sf):
+    """A table's digest against that of its copy, dealt otherwise, and of one that lacks a row."""
+    rows = support_messages(spark, sf).select("message_id", "text", "role")
+    whole, copy = files.digest(rows), files.digest(materialise(rows.repartition(3)))
+    least = rows.agg(F.min("message_id")).first()[0]
+    lacking = files.digest(rows.where(F.col("message_id") != F.lit(least)))
+    return spark.createDataFrame([(whole == copy, whole == lacking)], "copy_equal boolean, lacking_equal boolean")
+
+
+@query
+def human_sheet(spark, sf):
+    """The sheet for people to grade, written as CSV, read again as labels are."""
+    path, rows = scratch(spark), decided(spark, sf)
+    evidence = retrieved(spark, sf)[1].select("query_id", "doc_id", F.col("response").alias("historical_evidence"))
+    chosen = sampling.seeded_sample(rows.withColumn("message_id", F.col("query_id")), "message_id", 30)
+    sheet = chosen.join(evidence, ["query_id", "doc_id"], "left").select("query_id", F.col("query").alias("customer_message"), F.coalesce("historical_evidence", F.lit("")).alias("historical_evidence"), F.coalesce("generated_response", F.lit("")).alias("generated_response"), "decision")
+    files.write_sheet(sheet, path, evaluate.SHEET_COLUMNS)
+    schema = StructType([StructField(c, StringType()) for c in (*sheet.columns, *evaluate.SHEET_COLUMNS)])
+    back = files.read_labels(spark, path, schema, ("query_id", "decision"))
+    empty = F.count_if(F.concat_ws("", *evaluate.SHEET_COLUMNS) == "").over(Window.partitionBy())
+    return back.select("query_id", "customer_message", F.coalesce("historical_evidence", F.lit("")).alias("historical_evidence"), F.coalesce("generated_response", F.lit("")).alias("generated_response"), "decision", empty.alias("unfilled"))
+
+
+@query
+def summary_document(spark, sf):
+    """The decisions' summary as an indented JSON document, read again."""
+    path = scratch(spark)
+    files.write_document(spark, files.summary_json(evaluate.decision_totals(decided(spark, sf))), path)
+    return files.read_json_document(spark, path, "queries long, auto_handle long, escalate long, auto_handle_percentage double")
+
+
+@query
+def result_array(spark, sf):
+    """Decisions against the annotated reference, as a JSON array that is read again."""
+    path = scratch(spark)
+    reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
+    rows = decided(spark, sf).join(reference, "query_id").select("query_id", "decision", "reference", F.col("generated_response").isNotNull().alias("answered"))
+    files.write_document(spark, files.json_array(sampling.seeded_sample(rows, "query_id", 200)), path)
+    return files.read_json_document(spark, path, "query_id string, decision string, reference boolean, answered boolean")
+
+
+@query
+def final_report(spark, sf):
+    """The lines of the closing report."""
+    rows = retrieved(spark, sf)[1]
+    tables = {"retrieval": retrieval.retrieval_summary(rows), "decisions": decision_summary(spark, sf).orderBy("decision", "reason"), "baseline": simple_baseline(spark, sf), "reference": reference_agreement(spark, sf)}
+    lines = evaluate.final_report(tables, None).splitlines()
+    return spark.createDataFrame(list(enumerate(lines, 1)), "place int, line string")
+
+
 @query
 def file_metadata(spark, sf):
     return files.file_sizes(table(spark, sf, "documents"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from larkspur.operators.conversations import REQUIRED, require_columns
 MESSAGE_SCHEMA = S.StructType([S.StructField(c, S.StringType()) for c in REQUIRED])
 
 
+#: How CSV is written, so that quotes, line breaks, empty cells and white space come back as they were.
+CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def read_messages_csv(spark: SparkSession, path: str, schema: S.StructType = MESSAGE_SCHEMA) -> DataFrame:
     """Raw messages; every cell a string, quoted line breaks kept, bad bytes replaced. A missing column is an error."""
     header = spark.read.option("header", True).csv(path).columns
@@ -38,9 +44,36 @@ def write_jsonl(df: DataFrame, path: str, *, sorted_keys: bool = False) -> None:
     df.select(*(sorted(df.columns) if sorted_keys else df.columns)).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def read_json_document(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
+    """A JSON document that spans lines: an object is one row, an array a row for each element."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_document(spark: SparkSession, text: str, path: str) -> None:
+    """One text, such as a summary or a report, as a file of its own."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
+def json_array(df: DataFrame, limit: int = 10_000) -> str:
+    """At most ``limit`` rows as an indented JSON array in the frame's order, nulls written, non-ASCII kept; more are an error."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write them as JSONL")
+    return json.dumps([json.loads(r[0]) for r in rows], indent=2, ensure_ascii=False)
+
+
 def write_sheet(df: DataFrame, path: str, blank: tuple[str, ...]) -> None:
     """CSV with empty columns to be filled in by hand."""
-    df.select("*", *(F.lit("").alias(c) for c in blank)).write.mode("overwrite").options(header=True, emptyValue="").csv(path)
+    df.select("*", *(F.lit("").alias(c) for c in blank)).write.mode("overwrite").options(**CSV, header=True).csv(path)
+
+
+def read_labels(spark: SparkSession, path: str, schema: S.StructType | str, filled: tuple[str, ...]) -> DataFrame:
+    """A sheet that was filled in by hand; an empty cell in a ``filled`` column is an error."""
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
+    blank = reduce(or_, (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in filled), F.lit(False))
+    if rows.where(blank).limit(1).count():
+        raise ValueError(f"labels are incomplete: {', '.join(filled)}")
+    return rows
 
 
 def digest(df: DataFrame) -> str:
@@ -64,3 +97,11 @@ def markdown_table(df: DataFrame, title: str, limit: int = 200) -> str:
     rows = df.limit(limit).collect()
     lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def report(title: str, sections: list[tuple[str, DataFrame | str]]) -> str:
+    """A Markdown document: each section a text or the table of a frame of aggregates."""
+    parts = [f"# {title}\n"]
+    for head, body in sections:
+        parts.append(markdown_table(body, head) if isinstance(body, DataFrame) else f"## {head}\n\n{body}\n")
+    return "\n".join(parts)

@@ -28,17 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     This cuts lineage without relying on executor-local blocks; parquet keeps it
-    compressed and prunable. The table goes when the driver's interpreter ends.
+    compressed and prunable. See :func:`scratch` for how long it stays.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -1,6 +1,9 @@
 """Operators on small inputs, with nulls, ties and repeats."""
 
+import http.server
+import json
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +154,94 @@ def test_rules_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("classified").collect()] == [("1", "multi_intent")]
+
+
+def test_labels_must_be_filled_in(spark, tmp_path):
+    rows = spark.createDataFrame([("q1", ' said "so"\n'), ("q2", None)], "query_id string, said string")
+    files.write_sheet(rows, str(tmp_path / "s"), ("grade",))
+    schema = "query_id string, said string, grade int"
+    assert sorted(r.query_id for r in files.read_labels(spark, str(tmp_path / "s"), schema, ()).collect()) == ["q1", "q2"]
+    assert {r.said for r in files.read_labels(spark, str(tmp_path / "s"), schema, ()).collect() if r.query_id == "q1"} == {' said "so"\n'}
+    with pytest.raises(ValueError, match="incomplete: grade"):
+        files.read_labels(spark, str(tmp_path / "s"), schema, ("grade",))
+
+
+def test_json_documents(spark, tmp_path):
+    rows = spark.createDataFrame([(2, None), (1, "é")], "a int, b string").orderBy("a")
+    files.write_document(spark, files.json_array(rows), str(tmp_path / "a"))
+    assert [tuple(r) for r in files.read_json_document(spark, str(tmp_path / "a"), "a int, b string").orderBy("a").collect()] == [(1, "é"), (2, None)]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        files.json_array(rows, limit=1)
+
+
+@pytest.mark.parametrize(("text", "number"), [("GS-007", 7), ("GS-120", 120), ("GS-000", 0), ("GS", None), (None, None), ("GS-x", None)])
+def test_id_suffix(spark, text, number):
+    assert one(spark, T.id_suffix(F.col("x")), text) == number
+
+
+def greedy(texts, quota):
+    """What the pool does, one text after the other: (accepted places, pairs of rejected and accepted places)."""
+    accepted, waiting, pairs = [], [], []
+    for k, words in enumerate(texts):
+        if len(accepted) == quota:
+            break
+        alike = any(words == texts[a] or len(set(words) & set(texts[a])) >= max(4, 0.7 * min(len(set(words)), len(set(texts[a])))) and len(set(words)) >= 6 for a in accepted)
+        if alike:
+            waiting.append(k)
+            continue
+        accepted.append(k)
+        if waiting and len(pairs) < 10:
+            pairs.append((waiting.pop(0), k))
+    return accepted, pairs
+
+
+@pytest.mark.parametrize("quota", [3, 9, 100])
+def test_pool_and_replacements_against_one_by_one(spark, quota):
+    rng = random.Random(quota)
+    vocabulary = [f"word{k:02d}x" for k in range(13)]
+    texts = [rng.sample(vocabulary, 8) for _ in range(30)]
+    texts = [texts[rng.randrange(30)] if k % 4 == 3 else t for k, t in enumerate(texts)]
+    rows = [(f"{k:03d}", " ".join(t), "ambiguous", None, 1, 100 - k, 1, None) for k, t in enumerate(texts)]
+    classified = spark.createDataFrame(rows, "message_id string, text string, bucket string, primary string, evidence_strength int, words int, conversation_length int, created_at string")
+    quotas = spark.createDataFrame([("ambiguous", "", quota)], "bucket string, intent string, quota long")
+    filtered = sampling.quality_filtered(classified)
+    accepted, pairs = greedy(texts, quota)
+    assert sorted(int(r.message_id) for r in sampling.pool_select(filtered, quotas).collect()) == accepted
+    assert sorted((int(r.rejected_id), int(r.replacement_id)) for r in sampling.replacement_pairs(filtered, quotas).collect()) == sorted(pairs)
+    if quota > len(accepted):
+        with pytest.raises(ValueError, match="differs from its quotas"):
+            sampling.check_selection(sampling.pool_select(filtered, quotas), quotas)
+    else:
+        sampling.check_selection(sampling.pool_select(filtered, quotas), quotas)
+
+
+def test_greedy_refuses_a_circle(spark):
+    with pytest.raises(ValueError, match="circle"):
+        sampling.greedy_accept(spark.createDataFrame([(1,), (2,)], "item int"), spark.createDataFrame([(1, 2), (2, 1)], "earlier int, later int"))
+
+
+@pytest.mark.parametrize("reply", ['{"overall_acceptable": true}', '```json\n{"overall_acceptable": true}\n```', '```\n{"overall_acceptable": true}\n```'])
+def test_judge_over_http(reply):
+    calls = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            calls.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            if len(calls) == 1:
+                self.send_error(503)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": reply if len(calls) > 2 else "no json"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/chat"
+    assert evaluate.http_judge(url, "k", "m", pause=0.01)({"query": "q"}) == {"overall_acceptable": True} and len(calls) == 3
+    with pytest.raises(ValueError):
+        calls[:] = [0]
+        evaluate.http_judge(url, "k", "m", pause=0.01, attempts=1)({"query": "q"})
+    server.shutdown()
