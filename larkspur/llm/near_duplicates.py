@@ -174,8 +174,13 @@ def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, ban
     """
     marks = materialise(sketches(docs, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    copies = marks.groupBy("hash_a", "hash_b").agg(first.alias("first")).select("hash_a", "hash_b", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_of"))
-    ids = materialise(marks.select("row", "doc_id", "hash_a", "hash_b").join(copies, ["hash_a", "hash_b"]).select("row", "doc_id", "hash_a", "rep", "copy_of"))
+    # Written before it is joined back, and without the texts that have no copy: a join right on an
+    # aggregate is not split where most rows are copies of one text.
+    copies = marks.groupBy("hash_a", "hash_b").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(copies.select("hash_a", "hash_b", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_of")))
+    ids = marks.select("row", "doc_id", "hash_a", "hash_b").join(copies, ["hash_a", "hash_b"], "left")
+    copy_of = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("copy_of"))
+    ids = materialise(ids.select("row", "doc_id", "hash_a", F.coalesce("rep", "row").alias("rep"), copy_of.alias("copy_of")))
     reps = marks.select("row", "doc_id", "bands").join(ids.where("row = rep").select("row"), "row", "left_semi")
     members = materialise(reps.select(F.col("row").alias("rep"), "doc_id", F.explode("bands").alias("bucket")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))["rep"]
