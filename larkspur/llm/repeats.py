@@ -147,18 +147,19 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     copies = materialise(ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("key").alias("key"), F.first("long").alias("long")))
     one = ranked.select("row", "places").join(copies.where("long"), "row")
     places = one.select("a", "b", "key", "copies", F.explode("places").alias("p")).select("a", "b", "key", "copies", "p.*")
-    repeated = places.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    # What a rank's places are counted for is written before it is joined back: right on an aggregate, the join of a rank with most places is not split.
+    repeated = materialise(places.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     places = materialise(places.join(repeated, "rank"))
     kind = ["rank", "span", "back", "ahead"]
     groups = places.groupBy(*kind).agg(F.sum("copies").alias("times"), F.min(F.struct("a", "b", "at")).alias("first"))
     groups = materialise(groups)
-    unsure = groups.where("times = 1").groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).select("rank")
+    unsure = materialise(groups.where("times = 1").groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).select("rank"))
     shared = groups.where("times > 1").drop("first")
     done = places.where("copies = 1").join(shared, kind).select("a", "b", (F.col("at") - F.col("back")).alias("begin"), (F.col("at") - F.col("ahead") + length).alias("end"))
     # Compared: every place that is alone in its span, and one of each repeated span of the same rank.
     compared = groups.join(unsure, "rank").select(F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.at").alias("at"), "rank", "back", "ahead", (F.col("times") == 1).alias("alone"))
     compared = materialise(compared)
-    sizes = compared.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = materialise(compared.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     asked = compared.join(sizes, "rank").groupBy("a", "b").agg(F.collect_list(F.struct("rank", "at", "back", "ahead", "alone", "members")).alias("asked"))
     asked = asked.join(copies.select("a", "b", "key"), ["a", "b"])
 
