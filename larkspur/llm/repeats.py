@@ -27,14 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices
+from larkspur.llm.prefix_doubling import repeated_positions
 from larkspur.sources.tables import materialise
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Places of a prefix's group that are compared pair by pair, and that meet in one task at all.
-SMALL_GROUP, WHOLE_GROUP = 64, 20_000
-#: A longer text is ranked in pieces that overlap.
-PIECE = 1 << 20
 PLACES = "array<struct<rank:long,span:long,at:long,back:int,ahead:int>>"
 
 
@@ -62,9 +59,17 @@ def prefix_hashes(data: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class Shape:
-    """``length``: of the strings; ``prefix``: of the selecting prefix; ``base``: of the hashes that spans are made of."""
+    """``length``: of the strings; ``prefix``: of the selecting prefix; ``base``: of the hashes that spans are made of.
+
+    A text longer than ``piece`` is ranked in pieces that overlap. Of the places of one prefix up to
+    ``small_group`` are compared pair by pair, and up to ``whole_group`` meet in one task at all. None
+    of the three changes the result.
+    """
 
     length: int
+    piece: int = 1 << 20
+    small_group: int = 64
+    whole_group: int = 20_000
 
     @property
     def prefix(self) -> int:
@@ -83,8 +88,8 @@ def selected_places(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     length, window = shape.length, shape.length - shape.prefix + 1
     parts, owners, offsets = [], [], []
     for k, text in enumerate(texts):
-        for begin in range(0, len(text) - length + 1, PIECE):
-            parts.append(text[begin : begin + PIECE + length - 1])
+        for begin in range(0, len(text) - length + 1, shape.piece):
+            parts.append(text[begin : begin + shape.piece + length - 1])
             owners.append(k)
             offsets.append(begin)
     empty = np.zeros(0, np.int64)
@@ -124,14 +129,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("key", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b, whole, spans): for each distinct text, by two hashes, that holds a repeated string.
 
     ``whole``: the text is there more than once and no shorter than ``length``. ``spans``: array of
     (begin, end) bytes, which may overlap. Counts are pre-aggregated and joins split, so a string on
-    a third of all documents is not one task's; only groups of at most ``WHOLE_GROUP`` places meet whole.
+    a third of all documents is not one task's; only groups of at most ``shape.whole_group`` places meet whole.
     """
-    shape = Shape(length)
+    length = shape.length
     texts = _texts(docs, id_col, text_col)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +175,7 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
             for text, a, b, places in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 for p in places:
                     low, high = p["at"] - p["back"], p["at"] - p["ahead"]
-                    if p["members"] <= WHOLE_GROUP:
+                    if p["members"] <= shape.whole_group:
                         out.append((a, b, p["rank"], p["at"], p["back"], p["ahead"], p["alone"], text[low : high + length]))
                     else:
                         for begin in range(low, high + 1):
@@ -192,9 +197,9 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
             ranks = np.asarray(table.column("rank").combine_chunks())
             whole = int(np.searchsorted(ranks, ranks[-1])) if len(ranks) else 0
             rest = table.slice(whole)
-            yield pa.RecordBatch.from_arrays(_paired(table.slice(0, whole), length), names=names)
+            yield pa.RecordBatch.from_arrays(_paired(table.slice(0, whole), shape), names=names)
         if rest is not None:
-            yield pa.RecordBatch.from_arrays(_paired(rest, length), names=names)
+            yield pa.RecordBatch.from_arrays(_paired(rest, shape), names=names)
 
     found = "a long, b long, begin long, end long"
     small = contexts.where("ahead >= 0").repartition("rank").sortWithinPartitions("rank").mapInArrow(compare, found)
@@ -208,8 +213,20 @@ def repeated_spans(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id"
     return every.unionByName(single)
 
 
-def _paired(rows: pa.Table, length: int) -> list[pa.Array]:
+def spans_by_doubling(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What :func:`repeated_spans` gives, by prefix doubling over every position of each distinct text."""
+    length, texts = shape.length, _texts(docs, id_col, text_col)
+    copies = texts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
+    copies = materialise(copies.where(F.octet_length("text") >= length).withColumn("row", F.monotonically_increasing_id()))
+    spans = repeated_positions(copies, length).groupBy("row").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + length).alias("end"))).alias("spans"))
+    found = copies.select("row", "a", "b", "copies").join(spans, "row", "left").where("copies > 1 or spans is not null")
+    whole = F.col("copies") > 1
+    return found.select("a", "b", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans"))
+
+
+def _paired(rows: pa.Table, shape: Shape) -> list[pa.Array]:
     """Byte ranges of strings at places ``alone`` that a place of the same rank has too."""
+    length = shape.length
     n = rows.num_rows
     rank, at = np.asarray(rows.column("rank").combine_chunks()) if n else np.zeros(0, np.int64), np.asarray(rows.column("at").combine_chunks()) if n else np.zeros(0, np.int64)
     if not n:
@@ -227,7 +244,7 @@ def _paired(rows: pa.Table, length: int) -> list[pa.Array]:
     size = np.diff(np.append(first, n))
     mine, theirs, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for begin, count in zip(first.tolist(), size.tolist(), strict=True):
-        if count > SMALL_GROUP:
+        if count > shape.small_group:
             out.append(_counted(range(begin, begin + count), a, b, at, back, ahead, alone, data, length))
             continue
         own = begin + np.flatnonzero(alone[begin : begin + count])
@@ -275,16 +292,18 @@ def cut(text: bytes, whole: bool, spans: list[dict] | None) -> tuple[bytes, int,
     return left, len(text) - len(left), runs
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` without the bytes that a repeated ``length``-byte string covers.
+def remove_repeats(docs: DataFrame, *, shape: Shape = Shape(200), every_position: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``docs`` without the bytes that a repeated string of ``shape.length`` bytes covers.
 
     All columns stay, the text shortened (a character that lost some of its bytes goes), and
     ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` (of the bytes) come beside, replacing
     columns of those names. Repeats are judged on the input, within a text too; overlaps count; none crosses texts. Null or
-    empty text: 0 bytes and no span. Copies of a text of ``length`` bytes or more lose everything.
-    Null and repeated ids stay row by row; an empty table gives no rows.
+    empty text: 0 bytes and no span. Copies of a text as long or longer lose everything.
+    Null and repeated ids stay row by row; an empty table gives no rows. ``every_position`` doubles
+    prefixes over all positions instead of the selected ones: the same result at many times the disk.
     """
-    spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col)
+    find = spans_by_doubling if every_position else repeated_spans
+    spans = find(docs, shape, id_col=id_col, text_col=text_col)
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     others = [c for c in docs.columns if c not in (*added, text_col)]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

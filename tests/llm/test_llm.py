@@ -120,44 +120,66 @@ def test_word_counter_ties_and_unknown():
     assert count("axxb")[0] == 3  # a run of unknown characters is one
 
 
-@pytest.mark.parametrize("small,whole", [(64, 20_000), (3, 20_000), (3, 5)])
-def test_repeats_against_brute_force(spark, monkeypatch, small, whole):
-    monkeypatch.setattr(repeats, "SMALL_GROUP", small)
-    monkeypatch.setattr(repeats, "WHOLE_GROUP", whole)
+def brute_force_repeats(raw, length):
+    """(removed bytes, maximal runs, hash of what is left) of each text."""
+    seen, out = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1)), []
+    for t in raw:
+        marked = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                marked[i : i + length] = True
+        kept = bytes(x for x, m in zip(t, marked, strict=False) if not m)
+        out.append((int(marked.sum()), int((np.diff(np.concatenate([[0], marked.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("small,whole", [(64, 20_000), (3, 20_000), (3, 5), (0, 0)])
+def test_repeats_against_brute_force(spark, small, whole):
+    """Pairs, counts in a task, counts over the cluster, and prefix doubling over every position."""
     rng = random.Random(1)
     base = "".join(rng.choice("abcdé e") for _ in range(1500))
     noise = lambda: "".join(rng.choice("uvwxyz") for _ in range(rng.randint(0, 150)))
     texts = [*ODD, "x" * 199, "x" * 200, "ab" * 300, base[:900], base[500:1200] + "q", base[100:480] + base[700:1000], base[:900]]
     texts += [noise() + base[900 : 900 + rng.choice([195, 199, 200, 230])] + noise() for _ in range(30)]
     raw = [(t or "").encode() for t in texts]
-    seen = collections.Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
-    got = {r.doc_id: r for r in repeats.remove_repeats(documents(spark, texts)).collect()}
-    for k, t in enumerate(raw):
-        marked = np.zeros(len(t), bool)
-        for i in range(len(t) - 199):
-            if seen[t[i : i + 200]] > 1:
-                marked[i : i + 200] = True
-        kept = bytes(x for x, m in zip(t, marked, strict=True) if not m)
-        runs = int((np.diff(np.concatenate([[0], marked.astype(int)])) == 1).sum())
-        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(t), int(marked.sum()), runs, hashlib.sha256(kept).hexdigest())
+    shape = repeats.Shape(200, small_group=small, whole_group=whole)
+    got = {r.doc_id: r for r in repeats.remove_repeats(documents(spark, texts), shape=shape, every_position=not small).collect()}
+    for k, expected in enumerate(brute_force_repeats(raw, 200)):
+        assert got[k].n_bytes == len(raw[k]) and (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == expected
         assert (got[k].text is None) == (texts[k] is None) and got[k].row == "x"
 
 
-def test_repeats_count_both_rows_of_a_place_between_pieces(monkeypatch):
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_at_the_edge_of_a_piece(spark, seed):
+    """A passage across the edge of two pieces of a long text, parts of which stand in a group of 130 texts."""
+    rng = random.Random(seed)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(300))
+    noise = lambda n: "".join(rng.choice("uvwxyz") for _ in range(n))
+    texts = [noise(900) + passage + noise(1200)]
+    for _ in range(130):
+        begin = rng.randrange(0, 90)
+        texts.append(noise(rng.randint(5, 60)) + passage[begin : begin + rng.randint(190, 240)] + noise(rng.randint(5, 60)))
+    rows = [(None if k % 3 else k // 9, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(k, t, f"{j}") for j, (k, t) in enumerate(rows)], "doc_id long, text string, spans string")
+    got = {int(r.spans): r for r in repeats.remove_repeats(docs, shape=repeats.Shape(200, piece=1024)).collect()}
+    for k, expected in enumerate(brute_force_repeats([t.encode() for t in texts], 200)):
+        assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == expected
+
+
+def test_repeats_count_both_rows_of_a_place_between_pieces():
     """In a large group of one prefix, a text in pieces loses what it loses in one piece and by pairs."""
-    rng, shape = random.Random(4), repeats.Shape(40)
+    rng = random.Random(4)
     base = bytes(rng.choice(b"abcdefgh") for _ in range(120))
     texts = [base, base[10:90] + b"q", *(bytes(rng.choice(b"uvwxyz") for _ in range(30)) + base[k : k + 60] + bytes(rng.choice(b"uvwxyz") for _ in range(30)) for k in range(0, 60, 3))]
 
     def removed(piece, small):
-        monkeypatch.setattr(repeats, "PIECE", piece)
-        monkeypatch.setattr(repeats, "SMALL_GROUP", small)
+        shape = repeats.Shape(40, piece=piece, small_group=small)
         number, rank, _, at, back, ahead = repeats.selected_places(texts, shape)
         rows = sorted(zip(rank.tolist(), number.tolist(), at.tolist(), back.tolist(), ahead.tolist(), strict=True))
         data = [texts[k][p - b : p - h + 40] for _, k, p, b, h in rows]
         columns = dict(zip(("rank", "a", "at", "back", "ahead"), map(list, zip(*rows, strict=True)), strict=True))
         table = pa.table(columns | {"b": columns["a"], "alone": [True] * len(rows), "data": pa.array(data, pa.binary())})
-        a, _, begin, end = (c.to_pylist() for c in repeats._paired(table, 40))
+        a, _, begin, end = (c.to_pylist() for c in repeats._paired(table, shape))
         return {(k, i) for k, x, y in zip(a, begin, end, strict=True) for i in range(x, y - 39)}
 
     seen = collections.Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
