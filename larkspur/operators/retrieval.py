@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators.classify import decision_risk, present, response_type, settled
+from larkspur.sources.tables import materialise
 
 USABLE_TYPES = ("diagnostic_question", "direct_guidance")
 
@@ -33,26 +34,50 @@ def norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5) -> DataFrame:
+def unit_weights(docs: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, home, token, df, u): weights over the text's norm; ``home`` is its conversation."""
+    weighted = term_counts(docs, "message_id", "text").join(idf, "token").select("id", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    whole = docs.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"))
+    return weighted.join(norms(weighted), "id").join(whole, "id").select("id", "home", "token", "df", (F.col("w") / F.col("norm")).alias("u"))
+
+
+def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, rare: int = 1_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k nearest by cosine, not the same message nor its conversation.
 
     Both frames have message_id, conversation_id and text. Only documents that share a token are
-    scored; products are summed before the shuffle, and the rank limit runs before it as well.
-    Scores are rounded to 9 digits before they are ordered, ties to the smaller id.
+    scored, and frequent tokens are joined for those queries alone that need them: the k-th best score
+    by tokens of at most ``rare`` documents is a floor under the k-th best of all, and of a query's
+    tokens, rarest first, only as many are joined as a document must share one of to reach the floor
+    (each token's bound is its weight times its greatest weight in any document). What can reach the
+    floor with the other tokens is then scored by them too. So the result is that of comparing with
+    every document. Scores are rounded to 9 digits before they are ordered, ties to the smaller id.
     """
     terms = term_counts(corpus, "message_id", "text")
-    idf = inverse_frequencies(terms, corpus.count())
-    stored = weights(terms, idf)
-    asked = weights(term_counts(queries, "message_id", "text"), idf)
-    home = corpus.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"))
-    own = queries.select(F.col("message_id").alias("query_id"), F.col("conversation_id").alias("asked_in"))
-    left = asked.join(own, F.col("id") == F.col("query_id")).select("query_id", "asked_in", "token", F.col("w").alias("qw"))
-    right = stored.join(home, "id").select(F.col("id").alias("doc_id"), "home", "token", "w")
-    met = left.join(right, "token").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")))
-    dots = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    dots = dots.join(norms(stored).select(F.col("id").alias("doc_id"), F.col("norm").alias("dn")), "doc_id")
-    dots = dots.join(norms(asked).select(F.col("id").alias("query_id"), F.col("norm").alias("qn")), "query_id")
-    scored = dots.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("dn") * F.col("qn")), 9).alias("score"))
+    idf = materialise(inverse_frequencies(terms, corpus.count()))
+    stored = materialise(unit_weights(corpus, idf))
+    most = stored.groupBy("token").agg(F.max("u").alias("most"))
+    asked = unit_weights(queries, idf).join(most, "token")
+    asked = materialise(asked.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), "token", "df", F.col("u").alias("q"), (F.col("u") * F.col("most")).alias("bound")))
+    postings = stored.select(F.col("id").alias("doc_id"), "home", "token", "u")
+
+    def products(left: DataFrame) -> DataFrame:
+        met = left.join(postings, "token").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")))
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("part"))
+    top = products(asked.where(F.col("df") <= rare)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    floor = top.groupBy("query_id").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", (F.col("least") - 1e-8).alias("floor"))
+    onward = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
+    split = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))).withColumn("joined", F.sum("bound").over(onward) >= F.col("floor"))
+    split = materialise(split)
+    others = split.where(~F.col("joined")).groupBy("query_id").agg(F.sum("bound").alias("left_over"), F.first("floor").alias("floor"), F.collect_list(F.struct("token", "q")).alias("others"))
+    found = products(split.where("joined")).join(others, "query_id", "left").where(F.col("others").isNull() | (F.col("part") + F.col("left_over") >= F.col("floor")))
+    found = materialise(found)
+    maps = stored.groupBy(F.col("id").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("held"))
+    more = found.where("others is not null").join(maps, "doc_id")
+    rest = F.aggregate("others", F.lit(0.0), lambda total, t: total + t["q"] * F.coalesce(F.element_at("held", t["token"]), F.lit(0.0)))
+    whole = more.withColumn("part", F.col("part") + rest).select("query_id", "doc_id", "part").unionByName(found.where("others is null").select("query_id", "doc_id", "part"))
+    scored = whole.select("query_id", "doc_id", F.round("part", 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
