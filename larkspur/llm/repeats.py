@@ -15,7 +15,6 @@ whose rank is repeated, and each round drops what has become unique:
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -28,11 +27,12 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices
 from larkspur.llm.prefix_doubling import repeated_positions
-from larkspur.sources.tables import materialise
+from larkspur.sources.tables import discard, materialise
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-PLACES = "array<struct<rank:long,span:long,at:long,back:int,ahead:int>>"
+PLACES = "array<struct<rank:long,span:long,at:long,back:int,ahead:int,same:int>>"
+RANGES = "array<struct<begin:long,end:long>>"
 
 
 def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -120,6 +120,36 @@ def selected_places(texts: list[bytes], shape: Shape) -> tuple[np.ndarray, ...]:
     return np.array(owners)[number], hashes[shape.prefix][place].astype(np.int64), spans.astype(np.int64), place + inside, place - low, place - high
 
 
+def merged(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of one owner that touch or overlap as one, by owner and begin."""
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    # Each owner's ranges lie behind all of the owner before it.
+    shift = owner * (end.max(initial=0) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    first = np.flatnonzero(np.append(True, begin[1:] + shift[1:] > reach[:-1])) if len(owner) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(owner)) - 1 if len(owner) else first
+    return owner[first], begin[first], reach[last] - shift[last]
+
+
+def told_once(found: tuple[np.ndarray, ...], length: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(places with their number in the text, ranges of those there more than once), of one row for each text, rank, span and reach.
+
+    Places of one text that are equal in all that any string selecting them covers, as in a run of
+    one character, are repeated by this alone; the rest of the work meets them as one place.
+    """
+    owner, rank, span, at, back, ahead = found
+    kind = _joined(_joined(_joined(rank.view(np.uint64), span.view(np.uint64)), back.astype(np.uint64)), ahead.astype(np.uint64))
+    order = np.lexsort((at, kind, owner))
+    same = (kind[order[1:]] == kind[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    first = np.flatnonzero(np.append(True, ~same)) if len(order) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(order)))
+    several = order[np.repeat(count > 1, count)]
+    ranges = merged(owner[several], (at - back)[several], (at - ahead)[several] + length)
+    kept = order[first]
+    return (*(c[kept] for c in found), count), ranges
+
+
 def _key(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
 
@@ -139,28 +169,34 @@ def repeated_spans(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", tex
     length = shape.length
     texts = _texts(docs, id_col, text_col)
 
+    def listed(owner: np.ndarray, columns: tuple, kinds: tuple, names: tuple, rows: int) -> pa.ListArray:
+        structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(rows + 1)).astype(np.int32)), structs)
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, chars=2_000_000):
-            found = selected_places(batch.column("text").cast(pa.binary()).to_pylist(), shape)
-            bounds = np.searchsorted(found[0], np.arange(batch.num_rows + 1)).astype(np.int32)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(found[1:], kinds, strict=True)], ["rank", "span", "at", "back", "ahead"])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), batch.column("b"), pa.array(np.asarray(batch.column("size")) >= length), pa.ListArray.from_arrays(pa.array(bounds), rows)], names=["key", "a", "b", "long", "places"])
+            places, ranges = told_once(selected_places(batch.column("text").cast(pa.binary()).to_pylist(), shape), length)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            lists = listed(places[0], places[1:], kinds, ("rank", "span", "at", "back", "ahead", "same"), batch.num_rows)
+            own = listed(ranges[0], ranges[1:], (pa.int64(), pa.int64()), ("begin", "end"), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), batch.column("b"), pa.array(np.asarray(batch.column("size")) >= length), lists, own], names=["key", "a", "b", "long", "places", "own"])
 
-    ranked = texts.select("key", "a", "b", F.octet_length("text").alias("size"), "text").mapInArrow(rank, f"key long, a long, b long, long boolean, places {PLACES}")
+    ranked = texts.select("key", "a", "b", F.octet_length("text").alias("size"), "text").mapInArrow(rank, f"key long, a long, b long, long boolean, places {PLACES}, own {RANGES}")
     ranked = materialise(ranked.withColumn("row", F.monotonically_increasing_id()))
     copies = materialise(ranked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"), F.min("key").alias("key"), F.first("long").alias("long")))
-    one = ranked.select("row", "places").join(copies.where("long"), "row")
+    one = materialise(ranked.select("row", "places", "own").join(copies.where("long").drop("long"), "row"))
+    discard(ranked)
     places = one.select("a", "b", "key", "copies", F.explode("places").alias("p")).select("a", "b", "key", "copies", "p.*")
-    # What a rank's places are counted for is written before it is joined back: right on an aggregate, the join of a rank with most places is not split.
+    # Counts are written before they are joined back: right on an aggregate, the join of a rank with most places is not split.
     repeated = materialise(places.groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     places = materialise(places.join(repeated, "rank"))
     kind = ["rank", "span", "back", "ahead"]
-    groups = places.groupBy(*kind).agg(F.sum("copies").alias("times"), F.min(F.struct("a", "b", "at")).alias("first"))
+    groups = places.groupBy(*kind).agg(F.sum(F.col("copies") * F.col("same")).alias("times"), F.min(F.struct("a", "b", "at")).alias("first"))
     groups = materialise(groups)
     unsure = materialise(groups.where("times = 1").groupBy("rank").agg(F.count(F.lit(1)).alias("_n")).select("rank"))
     shared = groups.where("times > 1").drop("first")
-    done = places.where("copies = 1").join(shared, kind).select("a", "b", (F.col("at") - F.col("back")).alias("begin"), (F.col("at") - F.col("ahead") + length).alias("end"))
+    # Those with equals in their own text are in ``own`` already.
+    done = places.where("copies = 1 and same = 1").join(shared, kind).select("a", "b", (F.col("at") - F.col("back")).alias("begin"), (F.col("at") - F.col("ahead") + length).alias("end"))
     # Compared: every place that is alone in its span, and one of each repeated span of the same rank.
     compared = groups.join(unsure, "rank").select(F.col("first.a").alias("a"), F.col("first.b").alias("b"), F.col("first.at").alias("at"), "rank", "back", "ahead", (F.col("times") == 1).alias("alone"))
     compared = materialise(compared)
@@ -207,8 +243,9 @@ def repeated_spans(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", tex
     # A string on a place of a repeated span counts once here, which is enough beside one more.
     often = large.groupBy("data").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     large = large.where("alone").join(often, "data").select("a", "b", (F.col("at") - F.col("back")).alias("begin"), (F.col("at") - F.col("back") + length).alias("end"))
-    spans = done.unionByName(small).unionByName(large).groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    every = copies.where("copies > 1 and long").select("a", "b", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<begin:long,end:long>>").alias("spans"))
+    within = one.where("copies = 1").select("a", "b", F.explode("own").alias("r")).select("a", "b", "r.begin", "r.end")
+    spans = done.unionByName(small).unionByName(large).unionByName(within).groupBy("a", "b").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    every = copies.where("copies > 1 and long").select("a", "b", F.lit(True).alias("whole"), F.lit(None).cast(RANGES).alias("spans"))
     single = spans.join(copies.where("copies = 1").select("a", "b"), ["a", "b"], "left_semi").select("a", "b", F.lit(False).alias("whole"), "spans")
     return every.unionByName(single)
 
@@ -268,12 +305,27 @@ def _paired(rows: pa.Table, shape: Shape) -> list[pa.Array]:
 
 def _counted(rows: range, a: np.ndarray, b: np.ndarray, at: np.ndarray, back: np.ndarray, ahead: np.ndarray, alone: np.ndarray, data: list[bytes], length: int) -> np.ndarray:
     """The same for a larger group, by counting its strings: linear in the group."""
-    # A place at the edge of two pieces has a row for each, with strings of its own.
-    places = {(a[k], b[k], at[k], back[k], ahead[k]): k for k in rows}
-    strings = [(k, begin, xxhash.xxh3_128_digest(data[k][begin : begin + length])) for k in places.values() for begin in range(int(back[k] - ahead[k]) + 1)]
-    times = Counter((int(back[k]) - begin, digest) for k, begin, digest in strings)
-    hit = [(a[k], b[k], at[k] - back[k] + begin, at[k] - back[k] + begin + length) for k, begin, digest in strings if alone[k] and times[int(back[k]) - begin, digest] > 1]
-    return np.array(hit, dtype=np.int64).reshape(-1, 4).T
+    # A place at the edge of two pieces has a row for each, with strings of its own; of rows that a
+    # repeated id brings twice one counts.
+    places = np.array(list({(a[k], b[k], at[k], back[k], ahead[k]): k for k in rows}.values()))
+    many = (back[places] - ahead[places] + 1).astype(np.int64)
+    owner = np.repeat(places, many)
+    begin = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    digests = np.empty((len(owner), 2), np.uint64)
+    done = 0
+    for k, n in zip(places.tolist(), many.tolist(), strict=True):
+        found = b"".join(xxhash.xxh3_128_digest(data[k][j : j + length]) for j in range(n))
+        digests[done : done + n] = np.frombuffer(found, "<u8").reshape(-1, 2)
+        done += n
+    offset = back[owner] - begin
+    order = np.lexsort((digests[:, 1], digests[:, 0], offset))
+    same = (offset[order[1:]] == offset[order[:-1]]) & (digests[order[1:]] == digests[order[:-1]]).all(axis=1)
+    twice = np.zeros(len(owner), bool)
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    hit = twice & alone[owner]
+    low = at[owner[hit]] - offset[hit]
+    return np.stack([a[owner[hit]], b[owner[hit]], low, low + length])
 
 
 def cut(text: bytes, whole: bool, spans: list[dict] | None) -> tuple[bytes, int, int]:
