@@ -97,30 +97,34 @@ def band_hashes(registers: np.ndarray, rows: int) -> np.ndarray:
     return key + np.arange(parts.shape[1], dtype=np.uint64)[None] * _GOLD
 
 
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, doc_id, a, b, text): the text, empty for null, with two hashes, and a key that is the id or, for null, the least long."""
+    text, doc_id = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text")
+
+
 def sketches(docs: DataFrame, *, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, text_hash 128 bits as two longs, bands): one pass over the texts, nothing shuffled. ``docs`` has its row ids as _row."""
+    """(row, key, doc_id, a, b, bands), written: one pass over the texts, nothing shuffled. ``row`` numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=4_000_000):
-            texts = pc.fill_null(batch.column("text"), "")
-            digests = [xxhash.xxh3_128_digest(t) for t in texts.cast(pa.binary()).to_pylist()]
-            halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            found, bounds = shingles(texts, width)
+        for batch in slices(batches, chars=2_000_000):
+            found, bounds = shingles(batch.column("text"), width)
             keys = band_hashes(probminhash(found, bounds, bands * rows), rows).astype(np.int64)
             flat = pa.array(keys.ravel())
             some = np.diff(bounds) > 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), flat.filter(pa.array(np.repeat(some, bands))))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists], names=["row", "doc_id", "hash_a", "hash_b", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "a", "b")), lists], names=["key", "doc_id", "a", "b", "bands"])
 
-    texts = docs.select(F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "row long, doc_id long, hash_a long, hash_b long, bands array<long>")
+    marks = keyed_texts(docs, id_col, text_col).mapInArrow(run, "key long, doc_id long, a long, b long, bands array<long>")
+    return materialise(marks.withColumn("row", F.monotonically_increasing_id()))
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """(rep, grams): the sorted distinct shingles of (rep, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, chars=4_000_000):
+        for batch in slices(batches, chars=2_000_000):
             found, bounds = shingles(batch.column("text"), width)
             sets = [np.unique(found[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:], strict=False)]
             sizes = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
@@ -166,29 +170,37 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, hash_a, rep, copy_of, component) of each row of :func:`numbered` documents.
+def repeated_rows(marks: DataFrame) -> DataFrame:
+    """(key, a, b), written: of rows that are there several times with one id and one text."""
+    return materialise(marks.groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+
+
+def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a written row for each row of ``docs``: row, key, doc_id, a, b, rep, copy_of, component; :func:`repeated_rows`).
 
     ``rep`` is the row that stands for an equal text: of the least id, nulls last, then the least row;
     ``copy_of`` is its id. ``component`` is a row that names the class. See :func:`near_duplicate_classes`.
     """
-    marks = materialise(sketches(docs, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col))
+    marks = sketches(docs, bands=bands, rows=rows, width=width, id_col=id_col, text_col=text_col)
+    again = repeated_rows(marks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # Written before it is joined back, and without the texts that have no copy: a join right on an
     # aggregate is not split where most rows are copies of one text.
-    copies = marks.groupBy("hash_a", "hash_b").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = materialise(copies.select("hash_a", "hash_b", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_of")))
-    ids = marks.select("row", "doc_id", "hash_a", "hash_b").join(copies, ["hash_a", "hash_b"], "left")
+    copies = marks.groupBy("a", "b").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(copies.select("a", "b", F.col("first.row").alias("rep"), F.col("first.doc_id").alias("copy_of")))
+    ids = marks.drop("bands").join(copies, ["a", "b"], "left")
     copy_of = F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("copy_of"))
-    ids = materialise(ids.select("row", "doc_id", "hash_a", F.coalesce("rep", "row").alias("rep"), copy_of.alias("copy_of")))
+    ids = materialise(ids.select("row", "key", "doc_id", "a", "b", F.coalesce("rep", "row").alias("rep"), copy_of.alias("copy_of")))
     reps = marks.select("row", "doc_id", "bands").join(ids.where("row = rep").select("row"), "row", "left_semi")
     members = materialise(reps.select(F.col("row").alias("rep"), "doc_id", F.explode("bands").alias("bucket")))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rep"))["rep"]
     buckets = members.groupBy("bucket").agg(least.alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(members.drop("doc_id").join(buckets, "bucket"))
-    wanted = members.select("rep").distinct()
-    texts = docs.select(F.col("_row").alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grams = materialise(shingle_sets(texts.join(wanted, "rep"), width))
+    wanted = members.select("rep").distinct().join(ids.where("row = rep").select("rep", "key", "a", "b"), "rep")
+    texts = keyed_texts(docs, id_col, text_col).drop("doc_id").join(wanted.hint("shuffle_hash"), ["a", "b", "key"]).select("rep", "text")
+    grams = materialise(shingle_sets(texts, width))
+    if again.limit(1).count():
+        grams = materialise(grams.dropDuplicates(["rep"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = grams.select(F.col("rep").alias("x"), F.col("grams").alias("gx"))
@@ -207,7 +219,8 @@ def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, ban
     more = materialise(verified(across_classes(member.join(several, "leader"), grams, similarity)).where(F.col("likeness") >= similarity).select("x", "y"))
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
-    return ids.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = ids.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return materialise(named), again
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -227,17 +240,27 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Null and empty texts are equal copies of each other. An empty table gives no rows; other
     columns are ignored.
     """
-    found = row_classes(numbered(docs.select(id_col, text_col)), id_col=id_col, text_col=text_col, **how)
-    found = materialise(found.select("doc_id", "rep", "copy_of", "component"))
+    found, _ = row_classes(docs, id_col=id_col, text_col=text_col, **how)
     # A class of one text has that text's least id.
     linked = found.where("component <> rep").select("component").distinct()
-    least = found.join(linked, "component", "left_semi").groupBy("component").agg(F.min("copy_of").alias("class_id"))
+    least = materialise(found.join(linked, "component", "left_semi").groupBy("component").agg(F.min("copy_of").alias("class_id")))
     return found.join(least, "component", "left").select("doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` of each class: of the least id, nulls last, then of the least text hash and row; all columns stay."""
-    rows = numbered(docs)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash_a", "row"))["row"]
-    kept = row_classes(rows, id_col=id_col, text_col=text_col, **how).groupBy("component").agg(first.alias("_row")).select("_row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    """One row of ``docs`` of each class: of the least id, nulls last, then of the least hash of the text; all columns stay.
+
+    Of rows that are there several times with that id and text the one with the least hash of all columns stays.
+    """
+    found, again = row_classes(docs, id_col=id_col, text_col=text_col, **how)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "a", "b"))
+    kept = materialise(found.groupBy("component").agg(first.alias("f")).select(F.col("f.key").alias("_key"), F.col("f.a").alias("_a"), F.col("f.b").alias("_b")))
+    text, at = F.coalesce(F.col(text_col).cast("string"), F.lit("")), ["_key", "_a", "_b"]
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"), key.alias("_key"), F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b"))
+    rows = rows.join(kept, at, "left_semi")
+    if again.limit(1).count():
+        several = again.toDF(*at)
+        one = rows.join(several, at, "left_semi").groupBy(*at).agg(F.min_by("_whole", F.xxhash64(F.to_json("_whole"))).alias("_whole"))
+        rows = rows.join(several, at, "left_anti").select("_whole").unionByName(one.select("_whole"))
+    return rows.select("_whole.*")
