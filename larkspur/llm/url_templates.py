@@ -48,7 +48,7 @@ def alike_siblings(children: DataFrame, node: list[str], alike: float, z: float
     ``children`` has few rows a node: child, bad, good, purity. In order of purity a labelled child
     joins the branch before it while the Wilson intervals of all members' shares (``z`` deviations)
     have a point in common and purities differ by ``alike`` at most. Children without a label stay
-    among themselves. No segment's shape is a branch's name: it has no digit but 0, and no ``?``.
+    among themselves. A branch of several is named by them, as in ``?(de|fr)``; no segment has a ``?``.
     """
     labels = F.col("bad") + F.col("good")
     centre = (F.col("bad") + z * z / 2) / (labels + z * z)
@@ -66,9 +66,10 @@ def alike_siblings(children: DataFrame, node: list[str], alike: float, z: float
         return F.struct(step.alias("step"), first.alias("first"), low.alias("low"), high.alias("high"), F.concat(so_far["told"], now).alias("told"))
 
     steps = children.groupBy(*node).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, join)["told"].alias("told"))
-    name = F.when(F.col("c.step") == 0, F.lit("~?")).otherwise(F.concat(F.lit("~"), F.col("c.step").cast("string")))
-    alone = F.size(F.filter("told", lambda t: t["step"] == F.col("c.step"))) == 1
-    return steps.select(*node, "told", F.explode("told").alias("c")).select(*node, "c.child", F.when(alone, F.col("c.child")).otherwise(name).alias("branch"), "c.lone")
+    members = F.array_sort(F.transform(F.filter("told", lambda t: t["step"] == F.col("c.step")), lambda t: t["child"]))
+    several = F.concat(F.lit("?("), F.array_join("members", "|"), F.lit(")"))
+    named = steps.select(*node, "told", F.explode("told").alias("c")).select(*node, "c.child", "c.lone", members.alias("members"))
+    return named.select(*node, "child", F.when(F.size("members") == 1, F.col("child")).otherwise(several).alias("branch"), "lone")
 
 
 def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.15, prior: float = 4.0, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
@@ -79,7 +80,7 @@ def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float
     ``max_children``; else those that their labels do not tell apart merge into one branch (see
     :func:`alike_siblings`). A template's purity is its share of bad labels, smoothed by ``prior``
     pseudo-labels of its parent's purity, and so up to the host, whose own parent is the share
-    over all hosts. A template is rejected from purity ``reject_at`` on if it has ``min_bad``
+    over all hosts; the paths that end at a node others go on from are a template beside theirs. A template is rejected from purity ``reject_at`` on if it has ``min_bad``
     bad labels of its own, for those shapes whose branches had as many before they merged. Counts are summed per node before any join, and only nodes with few
     children join by child, so a host or node with most shapes is split like any skewed join.
     """
@@ -96,8 +97,8 @@ def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float
     for level in range(1, (depth or 0) + 1):
         known = known.withColumn("child", F.coalesce(F.get("shape", F.lit(level - 1)), F.lit("")))
         children = pooled(known, [*node, "child"], F.first("purity"))
-        width = children.groupBy(*node).agg((F.count(F.when(F.col("child") != "", 1)) > max_children).alias("wide"))
-        narrow = children.join(width.where("not wide").drop("wide"), node).where("child <> ''")
+        width = children.groupBy(*node).agg((F.count(F.when(F.col("child") != "", 1)) > max_children).alias("wide"), (F.count(F.when(F.col("child") != "", 1)) > 0).alias("deeper"))
+        narrow = children.join(width.where("not wide").select(*node), node).where("child <> ''")
         named = alike_siblings(narrow, node, alike).withColumnRenamed("lone", "child_bad")
         known = known.join(width, node).join(named, [*node, "child"], "left")
         branch = F.when(F.col("child") == "", F.lit("")).when(F.col("wide"), F.lit(WILDCARD)).otherwise(F.col("branch"))
@@ -105,7 +106,9 @@ def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float
         own = pooled(known, [*node, "branch"], F.first("purity")).select(*node, "branch", F.col("purity").alias("next"), F.col("bad").alias("next_own"))
         known = known.join(own, [*node, "branch"])
         moved = F.when(F.col("branch") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))
-        known = materialise(known.select("host", "shape", "n", "bad", "good", F.col("next").alias("purity"), F.col("next_own").alias("own"), F.least("lone", "child_bad").alias("lone"), moved.alias("template")))
+        # Where all paths end the node is its own template, and its labels count once.
+        purity, count = (F.when(F.col("deeper"), F.col(new)).otherwise(F.col(old)) for new, old in (("next", "purity"), ("next_own", "own")))
+        known = materialise(known.select("host", "shape", "n", "bad", "good", purity.alias("purity"), count.alias("own"), F.least("lone", "child_bad").alias("lone"), moved.alias("template")))
     return known.select("host", "shape", "template", "purity", ((F.col("purity") >= reject_at) & (F.least("own", "lone") >= min_bad)).alias("rejected"))
 
 

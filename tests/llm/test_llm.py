@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import language_id, mixing, nearest, near_duplicates, packing, repeats, simhash, token_counts, toxicity, url_templates
@@ -368,6 +370,33 @@ def test_simhash_edits_and_neighbours(spark):
     assert np.mean([got[k].near_edited for k in range(20, 71)]) > np.mean([got[k].near_next for k in range(20, 71)]) + 0.15
 
 
+def simhash_of(text):
+    """The votes again, term by term."""
+    found = [m.group(1) for m in re.finditer(r"(?=(\S+(?:\s+\S+)?))\S+", text.lower(), re.ASCII)]
+    votes = np.zeros(64, dtype=np.int64)
+    for term in found:
+        bits = xxhash.xxh64_intdigest(term.encode(), seed=42)
+        votes += min(len(term), 16) * (2 * np.array([bits >> j & 1 for j in range(64)]) - 1)
+    return sum(1 << j for j in range(64) if votes[j] > 0)
+
+
+def test_simhash_votes_and_neighbours_against_brute_force(spark):
+    rng = random.Random(12)
+    base = [words(rng, 60) for _ in range(8)]
+    texts = [*ODD, *base, *[" ".join([*b.split()[:-1], f"w{rng.randrange(400)}"]) for b in base for _ in range(3)]]
+    got = {r.doc_id: r for r in simhash.edited_neighbours(documents(spark, texts)).collect()}
+    prints = [simhash_of(t or "") for t in texts]
+    assert [int(got[k].fingerprint, 16) for k in range(len(texts))] == prints
+    near = [any((a ^ b).bit_count() <= 3 for j, b in enumerate(prints) if j != k) for k, a in enumerate(prints)]
+    assert [got[k].has_near for k in range(len(texts))] == near and 0 < sum(near) < len(near)
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    rows = [(None, "b c d e"), (None, "a"), (3, "x y z w"), (3, "x y z w"), (-1, None), (None, "b c d e")]
+    got = simhash.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.has_near) for r in got) == sorted((k is not None, k or 0, len(t or ""), (k, t) not in [(None, "a"), (-1, None)]) for k, t in rows)
+
+
 def test_simhash_ranges_do_not_change_the_neighbours(spark):
     docs = documents(spark, [f"text {k}" for k in range(50)])
     few = simhash.ordered_neighbours(docs, "doc_id", "text", rows_per_range=7).where("not extra").collect()
@@ -448,6 +477,66 @@ def test_url_templates_reject_bad_branches(spark):
     assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("spam", "block"), ("news", "allow")}
 
 
+def judged_tree(paths, max_children, alike=0.15, prior=4.0, reject_at=0.5, min_bad=2, z=1.96):
+    """(template, purity, rejected) by (host, shape), one node after the other."""
+    bad, good = sum(p[2] for p in paths), sum(p[3] for p in paths)
+    out = {}
+
+    def share(rows, parent):
+        b, g = sum(r[2] for r in rows), sum(r[3] for r in rows)
+        return (b + prior * parent) / (b + g + prior)
+
+    def down(rows, level, template, purity, own):
+        """rows: (host, shape, bad, good, the least bad labels of its branches alone)."""
+        parts, ended = collections.defaultdict(list), [r for r in rows if len(r[1]) == level]
+        for r in rows:
+            if len(r[1]) > level:
+                parts[r[1][level]].append(r)
+        at, mine = (share(ended, purity), sum(r[2] for r in ended)) if parts else (purity, own)
+        for r in ended:
+            out[r[0], r[1]] = template, at, at >= reject_at and min(mine, r[4]) >= min_bad
+        if not parts:
+            return
+        branches = {"*": list(parts)}
+        if len(parts) <= max_children:
+            branches, groups = {}, []
+            none = sorted(c for c, rs in parts.items() if not sum(r[2] + r[3] for r in rs))
+            for c in sorted(set(parts) - set(none), key=lambda c: (share(parts[c], purity), c)):
+                b, g = (sum(r[k] for r in parts[c]) for k in (2, 3))
+                centre, reach = (b + z * z / 2) / (b + g + z * z), (b * g / (b + g) + z * z / 4) ** 0.5 * z / (b + g + z * z)
+                now = share(parts[c], purity)
+                if groups and max(groups[-1][1], centre - reach) <= min(groups[-1][2], centre + reach) and now - groups[-1][0] <= alike:
+                    groups[-1] = groups[-1][0], max(groups[-1][1], centre - reach), min(groups[-1][2], centre + reach), [*groups[-1][3], c]
+                else:
+                    groups.append((now, centre - reach, centre + reach, [c]))
+            for members in [*([none] if none else []), *(g[3] for g in groups)]:
+                branches[members[0] if len(members) == 1 else f"?({'|'.join(sorted(members))})"] = members
+        for name, members in branches.items():
+            under = [(*r[:4], r[4] if name == "*" else min(r[4], sum(x[2] for x in parts[c]))) for c in members for r in parts[c]]
+            down(under, level + 1, f"{template}/{name}", share(under, purity), sum(r[2] for r in under))
+
+    for host in {p[0] for p in paths}:
+        rows = [(*p, 10**9) for p in paths if p[0] == host]
+        down(rows, 0, "", share(rows, (bad + 1) / (bad + good + 2)), sum(r[2] for r in rows))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_url_tree_against_brute_force(spark, seed):
+    rng, seen = random.Random(seed), {}
+    for _ in range(160):
+        host, shape = rng.choice(["a.io", "b.io", ""]), tuple(rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 4)))
+        kind = rng.random()
+        seen[host, shape] = (rng.randint(1, 6), 0) if shape[:1] == ("a",) and kind < 0.6 else (0, rng.randint(1, 6)) if kind < 0.3 else (rng.randint(0, 2), rng.randint(0, 2)) if kind < 0.4 else (0, 0)
+    paths = [(h, s, b, g) for (h, s), (b, g) in seen.items()]
+    df = spark.createDataFrame([(h, list(s), b + g, b, g) for h, s, b, g in paths], "host string, shape array<string>, n long, bad long, good long")
+    got = {(r.host, tuple(r.shape)): r for r in url_templates.template_verdicts(df, max_children=5).collect()}
+    expected = judged_tree(paths, 5)
+    assert {k: r.template for k, r in got.items()} == {k: v[0] for k, v in expected.items()}
+    assert all(abs(got[k].purity - v[1]) < 1e-9 and got[k].rejected == v[2] for k, v in expected.items())
+    assert any(v[2] for v in expected.values()) and any("?(" in v[0] for v in expected.values()) and any("*" in v[0] for v in expected.values())
+
+
 @pytest.mark.parametrize("n", [2, 10, 40])
 def test_unlabelled_url_branches_do_not_join_a_labelled_one(spark, n):
     urls = [f"https://blog.example.com/de/{k}" for k in range(n)] + [f"https://blog.example.com/{part}/{k}" for part in ("en", "es", "fr") for k in range(20)]
