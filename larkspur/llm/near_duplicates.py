@@ -68,7 +68,7 @@ def probminhash(elements: np.ndarray, bounds: np.ndarray, registers: int, weight
     rounds = 0
     while len(element):
         rounds += 1
-        draw = mixed(element + np.uint64(rounds) * _GOLD)
+        draw = mixed(element + np.uint64(rounds * int(_GOLD) % (1 << 64)))
         gap = -np.log(((draw >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53)
         time = time + (gap if rate is None else gap / rate)
         alive = time < limit[owner]
@@ -242,8 +242,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     found, _ = row_classes(docs, id_col=id_col, text_col=text_col, **how)
     # A class of one text has that text's least id.
-    linked = found.where("component <> rep").select("component").distinct()
-    least = materialise(found.join(linked, "component", "left_semi").groupBy("component").agg(F.min("copy_of").alias("class_id")))
+    linked = materialise(found.where("component <> rep").select("component").distinct())
+    # Written before it is summed up: under an aggregate the join is not split for the class with most rows.
+    several = materialise(found.join(linked, "component", "left_semi").select("component", "copy_of"))
+    least = materialise(several.groupBy("component").agg(F.min("copy_of").alias("class_id")))
     return found.join(least, "component", "left").select("doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
