@@ -68,15 +68,14 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def hashed_sample(df: DataFrame, group: str, per_group: int, key: Column) -> DataFrame:
-    """About ``per_group`` rows of each value of ``group``, the same on every run.
+def hashed_sample(df: DataFrame, group: str, per_group: int, key: Column, *, groups: int = 500) -> DataFrame:
+    """About ``per_group`` rows of each of the ``groups`` most frequent values of ``group``, the same on every run.
 
     One count per group sets the share of hash values kept, so a group of any size
     contributes a bounded number of rows without a sort or a window over it.
-    ``group`` must have few values (it is collected as counts).
     """
     spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
+    counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()}
     if not counts:
         return df.limit(0)
     wanted = F.lit(False)

@@ -167,8 +167,9 @@ def train(docs: DataFrame, *, per_language: int = 400, longest: int = 200_000, o
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    key = F.concat(F.lit("langid "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    sample = hashed_sample(rows, "lang", per_language, key).where(F.length("text") <= longest).collect()
+    # By id and text, so that rows of one id, or without one, stay a share of the sample; copies count once.
+    key = F.concat(F.lit("langid "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.xxhash64("text").cast("string"))
+    sample = hashed_sample(rows, "lang", per_language, key).where(F.length("text") <= longest).distinct().collect()
     by_lang: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r.lang, str(r.id), r.text)):
         by_lang.setdefault(r.lang, []).append(r.text)

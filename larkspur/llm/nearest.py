@@ -139,7 +139,7 @@ def build(vectors: DataFrame, *, most_lists: int = 4_096, k: int = 10, recall: f
     lists = wanted_lists(total, most_lists)
     # By id and vector together, so one vector on many rows stays a share of the sample.
     share = min(1.0, max(PER_LIST * lists, 2_000) / total)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vector").toArrow()
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("vec_id", "vector").distinct().select("vector").toArrow()
     if not drawn.num_rows:
         drawn = rows.select("vector").limit(1).toArrow()
     sample = np.asarray(drawn.column("vector").combine_chunks().flatten(), dtype=np.float64).reshape(drawn.num_rows, -1)

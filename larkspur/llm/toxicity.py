@@ -168,16 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, *, per_label: int = 1_200, longest
     """Fit on about ``per_label`` rows of each label, drawn by hash from labelled rows not held out.
 
     Ids are drawn from the labels alone; only the texts of the drawn ids (a bounded number) come
-    to the driver, and none longer than ``longest`` characters. A row labelled both ways counts as
-    toxic. A fifth of the sample calibrates: Platt scaling over all, and by language the least score
+    to the driver, one for each id, and none longer than ``longest`` characters. An id labelled both
+    ways counts as toxic. A fifth of the sample calibrates: Platt scaling over all, and by language the least score
     that keeps ``precision`` there (0.7 where a language has too few rows). Without labelled rows of
     both kinds every score is low.
     """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
     drawn = hashed_sample(marks, "toxic", per_label, F.concat(F.lit("toxic "), F.col("doc_id").cast("string")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # The drawn ids are bounded by 2 x per_label and some hash variance.
-    sample = rows.join(F.broadcast(drawn), "doc_id").where(F.length("text") <= longest).collect()
+    # The drawn ids are bounded by 2 x per_label and some hash variance; an id may still be on any number of rows.
+    rows = rows.join(F.broadcast(drawn), "doc_id").where(F.length("text") <= longest)
+    one = F.min_by(F.struct("text", "lang", "toxic"), F.struct(F.xxhash64("text"), "lang")).alias("one")
+    sample = rows.groupBy("doc_id").agg(one).select("doc_id", "one.*").collect()
     sample.sort(key=lambda r: (crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     network = TextCNN()
     texts, marks = [r.text for r in sample], np.array([r.toxic for r in sample], dtype=np.float64)
