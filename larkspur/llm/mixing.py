@@ -62,7 +62,8 @@ def running_total(df: DataFrame, group: list[str], block: str, order: list[Colum
 def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """The passes over documents that queue: row_id, doc_id, source, size, source_size, target, pass, taken.
 
-    Each source's documents are shuffled by the md5 of their id and queue as often as ``most``
+    Each source's documents are shuffled by the md5 of their id, or of a hash of the text where
+    there is none, so that rows without an id spread too, and queue as often as ``most``
     allows. Words queued by the end of a pass over a document, divided by the source's target,
     are its virtual finish time; all passes are ranged by it over the sources and cut where the
     sum of all targets is reached. The last pass may be cut, so ``taken`` is at most ``size``.
@@ -71,8 +72,10 @@ def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: f
     sizes are shuffled; the texts are read once. ``row_id`` tells repeated rows apart; it is
     ``row_col`` where that is given, unique by row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"))
-    rows = materialise(rows.withColumn("place", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))))
+    by_text = F.xxhash64(F.col(text_col)).cast("string")
+    place = F.md5(F.coalesce(F.col(id_col).cast("long").cast("string"), by_text).cast("binary"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), place.alias("place"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"))
+    rows = materialise(rows)
     by_source = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")))
     counts = by_source.select(F.col("source").alias("_s"), "_rows")
     targets = source_targets(by_source.drop("_rows"), weights, budget, most)
@@ -101,8 +104,8 @@ def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: f
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), **how) -> DataFrame:
     """Per document what the mix takes: doc_id, size, source_size, target, taken (repeats counted).
 
-    A null text has size 0 and takes nothing; a null source is the last source; a null id is
-    shuffled first; repeated rows queue one by one; an empty table gives no rows; other columns
+    A null text has size 0 and takes nothing; a null source is the last source; a row
+    without an id is shuffled by its text; repeated rows queue one by one; an empty table gives no rows; other columns
     are ignored. Takes are whole but for one document at the cut.
     """
     passes = mix_passes(docs, weights, **how)
