@@ -397,10 +397,19 @@ def test_simhash_of_null_and_repeated_ids(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.has_near) for r in got) == sorted((k is not None, k or 0, len(t or ""), (k, t) not in [(None, "a"), (-1, None)]) for k, t in rows)
 
 
-def test_simhash_ranges_do_not_change_the_neighbours(spark):
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_simhash_ranges_do_not_change_the_neighbours(spark, size):
     docs = documents(spark, [f"text {k}" for k in range(50)])
-    few = simhash.ordered_neighbours(docs, "doc_id", "text", rows_per_range=7).where("not extra").collect()
+    few = simhash.ordered_neighbours(docs, "doc_id", "text", rows_per_range=size).where("not extra").collect()
     assert {r.doc_id: r.next_text for r in few} == {k: f"text {(k + 1) % 50}" for k in range(50)}
+    assert len({r.range for r in few}) > 50 // (4 * size)
+    # One id on most rows is cut as well, and each text follows another one.
+    rows = [(5 if k % 4 else k, f"text {k}") for k in range(80)]
+    same = simhash.ordered_neighbours(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", rows_per_range=size).where("not extra").collect()
+    assert sorted(r.text for r in same) == sorted(r.next_text for r in same) == sorted(t for _, t in rows)
+    following, ids = {r.text: r.next_text for r in same}, dict((t, k) for k, t in rows)
+    assert sum(ids[t] > ids[n] for t, n in following.items()) == 1
+    assert size > 7 or len({r.range for r in same if r.doc_id == 5}) > 1
 
 
 def test_block_tables_find_all_within_radius(spark):
@@ -558,6 +567,73 @@ def test_empty_tables(spark):
     assert url_templates.filter_urls(pages, URL_RULES).count() == 0
 
 
+def odd_table(spark, n):
+    """Nulls in every column, ids and texts and whole rows that repeat, names that operators use themselves; n rows of each kind."""
+    rng = random.Random(21)
+    kinds = [(None, None, None, None), (1, "a b c d e f g", "en", "s"), (1, "a b c d e f g", "en", "s"), (1, words(rng, 60), None, "s"), (None, words(rng, 60), "en", None), (2, None, "fr", "t"), (3, "", "fr", "t"), (4, words(rng, 30_000), "en", "s"), (5, "é" * 4_000, None, None)]
+    clash = ("row", "rep", "key", "a", "b", "bands", "_row", "_whole", "component", "spans", "whole", "places", "size", "place", "taken", "pass", "target", "score", "held_out", "fingerprint", "range", "extra", "list", "n_bytes")
+    names = {"key": "long", "a": "long", "bands": "array<long>"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} {names.get(c, 'string')}" for c in clash)
+    return spark.createDataFrame([(*k, None, *([None] * len(clash))) for k in kinds * n], schema)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_every_operator_takes_odd_rows(spark, n):
+    docs, size = odd_table(spark, n), 9 * n
+    labels = spark.createDataFrame([(None, 1, 1), (1, None, None), (1, 0, 0), (1, 0, 1), (4, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").where(F.lit(bool(n)))
+    model = toxicity.train(docs, labels)
+    scored = toxicity.score_toxicity(docs, model).collect()
+    assert len(scored) == size and all(0 <= r.score <= 1 for r in scored)
+    clean = toxicity.clean_documents(docs, model)
+    assert clean.columns == docs.columns and clean.count() <= size
+    classes = near_duplicates.near_duplicate_classes(docs).collect()
+    # Six different texts, two of which have the id 1.
+    assert len(classes) == size and len({(r.copy_of, r.class_id) for r in classes}) == (5 if n else 0)
+    one = near_duplicates.one_of_each_class(docs)
+    assert one.columns == docs.columns and one.count() == (6 if n else 0)
+    cut = repeats.remove_repeats(docs)
+    assert cut.count() == size and cut.where("text is null").count() == 2 * n
+    long_and_alone = [] if n != 1 else [(4, len(next(r.text for r in docs.where("doc_id = 4").collect())))]
+    assert n != 1 or [(r.doc_id, len(r.text)) for r in cut.where("doc_id = 4").collect()] == long_and_alone
+    counts = token_counts.token_counts(docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    assert len(counts) == size and sum(r.n_tokens == 0 for r in counts) == 3 * n
+    assert simhash.edited_neighbours(docs).count() == size
+    mixed = mixing.mix(docs)
+    assert mixed.count() == size and mixed.where("taken > 2 * size").count() == 0
+    learned = language_id.identify(docs, language_id.train(docs)).collect()
+    assert len(learned) == size and sum(r.lang_pred == "und" for r in learned) >= 3 * n
+    packed = packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+    assert packed.where("start = 0").count() == size
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), "row", F.lit("h").alias("host"), F.lit(1).alias("shape"), F.lit("t").alias("template"))
+    assert url_templates.filter_urls(pages, URL_RULES).count() == size
+    vectors = docs.select(F.col("doc_id").alias("vec_id"), F.when(F.col("lang").isNotNull(), F.array(F.lit(1.0), F.length("text").cast("double"))).alias("embedding"), "list", "score")
+    indexed, index = nearest.build(vectors)
+    found = nearest.search(indexed, index, F.lit(True)).collect()
+    assert all(r.query_id != r.vec_id for r in found) and bool(found) == bool(n)
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_every_stage_takes_odd_rows(spark, tmp_path, n):
+    """Rows are accounted for from stage to stage."""
+    import corpus_pipeline
+
+    docs = odd_table(spark, n).select(*corpus_pipeline.COLUMNS)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+        left.write.parquet(str(tmp_path / name))
+        left = spark.read.parquet(str(tmp_path / name))
+        sizes[name] = left.count()
+        assert left.columns == list(corpus_pipeline.COLUMNS)
+    # Without labels of both kinds nothing is rejected; six distinct texts; the run of one character goes as a repeat.
+    assert [sizes[k] for k in ("toxicity", "minhash_near_dedup", "suffix_array_dedup")] == ([18, 6, 5] if n else [0, 0, 0])
+    assert sizes["mixing"] == mixing.mix_passes(spark.read.parquet(str(tmp_path / "suffix_array_dedup"))).where("taken > 0").count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path))
+    assert packed.where("start = 0").count() == sizes["mixing"] and (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == bool(n)
+
+
 def test_words_of_a_batch():
     from larkspur.llm.common import slices, words_of
 
