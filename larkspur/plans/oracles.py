@@ -337,3 +337,6 @@ ORACLE_SQL["brand_ranking"] = f"SELECT CAST(row_number() OVER (ORDER BY eligible
 ORACLE_SQL["human_sheet"] = FIND + f", sample AS (SELECT * FROM decide ORDER BY md5(concat('{R.SAMPLE_SEED}:', query_id)), query_id LIMIT 30) SELECT query_id, query AS customer_message, coalesce(response, '') AS historical_evidence, CASE WHEN reason IS NULL THEN coalesce(response, '') ELSE '' END AS generated_response, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, count(*) OVER () AS unfilled FROM sample"
 ORACLE_SQL["summary_document"] = FIND + " SELECT count(*) AS queries, count(*) FILTER (reason IS NULL) AS auto_handle, count(*) FILTER (reason IS NOT NULL) AS escalate, round(100 * count(*) FILTER (reason IS NULL) / count(*), 2) AS auto_handle_percentage FROM decide"
 ORACLE_SQL["result_array"] = FIND + f" SELECT query_id, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, CASE WHEN {RISKS} <> '' THEN true WHEN c.bucket = 'primary_intent' AND evidence_strength >= 2 THEN false END AS reference, reason IS NULL AND d.response IS NOT NULL AS answered FROM decide d JOIN cls c ON c.message_id = d.query_id ORDER BY md5(concat('{R.SAMPLE_SEED}:', query_id)), query_id LIMIT 200"
+ORACLE_SQL["intent_volumes"] = CLS + f" SELECT CAST(date_trunc('hour', {TIME}) AS VARCHAR) AS begins, prim AS intent_id, count(*) AS n FROM cls WHERE {TIME} IS NOT NULL GROUP BY ALL"
+SPOKEN = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
+ORACLE_SQL["judge_stub"] = FIND + f", graded AS (SELECT query_id, 1 + least(4, len(list_intersect({SPOKEN.format("coalesce(query, '')")}, {SPOKEN.format("CASE WHEN reason IS NULL THEN coalesce(response, '') ELSE '' END")}))) AS grade FROM decide) SELECT query_id, CAST(grade AS INT) AS relevance, CAST(grade AS INT) AS grounding, CAST(grade AS INT) AS quality, true AS escalation_correct, grade >= 3 AS acceptable FROM graded"

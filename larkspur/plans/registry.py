@@ -18,6 +18,7 @@ from larkspur.plans.fixture import support_messages
 from larkspur.plans.oracles import ORACLE_SQL
 from larkspur.sources import files
 from larkspur.sources.tables import materialise, scratch, table
+from larkspur.streaming import rules as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,6 +203,12 @@ def component_stats(spark, sf):
     return C.conversation_stats(C.conversations_of(support_messages(spark, sf)), "conversation")
 
 
+@query
+def intent_volumes(spark, sf):
+    """Messages by hour and intent; the same expression counts a stream."""
+    return streams.intent_volumes(support_messages(spark, sf).where("role = 'customer_message'")).select(F.col("window.start").cast("string").alias("begins"), F.col("primary").alias("intent_id"), "n")
+
+
 @query
 def utc_times(spark, sf):
     return support_messages(spark, sf).select("message_id", T.utc_iso(F.col("created_at")).alias("created_at_utc"))

@@ -245,3 +245,25 @@ def test_judge_over_http(reply):
         calls[:] = [0]
         evaluate.http_judge(url, "k", "m", pause=0.01, attempts=1)({"query": "q"})
     server.shutdown()
+
+
+def test_volumes_of_a_stream(spark, tmp_path):
+    """Late messages within the watermark count; those behind it do not."""
+    from larkspur.streaming.rules import intent_volumes
+
+    def arrive(name, *times):
+        rows = [(str(k), "u", "True", f"Tue Oct 31 {t} +0000 2017", "wifi", None, None) for k, t in enumerate(times)]
+        spark.createDataFrame(rows, files.MESSAGE_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    arrive("a", "10:05:00", "10:50:00")
+    source = spark.readStream.schema(files.MESSAGE_SCHEMA).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = intent_volumes(source).writeStream.outputMode("append").format("memory").queryName("volumes").start()
+    try:
+        for name, times in (("b", ["10:59:00", "16:00:00"]), ("c", ["10:10:00", "20:00:00"])):
+            q.processAllAvailable()
+            arrive(name, *times)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {str(r.window.start)[11:16]: r.n for r in spark.table("volumes").collect()}
+    assert got["10:00"] == 3 and got.get("16:00") == 1
