@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from larkspur.sources.tables import materialise
 
 #: Fixed value: what separates words (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that one block of a prefix sum holds on average.
+#: Rows that one block of a prefix sum holds on average, or the root of all rows if that is more: so many blocks meet in one task.
 BLOCK_ROWS = 2_000
 
 
@@ -81,9 +82,10 @@ def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: f
     targets = source_targets(by_source.drop("_rows"), weights, budget, most)
     targets = targets.join(counts, F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_source"), "source_size", "target", "_rows")
     total, count = targets.agg(F.floor(F.sum("target")), F.sum("_rows")).first()
+    blocks = (count or 0) // max(BLOCK_ROWS, isqrt(count or 0))
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     part = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = rows.withColumn("_at", F.floor(F.coalesce(part, F.lit(0.0)) * (F.col("_rows") / BLOCK_ROWS + 1)))
+    rows = rows.withColumn("_at", F.floor(F.coalesce(part, F.lit(0.0)) * (F.col("_rows") / F.greatest(F.lit(float(BLOCK_ROWS)), F.sqrt("_rows")) + 1)))
     ranked = [F.col("place"), F.col("doc_id"), F.col("size"), F.col("row_id")]
     rows = running_total(rows, ["source"], "_at", ranked, F.col("size"), "queued").drop("_at", "_rows")
     start = F.col("queued") + F.col("pass") * F.col("source_size")
@@ -91,11 +93,11 @@ def mix_passes(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), *, budget: f
     rows = rows.withColumn("finish", (start + F.col("size")) / F.when(F.col("target") > 0, F.col("target")))
     rows = rows.where((F.col("pass") == 0) | (start < F.col("target")) & (F.col("size") > 0))
     # What starts at its source's target or later finishes after the cut; it waits behind time 1.
-    rows = rows.withColumn("_time", F.floor(F.least(F.coalesce("finish", F.lit(1.0)), F.lit(1.0)) * ((count or 0) // BLOCK_ROWS + 1)))
+    rows = rows.withColumn("_time", F.floor(F.least(F.coalesce("finish", F.lit(1.0)), F.lit(1.0)) * (blocks + 1)))
     order = [F.col("finish").asc_nulls_last(), F.col("source").asc_nulls_last(), *ranked, F.col("pass")]
     rows = rows.withColumn("queues", F.when(start < F.col("target"), F.col("size")).otherwise(F.lit(0)).cast("long"))
-    waits = F.when(F.col("queues") > 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("row_id"), F.lit((count or 0) // BLOCK_ROWS + 1)))
-    rows = rows.withColumn("_time", F.when(F.col("queues") > 0, F.col("_time")).otherwise((count or 0) // BLOCK_ROWS + 2 + waits))
+    waits = F.when(F.col("queues") > 0, F.lit(-1)).otherwise(F.pmod(F.xxhash64("row_id"), F.lit(blocks + 1)))
+    rows = rows.withColumn("_time", F.when(F.col("queues") > 0, F.col("_time")).otherwise(blocks + 2 + waits))
     rows = running_total(rows, [], "_time", order, F.col("queues"), "before")
     taken = F.greatest(F.lit(0), F.least(F.col("queues"), F.lit(total or 0) - F.col("before")))
     return rows.select("row_id", "doc_id", "source", "size", "source_size", "target", "pass", taken.cast("long").alias("taken"))
