@@ -17,7 +17,7 @@ from larkspur.operators.graph import connected_components
 from larkspur.plans.fixture import support_messages
 from larkspur.plans.oracles import ORACLE_SQL
 from larkspur.sources import files
-from larkspur.sources.tables import materialise, scratch, table
+from larkspur.sources.tables import materialise, scratch, still_there, table
 from larkspur.streaming import rules as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def asked(corpus: DataFrame) -> DataFrame:
 def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(queries, their results), written in the shared folder once a session and table."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _RETRIEVED:
+    if key not in _RETRIEVED or not all(map(still_there, _RETRIEVED[key])):
         corpus = materialise(corpus_of(spark, sf))
         queries, slim = asked(corpus), ("message_id", "conversation_id", "text")
         rows = materialise(retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus))

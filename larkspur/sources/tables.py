@@ -52,6 +52,13 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+def still_there(df: DataFrame) -> bool:
+    """Whether the files that ``df`` was read from are all where they were."""
+    context = df.sparkSession.sparkContext
+    paths = (context._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles())
+    return all(p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():

@@ -60,3 +60,12 @@ def test_entry_module_without_the_llm_subpackage(tmp_path):
     (tmp_path / "larkspur/llm/__init__.py").write_text("")
     (tmp_path / "larkspur/llm/queries.py").write_text("import not_installed_anywhere\n")
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, timeout=120).returncode
+
+
+def test_retrieved_rows_are_written_again_when_their_files_are_gone(spark, sf_dir):
+    from larkspur.plans import registry
+    from larkspur.sources.tables import discard
+
+    before = sorted(QUERIES["tfidf_topk"](spark, sf_dir).collect())
+    discard(registry.retrieved(spark, sf_dir)[1])
+    assert sorted(QUERIES["tfidf_topk"](spark, sf_dir).collect()) == before
