@@ -128,11 +128,14 @@ def row_quality(text: Column) -> Column:
     )
 
 
-def preliminary_annotation(classified: DataFrame) -> DataFrame:
-    """Adds label, confidence, reasons (in order) and risk reasons with the tri-state escalation."""
+def preliminary_annotation(classified: DataFrame, stored: str = "primary") -> DataFrame:
+    """Adds label, confidence, reasons (in order) and risk reasons with the tri-state escalation.
+
+    ``stored`` is the column of the intent that a record came with; ``primary`` is what its text gives now.
+    """
     n, inherited = F.col("evidence_strength"), F.col("bucket") == "primary_intent"
     strong = F.when((F.size("matches") == 1) & (n >= 2), F.get("matches", F.lit(0))["intent_id"])
-    label = F.when(inherited, F.col("primary")).when(F.col("bucket") == "multi_intent", F.lit(None)).otherwise(strong)
+    label = F.when(inherited, F.col(stored)).when(F.col("bucket") == "multi_intent", F.lit(None)).otherwise(strong)
     out = settled(classified, label=label)
     confidence = F.when(inherited & (n >= 2), "high").when(inherited | F.col("label").isNotNull(), "medium").otherwise("low")
     out = settled(out, confidence=confidence)
@@ -144,6 +147,7 @@ def preliminary_annotation(classified: DataFrame) -> DataFrame:
         F.when(F.col("confidence") == "low", F.lit("low confidence")),
         F.when(F.col("words") <= 3, F.lit("short message")),
         F.when(unknown, F.lit("label not among matches")),
+        F.when(inherited & (F.col(stored) != F.col("primary")), F.lit("stored label differs from the text's")),
     )
     out = settled(out, reasons=reasons, risks=F.array_join(risk_reasons(F.col("text")), "; "))
     clear = inherited & (F.col("confidence") == "high")

@@ -340,3 +340,7 @@ ORACLE_SQL["result_array"] = FIND + f" SELECT query_id, CASE WHEN reason IS NULL
 ORACLE_SQL["intent_volumes"] = CLS + f" SELECT CAST(date_trunc('hour', {TIME}) AS VARCHAR) AS begins, prim AS intent_id, count(*) AS n FROM cls WHERE {TIME} IS NOT NULL GROUP BY ALL"
 SPOKEN = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 ORACLE_SQL["judge_stub"] = FIND + f", graded AS (SELECT query_id, 1 + least(4, len(list_intersect({SPOKEN.format("coalesce(query, '')")}, {SPOKEN.format("CASE WHEN reason IS NULL THEN coalesce(response, '') ELSE '' END")}))) AS grade FROM decide) SELECT query_id, CAST(grade AS INT) AS relevance, CAST(grade AS INT) AS grounding, CAST(grade AS INT) AS quality, true AS escalation_correct, grade >= 3 AS acceptable FROM graded"
+ORACLE_SQL["stale_labels"] = NOTE + """, came AS (SELECT *, CASE WHEN conversation_id % 5 = 0 THEN 'apple_watch' ELSE prim END AS stored FROM note),
+told AS (SELECT *, CASE WHEN bucket = 'primary_intent' THEN stored ELSE label END AS given FROM came)
+SELECT message_id, given AS label, confidence, array_to_string(list_concat(list_filter(reasons, lambda r: r <> 'label not among matches'),
+    list_filter([CASE WHEN NOT list_contains(ids, given) THEN 'label not among matches' END, CASE WHEN bucket = 'primary_intent' AND stored <> prim THEN 'stored label differs from the text''s' END], lambda r: r IS NOT NULL)), '; ') AS review_reasons FROM told"""
