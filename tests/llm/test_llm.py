@@ -349,6 +349,28 @@ def test_toxicity_learns_words(spark):
     assert {400, 401} <= kept and len(kept & {k for k in range(400) if toxic[k]}) < 10
 
 
+def test_toxicity_scores_equal_loops():
+    network, rng = toxicity.TextCNN(buckets=64), random.Random(2)
+    network.platt = (1.3, -0.4)
+    w, texts = network.weights, ["", "one", "one two", *[words(rng, n, 30) for n in (3, 8, 25)]]
+    for text, score in zip(texts, network.scores(pa.array(texts)), strict=True):
+        vectors = [w["E"][a] + w["E"][b] for a, b in (toxicity.word_features(x, 64) for x in text.split(" "))]
+        padded, hidden = [*vectors, *[np.zeros(network.size)] * max(toxicity.WIDTHS)], []
+        for k in toxicity.WIDTHS:
+            responses = [np.concatenate(padded[i : i + k]) @ w[f"F{k}"] for i in range(len(vectors))]
+            hidden.append(np.maximum(np.max(responses, axis=0) + w[f"b{k}"], 0))
+        logit = np.concatenate(hidden) @ w["V"] + w["c"][0]
+        assert abs(score - 1 / (1 + np.exp(-1.3 * logit + 0.4))) < 1e-5
+
+
+def test_toxicity_of_held_out_documents(spark, sf_dir):
+    sf = sf_dir.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    found = scored.score >= 0.7
+    assert found[scored.toxic == 1].mean() >= 0.9 and found[scored.toxic == 0].mean() <= 0.02
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -454,6 +476,55 @@ def test_language_models_are_distributions():
         assert (total <= 1 + 1e-9).all() and (total > 0.5).all()
 
 
+def kneser_ney(texts, order):
+    """Log probabilities of a word's characters by dictionaries of strings; a boundary stands on both sides."""
+    spoken = ["|" + w + "|" for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())]
+    tables = []
+    for n in range(1, order + 1):
+        held, left = collections.Counter(), collections.defaultdict(set)
+        for w in spoken:
+            for end in range(max(1, n - 1), len(w)):
+                gram = w[end - n + 1 : end + 1]
+                if n == order or end == n - 1:
+                    held[gram] += 1
+                else:
+                    left[gram].add(w[end - n])
+        for gram, before in left.items():
+            held[gram] += len(before)
+        ones, twos = (sum(v == k for v in held.values()) for k in (1, 2))
+        discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        total, kinds = collections.Counter(), collections.Counter()
+        for gram, v in held.items():
+            total[gram[:-1]] += v
+            kinds[gram[:-1]] += 1
+        tables.append(({g: max(v - discount, 0) / total[g[:-1]] for g, v in held.items()}, {c: discount * kinds[c] / total[c] for c in total}))
+
+    def judged(word):
+        w, out = "|" + word + "|", []
+        for end in range(1, len(w)):
+            floor = tables[0][1].get("", 1.0) / language_id.ALPHABET
+            p = tables[0][0].get(w[end], 0.0) + floor
+            for n in range(2, min(order, end + 1) + 1):
+                seen, weights = tables[n - 1]
+                p = seen.get(w[end - n + 1 : end + 1], 0.0) + weights.get(w[end - n + 1 : end], 1.0) * p
+            out.append(np.log(p))
+        return out
+
+    return judged
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_language_models_equal_dictionaries(order):
+    rng = random.Random(order)
+    texts = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(40)) for _ in range(3)] for lang, letters in (("x", "abcdé"), ("y", "abuv"))}
+    models = language_id.LanguageModels(texts, order)
+    for k, lang in enumerate(models.languages):
+        judged = kneser_ney(texts[lang], order)
+        for word in ("a", "abba", "bébé", "uvav", "zz", "cdcdcdcd"):
+            logs, counts = models.score_pieces([word])
+            assert counts[0] == len(word) + 1 and abs(logs[0, k] - sum(judged(word))) < 1e-6
+
+
 def test_language_identification(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.identify(docs, language_id.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
