@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import mixing
+from larkspur.llm.oracles import ORACLE_SQL
 from larkspur.sources.tables import table
 
 #: Fixed values of the url filter's contract: (host, path, verdict).
@@ -81,5 +82,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing)}
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1_url_filter SQL can express: hosts, paths and the rules' own verdicts."""
+    return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7_simhash SQL can express: sizes and edited texts."""
+    return op7_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing, url_rules, edited_texts)}
