@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices, words_of
 from larkspur.operators.graph import connected_components
-from larkspur.sources.tables import materialise
+from larkspur.sources.tables import discard, materialise
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,7 +220,10 @@ def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, ban
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
     named = ids.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return materialise(named), again
+    named = materialise(named)
+    for used in (marks, copies, ids, members, grams, star, more, classes):
+        discard(used)
+    return named, again
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
