@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, mixing, nearest, near_duplicates, packing, repeats, simhash, token_counts, toxicity, url_templates
+from larkspur.llm import language_id, mixing, nearest, near_duplicates, packing, queries, repeats, simhash, token_counts, toxicity, url_templates
 from larkspur.llm.queries import URL_RULES, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, rep long, size int, place string"
@@ -456,14 +456,21 @@ def test_mixing_meets_targets(spark):
     assert got.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
 
 
-def test_mixing_equals_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_sql(spark, sf_dir, name):
     import duckdb
 
     connection = duckdb.connect()
-    connection.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    theirs = connection.execute(mixing.ORACLE).df().sort_values("doc_id")
-    ours = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).toPandas().sort_values("doc_id")
-    assert ours[list(theirs.columns)].values.tolist() == theirs.values.tolist()
+    for table in ("documents", "pages"):
+        connection.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    theirs = connection.execute(queries.ORACLE_SQL[name]).df()
+    ours = queries.QUERIES[name](spark, sf_dir).toPandas()
+
+    def rows(df):
+        plain = df[sorted(theirs.columns)].astype(object)
+        return sorted(map(repr, plain.where(plain.notna(), None).values.tolist()))
+
+    assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
 
 
 def test_language_models_are_distributions():
