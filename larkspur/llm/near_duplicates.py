@@ -213,15 +213,16 @@ def row_classes(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, ban
     linked = star.where(F.col("likeness") >= similarity).select("x", "y")
     classes = connected_components(linked, "x", "y")
     member = star.select(F.col("x").alias("rep"), F.col("y").alias("leader"), (F.col("likeness") >= similarity).alias("linked"))
-    member = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = materialise(member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     heads = member.select("leader").distinct().join(classes.withColumnRenamed("node", "leader"), "leader", "left").select("leader", F.coalesce("component", "leader").alias("component"))
-    several = member.select("leader", "component").unionByName(heads).groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("leader")
+    several = member.select("leader", "component").unionByName(heads).groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    several = materialise(several.select("leader"))
     more = materialise(verified(across_classes(member.join(several, "leader"), grams, similarity)).where(F.col("likeness") >= similarity).select("x", "y"))
     if more.limit(1).count():
         classes = connected_components(linked.unionByName(more), "x", "y")
     named = ids.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = materialise(named)
-    for used in (marks, copies, ids, members, grams, star, more, classes):
+    for used in (marks, copies, ids, members, grams, star, member, several, more, classes):
         discard(used)
     return named, again
 
