@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing
+from larkspur.llm import kd_clusters, mixing, vector_codes
 
 #: All pairs of texts that share a shingle, and what links of 0.8 and more connect.
 NEAR_DUPLICATES = r"""
@@ -48,4 +48,4 @@ WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(
 SELECT doc_id, len(text) AS n_chars, sha256(substr(text, 1, len(text) - len(text) // 4) || substr(following, 1, len(text) // 4)) AS edited_sha256 FROM rows
 """
 
-ORACLE_SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op3_repeats": REPEATS, "op8_mixing": mixing.ORACLE, "url_rules": URL_RULES, "edited_texts": EDITED_TEXTS}
+ORACLE_SQL = {"op2_near_duplicates": NEAR_DUPLICATES, "op3_repeats": REPEATS, "op8_mixing": mixing.ORACLE, "op11_kd_clusters": kd_clusters.oracle(), "op12_vector_codes": vector_codes.oracle(), "url_rules": URL_RULES, "edited_texts": EDITED_TEXTS}

@@ -82,6 +82,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.kd_clusters import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.quality import judge_quality
+
+    scored = judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op1_url_filter SQL can express: hosts, paths and the rules' own verdicts."""
     return op1_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
@@ -92,4 +111,4 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing, url_rules, edited_texts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing, op11_kd_clusters, op12_vector_codes, op13_quality, url_rules, edited_texts)}

@@ -461,7 +461,7 @@ def test_queries_equal_sql(spark, sf_dir, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         connection.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     theirs = connection.execute(queries.ORACLE_SQL[name]).df()
     ours = queries.QUERIES[name](spark, sf_dir).toPandas()
