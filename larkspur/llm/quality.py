@@ -126,7 +126,11 @@ class Discriminant:
 
     def differences(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0 with the classes' prior odds, on a scale that is logarithmic far out."""
-        far = [0.5 * (((x - m) @ inverse.T) ** 2).sum(axis=1) + half for m, (inverse, half) in zip(self.means, self.factors, strict=True)]
+        far = []
+        for mean, (inverse, half) in zip(self.means, self.factors, strict=True):
+            left = (x - mean).T
+            # Component by component: a row's value does not depend on the batch it is in, as it would with a matrix product.
+            far.append(sum(0.5 * sum(inverse[i, j] * left[j] for j in range(i + 1)) ** 2 for i in range(len(mean))) + half)
         return np.arcsinh(far[0] - far[1] + self.prior)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
