@@ -286,6 +286,9 @@ SELECT bucket, intent, split_part(rejected, '/', 1) AS reason, split_part(reject
     "corrupt_records": MSG + """, entry AS (SELECT conversation_id % 7 = 2 AS bad, message_id, turn, '{"message_id": "' || message_id || '", "turn": ' || turn || '}' AS whole FROM msg) SELECT CASE WHEN bad THEN 'bad' ELSE 'row' END AS kind, CASE WHEN bad THEN substr(whole, 1, 15) ELSE message_id || '/' || turn END AS what FROM entry""",
     "digest_is_stable": "SELECT true AS copy_equal, false AS lacking_equal",
     "near_dup_pairs": CLS + f", s AS (SELECT message_id AS id, {content("text")} AS t FROM cls) SELECT a.id AS left_id, b.id AS right_id, CAST(len(list_intersect(a.t, b.t)) AS INT) AS shared FROM s a JOIN s b ON a.id < b.id WHERE len(a.t) >= 6 AND len(b.t) >= 6 AND len(list_intersect(a.t, b.t)) >= 4 AND len(list_intersect(a.t, b.t)) >= 0.7 * least(len(a.t), len(b.t))",
+    "near_dup_links": CLS + f""", s AS (SELECT message_id AS id, {content("text")} AS t FROM cls), long AS (SELECT id, list_sort(t) AS t FROM s WHERE len(t) >= 6)
+SELECT a.id AS message_id, (SELECT min(c.id) FROM long c WHERE c.t = a.t) AS set_id, count(b.id) AS n_links
+FROM long a LEFT JOIN long b ON a.id <> b.id AND len(list_intersect(a.t, b.t)) >= 4 AND len(list_intersect(a.t, b.t)) >= 0.7 * least(len(a.t), len(b.t)) GROUP BY a.id, a.t""",
     "overlap_score": CLS + f", o AS (SELECT message_id, list_distinct({words("text")}) AS a, list_distinct({words("response")}) AS b FROM cls0 WHERE response IS NOT NULL) SELECT message_id, round({overlap("a", "b")}, 9) AS overlap FROM o",
     "bucket_rank": RANKED + " SELECT message_id, bucket, CAST(bucket_rank AS INT) AS bucket_rank FROM ranked",
     "quota_allocation": CLS + ", c AS (SELECT prim AS intent_id, count(*) AS n FROM cls WHERE bucket = 'primary_intent' GROUP BY prim), r AS (SELECT *, n / sum(n) OVER () * 52 AS raw FROM c), f AS (SELECT *, floor(raw) AS q FROM r) SELECT intent_id, n, CAST(q + CASE WHEN row_number() OVER (ORDER BY raw - q DESC, n, intent_id DESC) <= 52 - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS quota FROM f",

@@ -17,7 +17,7 @@ from larkspur.operators.graph import connected_components
 from larkspur.plans.fixture import support_messages
 from larkspur.plans.oracles import ORACLE_SQL
 from larkspur.sources import files
-from larkspur.sources.tables import materialise, scratch, still_there, table
+from larkspur.sources.tables import materialise, scratch, still_there, table, version
 from larkspur.streaming import rules as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,9 @@ QUERIES: dict[str, Query] = {}
 #: Sizes of a pool and a golden set that fit the small tables; ``rules`` has those of the product.
 POOL_QUOTAS = {"primary_intent": 60, "unclassified": 26, "multi_intent": 24, "ambiguous": 15}
 GOLDEN_GROUPS = [*(("primary_intent", intent, k // 3) for intent, k in R.INTENT_QUOTAS), ("unclassified", "", 10), ("multi_intent", "", 8), ("ambiguous", "", 8)]
-#: The retrieved rows of the table last asked for, written once for all queries that build on them.
-_RETRIEVED: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+#: The retrieved rows of the table last asked for, written once for all queries that build on them. The key tells the
+#: table's files by size and time of change, so rows of a table that has changed since are never served.
+_RETRIEVED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def query(f: Query) -> Query:
@@ -54,8 +55,8 @@ def asked(corpus: DataFrame) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, their results), written in the shared folder once a session and table."""
-    key = (spark.sparkContext.applicationId, sf)
+    """(queries, their results), written in the shared folder once a session and state of the table."""
+    key = (spark.sparkContext.applicationId, sf, *version(table(spark, sf, "conversations")))
     if key not in _RETRIEVED or not all(map(still_there, _RETRIEVED[key])):
         corpus = materialise(corpus_of(spark, sf))
         queries, slim = asked(corpus), ("message_id", "conversation_id", "text")
@@ -298,6 +299,13 @@ def near_dup_pairs(spark, sf):
     return sampling.near_duplicate_pairs(classified(spark, sf), "message_id", "text")
 
 
+@query
+def near_dup_links(spark, sf):
+    """The same without listing pairs: each message with the least id of its words and the number of its near duplicates."""
+    links = sampling.near_duplicate_links(classified(spark, sf), "message_id", "text")
+    return links.select(F.col("id").alias("message_id"), "set_id", "n_links")
+
+
 @query
 def overlap_score(spark, sf):
     rows = C.immediate_responses(support_messages(spark, sf)).where("response is not null")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,16 @@ def still_there(df: DataFrame) -> bool:
     return all(p.getFileSystem(context._jsc.hadoopConfiguration()).exists(p) for p in paths)
 
 
+def version(df: DataFrame) -> tuple[int, int]:
+    """What the files of a table read from a store are now: a digest of their paths, sizes and times of change.
+
+    Only their metadata is read. A file that is replaced, added or taken away gives another version.
+    """
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("file")
+    found = df.select(file).distinct().agg(F.count(F.lit(1)), F.bit_xor("file")).first()
+    return found[0], found[1] or 0
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():

@@ -3,15 +3,18 @@
 import http.server
 import json
 import random
+import re
 import threading
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larkspur.functions import text as T
 from larkspur.operators import classify, evaluate, sampling
 from larkspur.operators import conversations as C
 from larkspur.operators.graph import connected_components
+from larkspur.operators.ranks import ranked
 from larkspur.sources import files
 
 
@@ -267,3 +270,75 @@ def test_volumes_of_a_stream(spark, tmp_path):
         q.stop()
     got = {str(r.window.start)[11:16]: r.n for r in spark.table("volumes").collect()}
     assert got["10:00"] == 3 and got.get("16:00") == 1
+
+
+def test_ranks_equal_row_numbers(spark):
+    """Groups of all sizes, one of them most of the rows, null among them, over more ranges than groups."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([1, 2, None]), rng.randrange(50), k) for k in range(3_000)]
+    table = spark.createDataFrame(rows, "g string, h int, v int, id int")
+    order = [F.desc("v"), F.col("id").asc()]
+    found = ranked(table, ["g", "h"], order, "r")
+    assert found.columns == ["g", "h", "v", "id", "r"] and "Window" not in found._jdf.queryExecution().toString()
+    own = Window.partitionBy("g", "h").orderBy(*order)
+    assert sorted(found.collect(), key=lambda r: r.id) == sorted(table.withColumn("r", F.row_number().over(own)).collect(), key=lambda r: r.id)
+    assert ranked(table.limit(0), ["g"], order, "r").collect() == []
+
+
+def test_no_window_is_keyed_by_bucket(spark, sf_dir):
+    from larkspur.plans.registry import QUERIES
+
+    for name in ("bucket_rank", "golden_rank", "pool_select", "replacement_pairs", "quality_rejections"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Window \[.*\], \[bucket", plan), name
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_union_find(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(100, 300)] + [(0, k) for k in range(1, 60)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)] + [(700, 700), (None, 3), (701, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    told, table = [], spark.createDataFrame(edges + edges[:50], "src int, dst int")
+    assert {r.node: r.component for r in connected_components(table).collect()} == {n: root(n) for n in parent}
+    found = connected_components(table, last=0, told=told)
+    assert {r.node: r.component for r in found.collect()} == {n: root(n) for n in parent}
+    # The path of 200 edges and all else: what is left falls from round to round, to none.
+    assert told[-1] == 0 and all(x > y for x, y in zip(told, told[1:])) and len(told) <= 14
+
+
+@pytest.mark.parametrize("fold_items", [0, 4, 200])
+def test_greedy_by_components_equals_one_by_one(spark, fold_items):
+    rng = random.Random(3)
+    conflicts = [(k, k + 1) for k in range(20)] + [tuple(sorted(rng.sample(range(30 + 6 * g, 36 + 6 * g), 2))) for g in range(10) for _ in range(7)]
+    accepted = set()
+    for k in range(100):
+        if not any(e in accepted for e, x in conflicts if x == k):
+            accepted.add(k)
+    found = sampling.greedy_accept(spark.range(100).selectExpr("cast(id as int) item"), spark.createDataFrame(conflicts, "earlier int, later int"), fold_items=fold_items)
+    assert {r.item for r in found.collect() if r.accepted} == accepted and found.count() == 100
+
+
+@pytest.mark.parametrize("heavy", [3, 10_000])
+def test_candidate_sets_lose_no_pair_and_are_few(spark, heavy):
+    rng = random.Random(11)
+    vocabulary = [f"word{k:03d}x" for k in range(300)]
+    texts = [rng.sample(vocabulary[:40], rng.randint(6, 14)) + rng.sample(vocabulary, 5) for _ in range(150)]
+    texts += [t[: len(t) - rng.randint(0, 4)] for t in texts[:60]]
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), "id int, text string")
+    sets = sampling.token_sets(docs, "id", "text", least=6)
+    forms = sampling.forms_of(sets)
+    candidates = {frozenset((r.a, r.b)) for r in sampling.candidate_sets(forms, heavy=heavy).collect()}
+    own = {r.id: (r.form, set(r.tokens)) for r in sets.collect()}
+    exact = {frozenset((f, g)) for f, a in own.values() for g, b in own.values() if f != g and len(a & b) >= max(4, 0.7 * min(len(a), len(b)))}
+    meeting = sum(bool(a & b) for x, (f, a) in own.items() for y, (g, b) in own.items() if x < y and f != g)
+    assert exact <= candidates and len(candidates) < 0.5 * meeting

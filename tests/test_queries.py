@@ -69,3 +69,13 @@ def test_retrieved_rows_are_written_again_when_their_files_are_gone(spark, sf_di
     before = sorted(QUERIES["tfidf_topk"](spark, sf_dir).collect())
     discard(registry.retrieved(spark, sf_dir)[1])
     assert sorted(QUERIES["tfidf_topk"](spark, sf_dir).collect()) == before
+
+
+def test_retrieval_sees_a_table_that_changes(spark, sf_dir, tmp_path):
+    table = tmp_path / "conversations.parquet"
+    shutil.copy(f"{sf_dir}/conversations.parquet", table)
+    before = QUERIES["tfidf_topk"](spark, str(tmp_path)).count()
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 2 = 0").toPandas().to_parquet(table)
+    rows = QUERIES["tfidf_topk"](spark, str(tmp_path)).collect()
+    asked = {str(r.query_id) for r in rows}
+    assert 0 < len(rows) < before and all(int(q) // 100 % 2 == 0 for q in asked)
