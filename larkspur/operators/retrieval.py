@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +12,8 @@ from pyspark.sql.window import Window
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators.classify import decision_risk, present, response_type, settled
-from larkspur.sources.tables import materialise
+from larkspur.operators.ranks import ranked
+from larkspur.sources.tables import discard, materialise
 
 USABLE_TYPES = ("diagnostic_question", "direct_guidance")
 
@@ -34,52 +38,117 @@ def norms(weighted: DataFrame) -> DataFrame:
     return weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
 
 
-def unit_weights(docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, home, token, df, u): weights over the text's norm; ``home`` is its conversation."""
-    weighted = term_counts(docs, "message_id", "text").join(idf, "token").select("id", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    whole = docs.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"))
-    return weighted.join(norms(weighted), "id").join(whole, "id").select("id", "home", "token", "df", (F.col("w") / F.col("norm")).alias("u"))
-
-
-def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, rare: int = 1_000) -> DataFrame:
+def token_bags(docs: DataFrame) -> DataFrame:
+    """(id, home, bag, tokens): texts with their tokens sorted, repeats kept; texts of equal tokens have one ``bag``. Texts without tokens are left out."""
+    rows = docs.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"), F.col("text").alias("text"))
+    rows = settled(rows, tokens=F.array_sort(T.retrieval_tokens(F.col("text"), R.STOP_WORDS)))
+    return rows.where(F.size("tokens") > 0).select("id", "home", F.md5(F.array_join("tokens", " ").cast("binary")).alias("bag"), "tokens")
+
+
+def bag_weights(bags: DataFrame, idf: DataFrame) -> DataFrame:
+    """(bag, token, df, u): tf-idf weights over the bag's norm, of (bag, tokens) rows; tokens without an idf do not count."""
+    terms = bags.select("bag", F.explode("tokens").alias("token")).groupBy("bag", "token").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = terms.join(idf, "token").select("bag", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weighted.groupBy("bag").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighted.join(norm, "bag").select("bag", "token", "df", (F.col("w") / F.col("norm")).alias("u"))
+
+
+@dataclass
+class Postings:
+    """An index by token. ``lists`` (token, block, bag, u): each token's bags by falling weight, in blocks that double in size;
+    ``tops`` (token, tops): each block's greatest weight; ``held`` (bag, held): weights by token; ``members`` (bag, doc_id, home)."""
+
+    idf: DataFrame
+    lists: DataFrame
+    tops: DataFrame
+    held: DataFrame
+    members: DataFrame
+
+
+def first_of(rows: DataFrame, group: list[str], order: list[Column], n: int, name: str = "_r") -> DataFrame:
+    """The first ``n`` rows of each group, numbered. A filter on row_number is a bounded top-n: each task drops all but its own first n
+    before anything is shuffled (WindowGroupLimit), so a group with most rows is no task's."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
+
+
+def index_postings(corpus: DataFrame, *, k: int = 5, first_block: int = 64) -> Postings:
+    """The index of (message_id, conversation_id, text). Texts of equal tokens are one bag, of which the least ids stand for all:
+    2k + 2, at most k + 1 of one conversation, which is what any k results can need (see :func:`search`)."""
+    texts = materialise(token_bags(corpus))
+    bags = materialise(texts.groupBy("bag").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
+    documents = corpus.count()
+    df = bags.select("n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
+    idf = materialise(df.select("token", "df", (F.log(F.lit(documents + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
+    weighted = materialise(bag_weights(bags, idf).select("bag", "token", "u"))
+    placed = ranked(weighted, ["token"], [F.desc("u"), F.col("bag").asc()], "impact")
+    block = F.floor(F.log2(1.0 + (F.col("impact") - 1) / first_block)).cast("int")
+    lists = materialise(placed.select("token", block.alias("block"), "bag", "u"))
+    tops = lists.groupBy("token", "block").agg(F.max("u").alias("top")).groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "top"))), lambda x: x["top"]).alias("tops"))
+    held = weighted.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("held"))
+    few = first_of(texts.select("bag", F.col("id").alias("doc_id"), "home"), ["bag", "home"], [F.col("doc_id").asc()], k + 1).drop("_r")
+    members = first_of(few, ["bag"], [F.col("doc_id").asc()], 2 * k + 2).drop("_r")
+    index = Postings(idf, lists, materialise(tops), materialise(held), materialise(members))
+    for table in (weighted, bags, texts):
+        discard(table)
+    return index
+
+
+def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: int = 64, told: list[int] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score): the k nearest by cosine, not the same message nor its conversation.
 
-    Both frames have message_id, conversation_id and text. Only documents that share a token are
-    scored, and frequent tokens are joined for those queries alone that need them: the k-th best score
-    by tokens of at most ``rare`` documents is a floor under the k-th best of all, and of a query's
-    tokens, rarest first, only as many are joined as a document must share one of to reach the floor
-    (each token's bound is its weight times its greatest weight in any document). What can reach the
-    floor with the other tokens is then scored by them too. So the result is that of comparing with
-    every document. Scores are rounded to 9 digits before they are ordered, ties to the smaller id.
+    Both frames have message_id, conversation_id and text. The result is that of comparing with every document, without reading
+    whole posting lists. Texts of equal tokens ask once and are found once: 2k + 2 documents, at most k + 1 of a
+    conversation, are enough for each of them, whatever its own conversation is, which takes k + 1 places at most.
+
+    A query first reads the beginnings of its tokens' lists, where weights are greatest (further blocks only until that many
+    documents are found); the last exact score of the best it finds is a floor. Of its tokens, rarest first, those are read
+    of which a document must hold one to reach the floor, and of their lists only blocks and rows whose weight reaches the
+    same share of the list's greatest: with less in every token that is read, and the most in every other, the floor is not
+    reached. What was met is scored exactly. Scores are rounded to 9 digits before they are ordered, ties to
+    the smaller id. ``told`` gets the number of postings met. A null conversation finds nothing; texts without tokens ask nothing.
     """
-    terms = term_counts(corpus, "message_id", "text")
-    idf = materialise(inverse_frequencies(terms, corpus.count()))
-    stored = materialise(unit_weights(corpus, idf))
-    most = stored.groupBy("token").agg(F.max("u").alias("most"))
-    asked = unit_weights(queries, idf).join(most, "token")
-    asked = materialise(asked.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), "token", "df", F.col("u").alias("q"), (F.col("u") * F.col("most")).alias("bound")))
-    postings = stored.select(F.col("id").alias("doc_id"), "home", "token", "u")
-
-    def products(left: DataFrame) -> DataFrame:
-        met = left.join(postings, "token").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")))
-        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("part"))
-    top = products(asked.where(F.col("df") <= rare)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    floor = top.groupBy("query_id").agg(F.min("part").alias("least"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", (F.col("least") - 1e-8).alias("floor"))
-    onward = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
-    split = asked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))).withColumn("joined", F.sum("bound").over(onward) >= F.col("floor"))
-    split = materialise(split)
-    others = split.where(~F.col("joined")).groupBy("query_id").agg(F.sum("bound").alias("left_over"), F.first("floor").alias("floor"), F.collect_list(F.struct("token", "q")).alias("others"))
-    found = products(split.where("joined")).join(others, "query_id", "left").where(F.col("others").isNull() | (F.col("part") + F.col("left_over") >= F.col("floor")))
-    found = materialise(found)
-    maps = stored.groupBy(F.col("id").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("held"))
-    more = found.where("others is not null").join(maps, "doc_id")
-    rest = F.aggregate("others", F.lit(0.0), lambda total, t: total + t["q"] * F.coalesce(F.element_at("held", t["token"]), F.lit(0.0)))
-    whole = more.withColumn("part", F.col("part") + rest).select("query_id", "doc_id", "part").unionByName(found.where("others is null").select("query_id", "doc_id", "part"))
-    scored = whole.select("query_id", "doc_id", F.round("part", 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    index, need = index_postings(corpus, k=k, first_block=first_block), 2 * k + 2
+    own = materialise(token_bags(queries))
+    weighted = bag_weights(own.groupBy("bag").agg(F.first("tokens").alias("tokens")), index.idf).withColumnsRenamed({"bag": "asked", "u": "q"})
+    asked = weighted.join(index.tops, "token").withColumn("bound", F.col("q") * F.get("tops", F.lit(0)))
+    asked = materialise(asked)
+    vectors = materialise(asked.groupBy("asked").agg(F.collect_list(F.struct("token", "q")).alias("vector"), F.max(F.size("tops")).alias("depth")))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """(asked, doc_id, home, score, exact) of (asked, bag) pairs: of each asked bag what any of its texts can need."""
+        score = F.aggregate("vector", F.lit(0.0), lambda total, t: total + t["q"] * F.coalesce(F.element_at("held", t["token"]), F.lit(0.0)))
+        whole = pairs.join(index.held, "bag").join(vectors.select("asked", "vector"), "asked").select("asked", "bag", score.alias("exact"))
+        found = whole.join(index.members, "bag").select("asked", "doc_id", "home", F.round("exact", 9).alias("score"), "exact")
+        order = [F.desc("score"), F.col("doc_id").asc()]
+        return first_of(first_of(found, ["asked", "home"], order, k + 1).drop("_r"), ["asked"], order, need)
+
+    # Floors: further blocks for those alone that have found too few.
+    floors, still, depth = [], vectors.select("asked", "depth"), 0
+    while True:
+        begun = asked.join(still.select("asked"), "asked", "left_semi").select("asked", "token", "q")
+        met = begun.join(index.lists.where(F.col("block") <= depth), "token").groupBy("asked", "bag").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
+        best = scored(first_of(met, ["asked"], [F.desc("part"), F.col("bag").asc()], 2 * need).select("asked", "bag"))
+        full = best.where(F.col("_r") == need).select("asked", (F.col("exact") - 1e-8).alias("floor"))
+        floors.append(materialise(full))
+        # One whose lists are read to their ends has no floor: everything it shares a token with is scored.
+        still = materialise(still.where(F.col("depth") > depth + 1).join(floors[-1], "asked", "left_anti"))
+        if not still.limit(1).count():
+            break
+        depth += 2
+    floor = reduce(DataFrame.unionByName, floors)
+    onward = Window.partitionBy("asked").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
+    split = asked.join(floor, "asked", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))).withColumn("read", F.sum("bound").over(onward) >= F.col("floor"))
+    whole = Window.partitionBy("asked")
+    left_over, bounds = F.sum(F.when(~F.col("read"), F.col("bound")).otherwise(0.0)).over(whole), F.sum(F.when(F.col("read"), F.col("bound")).otherwise(0.0)).over(whole)
+    split = split.withColumn("least", (F.col("floor") - left_over) / bounds * F.get("tops", F.lit(0)) - 1e-9).where("read")
+    blocks = split.select("asked", "token", "least", F.explode(F.transform(F.filter("tops", lambda x: x >= F.col("least")), lambda x, i: i)).alias("block"))
+    met = materialise(blocks.join(index.lists, ["token", "block"]).where("u >= least").select("asked", "bag"))
+    if told is not None:
+        told.append(met.count())
+    best = materialise(scored(met.distinct()).drop("_r", "exact"))
+    mine = own.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), F.col("bag").alias("asked"))
+    found = mine.join(best, "asked").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")) & (F.col("score") > 0))
+    return first_of(found, ["query_id"], [F.desc("score"), F.col("doc_id").asc()], k, "rank").select("query_id", "rank", "doc_id", "score")
 
 
 def results(queries: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:

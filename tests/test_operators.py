@@ -1,7 +1,9 @@
 """Operators on small inputs, with nulls, ties and repeats."""
 
+import collections
 import http.server
 import json
+import math
 import random
 import re
 import threading
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larkspur.functions import text as T
-from larkspur.operators import classify, evaluate, sampling
+from larkspur.operators import classify, evaluate, retrieval, sampling
 from larkspur.operators import conversations as C
 from larkspur.operators.graph import connected_components
 from larkspur.operators.ranks import ranked
@@ -342,3 +344,42 @@ def test_candidate_sets_lose_no_pair_and_are_few(spark, heavy):
     exact = {frozenset((f, g)) for f, a in own.values() for g, b in own.values() if f != g and len(a & b) >= max(4, 0.7 * min(len(a), len(b)))}
     meeting = sum(bool(a & b) for x, (f, a) in own.items() for y, (g, b) in own.items() if x < y and f != g)
     assert exact <= candidates and len(candidates) < 0.5 * meeting
+
+
+@pytest.mark.parametrize("first_block", [1, 3, 20, 64])
+def test_search_equals_comparing_with_every_document(spark, first_block):
+    """Texts of frequent tokens alone, copies within and across conversations, and texts without tokens."""
+    rng = random.Random(5)
+    common, rare = [f"word{k}" for k in range(6)], [f"seldom{k}" for k in range(60)]
+    texts = [" ".join(rng.choices(common, k=rng.randint(1, 5)) + rng.sample(rare, rng.choice([0, 0, 1, 2]))) for _ in range(220)]
+    texts += [texts[k % 7] for k in range(60)] + ["", "a", "word0"] * 3
+    rows = [(f"{k:04d}", rng.choice([1, 1, 1, *range(2, 60)]), t) for k, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "message_id string, conversation_id int, text string")
+    tokens = [re.findall("[a-z0-9]{3,}", t) for t in texts]
+    df = collections.Counter(t for own in tokens for t in set(own))
+    vectors = []
+    for own in tokens:
+        w = {t: n * (math.log((len(texts) + 1) / (df[t] + 1)) + 1) for t, n in collections.Counter(own).items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        vectors.append({t: x / norm for t, x in w.items()})
+    expected = {}
+    for (query, home, _), q in zip(rows, vectors):
+        scores = [(-round(sum(x * d[t] for t, x in q.items() if t in d), 9), doc) for (doc, other, _), d in zip(rows, vectors) if other != home and doc != query]
+        expected |= {(query, r): (doc, -s) for r, (s, doc) in enumerate(sorted(x for x in scores if x[0] < 0)[:5], 1)}
+    told = []
+    found = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in retrieval.search(corpus, corpus, first_block=first_block, told=told).collect()}
+    assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in expected.items()}
+    assert all(math.isclose(found[k][1], expected[k][1], abs_tol=2e-9) for k in expected)
+    # Fewer postings are met than those of all tokens of all different texts.
+    assert told[0] < sum(df[t] for own in {tuple(sorted(set(o))) for o in tokens} for t in own)
+
+
+def test_search_of_nothing(spark):
+    corpus = spark.createDataFrame([], "message_id string, conversation_id int, text string")
+    assert retrieval.search(corpus, corpus).collect() == []
+
+
+def test_a_top_n_is_cut_before_it_is_shuffled(spark):
+    rows = spark.range(1000).selectExpr("id % 3 g", "id")
+    plan = retrieval.first_of(rows, ["g"], [F.col("id").asc()], 3)._jdf.queryExecution().executedPlan().toString()
+    assert re.search("WindowGroupLimit.*Partial", plan) and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
