@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions import prefilter
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 
@@ -25,11 +26,20 @@ def hits(normal: Column, pattern: str) -> Column:
     return normal.rlike(T.bounded(pattern))
 
 
-def intent_matches(normal: Column) -> Column:
-    """Array of (intent_id, evidence): the patterns of each intent that the normalised text holds."""
+#: Every pattern of every intent.
+_PATTERNS = tuple(p for _, patterns in R.INTENTS for p in patterns)
+
+
+def intent_matches(normal: Column, heads: Column | None = None) -> Column:
+    """Array of (intent_id, evidence): the patterns of each intent that the normalised text holds.
+
+    ``heads`` is :func:`prefilter.heads` of the text by all patterns, best settled as a column before: a pattern
+    is searched only in texts of which a word begins as the pattern does.
+    """
+    heads = prefilter.heads(normal, _PATTERNS) if heads is None else heads
     one = []
     for intent, patterns in R.INTENTS:
-        evidence = present(*(F.when(hits(normal, p), F.lit(p)) for p in patterns))
+        evidence = present(*(F.when(prefilter.possible(heads, p, _PATTERNS) & hits(normal, p), F.lit(p)) for p in patterns))
         one.append(F.struct(F.lit(intent).alias("intent_id"), evidence.alias("evidence")))
     return F.filter(F.array(*one), lambda m: F.size(m["evidence"]) > 0)
 
@@ -56,8 +66,9 @@ def assign_bucket(matches: Column, words: Column, non_support: Column) -> Column
 def classify_messages(messages: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds normal, matches, primary, evidence_strength, words, non_support and bucket."""
     base = settled(messages, normal=T.normalized(F.col(text_col)))
+    base = settled(base, _heads=prefilter.heads(F.col("normal"), _PATTERNS))
     words = F.size(T.found(F.col("normal"), r"[a-z][a-z0-9']*"))
-    base = settled(base, matches=intent_matches(F.col("normal")), words=words, non_support=is_non_support(F.col("normal")))
+    base = settled(base, matches=intent_matches(F.col("normal"), F.col("_heads")), words=words, non_support=is_non_support(F.col("normal"))).drop("_heads")
     strength = F.aggregate("matches", F.lit(0), lambda n, m: n + F.size(m["evidence"]))
     bucket = assign_bucket(F.col("matches"), F.col("words"), F.col("non_support"))
     return settled(base, primary=primary_intent(F.col("matches")), evidence_strength=strength, bucket=bucket)

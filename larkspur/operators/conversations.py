@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators.graph import connected_components
+from larkspur.operators.ranks import ranked
 
 REQUIRED = ("message_id", "author_id", "inbound", "created_at", "text", "response_ids", "parent_ids")
 
@@ -123,10 +124,11 @@ def brand_conversations(messages: DataFrame, brand: str) -> DataFrame:
 
 
 def conversation_list(messages: DataFrame, key: str = "conversation_id") -> DataFrame:
-    """Conversations by the id of their first message as text, with that id and their counts."""
+    """Conversations by the id of their first message as text, with their place in that order, that id and their counts."""
     whole = nested(messages, key).withColumn("first_id", F.col("messages")[0]["message_id"])
     usable = (F.col("customer_message_count") > 0) & (F.col("brand_response_count") > 0)
-    return whole.select("first_id", key, "message_count", "customer_message_count", "brand_response_count", usable.alias("usable")).orderBy("first_id", key)
+    told = whole.select("first_id", key, "message_count", "customer_message_count", "brand_response_count", usable.alias("usable"))
+    return ranked(told, [], [F.col("first_id").asc(), F.col(key).asc()], "place").orderBy("place")
 
 
 def brand_ranking(scores: DataFrame) -> DataFrame:

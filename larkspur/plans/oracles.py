@@ -263,11 +263,11 @@ SELECT brand, outbound, issues, responses, usable, round(rate, 6) AS link_rate,
     "quality_reasons": f"WITH d AS (SELECT doc_id, {QT} AS t FROM documents) SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, len(t) >= 8 AND len(list_distinct(t)) < 0.2 * len(t) AS low_diversity, len(t) >= 8 AND coalesce(list_max(map_values(list_histogram(t))), 0) >= 0.5 * len(t) AS repeated FROM d",
     "exact_dup_groups": rf"SELECT md5(c) AS canonical_md5, count(*) AS n FROM (SELECT {squeeze(rf"regexp_replace(regexp_replace({normal('text')}, 'www\.[^\s]+|#[\pL\pN_]+', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g')")} AS c FROM documents) GROUP BY c HAVING count(*) > 1",
     "mojibake": f"WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' itâ€™s cafÃ© ' || repeat('I' || chr(65039), 4) ELSE text END AS text FROM documents), q AS (SELECT doc_id, coalesce(text, '') AS text, {QT} AS t FROM m) SELECT doc_id, {damaged('text')} AS bad, {quality('t', 'text')} AS reason FROM q",
-    "invisible_characters": "SELECT doc_id, coalesce(substr(text, 1, 20) || ' ' || lang, '') AS shown FROM (SELECT doc_id, replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(65279), '') AS text, lang FROM documents)",
+    "invisible_characters": "SELECT doc_id, md5(coalesce(text || ' ' || lang, '')) AS shown_md5 FROM (SELECT doc_id, replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(65279), '') AS text, lang FROM documents)",
     "canonical_forms": MSG + f", late AS (SELECT message_id, text || ' #Late www.example.com/x' AS text FROM msg) SELECT message_id, {canon('text', hashtags=True)} AS with_hashtags, {canon('text', hashtags=False)} AS without FROM late",
     "utc_times": MSG + f" SELECT message_id, strftime({TIME}, '%Y-%m-%dT%H:%M:%S+00:00') AS created_at_utc FROM msg",
     "component_conversations": BRAND_EDGES + " SELECT conversation, CAST(pos AS INT) AS pos, message_id, conversation_length FROM talks",
-    "conversation_list": BRAND_EDGES + " SELECT any_value(message_id) FILTER (pos = 1) AS first_id, conversation, count(*) AS message_count, count(*) FILTER (role = 'customer_message') AS customer_message_count, count(*) FILTER (role = 'brand_response') AS brand_response_count, bool_or(role = 'customer_message') AND bool_or(role = 'brand_response') AS usable FROM talks GROUP BY conversation",
+    "conversation_list": BRAND_EDGES + " SELECT *, CAST(row_number() OVER (ORDER BY first_id, conversation) AS INT) AS place FROM (SELECT any_value(message_id) FILTER (pos = 1) AS first_id, conversation, count(*) AS message_count, count(*) FILTER (role = 'customer_message') AS customer_message_count, count(*) FILTER (role = 'brand_response') AS brand_response_count, bool_or(role = 'customer_message') AND bool_or(role = 'brand_response') AS usable FROM talks GROUP BY conversation)",
     "component_stats": MSG + EDGES + ", talk AS (SELECT component, role FROM msg JOIN comp ON node = CAST(message_id AS BIGINT)) SELECT count(*) AS n_conversations, round(avg(n), 6) AS mean_length, CAST(median(n) AS DOUBLE) AS median_length, max(n) AS max_length, count(*) FILTER (c > 0 AND b > 0) AS n_usable FROM (SELECT count(*) AS n, count(*) FILTER (role = 'customer_message') AS c, count(*) FILTER (role = 'brand_response') AS b FROM talk GROUP BY component)",
     "pool_select": FILTERED + " SELECT message_id, bucket, intent, CAST(pool_rank AS INT) AS pool_rank FROM pool",
     "quality_rejections": FILTERED + " SELECT bucket, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM filtered GROUP BY ALL",
@@ -339,7 +339,7 @@ SELECT message_id, CAST(shared AS INT) AS shared_tokens, CASE WHEN response_id I
 ORACLE_SQL["brand_ranking"] = f"SELECT CAST(row_number() OVER (ORDER BY eligible DESC, score DESC, issues DESC, brand) AS INT) AS rank, brand FROM ({ORACLE_SQL['brand_score']})"
 ORACLE_SQL["human_sheet"] = FIND + f", sample AS (SELECT * FROM decide ORDER BY md5(concat('{R.SAMPLE_SEED}:', query_id)), query_id LIMIT 30) SELECT query_id, query AS customer_message, coalesce(response, '') AS historical_evidence, CASE WHEN reason IS NULL THEN coalesce(response, '') ELSE '' END AS generated_response, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, count(*) OVER () AS unfilled FROM sample"
 ORACLE_SQL["summary_document"] = FIND + " SELECT count(*) AS queries, count(*) FILTER (reason IS NULL) AS auto_handle, count(*) FILTER (reason IS NOT NULL) AS escalate, round(100 * count(*) FILTER (reason IS NULL) / count(*), 2) AS auto_handle_percentage FROM decide"
-ORACLE_SQL["result_array"] = FIND + f" SELECT query_id, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, CASE WHEN {RISKS} <> '' THEN true WHEN c.bucket = 'primary_intent' AND evidence_strength >= 2 THEN false END AS reference, reason IS NULL AND d.response IS NOT NULL AS answered FROM decide d JOIN cls c ON c.message_id = d.query_id ORDER BY md5(concat('{R.SAMPLE_SEED}:', query_id)), query_id LIMIT 200"
+ORACLE_SQL["result_array"] = FIND + f" SELECT query_id, CASE WHEN reason IS NULL THEN 'auto_handle' ELSE 'escalate' END AS decision, CASE WHEN {RISKS} <> '' THEN true WHEN c.bucket = 'primary_intent' AND evidence_strength >= 2 THEN false END AS reference, reason IS NULL AND d.response IS NOT NULL AS answered FROM decide d JOIN cls c ON c.message_id = d.query_id"
 ORACLE_SQL["intent_volumes"] = CLS + f" SELECT CAST(date_trunc('hour', {TIME}) AS VARCHAR) AS begins, prim AS intent_id, count(*) AS n FROM cls WHERE {TIME} IS NOT NULL GROUP BY ALL"
 SPOKEN = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 ORACLE_SQL["judge_stub"] = FIND + f", graded AS (SELECT query_id, 1 + least(4, len(list_intersect({SPOKEN.format("coalesce(query, '')")}, {SPOKEN.format("CASE WHEN reason IS NULL THEN coalesce(response, '') ELSE '' END")}))) AS grade FROM decide) SELECT query_id, CAST(grade AS INT) AS relevance, CAST(grade AS INT) AS grounding, CAST(grade AS INT) AS quality, true AS escalation_correct, grade >= 3 AS acceptable FROM graded"
@@ -347,3 +347,22 @@ ORACLE_SQL["stale_labels"] = NOTE + """, came AS (SELECT *, CASE WHEN conversati
 told AS (SELECT *, CASE WHEN bucket = 'primary_intent' THEN stored ELSE label END AS given FROM came)
 SELECT message_id, given AS label, confidence, array_to_string(list_concat(list_filter(reasons, lambda r: r <> 'label not among matches'),
     list_filter([CASE WHEN NOT list_contains(ids, given) THEN 'label not among matches' END, CASE WHEN bucket = 'primary_intent' AND stored <> prim THEN 'stored label differs from the text''s' END], lambda r: r IS NOT NULL)), '; ') AS review_reasons FROM told"""
+
+
+def table_lines(title: str, source: str, columns: tuple[str, ...], order: str = "1") -> str:
+    """SQL for the lines of a report's table of ``source``, a list; a null cell is empty."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"['## {title}', '', '| {' | '.join(columns)} |', '|{'---|' * len(columns)}'] || (SELECT list('| ' || concat_ws(' | ', {cells}) || ' |' ORDER BY {order}) FROM {source}) || ['']"
+
+
+#: The report's lines, its texts written out.
+ORACLE_SQL["final_report"] = ORACLE_SQL["reference_agreement"].replace(" SELECT count(*) AS total,", ", told_shared AS (SELECT count(*) AS total,", 1) + f"""),
+told_found AS (SELECT * FROM quality, means), told_decided AS ({ORACLE_SQL["decision_summary"].removeprefix(FIND)}), told_base AS ({ORACLE_SQL["simple_baseline"].removeprefix(FIND)}),
+told AS (SELECT ['# Evaluation', ''] || {table_lines("Retrieval", "told_found", ("eligible", "hit_at_1", "hit_at_3", "hit_at_5", "mrr", "queries", "failures", "mean_top", "mean_all"))}
+    || {table_lines("Decisions", "told_decided", ("decision", "reason", "n", "percentage"), "decision, reason")} || {table_lines("Baseline: the nearest message''s response as it is", "told_base", ("queries", "agreeing", "percentage"))}
+    || {table_lines("Agreement with the rule-based reference", "told_shared", ("total", "comparable", "agreed", "percentage"))}
+    || ['## What this does not say', '', 'The reference is made by rules, so agreement with it is no accuracy, and agreement of intents is no quality of responses.', '',
+        '## Grades by people and by the judge', '', 'Pending: nobody has filled in the sheet.'] AS lines)
+SELECT CAST(place AS INT) AS place, line FROM (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM told)"""
+ORACLE_SQL["missing_columns"] = MSG + " SELECT dropped, dropped <> 'none' AS refused, CASE WHEN dropped = 'none' THEN (SELECT count(*) FROM msg) END AS rows FROM (VALUES " + ", ".join(f"('{c}')" for c in ("message_id", "author_id", "inbound", "created_at", "text", "response_ids", "parent_ids", "none")) + ") AS t(dropped)"
+ORACLE_SQL["written_bytes"] = MSG + " SELECT role, CAST(sum(strlen(concat_ws(' ', message_id, text)) + 1) AS BIGINT) AS bytes FROM msg GROUP BY role"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,8 +255,7 @@ def pattern_freq(spark, sf):
 
 @query
 def examples_per_intent(spark, sf):
-    order = Window.partitionBy("primary").orderBy(F.col("message_id").cast("long"))
-    rows = classified(spark, sf).where("primary is not null").withColumn("example", F.row_number().over(order)).where("example <= 3")
+    rows = retrieval.first_of(classified(spark, sf).where("primary is not null"), ["primary"], [F.col("message_id").cast("long").asc()], 3, "example")
     return rows.select(F.col("primary").alias("intent_id"), "example", "message_id", T.concise(F.col("text")).alias("shown"))
 
 
@@ -276,8 +276,8 @@ def mojibake(spark, sf):
 
 @query
 def invisible_characters(spark, sf):
-    marked = F.concat(F.lit("\ufeff"), F.substring("text", 1, 20), F.lit("\u00a0\u200b"), F.col("lang"))
-    return table(spark, sf, "documents").select("doc_id", T.visible(marked).alias("shown"))
+    marked = F.concat(F.lit("\ufeff"), F.col("text"), F.lit("\u00a0\u200b"), F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.visible(marked).cast("binary")).alias("shown_md5"))
 
 
 @query
@@ -369,7 +369,10 @@ def golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     ranked = sampling.golden_ranks(tagged(spark, sf)).select("message_id", "text", "created_at", "primary", "golden_rank")
     pool = materialise(sampling.pool_select(*filtered(spark, sf)).join(ranked, "message_id"))
     groups = spark.createDataFrame([(b, i, k, q) for k, (b, i, q) in enumerate(GOLDEN_GROUPS)], "bucket string, intent string, turn int, quota long")
-    return sampling.golden_select(pool, groups).join(pool, "message_id"), groups
+    chosen = materialise(sampling.golden_select(pool, groups).join(pool, "message_id"))
+    # The small tables do not fill every group; the product's selection is refused where one is short.
+    sampling.check_selection(chosen, groups, complete=False)
+    return chosen, groups
 
 
 @query
@@ -636,6 +639,28 @@ def csv_scan(spark, sf):
     return back.select("message_id", "author_id", F.coalesce("parent_ids", F.lit("")).alias("parent_ids"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query
+def missing_columns(spark, sf):
+    """The messages without each required column in turn, and whole: refused, or how many rows they are."""
+    messages, out = support_messages(spark, sf), []
+    for gone in (*C.REQUIRED, "none"):
+        try:
+            found = C.require_columns(messages.drop(gone)).agg(n("rows"))
+        except ValueError:
+            found = spark.createDataFrame([(None,)], "rows long")
+        out.append(found.select(F.lit(gone).alias("dropped"), F.col("rows").isNull().alias("refused"), "rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def written_bytes(spark, sf):
+    """Messages of each role written as text files, a message with its line's end, and the files' sizes as the store tells them."""
+    path = scratch(spark)
+    support_messages(spark, sf).select("role", F.concat_ws(" ", "message_id", "text").alias("value")).write.partitionBy("role").text(path, lineSep="\n")
+    sizes = files.file_sizes(spark.read.text(path), "role")
+    return sizes.groupBy("role").agg(F.sum("bytes").alias("bytes"))
+
+
 @query
 def jsonl_roundtrip(spark, sf):
     rows, path = materialise(C.nested(support_messages(spark, sf))), scratch(spark)
@@ -695,11 +720,11 @@ def summary_document(spark, sf):
 
 @query
 def result_array(spark, sf):
-    """Decisions against the annotated reference, as a JSON array that is read again."""
+    """Decisions against the annotated reference, as JSON arrays that are read again."""
     path = scratch(spark)
     reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
     rows = decided(spark, sf).join(reference, "query_id").select("query_id", "decision", "reference", F.col("generated_response").isNotNull().alias("answered"))
-    files.write_document(spark, files.json_array(sampling.seeded_sample(rows, "query_id", 200)), path)
+    files.write_arrays(rows, path, [F.col("query_id").asc()], rows=100)
     return files.read_json_document(spark, path, "query_id string, decision string, reference boolean, answered boolean")
 
 

@@ -6,11 +6,13 @@ import json
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from larkspur.operators.conversations import REQUIRED, require_columns
+from larkspur.operators.ranks import ranked
+from larkspur.sources.split_csv import read_csv
 
 MESSAGE_SCHEMA = S.StructType([S.StructField(c, S.StringType()) for c in REQUIRED])
 
@@ -20,11 +22,14 @@ CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignor
 
 
 def read_messages_csv(spark: SparkSession, path: str, schema: S.StructType = MESSAGE_SCHEMA) -> DataFrame:
-    """Raw messages; every cell a string, quoted line breaks kept, bad bytes replaced. A missing column is an error."""
+    """Raw messages; every cell a string, quoted line breaks kept, bad bytes replaced. A missing column is an error.
+
+    A large file is read by many tasks (see :func:`split_csv.csv_records`).
+    """
     header = spark.read.option("header", True).csv(path).columns
     require_columns(spark.createDataFrame([], S.StructType([S.StructField(c, S.StringType()) for c in header])), tuple(schema.fieldNames()))
     ordered = S.StructType([S.StructField(c, S.StringType()) for c in header])
-    return spark.read.schema(ordered).options(header=True, multiLine=True, escape='"', encoding="UTF-8").csv(path).select(*schema.fieldNames())
+    return read_csv(spark, path, ordered).select(*schema.fieldNames())
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: S.StructType | str) -> DataFrame:
@@ -83,8 +88,21 @@ def digest(df: DataFrame) -> str:
     return ":".join(str(x) for x in found)
 
 
-def file_sizes(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+def file_sizes(df: DataFrame, *others: str) -> DataFrame:
+    """(others, file, bytes) of the files that a table is read from; ``others`` are columns that tell files of one name apart."""
+    return df.select(*others, F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+
+
+def write_arrays(df: DataFrame, path: str, order: list[Column], rows: int = 1_000) -> None:
+    """All rows as JSON arrays of up to ``rows`` rows, a file each, in order; nulls written, non-ASCII kept.
+
+    Rows are numbered without a window over all of them, so any number of rows is many tasks' work.
+    """
+    placed = ranked(df, [], order, "_at").withColumn("_file", F.floor((F.col("_at") - 1) / rows))
+    one = F.struct("_at", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+    arrays = placed.groupBy("_file").agg(F.array_sort(F.collect_list(one)).alias("whole"))
+    text = F.concat(F.lit("[\n"), F.array_join(F.transform("whole", lambda x: x["row"]), ",\n"), F.lit("\n]"))
+    arrays.select(text.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def summary_json(one_row: DataFrame) -> str:

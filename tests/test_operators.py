@@ -1,6 +1,7 @@
 """Operators on small inputs, with nulls, ties and repeats."""
 
 import collections
+import csv
 import http.server
 import json
 import math
@@ -10,14 +11,17 @@ import threading
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 from pyspark.sql.window import Window
 
+from larkspur.functions import prefilter
+from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators import classify, evaluate, retrieval, sampling
 from larkspur.operators import conversations as C
 from larkspur.operators.graph import connected_components
 from larkspur.operators.ranks import ranked
-from larkspur.sources import files
+from larkspur.sources import files, split_csv
 
 
 def one(spark, column, value, kind="string"):
@@ -383,3 +387,94 @@ def test_a_top_n_is_cut_before_it_is_shuffled(spark):
     rows = spark.range(1000).selectExpr("id % 3 g", "id")
     plan = retrieval.first_of(rows, ["g"], [F.col("id").asc()], 3)._jdf.queryExecution().executedPlan().toString()
     assert re.search("WindowGroupLimit.*Partial", plan) and plan.index("Final") < plan.index("Exchange") < plan.index("Partial")
+
+
+def test_prefilter_loses_no_pattern(spark):
+    """Texts made of pieces of the patterns, at the beginning, inside and beside other words and signs."""
+    rng = random.Random(2)
+    patterns = [p for _, own in R.INTENTS for p in own]
+    assert sum(prefilter.openings(p) is None for p in patterns) <= 1
+    bits = sorted({o for p in patterns for o in prefilter.openings(p) or ()}) + ["won't turn on", "wi-fi", "wifi", "face time", "facetime", "sent a message", "messages not", "charge for", "set up", "updates", "calls", "é", "x", "9", "_", "-", "'", "..."]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "", "-", "s ", ", "]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *bits, "", None]], "x string")
+    plain = F.filter(F.array(*(F.struct(F.lit(i).alias("intent_id"), classify.present(*(F.when(classify.hits(F.col("x"), p), F.lit(p)) for p in own)).alias("evidence")) for i, own in R.INTENTS)), lambda m: F.size(m["evidence"]) > 0)
+    found = rows.select("x", classify.intent_matches(F.col("x")).alias("a"), plain.alias("b")).collect()
+    assert all(r.a == r.b for r in found) and sum(bool(r.a) for r in found) > 100
+
+
+@pytest.mark.parametrize("block", [300, 5_000, 1 << 20])
+def test_csv_is_cut_at_true_ends(spark, tmp_path, block):
+    rng = random.Random(block)
+    cells = ["plain", 'said "x"', "a,b", "line\nbreak", "\n\n", "", '"', 'in\r\nside', "é漢 " * 30, "x\n" * 60, " blank ", '""', '"\n"']
+    rows = [(str(k), rng.choice(cells), rng.choice(["", "z"])) for k in range(500)] + [("long", 'y"\n,' * 2_000, "z")]
+    for name, part, ends in (("a", rows[:300], "\n"), ("b", rows[300:], "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator=ends).writerows([("id", "text", "z"), *part])
+    with open(tmp_path / "c.csv", "wb") as f:
+        f.write(b'id,text,z\n\nbad,\xff\xfe,z\n"open,"",\nto the end')
+    with open(tmp_path / "d.csv", "wb") as f:
+        f.write(b"id,text,z\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        schema = S.StructType([S.StructField(c, S.StringType()) for c in ("id", "text", "z")])
+        found = split_csv.read_csv(spark, str(tmp_path), schema)
+        got = sorted((r.id, r.text or "", r.z or "") for r in found.collect())
+        assert got == sorted([*rows, ("bad", "��", "z"), ('open,",\nto the end', "", "")])
+        # One file is read by as many tasks as it has blocks.
+        assert spark.read.text(str(tmp_path / "a.csv")).rdd.getNumPartitions() >= (tmp_path / "a.csv").stat().st_size // block
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_verdicts_are_asked_for_once(spark, tmp_path):
+    """A server that counts its calls, and fails for one query until it is told otherwise."""
+    calls, broken = [], ["q7"]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][1]["content"])["case"]
+            calls.append(asked["query_id"])
+            if asked["query_id"] in broken:
+                self.send_error(400)
+                return
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": '{"retrieval_relevance_1_5": 4, "overall_acceptable": "false"}'}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = evaluate.http_judge(f"http://127.0.0.1:{server.server_port}/chat", "k", "m", pause=0.001)
+    rows = spark.createDataFrame([(f"q{k % 20}", "a", "b", "escalate") for k in range(25)] + [(None, "a", "b", "c")], "query_id string, query string, response string, decision string")
+    path = str(tmp_path / "verdicts")
+    with pytest.raises(RuntimeError, match="^1 rows have no verdict"):
+        evaluate.judge_into(rows, path, ask, wave=6)
+    assert sorted(calls) == sorted(f"q{k}" for k in range(20))
+    broken.clear()
+    calls.clear()
+    found = evaluate.judge_into(rows.union(spark.createDataFrame([("new", "a", "b", "c")], rows.schema)), path, ask)
+    assert sorted(calls) == ["new", "q7"]
+    for _ in range(2):
+        assert [(r.relevance, r.acceptable, r.grounding) for r in found.collect()] == [(4, False, None)] * 21
+    assert len(calls) == 2
+    server.shutdown()
+
+
+def test_arrays_keep_every_row_in_order(spark, tmp_path):
+    rows = spark.range(250).selectExpr("cast(249 - id as int) a", "if(id % 2 = 0, null, 'é') b").repartition(3)
+    files.write_arrays(rows, str(tmp_path / "a"), [F.col("a").asc()], rows=40)
+    arrays = sorted((json.loads(f.read_text()) for f in (tmp_path / "a").glob("part-*.txt")), key=lambda a: a[0]["a"])
+    assert [r["a"] for a in arrays for r in a] == list(range(250)) and [len(a) for a in arrays] == [40] * 6 + [10] and all("b" in r for a in arrays for r in a)
+    assert files.read_json_document(spark, str(tmp_path / "a"), "a int, b string").count() == 250
+
+
+def test_incomplete_selections_may_be_short_but_not_over(spark):
+    quotas = spark.createDataFrame([("b", "", 2)], "bucket string, intent string, quota long")
+    rows = lambda *ids: spark.createDataFrame([(i, "b", "") for i in ids], "message_id string, bucket string, intent string")
+    sampling.check_selection(rows("x"), quotas, complete=False)
+    for bad, why in ((rows("x", "y", "z"), "differs"), (rows("x", "x"), "more than once")):
+        with pytest.raises(ValueError, match=why):
+            sampling.check_selection(bad, quotas, complete=False)
