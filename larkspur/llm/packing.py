@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from larkspur.llm.common import pieces_of, slices
+from larkspur.sources.tables import materialise
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+_WITH_IDS = pa.schema([*_ARROW, ("ids", pa.binary())])
 #: White space beside the blank and the line feed, and the mark that texts are cut at.
 _UNUSUAL = "[\\x01\\t\\x0b-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]"
 
@@ -83,39 +85,51 @@ def byte_bpe(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     return encode
 
 
+def _slim(ids: bytes) -> bytes:
+    """Ids of four bytes as two each, where all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max(initial=0) < 1 << 16 else ids
+
+
+def _wide(ids: bytes, size: int) -> bytes:
+    return ids if len(ids) == 4 * size else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 class LevelPacker:
-    """Places documents into windows of ``width`` tokens, one pass, by the sum-of-squares rule.
+    """Places remainders, each shorter than a window of ``width`` tokens, one after the other by the sum-of-squares rule.
 
     ``counts[h]`` is the number of open windows filled up to ``h``. A remainder of ``s``
     tokens goes to the level for which the sum of squared counts grows least, ties to the
-    fullest window. Whole windows of a long document are closed at once. The rule needs as many
-    open windows as there are levels before most of them fill exactly, so at most ``spare`` and one
-    for every ``per_open`` remainders placed so far may be open: beyond that a remainder that would
-    open a window goes to the level that is best by the same sum without one. Where it does not fit
-    whole there, what fills that window is cut off and the rest is placed in turn. :meth:`finish`
-    cuts what is still open into whole windows and windows of a power of two, which need no padding;
-    ``placed`` and ``recut`` count the tokens of remainders that the rule and :meth:`finish` settled.
+    fullest window, 0 standing for a new one. :meth:`finish` settles what is still open, so that nothing is padded: the pieces of open
+    windows fill windows again, the largest that fits first, and where none fits the smallest that does not is cut; what is left
+    in the end goes into windows of a power of two. Of the ``tokens`` placed, ``by_rule`` are in windows that the rule
+    closed, and ``cut`` are those of remainders that :meth:`finish` had to cut.
     """
 
-    def __init__(self, width: int, first_id: int = 0, *, spare: int = 5, per_open: int = 32) -> None:
-        self.width, self.next_id, self.spare, self.per_open = width, first_id, spare, per_open
-        self.held = self.remainders = self.placed = self.recut = 0
+    def __init__(self, width: int, first_id: int = 0) -> None:
+        self.width, self.next_id = width, first_id
+        self.tokens = self.by_rule = self.cut = 0
         self.counts = np.zeros(width + 1, dtype=np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(width + 1)]
         self.rows: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        total = len(ids) // 4
-        whole = total - total % self.width
-        for start in range(0, whole, self.width):
-            self._close([(doc_id, start, ids[4 * start : 4 * (start + self.width)], total)])
-        if rest := total - whole:
-            self.remainders += 1
-            self.placed += rest
-            self._place(rest, (doc_id, whole, ids[4 * whole :], total))
+    def add(self, doc_id: int | None, start: int, size: int, crc: int, total: int, ids: bytes) -> None:
+        """One remainder: ``ids`` are looked at only if it is cut."""
+        self.tokens += size
+        level = self.best_level(size)
+        window = self.open[level].pop() if level else []
+        if level:
+            self.counts[level] -= 1
+        window.append((doc_id, start, size, crc, total, ids))
+        if level + size == self.width:
+            self.by_rule += self.width
+            self._close(window)
+        else:
+            self.open[level + size].append(window)
+            self.counts[level + size] += 1
 
     def best_level(self, size: int) -> int:
-        """The level of the open windows to use, 0 for a new one; ``size`` tokens fit whole."""
+        """The level of the open windows to use, 0 for a new one."""
         counts, width = self.counts, self.width
         below = counts[1 : width - size + 1]
         change = 1 - 2 * below
@@ -124,67 +138,52 @@ class LevelPacker:
         level = len(change) - int(np.argmin(change[::-1])) if len(change) else 0
         return level if level and change[level - 1] <= 2 * counts[size] + 1 else 0
 
-    def best_full_level(self, size: int) -> int:
-        """The level to use while no window may be opened: a whole fit, or else the best one to cut at."""
-        counts, width = self.counts, self.width
-        change = -2 * counts[1:width]
-        change[: width - size - 1] += 2 * counts[size + 1 : width] + 1
-        change[width - size :] += 2 * counts[1:size] + 1
-        change[counts[1:width] == 0] = np.iinfo(np.int64).max
-        whole = change[: width - size]
-        if len(whole) and whole.min() < np.iinfo(np.int64).max:
-            change = whole
-        return len(change) - int(np.argmin(change[::-1]))
-
-    def _place(self, size: int, piece: tuple) -> None:
-        level = self.best_level(size)
-        if not level and self.held >= self.spare + self.remainders // self.per_open:
-            level = self.best_full_level(size)
-        window, rest = [], level + size - self.width
-        if level:
-            window = self.open[level].pop()
-            self.counts[level] -= 1
-            self.held -= 1
-        if rest > 0:
-            doc_id, start, ids, total = piece
-            room = size - rest
-            self._close([*window, (doc_id, start, ids[: 4 * room], total)])
-            self._place(rest, (doc_id, start + room, ids[4 * room :], total))
-            return
-        window.append(piece)
-        if rest == 0:
-            self._close(window)
-        else:
-            self.open[level + size].append(window)
-            self.counts[level + size] += 1
-            self.held += 1
-
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
-        for doc_id, start, ids, total in pieces:
-            length = len(ids) // 4
-            self.rows.append((doc_id, start, length, zlib.crc32(ids), total, self.next_id, offset))
-            offset += length
+        for doc_id, start, size, crc, total, _ in pieces:
+            self.rows.append((doc_id, start, size, crc, total, self.next_id, offset))
+            offset += size
         self.next_id += 1
 
     def finish(self) -> None:
-        pieces = [p for level in reversed(self.open) for window in level for p in window]
-        self.open = [[] for _ in range(self.width + 1)]
-        self.counts[:] = self.held = 0
-        left = sum(len(p[2]) // 4 for p in pieces)
-        self.placed, self.recut = self.placed - left, self.recut + left
-        pieces.reverse()
+        pieces = [p for level in self.open for window in level for p in window]
+        self.open, self.counts[:] = [[] for _ in range(self.width + 1)], 0
+        by_size: dict[int, list[tuple]] = {}
+        for p in pieces:
+            by_size.setdefault(p[2], []).append(p)
+        sizes, left = sorted(by_size), sum(p[2] for p in pieces)
+
+        def take(size: int) -> tuple:
+            piece = by_size[size].pop()
+            if not by_size[size]:
+                sizes.remove(size)
+            return piece
+
+        def cut(piece: tuple, room: int) -> tuple[tuple, tuple]:
+            doc_id, start, size, _, total, ids = piece
+            if start % self.width == 0:  # a whole remainder begins where a window would
+                self.cut += size
+            ids = _wide(ids, size)
+            own, rest = ids[: 4 * room], ids[4 * room :]
+            return (doc_id, start, room, zlib.crc32(own), total, own), (doc_id, start + room, size - room, zlib.crc32(rest), total, rest)
+
         while left:
             room = self.width if left >= self.width else 1 << (left.bit_length() - 1)
-            left -= room
-            window = []
+            left, window = left - room, []
             while room:
-                doc_id, start, ids, total = pieces.pop()
-                took = min(room, len(ids) // 4)
-                window.append((doc_id, start, ids[: 4 * took], total))
-                if 4 * took < len(ids):
-                    pieces.append((doc_id, start + took, ids[4 * took :], total))
-                room -= took
+                at = bisect_right(sizes, room)
+                # Two that fill the room, or one, before the largest that leaves some.
+                pair = next((s for s in sizes[:at] if s < room and room - s in by_size and by_size[room - s] and (2 * s != room or len(by_size[s]) > 1)), None)
+                if at:
+                    window.append(take(pair if pair and sizes[at - 1] != room else sizes[at - 1]))
+                    room -= window[-1][2]
+                    continue
+                own, rest = cut(take(sizes[0]), room)
+                window.append(own)
+                by_size.setdefault(rest[2], []).append(rest)
+                if len(by_size[rest[2]]) == 1:
+                    insort(sizes, rest[2])
+                room = 0
             self._close(window)
 
     def take(self) -> pa.RecordBatch:
@@ -192,28 +191,48 @@ class LevelPacker:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 7)], schema=_ARROW)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, width: int = 1024, end_id: int = 0, pack_rows: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document's ids, then ``end_id``, into sequences of at most ``width`` tokens.
 
-    No shuffle: each input partition packs its own stream with its own level array, so the
-    work is one pass and a lost task is done again from its input with the same result.
-    A partition leaves no padding (see :class:`LevelPacker`); what its last open windows hold, a share
-    of the remainders that falls with the partition's rows, is cut again. A null text is empty: its only
-    id is ``end_id``. Null and repeated ids are kept row by row; other columns are ignored;
-    an empty table gives no rows. A text of any length is cut into whole windows.
-    Memory is bounded by the open windows, the remembered pieces and the largest text.
+    Each partition tokenises its documents once, gives their whole windows, and what is left of each document as a row of its
+    numbers and ids, which is written. These remainders are dealt evenly to packs of about ``pack_rows`` of them, however
+    the documents were dealt, since the rule needs as many open windows as there are levels before most fill exactly.
+    Each pack is one pass over its rows in order (see :class:`LevelPacker`), so a lost task is done again from the written rows with
+    the same result. Nothing is padded. A null text is empty: its only id is ``end_id``. Null and repeated ids are kept row by row;
+    other columns are ignored; an empty table gives no rows. A text of any length is cut into whole windows.
+    Memory is bounded by the largest text while tokenising, and by the open windows while packing, ``width`` remainders or so.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = byte_bpe(tokenizer), pack("<I", end_id)
-        packer = LevelPacker(width, TaskContext.get().partitionId() << 40)
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end, next_id = byte_bpe(tokenizer), np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             ids, bounds = encode(batch.column("text"))
-            ids, bounds = ids.tobytes(), (4 * bounds).tolist()
+            bounds, rows = bounds.tolist(), []
             for doc_id, begin, stop in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
-                packer.add(doc_id, ids[begin:stop] + end)
+                total = stop - begin + 1
+                whole = np.concatenate([ids[begin:stop], end]).tobytes()
+                last = total - total % width
+                for start in range(0, last, width):
+                    rows.append((doc_id, start, width, zlib.crc32(whole[4 * start : 4 * (start + width)]), total, next_id, 0, None))
+                    next_id += 1
+                if last < total:
+                    rest = whole[4 * last :]
+                    rows.append((doc_id, last, total - last, zlib.crc32(rest), total, None, None, _slim(rest)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _WITH_IDS)] if rows else [pa.array([], f.type) for f in _WITH_IDS], schema=_WITH_IDS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = LevelPacker(width, 1 << 62 | TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"))
+            for doc_id, start, size, crc, total, ids in zip(*columns):
+                packer.add(doc_id, start, size, crc, total, ids)
             yield packer.take()
         packer.finish()
         yield packer.take()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, SCHEMA)
+    rows = materialise(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(tokenise, f"{SCHEMA}, ids binary"))
+    rest = rows.where("ids is not null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")
+    packs = max(1, -(-rest.count() // pack_rows))
+    # Dealt row by row, so neither an id nor a text on most rows makes a pack larger.
+    dealt = rest.repartition(packs).sortWithinPartitions("ids_crc32", "doc_id", "doc_tokens")
+    return rows.where("ids is null").drop("ids").unionByName(dealt.mapInArrow(pack, SCHEMA))

@@ -43,80 +43,90 @@ def segment_shapes(path: Column, deepest: int = 8) -> Column:
 
 
 def alike_siblings(children: DataFrame, node: list[str], alike: float, z: float = 1.96) -> DataFrame:
-    """(node, child, branch, lone): siblings that their labels do not tell apart share a branch; ``lone`` is the child's own bad labels.
+    """(node, child, branch): siblings that neither look nor are labelled differently share a branch.
 
-    ``children`` has few rows a node: child, bad, good, purity. In order of purity a labelled child
-    joins the branch before it while the Wilson intervals of all members' shares (``z`` deviations)
-    have a point in common and purities differ by ``alike`` at most. Children without a label stay
-    among themselves. A branch of several is named by them, as in ``?(de|fr)``; no segment has a ``?``.
+    ``children`` has few rows a node: child, purity, and of its pages the number n, the bad, the good, those that end there, and
+    those that go on with a number. In order of purity a child joins the branch before it while, for each of these four shares of
+    n, the Wilson intervals (``z`` deviations) of all members have a point in common, and purities differ by ``alike`` at most. So
+    a branch without labels joins a labelled one that looks like it only where it is small enough to have none by chance. A
+    branch of several is named by them, as in ``?(de|fr)``; no segment has a ``?``.
     """
-    labels = F.col("bad") + F.col("good")
-    centre = (F.col("bad") + z * z / 2) / (labels + z * z)
-    reach = F.sqrt(F.when(labels > 0, F.col("bad") * F.col("good") / labels).otherwise(0.0) + z * z / 4) * z / (labels + z * z)
-    row = F.struct((labels > 0).alias("labelled"), "purity", "child", "bad", (centre - reach).alias("low"), (centre + reach).alias("high"))
-    told = "array<struct<child:string,lone:bigint,step:int>>"
-    start = F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("first"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.array().cast(told).alias("told"))
+    counts = [F.col(c).cast("double") for c in ("bad", "good", "ends", "numbers")]
+    n = F.col("n").cast("double")
+    centres = [(x + z * z / 2) / (n + z * z) for x in counts]
+    reaches = [F.sqrt(x * (n - x) / n + z * z / 4) * z / (n + z * z) for x in counts]
+    lows, highs = (F.array(*(c + sign * r for c, r in zip(centres, reaches, strict=True))) for sign in (-1, 1))
+    row = F.struct("purity", "child", lows.alias("lows"), highs.alias("highs"))
+    told, widest = "array<struct<child:string,step:int>>", [F.array(*[F.lit(v)] * len(counts)) for v in (0.0, 1.0)]
+    start = F.struct(F.lit(0).alias("step"), F.lit(0.0).alias("first"), widest[0].alias("lows"), widest[1].alias("highs"), F.array().cast(told).alias("told"))
 
     def join(so_far: Column, c: Column) -> Column:
-        low, high = F.greatest(so_far["low"], c["low"]), F.least(so_far["high"], c["high"])
-        stays = ~c["labelled"] | (so_far["step"] > 0) & (low <= high) & (c["purity"] - so_far["first"] <= alike)
+        lows, highs = F.zip_with(so_far["lows"], c["lows"], lambda a, b: F.greatest(a, b)), F.zip_with(so_far["highs"], c["highs"], lambda a, b: F.least(a, b))
+        stays = (so_far["step"] > 0) & (c["purity"] - so_far["first"] <= alike) & F.forall(F.zip_with(lows, highs, lambda a, b: a <= b), lambda x: x)
         step = F.when(stays, so_far["step"]).otherwise(so_far["step"] + 1)
-        first, low, high = (F.when(~c["labelled"], so_far[k]).when(stays, same).otherwise(c[new]) for k, same, new in (("first", so_far["first"], "purity"), ("low", low, "low"), ("high", high, "high")))
-        now = F.array(F.struct(c["child"].alias("child"), c["bad"].alias("lone"), step.alias("step"))).cast(told)
-        return F.struct(step.alias("step"), first.alias("first"), low.alias("low"), high.alias("high"), F.concat(so_far["told"], now).alias("told"))
+        first, lows, highs = (F.when(stays, same).otherwise(c[new]) for same, new in ((so_far["first"], "purity"), (lows, "lows"), (highs, "highs")))
+        now = F.array(F.struct(c["child"].alias("child"), step.alias("step"))).cast(told)
+        return F.struct(step.alias("step"), first.alias("first"), lows.alias("lows"), highs.alias("highs"), F.concat(so_far["told"], now).alias("told"))
 
     steps = children.groupBy(*node).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, join)["told"].alias("told"))
     members = F.array_sort(F.transform(F.filter("told", lambda t: t["step"] == F.col("c.step")), lambda t: t["child"]))
     several = F.concat(F.lit("?("), F.array_join("members", "|"), F.lit(")"))
-    named = steps.select(*node, "told", F.explode("told").alias("c")).select(*node, "c.child", "c.lone", members.alias("members"))
-    return named.select(*node, "child", F.when(F.size("members") == 1, F.col("child")).otherwise(several).alias("branch"), "lone")
+    named = steps.select(*node, "told", F.explode("told").alias("c")).select(*node, "c.child", members.alias("members"))
+    return named.select(*node, "child", F.when(F.size("members") == 1, F.col("child")).otherwise(several).alias("branch"))
 
 
-def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.15, prior: float = 4.0, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
-    """The tree over (host, shape, n, bad, good): (host, shape, template, purity, rejected).
+def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.3, prior: float = 4.0, silent: float = 0.25, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
+    """The tree over (host, shape, n, bad, good): (host, shape, template, purity, labels, rejected).
 
     ``shape`` is an array of segments; ``n`` counts pages, ``bad`` and ``good`` those labelled
     so. Level by level, a node's children become one wildcard if they are more than
-    ``max_children``; else those that their labels do not tell apart merge into one branch (see
-    :func:`alike_siblings`). A template's purity is its share of bad labels, smoothed by ``prior``
-    pseudo-labels of its parent's purity, and so up to the host, whose own parent is the share
-    over all hosts; the paths that end at a node others go on from are a template beside theirs. A template is rejected from purity ``reject_at`` on if it has ``min_bad``
-    bad labels of its own, for those shapes whose branches had as many before they merged. Counts are summed per node before any join, and only nodes with few
+    ``max_children``; else those merge into one branch that look alike and are labelled alike (see
+    :func:`alike_siblings`). A template's purity is its share of bad labels, which holds for all its pages, labelled or not. A page without
+    a label counts as ``silent`` good ones, since what nobody marked is mostly fine, and ``prior`` labels of its parent's purity
+    smooth it, and so up to the host, whose own parent is the share over all hosts; the paths that end at a node others go on from are a
+    template beside theirs. A template is rejected from purity ``reject_at`` on if it has ``min_bad`` bad labels.
+    Counts are summed per node before any join, and only nodes with few
     children join by child, so a host or node with most shapes is split like any skewed join.
     """
-    depth, bad, good = paths.agg(F.max(F.size("shape")), F.sum("bad"), F.sum("good")).first()
-    everywhere = ((bad or 0) + 1) / ((bad or 0) + (good or 0) + 2)
 
-    def pooled(rows: DataFrame, keys: list[str], parent: Column) -> DataFrame:
-        share = (F.sum("bad") + prior * parent) / (F.sum("bad") + F.sum("good") + prior)
-        return rows.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), share.alias("purity"))
+    def share(bad: Column, good: Column, n: Column, parent: Column) -> Column:
+        return (bad + prior * parent) / (bad + good + silent * (n - bad - good) + prior)
 
-    hosts = pooled(paths, ["host"], F.lit(everywhere)).select("host", "purity", F.col("bad").alias("own"))
-    known = paths.join(hosts, "host").withColumn("template", F.lit("")).withColumn("lone", F.lit(None).cast("long"))
+    depth, bad, good, pages = paths.agg(F.max(F.size("shape")), F.sum("bad"), F.sum("good"), F.sum("n")).first()
+    everywhere = ((bad or 0) + 1) / ((bad or 0) + (good or 0) + silent * ((pages or 0) - (bad or 0) - (good or 0)) + 2)
+
+    def pooled(rows: DataFrame, keys: list[str], parent: Column, *others: Column) -> DataFrame:
+        purity = share(F.sum("bad"), F.sum("good"), F.sum("n"), parent).alias("purity")
+        return rows.groupBy(*keys).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum("n").alias("n"), purity, *others)
+
+    hosts = pooled(paths, ["host"], F.lit(everywhere)).select("host", "purity", F.col("bad").alias("own"), (F.col("bad") + F.col("good")).alias("labels"))
+    known = paths.join(hosts, "host").withColumn("template", F.lit(""))
     node = ["host", "template"]
     for level in range(1, (depth or 0) + 1):
         known = known.withColumn("child", F.coalesce(F.get("shape", F.lit(level - 1)), F.lit("")))
-        children = pooled(known, [*node, "child"], F.first("purity"))
+        ends = F.sum(F.when(F.size("shape") == level, F.col("n")).otherwise(0)).alias("ends")
+        numbers = F.sum(F.when(F.coalesce(F.get("shape", F.lit(level)).startswith("0"), F.lit(False)), F.col("n")).otherwise(0)).alias("numbers")
+        children = pooled(known, [*node, "child"], F.first("purity"), ends, numbers)
         width = children.groupBy(*node).agg((F.count(F.when(F.col("child") != "", 1)) > max_children).alias("wide"), (F.count(F.when(F.col("child") != "", 1)) > 0).alias("deeper"))
         narrow = children.join(width.where("not wide").select(*node), node).where("child <> ''")
-        named = alike_siblings(narrow, node, alike).withColumnRenamed("lone", "child_bad")
+        named = alike_siblings(narrow, node, alike)
         known = known.join(width, node).join(named, [*node, "child"], "left")
         branch = F.when(F.col("child") == "", F.lit("")).when(F.col("wide"), F.lit(WILDCARD)).otherwise(F.col("branch"))
         known = known.withColumn("branch", branch)
-        own = pooled(known, [*node, "branch"], F.first("purity")).select(*node, "branch", F.col("purity").alias("next"), F.col("bad").alias("next_own"))
+        own = pooled(known, [*node, "branch"], F.first("purity")).select(*node, "branch", F.col("purity").alias("next"), F.col("bad").alias("next_own"), (F.col("bad") + F.col("good")).alias("next_labels"))
         known = known.join(own, [*node, "branch"])
         moved = F.when(F.col("branch") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch"))
         # Where all paths end the node is its own template, and its labels count once.
-        purity, count = (F.when(F.col("deeper"), F.col(new)).otherwise(F.col(old)) for new, old in (("next", "purity"), ("next_own", "own")))
-        known = materialise(known.select("host", "shape", "n", "bad", "good", purity.alias("purity"), count.alias("own"), F.least("lone", "child_bad").alias("lone"), moved.alias("template")))
-    return known.select("host", "shape", "template", "purity", ((F.col("purity") >= reject_at) & (F.least("own", "lone") >= min_bad)).alias("rejected"))
+        told = (F.when(F.col("deeper"), F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("next", "purity"), ("next_own", "own"), ("next_labels", "labels")))
+        known = materialise(known.select("host", "shape", "n", "bad", "good", *told, moved.alias("template")))
+    return known.select("host", "shape", "template", "purity", "labels", ((F.col("purity") >= reject_at) & (F.col("own") >= min_bad)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, **tree) -> DataFrame:
-    """Judge every url: page_id, host, path, rule, verdict, template, purity.
+    """Judge every url: page_id, host, path, rule, verdict, template, purity, labels.
 
     A rule that fits decides (see :func:`matched_rule`); elsewhere the template tree does, block
-    where a template is rejected. ``label`` (1 bad, 0 good, null none) teaches the tree; by
+    where a template is rejected; ``labels`` counts the template's. ``label`` (1 bad, 0 good, null none) teaches the tree; by
     default pages that a rule fits are the labelled ones. Pages are counted by host and shape
     first, and the verdicts joined back by those, so a host with most pages is split like any
     skewed join. A null url or one without ``://`` has empty host and path; null and repeated
@@ -130,7 +140,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_c
     label = F.coalesce(F.col("_label"), F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
     counted = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(label == 1, 1)).alias("bad"), F.count(F.when(label == 0, 1)).alias("good"))
     judged = template_verdicts(materialise(counted), **tree)
-    judged = judged.select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), "template", "purity", "rejected")
+    judged = judged.select(F.col("host").alias("_host"), F.col("shape").alias("_shape"), "template", "purity", "labels", "rejected")
     joined = rows.join(judged, (F.col("host") == F.col("_host")) & (F.col("shape") == F.col("_shape")), "left")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity", "labels")
