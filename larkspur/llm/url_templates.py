@@ -75,7 +75,7 @@ def alike_siblings(children: DataFrame, node: list[str], alike: float, z: float
     return named.select(*node, "child", F.when(F.size("members") == 1, F.col("child")).otherwise(several).alias("branch"))
 
 
-def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.3, prior: float = 4.0, silent: float = 0.25, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
+def template_verdicts(paths: DataFrame, *, max_children: int = 24, alike: float = 0.15, prior: float = 4.0, silent: float = 0.25, reject_at: float = 0.5, min_bad: int = 2) -> DataFrame:
     """The tree over (host, shape, n, bad, good): (host, shape, template, purity, labels, rejected).
 
     ``shape`` is an array of segments; ``n`` counts pages, ``bad`` and ``good`` those labelled

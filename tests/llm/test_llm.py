@@ -107,7 +107,7 @@ def test_packing_does_not_depend_on_partitions(spark):
     for pack_rows in (40, 1_000):
         a, b = (packing.pack_documents(docs.repartition(k), path, pack_rows=pack_rows).toPandas() for k in (1, 7))
         sequences = [sorted(g.groupby("sequence_id").length.sum()) for g in (a, b)]
-        assert all(len(a.groupby("sequence_id")) == len(x) and sum(x) == a.length.sum() == b.length.sum() for x in sequences)
+        assert all(sum(x) == a.length.sum() == b.length.sum() for x in sequences)
         assert all(sum(t < 1024 for t in x) <= 10 * -(-120 // pack_rows) for x in sequences)
 
 
@@ -570,7 +570,7 @@ def test_url_templates_reject_bad_branches(spark):
     assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("spam", "block"), ("news", "allow")}
 
 
-def judged_tree(paths, max_children, alike=0.3, prior=4.0, silent=0.25, reject_at=0.5, min_bad=2, z=1.96):
+def judged_tree(paths, max_children, alike=0.15, prior=4.0, silent=0.25, reject_at=0.5, min_bad=2, z=1.96):
     """(template, purity, labels, rejected) by (host, shape), one node after the other; paths are (host, shape, bad, good, pages)."""
     bad, good, pages = (sum(p[k] for p in paths) for k in (2, 3, 4))
     out = {}
@@ -639,15 +639,16 @@ def test_url_branches_merge_only_where_labels_and_looks_agree(spark, n):
     urls = [f"https://blog.example.com/de/{k}" for k in range(n)] + [f"https://blog.example.com/{part}/{k}" for part in ("en", "es", "fr") for k in range(20)]
     judged = url_templates.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), URL_RULES).collect()
     assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("de", "block"), ("en", "allow"), ("es", "allow"), ("fr", "allow")}
-    # A few labels are no reason to block a sibling either: c has one good label, d one bad one.
+    # A few labels are no reason to block a sibling either: c has one good label. d has one bad one, and is as a and b are; their template decides.
     rows = [(k, f"http://h.io/{part}/{k}", label) for k, (part, label) in enumerate([("a", 1)] * 6 + [("b", 1)] * 5 + [("c", 0), ("c", None), ("d", 1), ("d", None), ("b", None)])]
     judged = url_templates.filter_urls(spark.createDataFrame(rows, "page_id long, url string, l int"), (), label=F.col("l")).collect()
-    assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("a", "block"), ("b", "block"), ("c", "allow"), ("d", "allow")}
-    # e has no label, is as small as chance may leave without one, and looks like a and b; f goes on with words.
-    rows += [(100, "http://h.io/e/7", None)] + [(110 + k, f"http://h.io/f/{w}", None) for k, w in enumerate(["about", "team", "press", "jobs", "contact"])]
-    rows += [(200 + k, f"http://h.io/{part}/{k}", 1) for part in "ab" for k in range(20)]
-    judged = {r.path.split("/")[1]: r.verdict for r in url_templates.filter_urls(spark.createDataFrame(rows, "page_id long, url string, l int"), (), label=F.col("l"), alike=0.6).collect()}
-    assert judged["e"] == "block" and judged["f"] == "allow"
+    assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("a", "block"), ("b", "block"), ("c", "allow"), ("d", "block")}
+    # e looks like a and b and is as small as chance may leave without a label, unless those are labelled throughout; f goes on with words.
+    for labelled, verdict in ((6, "block"), (40, "allow")):
+        rows = [(100 * j + k, f"http://h.io/{part}/{k}", 1) for j, part in enumerate("ab") for k in range(labelled)] + [(900, "http://h.io/e/7", None)]
+        rows += [(910 + k, f"http://h.io/f/{w}", None) for k, w in enumerate(["about", "team", "press", "jobs", "contact", "terms", "home", "help"])]
+        judged = url_templates.filter_urls(spark.createDataFrame(rows, "page_id long, url string, l int"), (), label=F.col("l")).collect()
+        assert {(r.path.split("/")[1], r.verdict) for r in judged} == {("a", "block"), ("b", "block"), ("e", verdict), ("f", "allow")}
 
 
 def test_url_tree_finds_pages_whose_rules_are_hidden(spark, sf_dir):
