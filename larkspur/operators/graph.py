@@ -50,6 +50,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         if left <= last:
             kind = whole.schema["a"].dataType.simpleString()
             where = materialise(live.coalesce(1).mapInArrow(_joined_up, f"node {kind}, stays {kind}"))
+            if turn:
+                discard(live)
             break
 
         def rank(column: str, turn: int = turn):
@@ -68,8 +70,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     for chosen in reversed(gave_way):
         # A round's nodes are the places of the round before, so each follows its own way and then that of where it led.
         led = chosen.toDF("node", "to").join(where.toDF("to", "stays"), "to", "left")
-        where = materialise(led.select("node", F.coalesce("stays", "to").alias("stays")))
+        after, where = where, materialise(led.select("node", F.coalesce("stays", "to").alias("stays")))
+        discard(after)
     nodes = whole.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labelled = materialise(nodes.join(where, "node", "left").select("node", F.coalesce("stays", "node").alias("stays")))
+    # Written: right on an aggregate, the join of a component with most nodes is not split.
     least = materialise(labelled.groupBy("stays").agg(F.min("node").alias("component")))
-    return labelled.join(least, "stays").select("node", "component")
+    found = materialise(labelled.join(least, "stays").select("node", "component"))
+    for used in (whole, labelled, least, where, *gave_way):
+        discard(used)
+    return found
