@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -68,21 +69,26 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def hashed_sample(df: DataFrame, group: str, per_group: int, key: Column, *, groups: int = 500) -> DataFrame:
+def hashed_sample(df: DataFrame, group: str, per_group: int, key: Column, *, groups: int = 500, size: Column | None = None, most: int = 0) -> DataFrame:
     """About ``per_group`` rows of each of the ``groups`` most frequent values of ``group``, the same on every run.
 
     One count per group sets the share of hash values kept, so a group of any size
-    contributes a bounded number of rows without a sort or a window over it.
+    contributes a bounded number of rows without a sort or a window over it. With ``size`` the share is also small enough
+    that the rows of a group have about an even part of ``most`` in all.
     """
     spread = F.pmod(F.xxhash64(key), F.lit(1 << 30))
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()}
+    total = F.sum(F.lit(0) if size is None else size)
+    counts = {r[0]: (r[1], r[2]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("count"), total.alias("total")).orderBy(F.desc("count"), group).limit(groups).collect()}
     if not counts:
         return df.limit(0)
-    wanted = F.lit(False)
-    for value, n in counts.items():
-        share = min(1 << 30, int((1 << 30) * per_group / n) + 1)
-        wanted = wanted | (F.col(group).eqNullSafe(F.lit(value)) & (spread < share))
-    return df.where(wanted)
+    shares = []
+    for value, (n, total) in counts.items():
+        share = min(per_group / n, most / len(counts) / total) if size is not None and total else per_group / n
+        shares.append((value, min(1 << 30, int((1 << 30) * share) + 1)))
+    told = df.sparkSession.createDataFrame(shares, StructType([StructField("_group", df.schema[group].dataType), StructField("_share", LongType())]))
+    # At most ``groups`` rows.
+    kept = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(group).alias("_of"), spread.alias("_at")).join(F.broadcast(told), F.col("_of").eqNullSafe(F.col("_group")))
+    return kept.where("_at < _share").select("_row.*")
 
 
 def spark_of(df: DataFrame) -> SparkSession:

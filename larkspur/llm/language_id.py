@@ -57,13 +57,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31)) | np.uint64(1)
 
 
+#: Numbers (n-grams x languages, or characters x languages) that are held at once as a whole array.
+CELLS = 4_000_000
+
+
 @dataclass
 class Grams:
-    """All n-grams of one length: sorted hashes, by language the discounted probability (NaN: unseen) and the weight left to shorter ones."""
+    """All n-grams of one length: sorted hashes; of row r the entries ``ptr[r]`` to ``ptr[r + 1]``, one for each language that has it.
+
+    An entry is the language, the discounted probability (NaN: unseen) and the weight left to shorter ones. So memory grows with
+    the n-grams of all languages, not with n-grams times languages; where that product is small the same is held as a whole array.
+    """
 
     keys: np.ndarray
+    ptr: np.ndarray
+    lang: np.ndarray
     probability: np.ndarray
     backoff: np.ndarray
+    width: int
+    whole: tuple[np.ndarray, np.ndarray] | None = None
+
+    @classmethod
+    def of(cls, entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], cells: int) -> Grams:
+        """From each language's hashes, probabilities and weights."""
+        sizes = [len(e[0]) for e in entries]
+        lang = np.repeat(np.arange(len(entries), dtype=np.int32), sizes)
+        key, probability, backoff = (np.concatenate([np.zeros(0, t), *(e[j] for e in entries)]) for j, t in enumerate((np.uint64, np.float64, np.float64)))
+        order = np.argsort(key, kind="stable")
+        keys, begins = np.unique(key[order], return_index=True)
+        out = cls(keys, np.append(begins, len(key)), lang[order], probability[order], backoff[order], len(entries))
+        if (len(keys) + 1) * len(entries) <= cells:
+            out.whole = out.spread(np.arange(len(keys) + 1))
+        return out
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of the hashes; the row behind the last for those not there."""
@@ -72,6 +97,19 @@ class Grams:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return np.where(self.keys[at] == hashes, at, len(self.keys))
 
+    def spread(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, language): probabilities, NaN where unseen, and weights, 1 where there is none, of rows as :meth:`find` gives them."""
+        if self.whole is not None:
+            return self.whole[0][rows], self.whole[1][rows]
+        ends = np.append(self.ptr, self.ptr[-1])
+        sizes = ends[rows + 1] - ends[rows]
+        after = np.cumsum(sizes)
+        entry = np.repeat(ends[rows] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+        at = np.repeat(np.arange(len(rows)), sizes), self.lang[entry]
+        probability, backoff = np.full((len(rows), self.width), np.nan), np.ones((len(rows), self.width))
+        probability[at], backoff[at] = self.probability[entry], self.backoff[entry]
+        return probability, backoff
+
 
 def _model(texts: list[str], order: int) -> list[dict[str, np.ndarray]]:
     """One language: by length the n-gram hashes, probabilities and back-off weights."""
@@ -104,72 +142,87 @@ def _model(texts: list[str], order: int) -> list[dict[str, np.ndarray]]:
 
 
 class LanguageModels:
-    """The models of all languages in shared sorted arrays, a column for each language."""
+    """The models of all languages in shared sorted arrays."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = 5) -> None:
-        self.languages, self.order = sorted(texts), order
+    def __init__(self, texts: dict[str, list[str]], order: int = 5, cells: int = CELLS) -> None:
+        self.languages, self.order, self.cells = sorted(texts), order, cells
         models = [_model(texts[x], order) for x in self.languages]
-        width = len(models)
         self.floor = np.array([(m[0]["left"][0] if len(m[0]["left"]) else 1.0) / ALPHABET for m in models])
-        self.grams: list[Grams] = []
+        self.grams = []
         for n in range(order):
-            keys = np.unique(np.concatenate([m[n]["keys"] for m in models] + ([m[n + 1]["contexts"] for m in models] if n + 1 < order else [])) if width else np.zeros(0, np.uint64))
-            keys = keys[keys != 0]
-            grams = Grams(keys, np.full((len(keys) + 1, width), np.nan), np.ones((len(keys) + 1, width)))
+            entries = []
             for k, m in enumerate(models):
-                at = np.searchsorted(keys, m[n]["keys"])
-                grams.probability[at, k] = m[n]["seen"] + (self.floor[k] if n == 0 else 0.0)
+                contexts = m[n + 1]["contexts"] if n + 1 < order else np.zeros(0, np.uint64)
+                keys = np.union1d(m[n]["keys"], contexts)
+                keys = keys[keys != 0]
+                probability, backoff = np.full(len(keys), np.nan), np.ones(len(keys))
+                probability[np.searchsorted(keys, m[n]["keys"])] = m[n]["seen"] + (self.floor[k] if n == 0 else 0.0)
                 if n + 1 < order:
-                    grams.backoff[np.searchsorted(keys, m[n + 1]["contexts"]), k] = m[n + 1]["left"]
-            self.grams.append(grams)
-        self.ceiling = np.full(width, np.inf)
+                    backoff[np.searchsorted(keys, contexts)] = m[n + 1]["left"]
+                entries.append((keys, probability, backoff))
+            self.grams.append(Grams.of(entries, cells))
+        self.ceiling = np.full(len(models), np.inf)
 
-    def log_probabilities(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """By character and language the log probability given up to order - 1 characters before it."""
+    def blocks(self, codes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first character, log probabilities by character and language, given up to order - 1 characters before it), part by part."""
         hashes = gram_hashes(codes, places, self.order)
-        found = self.grams[0].find(hashes[0])
-        p = self.grams[0].probability[found]
-        p = np.where(np.isnan(p), self.floor, p)
-        for n in range(1, self.order):
-            context = np.concatenate([[len(self.grams[n - 1].keys)], found[:-1]])
-            weight = self.grams[n - 1].backoff[context]
-            found = self.grams[n].find(hashes[n])
-            seen = self.grams[n].probability[found]
-            valid = (places >= n)[:, None]
-            p = np.where(valid, np.where(np.isnan(seen), 0.0, seen) + weight * p, p)
-        return np.log(p)
+        found = [g.find(h) for g, h in zip(self.grams, hashes, strict=True)]
+        step = max(1_000, self.cells // max(1, len(self.languages)))
+        for begin in range(0, len(codes), step):
+            part = slice(begin, begin + step)
+            p, _ = self.grams[0].spread(found[0][part])
+            p = np.where(np.isnan(p), self.floor, p)
+            for n in range(1, self.order):
+                before = np.concatenate([[len(self.grams[n - 1].keys)], found[n - 1][:-1]])[part]
+                seen, weight = self.grams[n].spread(found[n][part])[0], self.grams[n - 1].spread(before)[1]
+                p = np.where((places[part] >= n)[:, None], np.where(np.isnan(seen), 0.0, seen) + weight * p, p)
+            yield begin, np.log(p)
+
+    def log_probabilities(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((0, len(self.languages))), *(p for _, p in self.blocks(codes, places))])
 
     def score_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By piece the sum of log probabilities by language, and the number of characters predicted."""
         codes, places, owners = letter_runs(pieces)
         logs, counts = np.zeros((len(pieces), len(self.languages))), np.zeros(len(pieces))
         if len(codes) and self.languages:
-            inner = places > 0
-            p = self.log_probabilities(codes, places)[inner]
-            counts = np.bincount(owners[inner], minlength=len(pieces)).astype(float)
-            bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-            logs = sums(p, bounds)
+            counts = np.bincount(owners[places > 0], minlength=len(pieces)).astype(float)
+            for begin, p in self.blocks(codes, places):
+                own = owners[begin : begin + len(p)]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                logs[own[first]] += np.add.reduceat(np.where((places[begin : begin + len(p)] > 0)[:, None], p, 0.0), first, axis=0)
         return logs, counts
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By text: cross-entropy by language, and the characters predicted, and whether there is any letter."""
-        number, bounds, pieces = words_of(texts)
-        logs, counts = self.score_pieces(pieces.to_pylist())
-        total = sums(counts[number], bounds)
-        return -sums(logs[number], bounds) / np.maximum(total, 1)[:, None], total, total > 0
-
-
-def train(docs: DataFrame, *, per_language: int = 400, longest: int = 200_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
+        """By text: cross-entropy by language, and the characters predicted, and whether there is any letter.
+
+        Each distinct word of a part of the words is scored once; parts are smaller the more languages there are.
+        """
+        number, bounds, words = words_of(texts)
+        logs, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        step = max(1_000, self.cells // max(1, len(self.languages)))
+        for begin in range(0, len(number), step):
+            own, at = np.unique(number[begin : begin + step], return_inverse=True)
+            scored, counts = self.score_pieces(words.take(pa.array(own)).to_pylist())
+            inside = np.clip(bounds, begin, begin + len(at)) - begin
+            logs += sums(scored[at], inside)
+            total += sums(counts[at], inside)
+        return -logs / np.maximum(total, 1)[:, None], total, total > 0
+
+
+def train(docs: DataFrame, *, per_language: int = 400, longest: int = 200_000, most_chars: int = 8_000_000, order: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModels:
     """Fit on about ``per_language`` rows of each language, drawn by hash from the rows not held out.
 
-    Sample rows longer than ``longest`` characters are passed over, so the driver's memory is bounded.
+    Rows longer than ``longest`` characters are passed over, and of a language with more than its even part of ``most_chars``
+    characters in that sample a smaller share is drawn, so the driver and the models are bounded by characters: at 500
+    languages, the most that are learnt, each gives some 16,000.
     A quarter of the sample sets each language's rejection ceiling: mean and four deviations of its cross-entropy.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     # By id and text, so that rows of one id, or without one, stay a share of the sample; copies count once.
     key = F.concat(F.lit("langid "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(" "), F.xxhash64("text").cast("string"))
-    sample = hashed_sample(rows, "lang", per_language, key).where(F.length("text") <= longest).distinct().collect()
+    sample = hashed_sample(rows.where(F.length("text") <= longest), "lang", per_language, key, size=F.length("text"), most=most_chars).distinct().collect()
     by_lang: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r.lang, str(r.id), r.text)):
         by_lang.setdefault(r.lang, []).append(r.text)

@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over synchronised positions.
+"""Removal of repeated byte strings by winnowed positions and doubled hashes over synchronised positions.
 
 Ranks of all prefixes of all positions would be many times the text. Only positions that a text's
 own content selects are ranked: in every string of the threshold's length, the place with the least

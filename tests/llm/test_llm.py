@@ -760,3 +760,29 @@ def test_pipeline_stages(spark, sf_dir):
     assert one.columns == columns and one.count() == near_duplicates.near_duplicate_classes(docs).select("class_id").distinct().count()
     mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf_dir)
     assert mixed.columns == columns and mixed.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == mixing.mix(docs).agg(F.sum("taken")).first()[0]
+
+
+def test_sparse_language_models_equal_whole_arrays():
+    rng = random.Random(6)
+    texts = {f"l{k}": [" ".join("".join(rng.choices("abcdefgh"[k:], k=rng.randint(1, 6))) for _ in range(40)) for _ in range(5)] for k in range(5)}
+    whole, sparse = language_id.LanguageModels(texts), language_id.LanguageModels(texts, cells=10)
+    assert all(g.whole is not None for g in whole.grams) and all(g.whole is None for g in sparse.grams)
+    odd = pa.array([None, "", "zzz 漢字", *(t for own in texts.values() for t in own), "abc " * 3_000])
+    for a, b in zip(whole.judge(odd), sparse.judge(odd)):
+        assert np.allclose(a, b, rtol=1e-12, atol=1e-12)
+
+
+def test_five_hundred_languages(spark):
+    """As many as are learnt at all: the models' memory grows with their n-grams, and the sample by its characters."""
+    rng, rows = random.Random(7), []
+    for k in range(500):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 3))) for _ in range(12)]
+        rows += [(None, " ".join("".join(rng.choices(own, k=rng.randint(1, 4))) for _ in range(60)), f"x{k:03d}") for _ in range(10)]
+    docs = spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    models = language_id.train(docs)
+    held = sum(a.nbytes for g in models.grams for a in (g.keys, g.ptr, g.lang, g.probability, g.backoff, *(g.whole or ())))
+    assert len(models.languages) == 500 and held < 100_000_000
+    found = language_id.identify(docs, models).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(found) > 500 and sum(r.lang == r.lang_pred for r in found) > 0.9 * len(found)
+    few = language_id.train(docs, most_chars=100_000)
+    assert sum(len(g.lang) for g in few.grams) < 0.5 * sum(len(g.lang) for g in models.grams)
