@@ -65,6 +65,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def simhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fingerprints within three bits of those of the documents whose doc_id is divisible by 20."""
+    from larkspur.llm.simhash import as_hex, fingerprints, neighbouring_prints
+    from larkspur.sources.tables import materialise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    prints = materialise(fingerprints(docs, ["doc_id", "_row"], "text").select("doc_id", "fingerprint"))
+    found = neighbouring_prints(prints, prints.where("doc_id % 20 = 0"))
+    return found.select(as_hex(F.col("fingerprint")).alias("fingerprint"), as_hex(F.col("near")).alias("near"), "distance", "n_asked", "n_docs", "least_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -111,4 +122,4 @@ def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_simhash(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing, op11_kd_clusters, op12_vector_codes, op13_quality, url_rules, edited_texts)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_repeats, op4_token_counts, op5_nearest, op6_toxicity, op7_simhash, op8_mixing, op9_language_id, op10_packing, op11_kd_clusters, op12_vector_codes, op13_quality, simhash_neighbours, url_rules, edited_texts)}

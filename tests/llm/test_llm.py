@@ -786,3 +786,19 @@ def test_five_hundred_languages(spark):
     assert len(found) > 500 and sum(r.lang == r.lang_pred for r in found) > 0.9 * len(found)
     few = language_id.train(docs, most_chars=100_000)
     assert sum(len(g.lang) for g in few.grams) < 0.5 * sum(len(g.lang) for g in models.grams)
+
+
+def test_simhash_neighbours_against_all_pairs(spark, tmp_path):
+    """Fingerprints of near copies, copies and others, by bit counts over all pairs."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    values = base + [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(1, 5))) for b in base * 3] + base[:5] * 4 + [0, (1 << 64) - 1]
+    rows = [(k, v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)] + [(1_000, None)]
+    prints = spark.createDataFrame(rows, "doc_id long, fingerprint long")
+    found = simhash.neighbouring_prints(prints, prints.where("doc_id % 20 = 0")).collect()
+    count, asked = collections.Counter(values), collections.Counter(v for k, v in enumerate(values) if k % 20 == 0)
+    expected = {(q, d): ((q ^ d).bit_count(), n, count[d], values.index(d)) for q, n in asked.items() for d in count if (q ^ d).bit_count() <= 3}
+    assert {(r.fingerprint % (1 << 64), r.near % (1 << 64)): (r.distance, r.n_asked, r.n_docs, r.least_id) for r in found} == expected and len(found) == len(expected) > 20
+    spark.createDataFrame([(20, "a b c d"), (21, "a b c d"), (40, None), (None, "e f")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.simhash_neighbours(spark, str(tmp_path)).collect()
+    assert sorted((r.distance, r.n_asked, r.n_docs, r.least_id) for r in found) == [(0, 1, 1, 40), (0, 1, 2, 20)]
