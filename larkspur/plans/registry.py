@@ -62,11 +62,16 @@ def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         corpus = materialise(corpus_of(spark, sf))
         queries, slim = asked(corpus), ("message_id", "conversation_id", "text")
         rows = materialise(retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus))
-        _RETRIEVED.clear()
+        forget_retrieved()
         _RETRIEVED[key] = queries, rows
     return _RETRIEVED[key]
 
 
+def forget_retrieved() -> None:
+    """The next query that needs what :func:`retrieved` wrote retrieves again. The files stay for frames that are still to read them."""
+    _RETRIEVED.clear()
+
+
 def decided(spark: SparkSession, sf: str) -> DataFrame:
     queries, rows = retrieved(spark, sf)
     return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows)))
