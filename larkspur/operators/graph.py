@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 from larkspur.sources.tables import discard, materialise
 
 
-def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, stays): the nodes of a bounded number of edges, each with one node of its component."""
-    parent: dict = {}
+def _joiner() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Made here, so that the function goes to the workers whole and they need not import this module."""
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent.setdefault(parent[x], parent[x])
-        return x
+    def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, stays): the nodes of a bounded number of edges, each with one node of its component."""
+        parent: dict = {}
 
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field("a").type
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            parent[root(a)] = root(b)
-    if parent:
-        yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([root(x) for x in list(parent)], kind)], names=["node", "stays"])
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent.setdefault(parent[x], parent[x])
+            return x
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("a").type
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                parent[root(a)] = root(b)
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([root(x) for x in list(parent)], kind)], names=["node", "stays"])
+
+    return joined_up
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100, *, last: int = 50_000, told: list[int] | None = None) -> DataFrame:
@@ -49,7 +54,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
             told.append(left)
         if left <= last:
             kind = whole.schema["a"].dataType.simpleString()
-            where = materialise(live.coalesce(1).mapInArrow(_joined_up, f"node {kind}, stays {kind}"))
+            where = materialise(live.coalesce(1).mapInArrow(_joiner(), f"node {kind}, stays {kind}"))
             if turn:
                 discard(live)
             break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,56 +18,60 @@ WHOLE, END, BEGINNING, MIDDLE = range(4)
 _PIECES = pa.schema([("file", pa.string()), ("start", pa.int64()), ("kind", pa.int32()), ("record", pa.string())])
 
 
-def _text(line: bytes) -> str:
-    return line.decode("utf-8", "replace")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines in order, (file, start, inside, quotes, line), as pieces: records joined up where they end in their block.
-
-    ``inside`` tells whether a block begins inside quotes; from there on the number of quotes so far does. The first
-    record of a file, its header, is left out.
-    """
-    now, inside, header, begun = None, False, False, False
-    parts: list[bytes] = []
-    rows: list[tuple] = []
-
-    def left() -> None:
-        """What a block ends with that its records do not."""
-        if now is not None and (inside or parts):
-            rows.append((*now, BEGINNING if begun else MIDDLE, _text(b"\n".join(parts))))
-
-    def ended(record: bytes) -> None:
-        nonlocal header
-        record = record.removesuffix(b"\r")
-        if not record and begun:
-            return  # an empty line
-        if header and begun:
-            header = False
-            return
-        rows.append((*now, WHOLE if begun else END, _text(record)))
-
-    for batch in batches:
-        files, starts, carried = (batch.column(c).to_pylist() for c in ("file", "start", "inside"))
-        odd = np.asarray(batch.column("quotes")) % 2 == 1
-        for k, line in enumerate(batch.column("line").to_pylist()):
-            if (files[k], starts[k]) != now:
-                left()
-                now, inside, parts = (files[k], starts[k]), bool(carried[k]), []
-                begun, header = not inside, starts[k] == 0
-            if not inside and not odd[k]:
-                ended(line)
-                continue
-            parts.append(line)
-            if odd[k]:
-                inside = not inside
-                if not inside:
-                    ended(b"\n".join(parts))
-                    parts, begun = [], True
+def _cutter() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Made here, so that the function goes to the workers whole and they need not import this module."""
+
+    def text(line: bytes) -> str:
+        return line.decode("utf-8", "replace")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines in order, (file, start, inside, quotes, line), as pieces: records joined up where they end in their block.
+
+        ``inside`` tells whether a block begins inside quotes; from there on the number of quotes so far does. The first
+        record of a file, its header, is left out.
+        """
+        now, inside, header, begun = None, False, False, False
+        parts: list[bytes] = []
+        rows: list[tuple] = []
+
+        def left() -> None:
+            """What a block ends with that its records do not."""
+            if now is not None and (inside or parts):
+                rows.append((*now, BEGINNING if begun else MIDDLE, text(b"\n".join(parts))))
+
+        def ended(record: bytes) -> None:
+            nonlocal header
+            record = record.removesuffix(b"\r")
+            if not record and begun:
+                return  # an empty line
+            if header and begun:
+                header = False
+                return
+            rows.append((*now, WHOLE if begun else END, text(record)))
+
+        for batch in batches:
+            files, starts, carried = (batch.column(c).to_pylist() for c in ("file", "start", "inside"))
+            odd = np.asarray(batch.column("quotes")) % 2 == 1
+            for k, line in enumerate(batch.column("line").to_pylist()):
+                if (files[k], starts[k]) != now:
+                    left()
+                    now, inside, parts = (files[k], starts[k]), bool(carried[k]), []
+                    begun, header = not inside, starts[k] == 0
+                if not inside and not odd[k]:
+                    ended(line)
+                    continue
+                parts.append(line)
+                if odd[k]:
+                    inside = not inside
+                    if not inside:
+                        ended(b"\n".join(parts))
+                        parts, begun = [], True
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _PIECES)], schema=_PIECES)
+            rows.clear()
+        left()
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _PIECES)], schema=_PIECES)
-        rows.clear()
-    left()
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _PIECES)], schema=_PIECES)
+
+    return cut
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +92,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     blocks = odd.select("file", "start", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"))
     # Sorted again, as the join may deal blocks to other tasks.
     ordered = lines.join(materialise(blocks), ["file", "start"]).sortWithinPartitions("file", "start", "at")
-    pieces = ordered.select("file", "start", "inside", "quotes", "line").mapInArrow(_cut, "file string, start long, kind int, record string")
+    pieces = ordered.select("file", "start", "inside", "quotes", "line").mapInArrow(_cutter(), "file string, start long, kind int, record string")
     rest = materialise(pieces.where(F.col("kind") != WHOLE))
     # In a block an end comes before a beginning; a beginning opens a record, to which all belongs up to the next one.
     order = [F.col("start"), F.col("kind") == BEGINNING]
