@@ -34,10 +34,6 @@ def weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def norms(weighted: DataFrame) -> DataFrame:
-    return weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
 def token_bags(docs: DataFrame) -> DataFrame:
     """(id, home, bag, tokens): texts with their tokens sorted, repeats kept; texts of equal tokens have one ``bag``. Texts without tokens are left out."""
     rows = docs.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"), F.col("text").alias("text"))

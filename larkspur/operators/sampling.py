@@ -51,9 +51,8 @@ def similar_sets(sets: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     found = candidate_sets(sets, within)
     both = found.join(tokens.withColumnsRenamed({"form": "a", "tokens": "ta"}), [*within, "a"]).join(tokens.withColumnsRenamed({"form": "b", "tokens": "tb"}), [*within, "b"])
     both = settled(both, shared=F.size(F.array_intersect("ta", "tb")))
-    # ta is not the larger one, so it is 4 words at least; six words in all follow from either set's having six.
-    enough = (F.col("shared") >= 4) & (F.col("shared") >= 0.7 * F.size("ta")) & (F.size("tb") >= 6)
-    return both.where(enough).select(*within, "a", "b", "shared", F.size("ta").alias("na"), F.size("tb").alias("nb"))
+    # The larger set needs six words; which of the two is the candidate, and so needs them too, the caller knows.
+    return both.where(T.near_duplicate(F.col("tb"), F.col("ta"), both_long=False)).select(*within, "a", "b", "shared", F.size("ta").alias("na"), F.size("tb").alias("nb"))
 
 
 def forms_of(sets: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
