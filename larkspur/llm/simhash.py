@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.sources.tables import materialise
+from larkspur.operators.graph import connected_components
+from larkspur.sources.tables import discard, materialise
 
 #: Terms are pairs of neighbouring words (the last word stands alone); group 1 overlaps the matches.
 TERM = r"(?=(\S+(?:\s+\S+)?))\S+"
@@ -94,11 +95,12 @@ def ordered_neighbours(docs: DataFrame, id_col: str, text_col: str, rows_per_ran
 
 
 def edited_neighbours(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint every whole text and its edited text: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, has_near.
+    """Fingerprint every whole text and its edited text: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, has_near, n_near, near_class.
 
     The edited text has its last quarter of code points replaced by the first as many (or all)
-    of the next document's, ascending id, after the last the first. ``has_near``: some other document's
-    fingerprint is at most ``radius`` bits away (see :func:`with_neighbours`). A null text is empty; two
+    of the next document's, ascending id, after the last the first. ``n_near``: how many other documents'
+    fingerprints are at most ``radius`` bits away; ``has_near``: whether one is; ``near_class``: the least fingerprint
+    that such links lead to (see :func:`with_neighbours`). A null text is empty; two
     empty texts are alike (1). Among rows of one id the hash of the text orders; an only document
     is its own next. Repeated rows stay row by row; other columns are ignored.
     """
@@ -118,9 +120,8 @@ def edited_neighbours(docs: DataFrame, *, radius: int = 3, id_col: str = "doc_id
     printed = printed.withColumn("edited_print", F.lead("fingerprint", 1).over(order)).withColumn("next_print", F.lead("fingerprint", 2).over(order))
     kept = printed.where((F.col("kind") == 0) & ~F.col("extra"))
     kept = materialise(kept.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_print", likeness(F.col("fingerprint"), F.col("edited_print")).alias("near_edited"), likeness(F.col("fingerprint"), F.coalesce("next_print", "fingerprint")).alias("near_next")))
-    near = with_neighbours(kept, radius).withColumn("has_near", F.lit(True))
-    kept = kept.join(near, "fingerprint", "left")
-    return kept.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("fingerprint")).alias("fingerprint"), as_hex(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next", F.coalesce("has_near", F.lit(False)).alias("has_near"))
+    kept = kept.join(with_neighbours(kept, radius), "fingerprint")
+    return kept.select("doc_id", "n_chars", "edited_sha256", as_hex(F.col("fingerprint")).alias("fingerprint"), as_hex(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next", (F.col("n_near") > 0).alias("has_near"), "n_near", as_hex(F.col("near_class")).alias("near_class"))
 
 
 def block_tables(prints: DataFrame, name: str, radius: int, blocks: int | None = None) -> DataFrame:
@@ -139,18 +140,27 @@ def block_tables(prints: DataFrame, name: str, radius: int, blocks: int | None =
 
 
 def with_neighbours(prints: DataFrame, radius: int = 3, *, print_col: str = "fingerprint") -> DataFrame:
-    """The distinct fingerprints (long) that another row has too or that lie at most ``radius`` bits from another one.
+    """(fingerprint, n_near, near_class): every distinct fingerprint (long) with all that lies at most ``radius`` bits from it.
 
-    Every fingerprint looks for one other in its :func:`block_tables` and stops at the first within
-    the radius, so a group of near copies costs its tables' rows, not its pairs.
+    ``n_near``: how many other rows have that fingerprint or one within the radius; none is left out. ``near_class``: the least
+    fingerprint that links of at most ``radius`` bits lead to. Pairs of different fingerprints come from
+    :func:`block_tables`; rows of equal ones are counted as one, so copies cost rows, not pairs. Null fingerprints take no part.
     """
     counted = materialise(prints.where(F.col(print_col).isNotNull()).groupBy(F.col(print_col).alias("_q")).agg(F.count(F.lit(1)).alias("n")))
     keyed = materialise(block_tables(counted, "_q", radius))
     other = keyed.select(F.col("_q").alias("_d"), F.col("table").alias("_t"), F.col("key").alias("_k"))
-    close = (F.col("_q") != F.col("_d")) & (F.bit_count(F.col("_q").bitwiseXOR(F.col("_d"))) <= radius)
-    met = keyed.join(other, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k")) & close, "left_semi").select("_q")
+    close = (F.col("_q") < F.col("_d")) & (F.bit_count(F.col("_q").bitwiseXOR(F.col("_d"))) <= radius)
+    pairs = materialise(keyed.join(other, (F.col("table") == F.col("_t")) & (F.col("key") == F.col("_k")) & close).select("_q", "_d").distinct())
+    ways = pairs.unionByName(pairs.select(F.col("_d").alias("_q"), F.col("_q").alias("_d")))
+    beside = ways.join(counted.select(F.col("_q").alias("_d"), "n"), "_d").groupBy("_q").agg(F.sum("n").alias("beside"))
+    # Contracted to the last edge, so that no Python worker joins up the rest.
+    classes = connected_components(pairs, "_q", "_d", last=0)
+    told = counted.join(beside, "_q", "left").join(classes.withColumnsRenamed({"node": "_q", "component": "least"}), "_q", "left")
     # Written: right on an aggregate, a join back to the fingerprint with most rows would not be split.
-    return materialise(met.unionByName(counted.where("n > 1").select("_q")).distinct().withColumnRenamed("_q", print_col))
+    told = materialise(told.select(F.col("_q").alias(print_col), (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_near"), F.coalesce("least", "_q").alias("near_class")))
+    for used in (counted, keyed, pairs):
+        discard(used)
+    return told
 
 
 def within_radius(prints: DataFrame, queries: DataFrame, radius: int = 3, *, blocks: int | None = None, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:

@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     Edges are contracted: in each round every node gives its place to the one with the least hash
     among itself and its neighbours (another hash each round, so chains and grids about halve), edges are
     renamed to those nodes, and loops and repeats go. What is left falls from round to round; ``told`` gets the number
-    of edges at each. Once ``last`` edges or fewer are left, one task joins them up. Who gave way to whom is written a round, and followed back from the last round to the
+    of edges at each. Once ``last`` edges or fewer are left, one task joins them up (none where no edge is left). Who gave way to whom is written a round, and followed back from the last round to the
     first. Least hashes are combined before the shuffle, so a hub is not one task's. Edges with a null end are ignored; nodes
     named only as one end need no row of their own; loops name a node; an empty table gives no rows. Nodes are
     numbers or strings.
@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
             told.append(left)
         if left <= last:
             kind = whole.schema["a"].dataType.simpleString()
-            where = materialise(live.coalesce(1).mapInArrow(_joiner(), f"node {kind}, stays {kind}"))
+            rest = live.coalesce(1).mapInArrow(_joiner(), f"node {kind}, stays {kind}") if left else live.select(F.col("a").alias("node"), F.col("a").alias("stays"))
+            where = materialise(rest)
             if turn:
                 discard(live)
             break

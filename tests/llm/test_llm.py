@@ -419,6 +419,26 @@ def test_simhash_votes_and_neighbours_against_brute_force(spark):
     assert [got[k].has_near for k in range(len(texts))] == near and 0 < sum(near) < len(near)
 
 
+def test_simhash_counts_every_neighbour_and_names_classes(spark):
+    """Chains of prints one to three bits apart, groups of copies, and prints of four bits' distance: nothing stops at the first neighbour."""
+    rng = random.Random(25)
+    prints = [0, -1, (1 << 63) - 1, -(1 << 63)]
+    for _ in range(6):
+        at = rng.getrandbits(64)
+        for step in (0, 1, 2, 3, 3, 4, 3):
+            for bit in rng.sample(range(64), step):
+                at ^= 1 << bit
+            prints += [(at ^ 1 << 63) - (1 << 63)] * rng.choice([1, 1, 3])
+    near = [[j for j, b in enumerate(prints) if j != k and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3] for k, a in enumerate(prints)]
+    least, before = prints, None
+    while least != before:
+        before, least = least, [min([least[k], *(least[j] for j in found)]) for k, found in enumerate(near)]
+    rows = spark.createDataFrame([*((p,) for p in prints), (None,)], "fingerprint long")
+    got = {r.fingerprint: (r.n_near, r.near_class) for r in simhash.with_neighbours(rows).collect()}
+    assert got == {p: (len(near[k]), least[k]) for k, p in enumerate(prints)}
+    assert max(map(len, near)) > 3 and len(set(least)) < len(set(prints))
+
+
 def test_simhash_of_null_and_repeated_ids(spark):
     rows = [(None, "b c d e"), (None, "a"), (3, "x y z w"), (3, "x y z w"), (-1, None), (None, "b c d e")]
     got = simhash.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
