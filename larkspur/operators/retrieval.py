@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +13,6 @@ from pyspark.sql.window import Window
 from larkspur.functions import rules as R
 from larkspur.functions import text as T
 from larkspur.operators.classify import decision_risk, present, response_type, settled
-from larkspur.operators.ranks import ranked
 from larkspur.sources.tables import discard, materialise
 
 USABLE_TYPES = ("diagnostic_question", "direct_guidance")
@@ -49,102 +49,143 @@ def bag_weights(bags: DataFrame, idf: DataFrame) -> DataFrame:
     return weighted.join(norm, "bag").select("bag", "token", "df", (F.col("w") / F.col("norm")).alias("u"))
 
 
-@dataclass
-class Postings:
-    """An index by token. ``lists`` (token, block, bag, u): each token's bags by falling weight, in blocks that double in size;
-    ``tops`` (token, tops): each block's greatest weight; ``held`` (bag, held): weights by token; ``members`` (bag, doc_id, home)."""
-
-    idf: DataFrame
-    lists: DataFrame
-    tops: DataFrame
-    held: DataFrame
-    members: DataFrame
-
-
 def first_of(rows: DataFrame, group: list[str], order: list[Column], n: int, name: str = "_r") -> DataFrame:
     """The first ``n`` rows of each group, numbered. A filter on row_number is a bounded top-n: each task drops all but its own first n
     before anything is shuffled (WindowGroupLimit), so a group with most rows is no task's."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= n)
 
 
-def index_postings(corpus: DataFrame, *, k: int = 5, first_block: int = 64) -> Postings:
-    """The index of (message_id, conversation_id, text). Texts of equal tokens are one bag, of which the least ids stand for all:
-    2k + 2, at most k + 1 of one conversation, which is what any k results can need (see :func:`search`)."""
-    texts = materialise(token_bags(corpus))
-    bags = materialise(texts.groupBy("bag").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
-    documents = corpus.count()
-    df = bags.select("n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
-    idf = materialise(df.select("token", "df", (F.log(F.lit(documents + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf")))
-    weighted = materialise(bag_weights(bags, idf).select("bag", "token", "u"))
-    placed = ranked(weighted, ["token"], [F.desc("u"), F.col("bag").asc()], "impact")
-    block = F.floor(F.log2(1.0 + (F.col("impact") - 1) / first_block)).cast("int")
-    lists = materialise(placed.select("token", block.alias("block"), "bag", "u"))
-    tops = lists.groupBy("token", "block").agg(F.max("u").alias("top")).groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "top"))), lambda x: x["top"]).alias("tops"))
-    held = weighted.groupBy("bag").agg(F.map_from_entries(F.collect_list(F.struct("token", "u"))).alias("held"))
-    few = first_of(texts.select("bag", F.col("id").alias("doc_id"), "home"), ["bag", "home"], [F.col("doc_id").asc()], k + 1).drop("_r")
-    members = first_of(few, ["bag"], [F.col("doc_id").asc()], 2 * k + 2).drop("_r")
-    index = Postings(idf, lists, materialise(tops), materialise(held), materialise(members))
-    for table in (weighted, bags, texts):
-        discard(table)
-    return index
-
-
-def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: int = 64, told: list[int] | None = None) -> DataFrame:
+def _matcher(k: int, need: int, at_once: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Made here, so that the function goes to the workers whole and they need not import this module."""
+
+    def matched(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """(asked, doc_id, home, exact): of a block of documents what each text of a block of asked ones can need.
+
+        Of each, the ``need`` best, at most k + 1 of one home, and what lies so close behind that rounding may put it before.
+        """
+
+        def lists(table: pa.Table, *names: str) -> tuple:
+            columns = [table.column(c).combine_chunks() for c in names]
+            return np.asarray(columns[0].value_lengths()).astype(np.int64), *(c.flatten() for c in columns)
+
+        sizes, tokens, u = lists(held, "tokens", "u")
+        vocabulary, token = np.unique(np.asarray(tokens), return_inverse=True)
+        order = np.argsort(token, kind="stable")
+        document, u = np.repeat(np.arange(len(sizes)), sizes)[order], np.asarray(u)[order]
+        starts = np.searchsorted(token[order], np.arange(len(vocabulary) + 1)).tolist()
+        # Columns are looked at in strips of 64; a token of many documents is a whole row, added at once.
+        width = -(-len(sizes) // 64) * 64
+        rows = {}
+        for t in np.flatnonzero(np.diff(starts) > max(64, width // 12)).tolist():
+            rows[t] = np.zeros(width)
+            rows[t][document[starts[t] : starts[t + 1]]] = u[starts[t] : starts[t + 1]]
+        many, members = lists(held, "members")
+        first_member = np.append(0, np.cumsum(many))
+        homes = members.field("home")
+        home = np.asarray(homes.dictionary_encode().indices.fill_null(-1))
+        q_sizes, q_tokens, q = lists(asked, "tokens", "q")
+        q_tokens, q = np.asarray(q_tokens), np.asarray(q)
+        place = np.minimum(np.searchsorted(vocabulary, q_tokens), max(0, len(vocabulary) - 1))
+        known = vocabulary[place] == q_tokens if len(vocabulary) else np.zeros(len(q_tokens), bool)
+        begins = np.append(0, np.cumsum(q_sizes)).tolist()
+        out: tuple[list, list, list] = ([], [], [])
+        sums = np.zeros((at_once, width))
+        for begin in range(0, len(q_sizes), at_once):
+            block = sums[: min(at_once, len(q_sizes) - begin)]
+            block[:] = 0
+            for row, i in zip(block, range(begin, begin + len(block)), strict=True):
+                own = np.flatnonzero(known[begins[i] : begins[i + 1]]) + begins[i]
+                for t, w in zip(place[own].tolist(), q[own].tolist(), strict=True):
+                    if t in rows:
+                        row += w * rows[t]
+                    else:
+                        row[document[starts[t] : starts[t + 1]]] += w * u[starts[t] : starts[t + 1]]
+            strips = block.reshape(len(block), -1, 64).max(axis=2)
+            for i, row in enumerate(block):
+                met = 4 * need
+                while True:
+                    # As many strips reach this as documents are looked for, so at least as many documents do.
+                    least = np.partition(strips[i], -met)[-met] if met < strips.shape[1] else 0.0
+                    found = np.flatnonzero(row >= least) if least > 0 else np.flatnonzero(row > 0)
+                    found = found[np.argsort(-row[found], kind="stable")]
+                    kept, taken, cut = [], {}, -1.0
+                    for d, score in zip(found.tolist(), row[found].tolist(), strict=True):
+                        if score < cut:
+                            break
+                        for m in range(first_member[d], first_member[d + 1]):
+                            of = taken.setdefault(home[m], [])
+                            if len(of) <= k:
+                                of.append(score)
+                            elif score < of[-1] - 4e-9:
+                                continue
+                            kept.append((m, score))
+                        if cut < 0 and sum(map(len, taken.values())) >= need:
+                            cut = score - 4e-9
+                    # All that reach the cut are there if what was looked at goes down to it.
+                    if least <= 0 or (cut >= 0 and least <= cut):
+                        break
+                    met *= 8
+                out[0].extend([begin + i] * len(kept))
+                out[1].extend(m for m, _ in kept)
+                out[2].extend(s for _, s in kept)
+        take = pa.array(out[1], pa.int64())
+        columns = [asked.column("asked").combine_chunks().take(pa.array(out[0], pa.int64())), members.field("doc_id").take(take), homes.take(take), pa.array(out[2], pa.float64())]
+        return pa.table(columns, names=["asked", "doc_id", "home", "exact"])
+
+    return matched
+
+
+def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: int = 64, told: list[int] | None = None, documents_a_block: int = 40_000, asked_a_block: int = 10_000, least_blocks: int = 24) -> DataFrame:
     """(query_id, rank, doc_id, score): the k nearest by cosine, not the same message nor its conversation.
 
-    Both frames have message_id, conversation_id and text. The result is that of comparing with every document, without reading
-    whole posting lists. Texts of equal tokens ask once and are found once: 2k + 2 documents, at most k + 1 of a
+    Both frames have message_id, conversation_id and text. The result is that of comparing with every document.
+    Texts of equal tokens ask once and are found once: 2k + 2 documents, at most k + 1 of a
     conversation, are enough for each of them, whatever its own conversation is, which takes k + 1 places at most.
 
-    A query first reads the beginnings of its tokens' lists, where weights are greatest (further blocks only until that many
-    documents are found); the last exact score of the best it finds is a floor. Of its tokens, rarest first, those are read
-    of which a document must hold one to reach the floor, and of their lists only blocks and rows whose weight reaches the
-    same share of the list's greatest: with less in every token that is read, and the most in every other, the floor is not
-    reached. What was met is scored exactly. Scores are rounded to 9 digits before they are ordered, ties to
+    Documents and asked texts are dealt into blocks, and every two blocks meet in one task, where the postings of the block's
+    documents are added up for ``first_block`` asked texts at a time. What leaves a task are the documents that an asked text can need
+    of that block, so no pair that shares a token is ever written: shuffled are the texts' weights, once for each block
+    of the other side. None of the sizes changes the result. Scores are rounded to 9 digits before they are ordered, ties to
     the smaller id. ``told`` gets the number of postings met. A null conversation finds nothing; texts without tokens ask nothing.
     """
-    index, need = index_postings(corpus, k=k, first_block=first_block), 2 * k + 2
-    own = materialise(token_bags(queries))
-    weighted = bag_weights(own.groupBy("bag").agg(F.first("tokens").alias("tokens")), index.idf).withColumnsRenamed({"bag": "asked", "u": "q"})
-    asked = weighted.join(index.tops, "token").withColumn("bound", F.col("q") * F.get("tops", F.lit(0)))
-    asked = materialise(asked)
-    vectors = materialise(asked.groupBy("asked").agg(F.collect_list(F.struct("token", "q")).alias("vector"), F.max(F.size("tops")).alias("depth")))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        """(asked, doc_id, home, score, exact) of (asked, bag) pairs: of each asked bag what any of its texts can need."""
-        score = F.aggregate("vector", F.lit(0.0), lambda total, t: total + t["q"] * F.coalesce(F.element_at("held", t["token"]), F.lit(0.0)))
-        whole = pairs.join(index.held, "bag").join(vectors.select("asked", "vector"), "asked").select("asked", "bag", score.alias("exact"))
-        found = whole.join(index.members, "bag").select("asked", "doc_id", "home", F.round("exact", 9).alias("score"), "exact")
-        order = [F.desc("score"), F.col("doc_id").asc()]
-        return first_of(first_of(found, ["asked", "home"], order, k + 1).drop("_r"), ["asked"], order, need)
-
-    # Floors: further blocks for those alone that have found too few.
-    floors, still, depth = [], vectors.select("asked", "depth"), 0
-    while True:
-        begun = asked.join(still.select("asked"), "asked", "left_semi").select("asked", "token", "q")
-        met = begun.join(index.lists.where(F.col("block") <= depth), "token").groupBy("asked", "bag").agg(F.sum(F.col("q") * F.col("u")).alias("part"))
-        best = scored(first_of(met, ["asked"], [F.desc("part"), F.col("bag").asc()], 2 * need).select("asked", "bag"))
-        full = best.where(F.col("_r") == need).select("asked", (F.col("exact") - 1e-8).alias("floor"))
-        floors.append(materialise(full))
-        # One whose lists are read to their ends has no floor: everything it shares a token with is scored.
-        still = materialise(still.where(F.col("depth") > depth + 1).join(floors[-1], "asked", "left_anti"))
-        if not still.limit(1).count():
-            break
-        depth += 2
-    floor = reduce(DataFrame.unionByName, floors)
-    onward = Window.partitionBy("asked").orderBy("df", "token").rowsBetween(0, Window.unboundedFollowing)
-    split = asked.join(floor, "asked", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))).withColumn("read", F.sum("bound").over(onward) >= F.col("floor"))
-    whole = Window.partitionBy("asked")
-    left_over, bounds = F.sum(F.when(~F.col("read"), F.col("bound")).otherwise(0.0)).over(whole), F.sum(F.when(F.col("read"), F.col("bound")).otherwise(0.0)).over(whole)
-    split = split.withColumn("least", (F.col("floor") - left_over) / bounds * F.get("tops", F.lit(0)) - 1e-9).where("read")
-    blocks = split.select("asked", "token", "least", F.explode(F.transform(F.filter("tops", lambda x: x >= F.col("least")), lambda x, i: i)).alias("block"))
-    met = materialise(blocks.join(index.lists, ["token", "block"]).where("u >= least").select("asked", "bag"))
+    need, documents = 2 * k + 2, corpus.count()
+    texts, own = materialise(token_bags(corpus)), materialise(token_bags(queries))
+    bags = materialise(texts.groupBy("bag").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
+    asks = materialise(own.groupBy("bag").agg(F.first("tokens").alias("tokens")))
+    df = bags.select("n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("bags"))
+    idf = materialise(df.select("token", "df", "bags", (F.log(F.lit(documents + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"), F.monotonically_increasing_id().alias("number")))
     if told is not None:
-        told.append(met.count())
-    best = materialise(scored(met.distinct()).drop("_r", "exact"))
+        told.append(asks.select(F.explode(F.array_distinct("tokens")).alias("token")).join(idf, "token").agg(F.sum("bags")).first()[0] or 0)
+
+    def vectors(rows: DataFrame, name: str) -> DataFrame:
+        entries = bag_weights(rows, idf).join(idf.select("token", "number"), "token")
+        listed = entries.groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("number", "u"))).alias("v"))
+        return listed.select("bag", F.col("v.number").alias("tokens"), F.col("v.u").alias(name))
+
+    # A null home finds and is found by nothing, so it takes no place.
+    few = first_of(texts.where("home is not null").select("bag", F.col("id").alias("doc_id"), "home"), ["bag", "home"], [F.col("doc_id").asc()], k + 1).drop("_r")
+    members = first_of(few, ["bag"], [F.col("doc_id").asc()], need).groupBy("bag").agg(F.collect_list(F.struct("doc_id", "home")).alias("members"))
+    held, asked = materialise(vectors(bags, "u").join(members, "bag")), materialise(vectors(asks, "q").withColumnRenamed("bag", "asked"))
+    across = max(1, -(-held.count() // documents_a_block))
+    down = max(-(-asked.count() // asked_a_block), -(-least_blocks // across))
+
+    def dealt(rows: DataFrame, key: str, own: int, others: int, deal: Column) -> DataFrame:
+        rows = rows.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(own))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return rows.withColumn("deal", deal).drop("_own", "_other", *(["bag"] if key == "bag" else []))
+
+    there = dealt(held, "bag", across, down, F.col("_own") * down + F.col("_other"))
+    here = dealt(asked, "asked", down, across, F.col("_other") * down + F.col("_own"))
+    kinds = dict(texts.dtypes)
+    met = here.groupBy("deal").cogroup(there.groupBy("deal")).applyInArrow(_matcher(k, need, first_block), f"asked string, doc_id {kinds['id']}, home {kinds['home']}, exact double")
+    met = materialise(met)
+    found, order = met.select("asked", "doc_id", "home", F.round("exact", 9).alias("score")), [F.desc("score"), F.col("doc_id").asc()]
+    best = materialise(first_of(first_of(found, ["asked", "home"], order, k + 1).drop("_r"), ["asked"], order, need).drop("_r"))
     mine = own.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), F.col("bag").alias("asked"))
     found = mine.join(best, "asked").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")) & (F.col("score") > 0))
-    return first_of(found, ["query_id"], [F.desc("score"), F.col("doc_id").asc()], k, "rank").select("query_id", "rank", "doc_id", "score")
+    out = materialise(first_of(found, ["query_id"], [F.desc("score"), F.col("doc_id").asc()], k, "rank").select("query_id", "rank", "doc_id", "score"))
+    for used in (texts, own, bags, asks, idf, held, asked, met, best):
+        discard(used)
+    return out
 
 
 def results(queries: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:

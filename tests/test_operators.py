@@ -378,6 +378,27 @@ def test_search_equals_comparing_with_every_document(spark, first_block):
     assert told[0] < sum(df[t] for own in {tuple(sorted(set(o))) for o in tokens} for t in own)
 
 
+def test_search_writes_no_pairs_and_blocks_do_not_change_it(spark, monkeypatch):
+    """Texts that all share words: what is written grows with the texts and not with their pairs. Null homes take no places."""
+    rng = random.Random(23)
+    words = [f"word{k}" for k in range(40)]
+    rows = [(f"{k:04d}", rng.choice([None, *range(40)]), " ".join([*words[:6], *rng.sample(words, 8)])) for k in range(400)]
+    corpus = spark.createDataFrame(rows, "message_id string, conversation_id int, text string")
+    written, write = [], retrieval.materialise
+
+    def counted(df):
+        written.append((out := write(df)).count())
+        return out
+
+    monkeypatch.setattr(retrieval, "materialise", counted)
+    found = sorted(retrieval.search(corpus, corpus, least_blocks=2).collect())
+    assert max(written) < len(rows) * 50 and len(found) == 5 * sum(h is not None for _, h, _ in rows)
+    assert not {r.doc_id for r in found} & {m for m, h, _ in rows if h is None}
+    monkeypatch.undo()
+    blocks = sorted(retrieval.search(corpus, corpus, first_block=3, documents_a_block=150, asked_a_block=90, least_blocks=1).collect())
+    assert blocks == found
+
+
 def test_search_of_nothing(spark):
     corpus = spark.createDataFrame([], "message_id string, conversation_id int, text string")
     assert retrieval.search(corpus, corpus).collect() == []
