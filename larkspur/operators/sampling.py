@@ -74,7 +74,7 @@ def near_duplicate_links(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     return sets.select("id", "form").join(told, "form").select("id", "set_id", "n_links")
 
 
-def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, keep_hashtags: bool = False) -> DataFrame:
+def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, keep_hashtags: bool = False, most_listed: int = 500) -> DataFrame:
     """(left_id, right_id, shared): all pairs of texts of six words that pass the near-duplicate rule, left before right.
 
     Sets of words are compared once (see :func:`similar_sets`) and their texts paired at the end, copies with each other too, as
@@ -82,8 +82,14 @@ def near_duplicate_pairs(docs: DataFrame, id_col: str, text_col: str, *, keep_ha
     """
     sets = materialise(token_sets(docs, id_col, text_col, least=6, keep_hashtags=keep_hashtags))
     pairs = similar_sets(forms_of(sets)).select("a", "b", "shared").unionByName(sets.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("tokens")).alias("shared")).where("n > 1").select(F.col("form").alias("a"), F.col("form").alias("b"), "shared"))
-    x, y = (sets.select(F.col("form").alias(form), F.col("id").alias(name)) for form, name in (("a", "x"), ("b", "y")))
-    both = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    # Copies come in lists of some ``most_listed`` ids, and it is pairs of lists that are dealt out, so a text's copies are not one task's pairs.
+    counts = materialise(sets.groupBy("form").agg(F.count(F.lit(1)).alias("n")))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / most_listed)).alias("part")
+    lists = materialise(sets.join(counts, "form").select("form", "id", part).groupBy("form", "part").agg(F.collect_list("id").alias("ids")))
+    x, y = (lists.select(F.col("form").alias(form), F.col("part").alias(f"of_{ids}"), F.col("ids").alias(ids)) for form, ids in (("a", "xs"), ("b", "ys")))
+    met = pairs.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("of_xs") <= F.col("of_ys"))).repartition("a", "b", "of_xs", "of_ys")
+    one = (F.col("a") == F.col("b")) & (F.col("of_xs") == F.col("of_ys"))
+    both = met.select("shared", "ys", one.alias("one"), F.explode("xs").alias("x")).select("shared", "one", "x", F.explode("ys").alias("y")).where(~F.col("one") | (F.col("x") < F.col("y")))
     return both.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "shared")
 
 

@@ -350,6 +350,17 @@ def test_candidate_sets_lose_no_pair_and_are_few(spark, heavy):
     assert exact <= candidates and len(candidates) < 0.5 * meeting
 
 
+@pytest.mark.parametrize("most_listed", [7, 500])
+def test_pairs_of_many_copies_are_dealt_out(spark, most_listed):
+    """All pairs of copies and near copies, each once, and with short lists not in one task."""
+    texts = ["battery drains screen freezes charging overnight update"] * 60 + ["battery drains screen freezes charging overnight"] * 40 + ["network wifi router password locked account"]
+    docs = spark.createDataFrame([(f"{k:03d}", t) for k, t in enumerate(texts)], "id string, text string")
+    frame = sampling.near_duplicate_pairs(docs, "id", "text", most_listed=most_listed)
+    got = sorted((r.left_id, r.right_id, r.shared) for r in frame.collect())
+    assert got == [(f"{a:03d}", f"{b:03d}", 7 if b < 60 else 6) for a in range(100) for b in range(a + 1, 100)]
+    assert "REPARTITION_BY_COL" in frame._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("first_block", [1, 3, 20, 64])
 def test_search_equals_comparing_with_every_document(spark, first_block):
     """Texts of frequent tokens alone, copies within and across conversations, and texts without tokens."""
