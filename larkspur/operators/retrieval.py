@@ -34,19 +34,31 @@ def weights(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(idf, "token").select("id", "token", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def token_bags(docs: DataFrame) -> DataFrame:
-    """(id, home, bag, tokens): texts with their tokens sorted, repeats kept; texts of equal tokens have one ``bag``. Texts without tokens are left out."""
+def token_bags(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables (id, home, bag) and (bag, tokens, n): texts of equal tokens have one ``bag``, a number, and its tokens are sorted, repeats kept. Texts without tokens are left out."""
     rows = docs.select(F.col("message_id").alias("id"), F.col("conversation_id").alias("home"), F.col("text").alias("text"))
-    rows = settled(rows, tokens=F.array_sort(T.retrieval_tokens(F.col("text"), R.STOP_WORDS)))
-    return rows.where(F.size("tokens") > 0).select("id", "home", F.md5(F.array_join("tokens", " ").cast("binary")).alias("bag"), "tokens")
+    rows = settled(rows, tokens=F.array_sort(T.retrieval_tokens(F.col("text"), R.STOP_WORDS))).where(F.size("tokens") > 0)
+    rows = materialise(rows.select("id", "home", F.md5(F.array_join("tokens", " ").cast("binary")).alias("text"), "tokens"))
+    bags = materialise(rows.groupBy("text").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).withColumn("bag", F.monotonically_increasing_id()))
+    texts = materialise(rows.join(bags.select("text", "bag"), "text").select("id", "home", "bag"))
+    discard(rows)
+    return texts, bags
 
 
-def bag_weights(bags: DataFrame, idf: DataFrame) -> DataFrame:
-    """(bag, token, df, u): tf-idf weights over the bag's norm, of (bag, tokens) rows; tokens without an idf do not count."""
-    terms = bags.select("bag", F.explode("tokens").alias("token")).groupBy("bag", "token").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = terms.join(idf, "token").select("bag", "token", "df", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy("bag").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "bag").select("bag", "token", "df", (F.col("w") / F.col("norm")).alias("u"))
+def bag_vectors(bags: DataFrame, idf: DataFrame) -> DataFrame:
+    """(bag, tokens, w, norm): the numbers of a bag's tokens, their tf-idf weights and the weights' norm; tokens without an idf do not count.
+
+    A weight is one of few numbers for each token, which shuffles small; divided by the norm hardly two are equal.
+    """
+    # Tokens are sorted, so a token's count is the distance from its first place to the next token's.
+    rows = settled(bags.select("bag", "tokens"), own=F.array_distinct("tokens"))
+    rows = settled(rows, first=F.transform("own", lambda t: F.array_position(F.col("tokens"), t)))
+    count = lambda i: F.coalesce(F.get("first", i + 1), F.size("tokens") + F.lit(1).cast("long")) - F.get("first", i)
+    terms = rows.select("bag", F.explode(F.transform("own", lambda t, i: F.struct(t.alias("token"), count(i).alias("tf")))).alias("t")).select("bag", "t.token", "t.tf")
+    weighted = terms.join(idf.select("token", "number", "idf"), "token").select("bag", F.struct("number", (F.col("tf") * F.col("idf")).alias("w")).alias("v"))
+    listed = weighted.groupBy("bag").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, v: total + v["w"] * v["w"]))
+    return listed.select("bag", F.col("v.number").alias("tokens"), F.col("v.w").alias("w"), norm.alias("norm"))
 
 
 def first_of(rows: DataFrame, group: list[str], order: list[Column], n: int, name: str = "_r") -> DataFrame:
@@ -68,10 +80,14 @@ def _matcher(k: int, need: int, at_once: int) -> Callable[[pa.Table, pa.Table],
             columns = [table.column(c).combine_chunks() for c in names]
             return np.asarray(columns[0].value_lengths()).astype(np.int64), *(c.flatten() for c in columns)
 
-        sizes, tokens, u = lists(held, "tokens", "u")
+        def unit(norm: pa.ChunkedArray, sizes: np.ndarray, w: pa.Array) -> np.ndarray:
+            return np.asarray(w) / np.repeat(np.asarray(norm.combine_chunks()), sizes)
+
+        sizes, tokens, w = lists(held, "tokens", "w")
+        u = unit(held.column("norm"), sizes, w)
         vocabulary, token = np.unique(np.asarray(tokens), return_inverse=True)
         order = np.argsort(token, kind="stable")
-        document, u = np.repeat(np.arange(len(sizes)), sizes)[order], np.asarray(u)[order]
+        document, u = np.repeat(np.arange(len(sizes)), sizes)[order], u[order]
         starts = np.searchsorted(token[order], np.arange(len(vocabulary) + 1)).tolist()
         # Columns are looked at in strips of 64; a token of many documents is a whole row, added at once.
         width = -(-len(sizes) // 64) * 64
@@ -83,8 +99,8 @@ def _matcher(k: int, need: int, at_once: int) -> Callable[[pa.Table, pa.Table],
         first_member = np.append(0, np.cumsum(many))
         homes = members.field("home")
         home = np.asarray(homes.dictionary_encode().indices.fill_null(-1))
-        q_sizes, q_tokens, q = lists(asked, "tokens", "q")
-        q_tokens, q = np.asarray(q_tokens), np.asarray(q)
+        q_sizes, q_tokens, w = lists(asked, "asked_tokens", "asked_w")
+        q_tokens, q = np.asarray(q_tokens), unit(asked.column("asked_norm"), q_sizes, w)
         place = np.minimum(np.searchsorted(vocabulary, q_tokens), max(0, len(vocabulary) - 1))
         known = vocabulary[place] == q_tokens if len(vocabulary) else np.zeros(len(q_tokens), bool)
         begins = np.append(0, np.cumsum(q_sizes)).tolist()
@@ -148,51 +164,69 @@ def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: in
     of the other side. None of the sizes changes the result. Scores are rounded to 9 digits before they are ordered, ties to
     the smaller id. ``told`` gets the number of postings met. A null conversation finds nothing; texts without tokens ask nothing.
     """
-    need, documents = 2 * k + 2, corpus.count()
-    texts, own = materialise(token_bags(corpus)), materialise(token_bags(queries))
-    bags = materialise(texts.groupBy("bag").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
-    asks = materialise(own.groupBy("bag").agg(F.first("tokens").alias("tokens")))
+    need, documents, alike = 2 * k + 2, corpus.count(), queries is corpus
+    texts, bags = token_bags(corpus)
+    own, asks = (texts, bags) if alike else token_bags(queries)
     df = bags.select("n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("bags"))
-    idf = materialise(df.select("token", "df", "bags", (F.log(F.lit(documents + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"), F.monotonically_increasing_id().alias("number")))
+    idf = materialise(df.select("token", "bags", (F.log(F.lit(documents + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"), F.monotonically_increasing_id().alias("number")))
     if told is not None:
         told.append(asks.select(F.explode(F.array_distinct("tokens")).alias("token")).join(idf, "token").agg(F.sum("bags")).first()[0] or 0)
-
-    def vectors(rows: DataFrame, name: str) -> DataFrame:
-        entries = bag_weights(rows, idf).join(idf.select("token", "number"), "token")
-        listed = entries.groupBy("bag").agg(F.array_sort(F.collect_list(F.struct("number", "u"))).alias("v"))
-        return listed.select("bag", F.col("v.number").alias("tokens"), F.col("v.u").alias(name))
+    vectors = materialise(bag_vectors(bags, idf))
+    asked = vectors if alike else materialise(bag_vectors(asks, idf))
+    asked = asked.select(F.col("bag").alias("asked"), *(F.col(c).alias(f"asked_{c}") for c in ("tokens", "w", "norm")))
 
     # A null home finds and is found by nothing, so it takes no place.
     few = first_of(texts.where("home is not null").select("bag", F.col("id").alias("doc_id"), "home"), ["bag", "home"], [F.col("doc_id").asc()], k + 1).drop("_r")
-    members = first_of(few, ["bag"], [F.col("doc_id").asc()], need).groupBy("bag").agg(F.collect_list(F.struct("doc_id", "home")).alias("members"))
-    held, asked = materialise(vectors(bags, "u").join(members, "bag")), materialise(vectors(asks, "q").withColumnRenamed("bag", "asked"))
-    across = max(1, -(-held.count() // documents_a_block))
-    down = max(-(-asked.count() // asked_a_block), -(-least_blocks // across))
+    members = materialise(first_of(few, ["bag"], [F.col("doc_id").asc()], need).groupBy("bag").agg(F.collect_list(F.struct("doc_id", "home")).alias("members")))
+    across, down = _blocks(members.count(), asked.count(), documents_a_block, asked_a_block, least_blocks)
 
     def dealt(rows: DataFrame, key: str, own: int, others: int, deal: Column) -> DataFrame:
         rows = rows.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(own))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
         return rows.withColumn("deal", deal).drop("_own", "_other", *(["bag"] if key == "bag" else []))
 
-    there = dealt(held, "bag", across, down, F.col("_own") * down + F.col("_other"))
+    there = dealt(vectors.join(members, "bag"), "bag", across, down, F.col("_own") * down + F.col("_other"))
     here = dealt(asked, "asked", down, across, F.col("_other") * down + F.col("_own"))
     kinds = dict(texts.dtypes)
-    met = here.groupBy("deal").cogroup(there.groupBy("deal")).applyInArrow(_matcher(k, need, first_block), f"asked string, doc_id {kinds['id']}, home {kinds['home']}, exact double")
+    met = here.groupBy("deal").cogroup(there.groupBy("deal")).applyInArrow(_matcher(k, need, first_block), f"asked long, doc_id {kinds['id']}, home {kinds['home']}, exact double")
     met = materialise(met)
     found, order = met.select("asked", "doc_id", "home", F.round("exact", 9).alias("score")), [F.desc("score"), F.col("doc_id").asc()]
     best = materialise(first_of(first_of(found, ["asked", "home"], order, k + 1).drop("_r"), ["asked"], order, need).drop("_r"))
     mine = own.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), F.col("bag").alias("asked"))
     found = mine.join(best, "asked").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")) & (F.col("score") > 0))
     out = materialise(first_of(found, ["query_id"], [F.desc("score"), F.col("doc_id").asc()], k, "rank").select("query_id", "rank", "doc_id", "score"))
-    for used in (texts, own, bags, asks, idf, held, asked, met, best):
+    for used in (texts, bags, idf, vectors, members, met, best, *(() if alike else (own, asks, asked))):
         discard(used)
     return out
 
 
+def _blocks(held: int, asked: int, documents_a_block: int, asked_a_block: int, least: int) -> tuple[int, int]:
+    """How many blocks of documents and of asked texts: none too large, at least ``least`` pairs of blocks, and as few copies shuffled as that allows."""
+    fewest, narrowest = max(1, -(-held // documents_a_block)), max(1, -(-asked // asked_a_block))
+    ways = [(n, max(narrowest, -(-least // n))) for n in range(fewest, max(fewest, least) + 1)]
+    return min(ways, key=lambda way: (held * way[1] + asked * way[0], way[0]))
+
+
+def _words(text: Column) -> Column:
+    """The distinct tokens of a text as one string, which shuffles smaller than the text and than a list of them."""
+    return F.array_join(F.array_distinct(T.retrieval_tokens(text, R.STOP_WORDS)), " ")
+
+
 def results(queries: DataFrame, found: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Every query with its results; a query without any keeps one row of null rank."""
-    docs = corpus.select(F.col("message_id").alias("doc_id"), F.col("text").alias("doc_text"), "response", F.col("primary").alias("doc_intent"), F.transform("matches", lambda m: m["intent_id"]).alias("doc_intents"))
-    asked = queries.select(F.col("message_id").alias("query_id"), F.col("text").alias("query"), "gold_intent", F.col("bucket").alias("query_bucket"))
-    return asked.join(found.join(docs, "doc_id"), "query_id", "left")
+    """Every query with its results; a query without any keeps one row of null rank.
+
+    ``corpus`` has a ``row`` of its own for each message, as ids may repeat. What evidence needs of a text (its words, the response's type) is told before the joins, once a message; a
+    frame that is built on this shuffles only the columns that it reads.
+    """
+    response = F.col("response")
+    docs = corpus.select(
+        F.col("message_id").alias("doc_id"), F.col("text").alias("doc_text"), "response", F.col("primary").alias("doc_intent"), F.transform("matches", lambda m: m["intent_id"]).alias("doc_intents"),
+        _words(F.col("text")).alias("doc_words"), _words(response).alias("response_words"), response_type(response).alias("response_type"), (F.trim(F.coalesce(response, F.lit(""))) != "").alias("available"),
+        F.col("row").alias("doc_row"), F.col("message_id").isNull().cast("long").alias("_dealt"),
+    )
+    asked = queries.select(F.col("message_id").alias("query_id"), F.col("text").alias("query"), "gold_intent", F.col("bucket").alias("query_bucket"), _words(F.col("text")).alias("query_words"))
+    # Queries without results have no doc_id: dealt by it alone they would all go to one task. Any other key of theirs meets nothing.
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("query_id")).otherwise(F.lit(0).cast("long"))
+    return asked.join(found, "query_id", "left").withColumn("_dealt", dealt).join(docs, ["doc_id", "_dealt"], "left").drop("_dealt")
 
 
 def is_hit() -> Column:
@@ -213,13 +247,13 @@ def retrieval_summary(rows: DataFrame) -> DataFrame:
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """Score, strength, flags and response type of every retrieved row."""
-    q, c, r = (F.array_distinct(T.retrieval_tokens(F.col(x), R.STOP_WORDS)) for x in ("query", "doc_text", "response"))
+    """Score, strength, flags and response type of every row of :func:`results`."""
+    q, c, r = (F.array_remove(F.split(F.coalesce(x, F.lit("")), " "), "") for x in ("query_words", "doc_words", "response_words"))
     out = settled(rows, _q=q, _c=c, _r=r)
-    out = settled(out, qc=T.overlap_score(F.col("_q"), F.col("_c")), qr=T.overlap_score(F.col("_q"), F.col("_r"))).drop("_q", "_c", "_r")
-    there = F.trim(F.coalesce("response", F.lit(""))) != ""
+    out = settled(out, qc=T.overlap_score(F.col("_q"), F.col("_c")), qr=T.overlap_score(F.col("_q"), F.col("_r"))).drop("_q", "_c", "_r", "query_words", "doc_words", "response_words")
+    there, kind = F.coalesce("available", F.lit(False)), F.coalesce("response_type", F.lit("none"))
     score = F.when(there, 0.35).otherwise(0.0) + 0.25 * F.least("qc", F.lit(1.0)) + 0.25 * F.least("qr", F.lit(1.0))
-    out = settled(out, available=there, evidence_score=F.round(score, 6), response_type=response_type(F.col("response")))
+    out = settled(out, available=there, evidence_score=F.round(score, 6), response_type=kind)
     strength = F.when(F.col("evidence_score") >= 0.65, "strong").when(F.col("evidence_score") >= 0.35, "moderate").otherwise("weak")
     out = out.withColumn("strength", strength)
     flags = present(
@@ -236,23 +270,29 @@ def usable(rows: DataFrame, least: float = 0.35) -> DataFrame:
     return rows.where(F.col("available") & (F.col("evidence_score") >= least) & F.col("response_type").isin(*USABLE_TYPES))
 
 
-def grounded(queries: DataFrame, rows: DataFrame, least: float = 0.35) -> DataFrame:
-    """Each query with its best usable response: highest score, then rank, then id."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("evidence_score"), "rank", "doc_id")
-    best = usable(rows, least).withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    best = best.select("query_id", "doc_id", "evidence_score", "response_type", F.col("response").alias("generated_response"))
-    return queries.select(F.col("message_id").alias("query_id"), F.col("text").alias("query"), "gold_intent", "bucket").join(best, "query_id", "left")
+def grounded(queries: DataFrame, rows: DataFrame, corpus: DataFrame, least: float = 0.35) -> DataFrame:
+    """Each query with its best usable response: highest score, then rank, then id.
+
+    The response is fetched by its ``row`` of the corpus, for the best alone. What decisions need of the texts is told
+    before they are joined, so that decisions without texts shuffle none.
+    """
+    slim = usable(rows, least).select("query_id", "rank", "doc_id", "doc_row", "evidence_score", "response_type")
+    best = first_of(slim, ["query_id"], [F.desc("evidence_score"), F.col("rank").asc(), F.col("doc_id").asc(), F.col("doc_row").asc()], 1)
+    empty = F.coalesce("response", F.lit("")) == ""
+    best = best.join(corpus.select(F.col("row").alias("doc_row"), F.col("response").alias("generated_response"), empty.alias("unanswered")), "doc_row")
+    best = best.select("query_id", "doc_id", "evidence_score", "response_type", "generated_response", "unanswered")
+    asked = queries.select(F.col("message_id").alias("query_id"), F.col("text").alias("query"), "gold_intent", "bucket", decision_risk(F.col("text")).alias("risk"))
+    return asked.join(best, "query_id", "left")
 
 
 def decide(responses: DataFrame, least: float = 0.35) -> DataFrame:
-    """auto_handle or escalate with the first reason that holds."""
+    """auto_handle or escalate with the first reason that holds, of rows of :func:`grounded`."""
     weak = F.col("evidence_score").isNull() | (F.col("evidence_score") < least)
     unclear = F.col("gold_intent").isNull() & F.col("bucket").isin("ambiguous", "multi_intent", "unclassified")
-    responses = settled(responses, risk=decision_risk(F.col("query")))
     reason = (
         F.when(F.col("risk").isNotNull(), F.col("risk"))
         .when(F.col("doc_id").isNull(), "insufficient_historical_evidence")
-        .when(F.coalesce("generated_response", F.lit("")) == "", "no_grounded_response")
+        .when(F.col("unanswered"), "no_grounded_response")
         .when(F.col("response_type") == "generic_routing", "generic_routing_only")
         .when(~F.col("response_type").isin(*USABLE_TYPES), "other_safety_or_grounding_concern")
         .when(weak, "insufficient_historical_evidence")

@@ -26,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 #: Sizes of a pool and a golden set that fit the small tables; ``rules`` has those of the product.
 POOL_QUOTAS = {"primary_intent": 60, "unclassified": 26, "multi_intent": 24, "ambiguous": 15}
 GOLDEN_GROUPS = [*(("primary_intent", intent, k // 3) for intent, k in R.INTENT_QUOTAS), ("unclassified", "", 10), ("multi_intent", "", 8), ("ambiguous", "", 8)]
-#: The retrieved rows of the table last asked for, written once for all queries that build on them. The key tells the
+#: What was retrieved of the table last asked for, written once for all queries that build on them. The key tells the
 #: table's files by size and time of change, so rows of a table that has changed since are never served.
 _RETRIEVED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
@@ -56,12 +56,14 @@ def asked(corpus: DataFrame) -> DataFrame:
 
 
 def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(queries, their results), written in the shared folder once a session and state of the table."""
+    """(queries, their results): the messages and the ids found for each are written in the shared folder once a session and state
+    of the table, and joined by each query with the columns that it needs. Every message of the corpus asks, so ``queries`` has the corpus's columns."""
     key = (spark.sparkContext.applicationId, sf, *version(table(spark, sf, "conversations")))
     if key not in _RETRIEVED or not all(map(still_there, _RETRIEVED[key])):
-        corpus = materialise(corpus_of(spark, sf))
-        queries, slim = asked(corpus), ("message_id", "conversation_id", "text")
-        rows = materialise(retrieval.results(queries, retrieval.search(corpus.select(*slim), queries.select(*slim)), corpus))
+        kept = ("message_id", "conversation_id", "text", "response", "primary", "bucket", "matches")
+        corpus = materialise(corpus_of(spark, sf).select(*kept, F.monotonically_increasing_id().alias("row")))
+        queries, texts = asked(corpus), corpus.select("message_id", "conversation_id", "text")
+        rows = retrieval.results(queries, retrieval.search(texts, texts), corpus)
         forget_retrieved()
         _RETRIEVED[key] = queries, rows
     return _RETRIEVED[key]
@@ -74,7 +76,7 @@ def forget_retrieved() -> None:
 
 def decided(spark: SparkSession, sf: str) -> DataFrame:
     queries, rows = retrieved(spark, sf)
-    return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows)))
+    return retrieval.decide(retrieval.grounded(queries, retrieval.evidence(rows), queries))
 
 
 def joined(column: str, key: str | None = None) -> Column:
@@ -548,7 +550,7 @@ def anti_join_no_response(spark, sf):
 @query
 def grounded_response(spark, sf):
     queries, rows = retrieved(spark, sf)
-    return retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", "doc_id", "evidence_score", "response_type")
+    return retrieval.grounded(queries, retrieval.evidence(rows), queries).select("query_id", "doc_id", "evidence_score", "response_type")
 
 
 @query
@@ -558,7 +560,10 @@ def decision(spark, sf):
 
 @query
 def decision_summary(spark, sf):
-    rows = decided(spark, sf)
+    return shares_of(decided(spark, sf))
+
+
+def shares_of(rows: DataFrame) -> DataFrame:
     share = F.round(100 * F.count(F.lit(1)) / F.sum(F.count(F.lit(1))).over(Window.partitionBy()), 2)
     return rows.groupBy("decision", F.coalesce("escalation_reason", F.lit("none")).alias("reason")).agg(n(), share.alias("percentage"))
 
@@ -579,15 +584,19 @@ def simple_baseline(spark, sf):
 @query
 def baseline_compare(spark, sf):
     queries, rows = retrieved(spark, sf)
-    chosen = retrieval.grounded(queries, retrieval.evidence(rows)).select("query_id", F.col("doc_id").alias("grounded_id"))
+    chosen = retrieval.grounded(queries, retrieval.evidence(rows), queries).select("query_id", F.col("doc_id").alias("grounded_id"))
     top = rows.where("rank = 1").select("query_id", F.col("doc_id").alias("top_id"))
     return queries.select(F.col("message_id").alias("query_id")).join(top, "query_id", "left").join(chosen, "query_id", "left")
 
 
 @query
 def reference_agreement(spark, sf):
+    return agreement_of(spark, sf, decided(spark, sf))
+
+
+def agreement_of(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     reference = annotated(spark, sf).select(F.col("message_id").alias("query_id"), F.col("escalate").alias("reference"))
-    rows = decided(spark, sf).withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
+    rows = rows.withColumn("decided", F.col("decision") == "escalate").join(reference, "query_id")
     return evaluate.reference_agreement(rows, "reference", "decided")
 
 

@@ -510,3 +510,38 @@ def test_incomplete_selections_may_be_short_but_not_over(spark):
     for bad, why in ((rows("x", "y", "z"), "differs"), (rows("x", "x"), "more than once")):
         with pytest.raises(ValueError, match=why):
             sampling.check_selection(bad, quotas, complete=False)
+
+
+def retrieval_frames(spark, rows):
+    """(queries, corpus) of (message_id, conversation_id, text, response)."""
+    made = spark.createDataFrame(rows, "message_id string, conversation_id int, text string, response string")
+    return made.withColumn("row", F.monotonically_increasing_id()).selectExpr("*", "'wifi' AS primary", "'primary_intent' AS bucket", "array(named_struct('intent_id', 'wifi')) AS matches", "'wifi' AS gold_intent")
+
+
+def test_repeated_ids_keep_their_own_response(spark):
+    """Of two messages with one id the one with the better response is chosen, and each query is there once a message."""
+    corpus = retrieval_frames(spark, [("1", 1, "router wifi drops", None), ("2", 2, "router wifi drops", "thanks"), ("2", 2, "router wifi drops", "restart the wifi router in settings, go to settings and tap reset"), ("3", 3, "nothing alike", None)])
+    texts = corpus.select("message_id", "conversation_id", "text")
+    rows = retrieval.evidence(retrieval.results(corpus, retrieval.search(texts, texts), corpus))
+    got = {(r.query_id, r.doc_id, r.generated_response) for r in retrieval.grounded(corpus, rows, corpus).collect()}
+    assert ("1", "2", "restart the wifi router in settings, go to settings and tap reset") in got and ("3", None, None) in got
+    assert retrieval.decide(retrieval.grounded(corpus, rows, corpus)).count() == 4
+
+
+def test_evidence_shuffles_no_texts(spark):
+    """Evidence and decisions without texts read words, told before the joins: no exchange behind them carries a text."""
+    corpus = retrieval_frames(spark, [(str(k), k, f"router wifi drops {k % 3}", "restart the router") for k in range(9)])
+    texts = corpus.select("message_id", "conversation_id", "text")
+    rows = retrieval.results(corpus, retrieval.search(texts, texts), corpus)
+    decided = retrieval.decide(retrieval.grounded(corpus, retrieval.evidence(rows), corpus)).select("query_id", "decision")
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Project" in line and ("doc_words" in line or "query_words" in line or "unanswered" in line)]
+    assert joins and not any(re.search(r"\b(query|doc_text|generated_response)#", line) for line in joins)
+
+
+@pytest.mark.parametrize(("held", "asked"), [(69_201, 69_201), (400, 400), (1, 1), (1_000_000, 10), (10, 1_000_000)])
+def test_blocks_copy_as_little_as_they_can(held, asked):
+    across, down = retrieval._blocks(held, asked, 40_000, 10_000, 24)
+    assert across * down >= 24 and held <= across * 40_000 and asked <= down * 10_000
+    before = max(1, -(-held // 40_000))
+    assert held * down + asked * across <= held * max(-(-asked // 10_000), -(-24 // before)) + asked * before
