@@ -713,8 +713,12 @@ def digest_is_stable(spark, sf):
 @query
 def human_sheet(spark, sf):
     """The sheet for people to grade, written as CSV, read again as labels are."""
-    path, rows = scratch(spark), decided(spark, sf)
-    evidence = retrieved(spark, sf)[1].select("query_id", "doc_id", F.col("response").alias("historical_evidence"))
+    path, (queries, found) = scratch(spark), retrieved(spark, sf)
+    # The sample depends on the ids alone, so only what it holds is decided.
+    ids = materialise(sampling.seeded_sample(queries.select("message_id"), "message_id", 30).select(F.col("message_id").alias("query_id")).distinct())
+    own, found = queries.join(ids.withColumnRenamed("query_id", "message_id"), "message_id", "left_semi"), found.join(ids, "query_id", "left_semi")
+    rows = retrieval.decide(retrieval.grounded(own, retrieval.evidence(found), queries))
+    evidence = found.select("query_id", "doc_id", F.col("response").alias("historical_evidence"))
     chosen = sampling.seeded_sample(rows.withColumn("message_id", F.col("query_id")), "message_id", 30)
     sheet = chosen.join(evidence, ["query_id", "doc_id"], "left").select("query_id", F.col("query").alias("customer_message"), F.coalesce("historical_evidence", F.lit("")).alias("historical_evidence"), F.coalesce("generated_response", F.lit("")).alias("generated_response"), "decision")
     files.write_sheet(sheet, path, evaluate.SHEET_COLUMNS)
