@@ -18,7 +18,7 @@ from larkspur.operators.graph import connected_components
 from larkspur.plans.fixture import support_messages
 from larkspur.plans.oracles import ORACLE_SQL
 from larkspur.sources import files
-from larkspur.sources.tables import materialise, scratch, still_there, table, version
+from larkspur.sources.tables import discard, materialise, scratch, still_there, table, version
 from larkspur.streaming import rules as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -750,8 +750,10 @@ def result_array(spark, sf):
 def final_report(spark, sf):
     """The lines of the closing report."""
     rows = retrieved(spark, sf)[1]
-    tables = {"retrieval": retrieval.retrieval_summary(rows), "decisions": decision_summary(spark, sf).orderBy("decision", "reason"), "baseline": simple_baseline(spark, sf), "reference": reference_agreement(spark, sf)}
+    decisions = materialise(decided(spark, sf).select("query_id", "decision", "escalation_reason"))
+    tables = {"retrieval": retrieval.retrieval_summary(rows), "decisions": shares_of(decisions).orderBy("decision", "reason"), "baseline": simple_baseline(spark, sf), "reference": agreement_of(spark, sf, decisions)}
     lines = evaluate.final_report(tables, None).splitlines()
+    discard(decisions)
     return spark.createDataFrame(list(enumerate(lines, 1)), "place int, line string")
 
 
