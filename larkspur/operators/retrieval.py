@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,7 @@ def _matcher(k: int, need: int, at_once: int) -> Callable[[pa.Table, pa.Table],
     return matched
 
 
-def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: int = 64, told: list[int] | None = None, documents_a_block: int = 40_000, asked_a_block: int = 10_000, least_blocks: int = 24) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: int = 64, told: list[int] | None = None, documents_a_block: int = 40_000, asked_a_block: int = 40_000, least_blocks: int = 24, blocks_a_wave: int = 12) -> DataFrame:
     """(query_id, rank, doc_id, score): the k nearest by cosine, not the same message nor its conversation.
 
     Both frames have message_id, conversation_id and text. The result is that of comparing with every document.
@@ -161,7 +162,8 @@ def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: in
     Documents and asked texts are dealt into blocks, and every two blocks meet in one task, where the postings of the block's
     documents are added up for ``first_block`` asked texts at a time. What leaves a task are the documents that an asked text can need
     of that block, so no pair that shares a token is ever written: shuffled are the texts' weights, once for each block
-    of the other side. None of the sizes changes the result. Scores are rounded to 9 digits before they are ordered, ties to
+    of the other side. Blocks of asked texts come in waves, each of which meets all documents in ``blocks_a_wave`` tasks or few more, and a
+    wave's shuffles go before the next: what lies on disk at once grows with the texts, not with the pairs of blocks. None of the sizes changes the result. Scores are rounded to 9 digits before they are ordered, ties to
     the smaller id. ``told`` gets the number of postings met. A null conversation finds nothing; texts without tokens ask nothing.
     """
     need, documents, alike = 2 * k + 2, corpus.count(), queries is corpus
@@ -180,21 +182,25 @@ def search(corpus: DataFrame, queries: DataFrame, *, k: int = 5, first_block: in
     members = materialise(first_of(few, ["bag"], [F.col("doc_id").asc()], need).groupBy("bag").agg(F.collect_list(F.struct("doc_id", "home")).alias("members")))
     across, down = _blocks(members.count(), asked.count(), documents_a_block, asked_a_block, least_blocks)
 
-    def dealt(rows: DataFrame, key: str, own: int, others: int, deal: Column) -> DataFrame:
-        rows = rows.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(own))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-        return rows.withColumn("deal", deal).drop("_own", "_other", *(["bag"] if key == "bag" else []))
-
-    there = dealt(vectors.join(members, "bag"), "bag", across, down, F.col("_own") * down + F.col("_other"))
-    here = dealt(asked, "asked", down, across, F.col("_other") * down + F.col("_own"))
-    kinds = dict(texts.dtypes)
-    met = here.groupBy("deal").cogroup(there.groupBy("deal")).applyInArrow(_matcher(k, need, first_block), f"asked long, doc_id {kinds['id']}, home {kinds['home']}, exact double")
-    met = materialise(met)
-    found, order = met.select("asked", "doc_id", "home", F.round("exact", 9).alias("score")), [F.desc("score"), F.col("doc_id").asc()]
+    there, here = vectors.join(members, "bag").withColumn("across", F.pmod(F.xxhash64("bag"), F.lit(across))).drop("bag"), asked.withColumn("down", F.pmod(F.xxhash64("asked"), F.lit(down)))
+    kinds, parts, at_once = dict(texts.dtypes), [], -(-blocks_a_wave // across)
+    for begin in range(0, down, at_once):
+        last = min(begin + at_once, down) - 1
+        held = there.withColumn("down", F.explode(F.sequence(F.lit(begin), F.lit(last))))
+        wave = here.where(F.col("down").between(begin, last)).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        pairs = (rows.withColumn("deal", F.col("across") * down + F.col("down")).drop("across", "down").groupBy("deal") for rows in (wave, held))
+        met = next(pairs).cogroup(next(pairs)).applyInArrow(_matcher(k, need, first_block), f"asked long, doc_id {kinds['id']}, home {kinds['home']}, exact double")
+        parts.append(materialise(met))
+    met = reduce(DataFrame.unionByName, parts)
+    # Dealt by asked text, rows meet for both of the windows at once.
+    found, order = met.select("asked", "doc_id", "home", F.round("exact", 9).alias("score")).repartition("asked"), [F.desc("score"), F.col("doc_id").asc()]
     best = materialise(first_of(first_of(found, ["asked", "home"], order, k + 1).drop("_r"), ["asked"], order, need).drop("_r"))
+    for used in (bags, idf, vectors, members, *parts):
+        discard(used)
     mine = own.select(F.col("id").alias("query_id"), F.col("home").alias("asked_in"), F.col("bag").alias("asked"))
     found = mine.join(best, "asked").where((F.col("asked_in") != F.col("home")) & (F.col("query_id") != F.col("doc_id")) & (F.col("score") > 0))
     out = materialise(first_of(found, ["query_id"], [F.desc("score"), F.col("doc_id").asc()], k, "rank").select("query_id", "rank", "doc_id", "score"))
-    for used in (texts, bags, idf, vectors, members, met, best, *(() if alike else (own, asks, asked))):
+    for used in (texts, best, *(() if alike else (own, asks, asked))):
         discard(used)
     return out
 
@@ -273,11 +279,12 @@ def usable(rows: DataFrame, least: float = 0.35) -> DataFrame:
 def grounded(queries: DataFrame, rows: DataFrame, corpus: DataFrame, least: float = 0.35) -> DataFrame:
     """Each query with its best usable response: highest score, then rank, then id.
 
-    The response is fetched by its ``row`` of the corpus, for the best alone. What decisions need of the texts is told
+    The response is fetched by its ``row`` of the corpus, for the best alone, which are written first: evidence is done with, and
+    its shuffles gone, when the texts are moved. What decisions need of the texts is told
     before they are joined, so that decisions without texts shuffle none.
     """
     slim = usable(rows, least).select("query_id", "rank", "doc_id", "doc_row", "evidence_score", "response_type")
-    best = first_of(slim, ["query_id"], [F.desc("evidence_score"), F.col("rank").asc(), F.col("doc_id").asc(), F.col("doc_row").asc()], 1)
+    best = materialise(first_of(slim, ["query_id"], [F.desc("evidence_score"), F.col("rank").asc(), F.col("doc_id").asc(), F.col("doc_row").asc()], 1).drop("_r"))
     empty = F.coalesce("response", F.lit("")) == ""
     best = best.join(corpus.select(F.col("row").alias("doc_row"), F.col("response").alias("generated_response"), empty.alias("unanswered")), "doc_row")
     best = best.select("query_id", "doc_id", "evidence_score", "response_type", "generated_response", "unanswered")

@@ -410,6 +410,43 @@ def test_search_writes_no_pairs_and_blocks_do_not_change_it(spark, monkeypatch):
     assert blocks == found
 
 
+def shuffle_files(spark):
+    """Those that lie in the session's own folders."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {f for f in found.splitlines() if "/shuffle_" in f}
+
+
+def test_retrieval_leaves_no_shuffles_behind(spark, monkeypatch):
+    """Each table that is written frees its shuffles at once, and a wave of blocks is met after the other's are gone."""
+    rows = [(f"{k:04d}", k, f"word{k % 7} word{k % 5} word{k % 3} other{k}") for k in range(60)]
+    corpus = spark.createDataFrame(rows, "message_id string, conversation_id int, text string").repartition(4)
+    began, most, write = shuffle_files(spark), [], retrieval.materialise
+
+    def counted(df):
+        out = write(df)
+        most.append(len(shuffle_files(spark) - began))
+        return out
+
+    monkeypatch.setattr(retrieval, "materialise", counted)
+    found = sorted(retrieval.search(corpus, corpus).collect())
+    # What a count or collect shuffles is not written, and few files.
+    assert max(most) <= 8
+    tables, most[:] = len(most), []
+    waves = sorted(retrieval.search(corpus, corpus, documents_a_block=20, asked_a_block=20, least_blocks=9, blocks_a_wave=3).collect())
+    assert waves == found and len(most) > tables
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(key, "false") == "false"
+
+
+def test_best_evidence_is_written_before_texts_are_moved(spark):
+    """Decisions' plan begins at the written best rows, so evidence is not shuffled beside the responses."""
+    corpus = retrieval_frames(spark, [(str(k), k, f"router wifi drops {k % 3}", "restart the router") for k in range(9)])
+    texts = corpus.select("message_id", "conversation_id", "text")
+    rows = retrieval.results(corpus, retrieval.search(texts, texts), corpus)
+    decided = retrieval.decide(retrieval.grounded(corpus, retrieval.evidence(rows), corpus))
+    assert "doc_words" not in decided._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_search_of_nothing(spark):
     corpus = spark.createDataFrame([], "message_id string, conversation_id int, text string")
     assert retrieval.search(corpus, corpus).collect() == []
