@@ -26,37 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import slices
-from larkspur.llm.prefix_doubling import repeated_positions
+from larkspur.llm.prefix_doubling import joined as _joined
+from larkspur.llm.prefix_doubling import prefix_hashes, repeated_ranges
 from larkspur.sources.tables import discard, materialise
 
-_K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 PLACES = "array<struct<rank:long,span:long,at:long,back:int,ahead:int,same:int>>"
 RANGES = "array<struct<begin:long,end:long>>"
 
 
-def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    x = left * _K1
-    x += right
-    x ^= x >> np.uint64(29)
-    x *= _K2
-    x ^= x >> np.uint64(32)
-    return x
-
-
-def prefix_hashes(data: np.ndarray, lengths: set[int]) -> dict[int, np.ndarray]:
-    """Hashes of the prefixes of the given lengths at each position, by doubling; the last few positions are not whole."""
-    out, size, now = {}, 1, _BYTES[data]
-    while True:
-        for n in lengths:
-            if size <= n < 2 * size:
-                out[n] = now if n == size else np.append(_joined(now[: len(now) - n + size], now[n - size :]), now[len(now) - n + size :])
-        if 2 * size > max(lengths):
-            return out
-        now = np.append(_joined(now[:-size], now[size:]), now[-size:]) if len(now) > size else now
-        size *= 2
-
-
 @dataclass(frozen=True)
 class Shape:
     """``length``: of the strings; ``prefix``: of the selecting prefix; ``base``: of the hashes that spans are made of.
@@ -252,13 +229,8 @@ def repeated_spans(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", tex
 
 def spans_by_doubling(docs: DataFrame, shape: Shape, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What :func:`repeated_spans` gives, by prefix doubling over every position of each distinct text."""
-    length, texts = shape.length, _texts(docs, id_col, text_col)
-    copies = texts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
-    copies = materialise(copies.where(F.octet_length("text") >= length).withColumn("row", F.monotonically_increasing_id()))
-    spans = repeated_positions(copies, length).groupBy("row").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + length).alias("end"))).alias("spans"))
-    found = copies.select("row", "a", "b", "copies").join(spans, "row", "left").where("copies > 1 or spans is not null")
-    whole = F.col("copies") > 1
-    return found.select("a", "b", whole.alias("whole"), F.when(~whole, F.col("spans")).alias("spans"))
+    texts = _texts(docs, id_col, text_col).where(F.octet_length("text") >= shape.length)
+    return repeated_ranges(texts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("text").alias("text")), shape.length)
 
 
 def _paired(rows: pa.Table, shape: Shape) -> list[pa.Array]:
@@ -352,7 +324,7 @@ def remove_repeats(docs: DataFrame, *, shape: Shape = Shape(200), every_position
     columns of those names. Repeats are judged on the input, within a text too; overlaps count; none crosses texts. Null or
     empty text: 0 bytes and no span. Copies of a text as long or longer lose everything.
     Null and repeated ids stay row by row; an empty table gives no rows. ``every_position`` doubles
-    prefixes over all positions instead of the selected ones: the same result at many times the disk.
+    prefixes over all positions (:mod:`larkspur.llm.prefix_doubling`) instead of the selected ones: the same result.
     """
     find = spans_by_doubling if every_position else repeated_spans
     spans = find(docs, shape, id_col=id_col, text_col=text_col)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, mixing, nearest, near_duplicates, packing, queries, repeats, simhash, token_counts, toxicity, url_templates
+from larkspur.llm import language_id, mixing, nearest, near_duplicates, packing, prefix_doubling, queries, repeats, simhash, token_counts, toxicity, url_templates
 from larkspur.llm.queries import URL_RULES, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, rep long, size int, place string"
@@ -157,6 +157,33 @@ def test_repeats_against_brute_force(spark, small, whole):
         assert (got[k].text is None) == (texts[k] is None) and got[k].row == "x"
 
 
+def test_prefix_doubling_in_waves_against_brute_force(spark):
+    """Several blocks, waves and ranges of ranks; repeats within a text, runs of one character, a text that is there twice."""
+    rng = random.Random(7)
+    base = "".join(rng.choice("ab") for _ in range(2000))
+    texts = ["x" * 900, "x" * 41 + "y", "ab" * 300, base[:700], base[300:900] + base[1500:1540], base[1490:1530] + "q" + base[200:260], base[:700] + base[:700], base[1000:1039], base[1000:1100]]
+    texts += ["".join(rng.choice("cdefgh") for _ in range(rng.randint(40, 400))) + base[k : k + 40 + k % 3] for k in range(0, 1900, 100)]
+    rows = spark.createDataFrame([(k, -k, 1 + (k == 3), t) for k, t in enumerate(texts)], "a long, b long, copies long, text string").where("length(text) >= 40").repartition(3)
+    for sizes in ({}, {"waves": 5, "names_a_wave": 2_000, "names_a_bucket": 50, "chars": 1_500}):
+        got = {r.a: (r.b, r.whole, [(s.begin, s.end) for s in r.spans]) for r in prefix_doubling.repeated_ranges(rows, 40, **sizes).collect()}
+        seen = collections.Counter(t[i : i + 40] for t in texts for i in range(len(t) - 39))
+        for k, t in enumerate(texts):
+            marked = {j for i in range(len(t) - 39) if seen[t[i : i + 40]] > 1 for j in range(i, i + 40)}
+            assert marked == {j for begin, end in got.get(k, (0, False, []))[2] for j in range(begin, end)}
+            assert k not in got or got[k][:2] == (-k, k == 3)
+            assert all(one[1] < two[0] for one, two in itertools.pairwise(got[k][2])) if k in got else k != 3
+
+
+def test_the_pipeline_doubles_prefixes_of_every_position(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(repeats, "repeated_spans", None)
+    rng = random.Random(8)
+    said = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    docs = spark.createDataFrame([(0, f"one {said} end", "en", "s", 0), (1, f"two {said}", "en", "s", 0), (2, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.remove_repeated_passages(spark, docs, "").collect()} == {0: "one end", 1: "two", 2: None}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_at_the_edge_of_a_piece(spark, seed):
     """A passage across the edge of two pieces of a long text, parts of which stand in a group of 130 texts."""
